@@ -129,5 +129,5 @@ def normalize_timestamps(df: DataFrame, text: str, received: str, tz: str, order
         )
     )
     us = F.when(c["raw"].rlike(r"^\d+(\.\d+)?$"), _bare_number(c["raw"])).when(c["parts"].isNotNull(), F.when(c["y"].isNotNull(), instant(c["y"])).when(at.isNotNull(), nearest))
-    # rand() is never null: it only keeps a filter on the result from being pushed below, which would repeat the whole cascade
-    return staged.select(*columns, F.when(F.rand() < 2, us).alias(out))
+    # the id is never negative: as it is not deterministic, it keeps a filter on the result from being pushed below, which would repeat the whole cascade
+    return staged.select(*columns, F.when(F.monotonically_increasing_id() >= 0, us).alias(out))
