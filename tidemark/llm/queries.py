@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import leaks, packing, sketch
+from tidemark.llm import leaks, neighbors, packing, sketch
 from tidemark.session import read_table
 
 _KEYS = ["day", "sensor_id", "event_type", "protocol"]
@@ -44,6 +44,16 @@ def p1_within_bound(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select(*_KEYS, "level", "exact_sources", F.coalesce(off <= F.greatest(F.lit(0.5), 0.02 * F.col("exact_sources")), F.lit(False)).alias("within"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    near = neighbors.most_similar(read_table(spark, folder, "flow_vectors"), read_table(spark, folder, "feature_scale"), within=0.9)
+    return near.select(F.least("a", "b").alias("vec_a"), F.greatest("a", "b").alias("vec_b")).distinct()
+
+
+def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten most similar other vectors of every vector."""
+    return neighbors.most_similar(read_table(spark, folder, "flow_vectors"), read_table(spark, folder, "feature_scale"))
+
+
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read_table(spark, folder, "documents"))
 
@@ -57,7 +67,7 @@ def p9_near(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.find_leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items"), max_edits=1)
 
 
-QUERIES = {f.__name__: f for f in (p1_distinct_sources, p1_within_bound, p8_containers, p9_found, p9_near)}
+QUERIES = {f.__name__: f for f in (p1_distinct_sources, p1_within_bound, p3_found, p3_neighbours, p8_containers, p9_found, p9_near)}
 
 _CUBE = """
     with rows as (select case when "timestamp" <> 0 then strftime(make_timestamp(cast(floor("timestamp") as bigint) * 1000000), '%Y-%m-%d') end as day,
