@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import leaks, neighbors, packing, sketch
+from tidemark.llm import leaks, neighbors, packing, pii, sketch
 from tidemark.session import read_table
 
 _KEYS = ["day", "sensor_id", "event_type", "protocol"]
@@ -67,7 +67,17 @@ def p9_near(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.find_leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items"), max_edits=1)
 
 
-QUERIES = {f.__name__: f for f in (p1_distinct_sources, p1_within_bound, p3_found, p3_neighbours, p8_containers, p9_found, p9_near)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    spans = pii.find_pii(read_table(spark, folder, "documents"), read_table(spark, folder, "name_lexicon"))
+    return spans.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start_pos", "s.end_pos", "s.pii_type")
+
+
+def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents with typed placeholders."""
+    return pii.find_pii(read_table(spark, folder, "documents"), read_table(spark, folder, "name_lexicon"), with_text=True).select("doc_id", F.col("redacted").alias("text"))
+
+
+QUERIES = {f.__name__: f for f in (p1_distinct_sources, p1_within_bound, p3_found, p3_neighbours, p8_containers, p9_found, p9_near, p10_found, p10_redacted)}
 
 _CUBE = """
     with rows as (select case when "timestamp" <> 0 then strftime(make_timestamp(cast(floor("timestamp") as bigint) * 1000000), '%Y-%m-%d') end as day,
