@@ -182,12 +182,12 @@ _LOWER = r"(?:[a-zß-öø-ÿ]['’])?[a-zß-öø-ÿ]{2,}(?:-[a-zß-öø-ÿ]+)*"
 _INITIAL = r"(?:[A-ZÀ-ÖØ-Þ]\.)"
 # words that never are part of a name although capital or (in lower-case names) beside one
 _STOP = (
-    "who when and und y for the at on in is was has asked rang confirmed confirmó confirma bestätigt entered sent from with reachable said says that this which will may might can of to by as or "
+    "who when and und y for the at on in is was has asked rang confirmed confirmó confirma bestätigt entered sent from with reachable said says that this which might can of to by as or "
     "team desk proxy week night shift day site al zu zum zur bei mit auf level port capture account number phone mail email address we they he she it you your our their its a an der die das den dem ein eine el la los las un una que por con para im am um"
 ).split()
 _NOT = "(?!(?i:" + "|".join(_STOP) + r")\b)"
 _FULL = (
-    rf"(?:{_PARTICLE}?{_PART},[ ]{_PART}(?:[ ]{_INITIAL})?(?![\w'’-])"  # family, given
+    rf"(?:{_PARTICLE}?{_PART},[ ]{_PART}(?:[ ]{_INITIAL})?(?![\w-]|['’](?!s\b))"  # family, given
     rf"|(?:{_PART}|{_INITIAL})[ ](?:{_INITIAL}[ ])*{_PARTICLE}?{_PART}"
     rf"|{_PARTICLE}?{_PART})"
 )
@@ -239,6 +239,9 @@ def _near(pattern: re.Pattern, text: str, hits: list[tuple[int, int]] | None, be
     yield from pattern.finditer(text, low, high)
 
 
+_TAIL_LONE = re.compile(r"\s+(?:at|al|unter|on site|when|for the|and|und|y)\b|\s*\n?Reply-To|,\s[+(\d]|\s*<|\s*$")
+
+
 class Detector:
     """Finds personal information in a text, with a list of (name, type) as help."""
 
@@ -285,7 +288,7 @@ class Detector:
             lone = " " not in name and "," not in name
             if cue[:5].lower() == "bitte" and not text.startswith(" unter ", b):
                 continue
-            if _WEAK.match(cue) and not self._known(name) and (lone or not _TAIL_OK.match(text, b)):
+            if _WEAK.match(cue) and not self._known(name) and not (_TAIL_LONE if lone else _TAIL_OK).match(text, b):
                 continue
             if name[0].islower() and not name.startswith(("de ", "van ", "von ", "di ", "del ")) and not self._known(name) and not _LOWER_TAIL.match(text, b):
                 continue
@@ -337,7 +340,11 @@ class Detector:
                     out.append((*t.span(a, b), kind))
 
         accept(found)
-        accept([(a, b, "NAME") for a, b in self._names(s, mails, hits)])
+        for a, b in self._names(s, mails, hits):
+            comma = s.find(",", a, b)
+            if comma > 0 and any(taken[comma:b]) and not any(taken[a:comma]):
+                b = comma  # what follows the comma is an address
+            accept([(a, b, "NAME")])
         return sorted(out)
 
 
