@@ -485,3 +485,77 @@ def star_join(spark, folder):
 def protocol_rollup(spark, folder):
     t = read_table(spark, folder, "net_events").where("protocol is not null and event_type is not null").select(F.lower("protocol").alias("p"), F.lower("event_type").alias("e"))
     return t.rollup("p", "e").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("p", F.lit("all")).alias("protocol"), F.coalesce("e", F.lit("all")).alias("event_type"), "n")
+
+
+# --- models, packets and streams: rows only ---------------------------------------------------------
+@query()
+def anomaly_scores(spark, folder):
+    """Isolation-forest scores of all vectors, fitted on those that no detector fires for."""
+    from tidemark.operators.models import anomaly_scores as score
+    from tidemark.operators.models import isolation_forest
+
+    calm = _detected(spark, folder).where(~F.exists("found", lambda d: d["triggered"] & (d["score"] >= 0.9)))
+    names = features.ORDER
+    return score(_vec(spark, folder).select("vec_id", *names), isolation_forest(calm.select(*names), names), names).select("vec_id", "anomaly_score")
+
+
+@query()
+def model_classes(spark, folder):
+    """Random-forest classes of all vectors, trained on the detectors' classes."""
+    from tidemark.operators.models import classify, random_forest
+
+    rows = _detected(spark, folder).select("vec_id", *features.ORDER, F.coalesce(detectors.first_fired(F.col("found"))["class"], F.lit("BENIGN")).alias("label"))
+    return classify(random_forest(rows, features.ORDER, "label", trees=20), rows.drop("label")).select("vec_id", "model_class", "model_confidence")
+
+
+@query()
+def packet_features(spark, folder):
+    """The 33 packet features and rule classes of the six traffic scenarios."""
+    from functools import reduce
+
+    from tidemark.operators import packets
+    from tidemark.sources import scenarios
+
+    rows = reduce(DataFrame.unionByName, [packets.heuristics(packets.vectors(scenarios.packets(spark, n))).withColumn("scenario", F.lit(n)) for n in scenarios.NAMES])
+    return rows
+
+
+@query("""with d as (select flow_id, threat_class, epoch_us(received_at) as us, confidence_score from security_alerts where received_at is not null),
+  f as (select *, case when us - lag(us) over (partition by flow_id, threat_class order by us) > 30000000 then 1 else 0 end as flag from d),
+  s as (select *, sum(flag) over (partition by flow_id, threat_class order by us) as run from f)
+  select flow_id, threat_class, min(us) as first_us, max(us) as last_us, count(*) as occurrence_count, max(confidence_score) as max_confidence from s group by flow_id, threat_class, run""")
+def stream_alert_sessions(spark, folder):
+    """Alerts of a stream of deliveries: sessions of one flow and class, 30 seconds apart at most."""
+    from tidemark.session import stream_table
+    from tidemark.streaming.pipeline import alert_sessions, drain
+
+    s = stream_table(spark, folder, "security_alerts", 24).withColumn("confidence", F.col("confidence_score"))
+    found = drain(spark, alert_sessions(s, F.col("received_at"), ["flow_id", "threat_class"]), "alert-sessions", "complete")
+    return found.select("flow_id", "threat_class", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"), "occurrence_count", "max_confidence")
+
+
+@query("""select epoch_us(received_at) // 60000000 * 60000000 as start_us, flow_id, count(*) as n, cast(sum(coalesce(orig_bytes, 0)) as bigint) as orig_bytes from net_events where received_at is not null group by all""")
+def stream_flow_windows(spark, folder):
+    """Totals per flow and minute from a stream of deliveries."""
+    from tidemark.session import stream_table
+    from tidemark.streaming.pipeline import drain, flow_windows
+
+    s = stream_table(spark, folder, "net_events", 24)
+    found = drain(spark, flow_windows(s, F.col("received_at")), "flow-windows", "complete")
+    return found.select(F.unix_micros("start").alias("start_us"), "flow_id", "n", F.coalesce("orig_bytes", F.lit(0)).alias("orig_bytes"))
+
+
+# --- the flagship: which sources look like scanners -------------------------------------------------
+@query("""{ev}, w as (select seq, us, src_ip, count(distinct dst_port) over w as ports, count(distinct dst_ip) over w as hosts, count(*) over w as attempts, coalesce(avg(case when conn_state is not null then (conn_state in ('S0','REJ','RSTO','RSTOS0'))::int end) over w, 0) as failed
+    from ev window w as (partition by src_ip order by us range between 3600000000 preceding and current row)),
+  d as (select *, cast(greatest(case when ports >= 3 then 0.92 else 0 end, case when hosts >= 3 then 0.88 else 0 end, case when attempts >= 5 and failed >= 0.6 then 0.85 else 0 end) as double) as score from w),
+  f as (select *, case when us - lag(us) over (partition by src_ip order by us) > 21600000000 then 1 else 0 end as flag from d where score > 0),
+  s as (select *, sum(flag) over (partition by src_ip order by us) as run from f)
+  select src_ip, min(us) as first_us, max(us) as last_us, count(*) as occurrence_count, max(score) as max_confidence, arg_min(ports, (us, ports, hosts)) as ports, arg_min(hosts, (us, ports, hosts)) as hosts from s group by src_ip, run order by max_confidence desc, occurrence_count desc, src_ip, first_us""")
+def port_scan_alerts(spark, folder):
+    c = F.col
+    seen = features.source_windows(_ev(spark, folder), 3_600_000_000)
+    score = F.greatest(F.when(c("unique_dst_ports") >= 3, 0.92).otherwise(0.0), F.when(c("unique_dst_hosts") >= 3, 0.88).otherwise(0.0), F.when((c("conn_attempts") >= 5) & (c("failed_conn_ratio") >= 0.6), 0.85).otherwise(0.0))
+    fired = seen.select("src_ip", "us", c("unique_dst_ports").alias("ports"), c("unique_dst_hosts").alias("hosts"), score.alias("score")).where("score > 0")
+    found = alerts.deduplicate(fired, ["src_ip"], "us", "score", ["ports", "hosts"], gap_us=21_600_000_000, block_us=86_400_000_000)
+    return found.drop("alert_id").orderBy(F.desc("max_confidence"), F.desc("occurrence_count"), "src_ip", "first_us")
