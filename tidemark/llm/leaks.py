@@ -41,26 +41,36 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
 
 
 class Embedding:
-    """CGK embedding of windows with the bit samples of several repetitions."""
+    """CGK embedding of windows: several random walks, each with several bit samples of its output."""
+
+    SAMPLES_OF_A_WALK = 4
 
     def __init__(self, window: int, repetitions: int, samples: int, seed: int = 7):
         draw = np.random.default_rng(seed)
-        self.window, self.steps = window, 3 * window
-        self.seeds = [int(x) for x in draw.integers(1, 2**62, self.steps)]
-        self.picks = [np.sort(draw.choice(self.steps, samples, replace=False)) for _ in range(repetitions)]
+        self.window, self.steps, self.repetitions = window, 3 * window, repetitions
+        self.walks = []
+        for first in range(0, repetitions, self.SAMPLES_OF_A_WALK):
+            seeds = [int(x) for x in draw.integers(1, 2**62, self.steps)]
+            # a window has been read to its end after about two steps a symbol
+            picks = [np.sort(draw.choice(2 * window, samples, replace=False)) for _ in range(min(self.SAMPLES_OF_A_WALK, repetitions - first))]
+            self.walks.append((seeds, picks))
 
     def keys(self, windows: np.ndarray) -> np.ndarray:
         """(repetitions, windows) keys of a matrix of word numbers (0: a word of no item)."""
         n = len(windows)
         padded = np.concatenate([windows.astype(np.uint64) + np.uint64(1), np.zeros((n, 1), np.uint64)], axis=1).ravel()
-        base, pointer = np.arange(n) * (self.window + 1), np.zeros(n, np.int64)
-        keys = np.zeros((len(self.picks), n), np.uint64)
-        for j in range(self.steps):
-            symbol = padded[base + pointer]
-            for r, pick in enumerate(self.picks):
-                if j in pick:
-                    keys[r] = _mix(keys[r] + symbol, self.seeds[0] + r)
-            pointer = np.minimum(pointer + (_mix(symbol, self.seeds[j]) & np.uint64(1)).astype(np.int64), self.window)
+        base = np.arange(n) * (self.window + 1)
+        keys = np.zeros((self.repetitions, n), np.uint64)
+        r = 0
+        for seeds, picks in self.walks:
+            pointer = np.zeros(n, np.int64)
+            for j in range(max(p[-1] for p in picks) + 1):
+                symbol = padded[base + pointer]
+                for k, pick in enumerate(picks):
+                    if j in pick:
+                        keys[r + k] = _mix(keys[r + k] + symbol, seeds[0] + k)
+                pointer = np.minimum(pointer + (_mix(symbol, seeds[j]) & np.uint64(1)).astype(np.int64), self.window)
+            r += len(picks)
         return keys
 
 
@@ -92,16 +102,17 @@ class Index:
                 owner.append(item)
         self.windows = np.array(rows, np.int64).reshape(-1, window)
         self.owner = np.array(owner, np.int64)
-        samples = max(4, window // (1 + max_edits))
+        samples = max(3, window // (1 + 2 * max_edits))
         self.embedding = Embedding(window, self._repetitions(samples, target), samples)
         keys = self.embedding.keys(self.windows)
         self.order = np.argsort(keys, axis=1, kind="stable")
         self.keys = np.take_along_axis(keys, self.order, axis=1)
 
     def _repetitions(self, samples: int, target: float, trials: int = 2000) -> int:
-        """Repetitions that reach the target recall, by the collision rate of windows with `max_edits` random edits.
+        """Repetitions that reach the target recall on windows with `max_edits` random edits.
 
-        The rate is measured on at most `trials` item windows; equal windows collide in the first repetition.
+        Measured on `trials` edited windows of the items, since windows differ in how easily they meet; equal
+        windows collide in the first repetition.
         """
         if not self.max_edits or not len(self.windows):
             return 1
@@ -120,9 +131,11 @@ class Index:
                 else:
                     del x[at]
             b[k] = (x + [0] * self.window)[: self.window]
-        probe = Embedding(self.window, 8, samples)
-        rate = float((probe.keys(a) == probe.keys(b)).mean())
-        return int(np.clip(np.ceil(np.log(1 - target) / np.log(1 - min(max(rate, 0.005), 0.999))), 1, 200))
+        most = 128
+        probe = Embedding(self.window, most, samples)
+        met = np.logical_or.accumulate(probe.keys(a) == probe.keys(b), axis=0).mean(axis=1)
+        enough = np.flatnonzero(met >= target)
+        return int(enough[0]) + 1 if len(enough) else most
 
     def search(self, ids: np.ndarray, document: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, item, edits) of verified windows. ids: word numbers of several documents, `window` zeros between them."""

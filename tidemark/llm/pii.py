@@ -163,7 +163,7 @@ _TOWN = (
     rf"(?:(?:Port|New|San|Santa|Los|Las|Saint|St\.|Fort|Mount|Lake|North|South|East|West|Upper|Lower|Bad|PORT|NEW|SAN|SANTA|SAINT|FORT|MOUNT|LAKE|BAD)[ ]{_TOWN_WORD}"
     rf"|{_TOWN_WORD}(?:[ ](?:Green|Heights|Park|Hills|Hill|Falls|Springs|City|Beach|Valley|Village|Grove|Ridge|Bay|GREEN|HEIGHTS|PARK|HILLS|HILL|FALLS|SPRINGS|CITY|BEACH|VALLEY|VILLAGE|GROVE|RIDGE|BAY))?)"
 )
-_ZIP = r"(?:[ ](?:[A-Z]{2}[ ])?\d{5}(?:-\d{4})?(?![\d.:-]|[ ]?%)|[ ][A-Z]{1,2}\d[A-Z\d]?[ ]\d[A-Z]{2}\b)"
+_ZIP = r"(?:[ ](?:[A-Z]{2}[ ])?\d{5}(?:-\d{4})?(?![\d:-]|\.\d|[ ]?%)|[ ][A-Z]{1,2}\d[A-Z\d]?[ ]\d[A-Z]{2}\b)"
 _PLACE = rf"(?:,[ ]?(?:\n|\r\n)?{_UNIT}{_TOWN}{_ZIP}?|,?\s+{_TOWN}{_ZIP})?"
 _PLACE_FIRST_ZIP = rf"(?:,?\s+(?:D-)?\d{{5}}[ ]{_TOWN}|,[ ]{_TOWN}{_ZIP}?|,?\s+{_TOWN}{_ZIP})?"
 _ADDRESS = re.compile(
@@ -210,7 +210,7 @@ _BEFORE = re.compile(rf"(?<![\w.@'’-])(?P<name>{_ANY})(?=[ ](?:<|\()\x00|['’
 _TAIL_OK = re.compile(r"\s*(?:[.,;:()<\"\n]|$|when|at|on|and|und|y|rang|who|for|\+|\d|confirmed|bestätigt|confirma|reachable|entered)")
 
 
-_LOWER_TAIL = re.compile(r"\s*(?:[.,;(<\"]|$|when|confirmed|bestätigt|confirma|rang|and|for|at|on|'s)")
+_LOWER_TAIL = re.compile(r"\s*(?:[.,;(<\"]|$|when|confirmed|bestätigt|confirma|rang|and|und|y|for|at|al|unter|on|asked|entered|reachable|'s)")
 
 # Words (in lower case) near which the slower patterns are tried.
 _ANCHORS = {
