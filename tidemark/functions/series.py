@@ -1,11 +1,23 @@
-"""Functions of short numeric series (arrays), as higher-order Column expressions."""
+"""Functions of short numeric series (arrays), as higher-order Column expressions.
+
+Inside a lambda every outer expression is evaluated again for each element; what a lambda
+uses of the whole series is therefore bound once with let().
+"""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def total(x: Column) -> Column:
@@ -18,56 +30,73 @@ def gaps(times: Column) -> Column:
     return F.filter(pairs, lambda g: g > 0)
 
 
+def _power(x: Column, mean: Column, k: int) -> Column:
+    """Mean of (v - mean) ** k."""
+
+    def one(v: Column) -> Column:
+        d = v - mean
+        return d * d if k == 2 else d * d * d
+
+    return F.aggregate(x, F.lit(0.0), lambda a, v: a + one(v)) / F.size(x)
+
+
 def moments(x: Column, least: int = 2) -> dict[str, Column]:
     """min, max, mean, std (population), cv; all 0 for fewer than `least` values."""
-    n, enough = F.size(x), F.size(x) >= least
-    mean = total(x) / n
-    std = F.sqrt(total(F.transform(x, lambda v: (v - mean) * (v - mean))) / n)
-    zero = lambda c: F.when(enough, c).otherwise(0.0)
+    mean = total(x) / F.size(x)
+    std = F.sqrt(let(mean, lambda m: _power(x, m, 2)))
+    zero = lambda c: F.when(F.size(x) >= least, c).otherwise(0.0)
     return {"iat_min": zero(F.array_min(x)), "iat_max": zero(F.array_max(x)), "iat_mean": zero(mean), "iat_std": zero(std), "iat_cv": zero(F.when(mean > 1e-5, std / mean).otherwise(0.0))}
 
 
 def skewness(x: Column) -> Column:
     """Population skewness; 0 for fewer than 3 values or hardly any spread."""
-    n = F.size(x)
-    mean = total(x) / n
-    var = total(F.transform(x, lambda v: (v - mean) * (v - mean))) / n
-    third = total(F.transform(x, lambda v: (v - mean) * (v - mean) * (v - mean))) / n
-    return F.when((n >= 3) & (var > 1e-12), third / F.pow(var, F.lit(1.5))).otherwise(0.0)
+    both = let(total(x) / F.size(x), lambda m: F.struct(_power(x, m, 2).alias("var"), _power(x, m, 3).alias("third")))
+    ratio = let(both, lambda b: F.when(b["var"] > 1e-12, b["third"] / F.pow(b["var"], F.lit(1.5))).otherwise(0.0))
+    return F.when(F.size(x) >= 3, ratio).otherwise(0.0)
 
 
 def spectral_peak(x: Column, least: int = 6) -> Column:
-    """Largest share of one frequency (not the constant) in the amplitude spectrum; 0 for fewer than `least` values."""
-    n = F.size(x)
-    mean = total(x) / n
-    at = F.sequence(F.lit(0), n - 1)
+    """Largest share of one frequency (not the constant) in the amplitude spectrum; 0 for fewer than `least` values.
+
+    A fast Fourier transform per series in Arrow batches: written as expressions it would be quadratic.
+    """
+
+    @pandas_udf("double")
+    def peak(series: pd.Series) -> pd.Series:
+        def one(v) -> float:
+            if v is None or len(v) < least:
+                return 0.0
+            a = np.asarray(v, float)
+            spectrum = np.abs(np.fft.rfft(a - a.mean()))[1:]
+            whole = spectrum.sum()
+            return float(spectrum.max() / whole) if whole > 1e-9 else 0.0
 
-    def amplitude(k: Column) -> Column:
-        turn = F.lit(2 * math.pi) * k / n
-        re = F.aggregate(F.zip_with(x, at, lambda v, t: (v - mean) * F.cos(turn * t)), F.lit(0.0), lambda a, v: a + v)
-        im = F.aggregate(F.zip_with(x, at, lambda v, t: (v - mean) * F.sin(turn * t)), F.lit(0.0), lambda a, v: a + v)
-        return F.sqrt(re * re + im * im)
+        return series.map(one)
 
-    spectrum = F.transform(F.sequence(F.lit(1), F.floor(n / 2).cast("int")), amplitude)
-    return F.when(n >= least, F.coalesce(F.array_max(spectrum) / F.nullif(total(spectrum), F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
+    return peak(x)
 
 
 def autocorrelation_peak(x: Column, least: int = 6, lags: int = 9) -> Column:
     """Largest autocorrelation at lags 1 to `lags`; 0 for fewer than `least` values or hardly any spread."""
     n = F.size(x)
-    mean = total(x) / n
-    centred = F.transform(x, lambda v: v - mean)
-    power = total(F.transform(centred, lambda v: v * v))
 
-    def at(lag: Column) -> Column:
-        return total(F.zip_with(F.slice(centred, F.lit(1), n - lag), F.slice(centred, lag + 1, n - lag), lambda a, b: a * b)) / power
+    def of(c: Column) -> Column:
+        at = lambda lag: total(F.zip_with(F.slice(c, F.lit(1), n - lag), F.slice(c, lag + 1, n - lag), lambda a, b: a * b))
+        power = total(F.transform(c, lambda v: v * v))
+        peak = F.array_max(F.transform(F.sequence(F.lit(1), F.least(F.lit(lags), n - 1)), at))
+        return F.when(power / n > 1e-12, peak / power).otherwise(0.0)
 
-    peak = F.array_max(F.transform(F.sequence(F.lit(1), F.least(F.lit(lags), n - 1)), at))
-    return F.when((n >= least) & (power / n > 1e-12), peak).otherwise(0.0)
+    centred = let(total(x) / n, lambda m: F.transform(x, lambda v: v - m))
+    return F.when(n >= least, let(centred, of)).otherwise(0.0)
 
 
 def value_entropy(x: Column) -> Column:
-    """Entropy in bits of the values of an array."""
-    n = F.size(x)
-    shares = F.transform(F.array_distinct(x), lambda v: F.size(F.filter(x, lambda w: w == v)) / n)
-    return F.when(n == 0, 0.0).otherwise(F.aggregate(F.array_sort(shares), F.lit(0.0), lambda a, p: a - p * F.log2(p)))
+    """Entropy in bits of the values of an array: one walk over the sorted values."""
+    weigh = lambda run: run * F.log2(F.greatest(run, F.lit(1.0)))
+
+    def walk(s: Column) -> Column:
+        start = F.struct(F.get(s, F.lit(0)).alias("at"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
+        step = lambda a, v: F.when(v == a["at"], F.struct(a["at"].alias("at"), (a["run"] + 1).alias("run"), a["sum"].alias("sum"))).otherwise(F.struct(v.alias("at"), F.lit(1.0).alias("run"), (a["sum"] + weigh(a["run"])).alias("sum")))
+        return F.aggregate(s, start, step, lambda a: F.log2(F.size(s)) - (a["sum"] + weigh(a["run"])) / F.size(s))
+
+    return F.when(F.size(x) == 0, 0.0).otherwise(let(F.array_sort(x), walk))
