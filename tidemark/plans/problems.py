@@ -57,7 +57,7 @@ def p4_modes(spark: SparkSession, folder: str) -> DataFrame:
     mode = mode_by_key(value_frequencies(events, "dst_ip", "src_ip"))
     sized = events.withColumn("size", _bytes(events))
     p = percentile_by_key(value_frequencies(sized, "dst_ip", "size"), [0.5, 0.95]).groupBy(F.col("key").alias("k")).agg(*[F.max(F.when(F.col("percentage") == q, F.col("value"))).alias(n) for q, n in ((0.5, "bytes_p50"), (0.95, "bytes_p95"))])
-    return p.join(mode, F.col("k") == F.col("key"), "left").select(F.col("k").alias("dst_ip"), F.col("mode").alias("top_source"), F.col("mode_rows").alias("top_source_rows"), "bytes_p50", "bytes_p95")
+    return p.join(mode, F.col("k") == F.col("key"), "left").select(F.col("k").alias("dst_ip"), F.col("mode").alias("top_source"), F.coalesce("mode_rows", F.lit(0)).alias("top_source_rows"), "bytes_p50", "bytes_p95")
 
 
 def _instants(spark: SparkSession, folder: str, table: str, text: str) -> DataFrame:
@@ -109,7 +109,7 @@ SQL = {
         with e as (select dst_ip, src_ip, coalesce(orig_bytes, 0) + coalesce(resp_bytes, 0) as size from net_events where dst_ip is not null),
         s as (select dst_ip, src_ip, count(*) as n from e where src_ip is not null group by all),
         m as (select dst_ip, src_ip, n, row_number() over (partition by dst_ip order by n desc, src_ip) as k from s)
-        select p.dst_ip, m.src_ip as top_source, m.n as top_source_rows, bytes_p50, bytes_p95
+        select p.dst_ip, m.src_ip as top_source, coalesce(m.n, 0) as top_source_rows, bytes_p50, bytes_p95
         from (select dst_ip, cast(quantile_disc(size, 0.5) as bigint) as bytes_p50, cast(quantile_disc(size, 0.95) as bigint) as bytes_p95 from e group by dst_ip) p
         left join m on m.dst_ip = p.dst_ip and m.k = 1""",
     "p6_found": _SURPLUS.format("net_events", "event_id") + " union all " + _SURPLUS.format("security_alerts", "alert_id"),
