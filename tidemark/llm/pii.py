@@ -171,7 +171,7 @@ _ADDRESS = re.compile(
     rf"{_UNIT}\d{{1,5}}[a-zA-Z]?[ ](?:(?:N|S|E|W|North|South|East|West)\.?[ ])?{_CAP}(?:[ ]{_CAP}){{0,2}}[ ]{_KIND}(?:,[ ](?:Apt|Apartment|Flat|Suite|Unit)\.?[ ]?#?\w{{1,5}})?{_PLACE}"
     rf"|{_UNIT}(?:P\.?[ ]?O\.?[ ]?Box|P\.?[ ]?O\.?[ ]?BOX|Postfach|POSTFACH|Apartado(?:[ ]de[ ]Correos)?|APARTADO)[ ]\d{{1,6}}{_PLACE_FIRST_ZIP}"
     rf"|(?:(?:Am|An[ ]der|Auf[ ]der|Im|In[ ]der|Zum|Zur|AM|IM|ZUM|ZUR)[ ])?{_CAP}(?:(?<=straße)|(?<=strasse)|(?<=str\.)|(?<=gasse)|(?<=weg)|(?<=platz)|(?<=allee)|(?<=STRASSE)|(?<=GASSE)|(?<=WEG)|(?<=PLATZ)|(?<=ALLEE))[ ]\d{{1,4}}[ ]?[a-z]?\b{_PLACE_FIRST_ZIP}"
-    rf"|(?:Calle|C/|C\.|Avda\.?|Avenida|Plaza|Paseo|Camino|CALLE|AVENIDA|PLAZA|PASEO)[ ]?(?:(?:de|del|la|las|los|DE|DEL|LA|LAS|LOS)[ ])*{_CAP}(?:[ ]{_CAP}){{0,2}},?[ ]\d{{1,4}}[a-z]?\b(?:,[ ]\d{{1,2}}[º°ª](?:[ ]?[A-Za-z]\b)?)?{_PLACE_FIRST_ZIP}"
+    rf"|(?:Calle|C/|Avda\.?|Avenida|Plaza|Paseo|Camino|CALLE|AVENIDA|PLAZA|PASEO)[ ]?(?:(?:de|del|la|las|los|DE|DEL|LA|LAS|LOS)[ ])*{_CAP}(?:[ ]{_CAP}){{0,2}},?[ ]\d{{1,4}}[a-z]?\b(?:,[ ]\d{{1,2}}[º°ª](?:[ ]?[A-Za-z]\b)?)?{_PLACE_FIRST_ZIP}"
     r")"
 )
 
@@ -210,7 +210,7 @@ _BEFORE = re.compile(rf"(?<![\w.@'’-])(?P<name>{_ANY})(?=[ ](?:<|\()\x00|['’
 _TAIL_OK = re.compile(r"\s*(?:[.,;:()<\"\n]|$|when|at|on|and|und|y|rang|who|for|\+|\d|confirmed|bestätigt|confirma|reachable|entered)")
 
 
-_LOWER_TAIL = re.compile(r"\s*(?:[.,;(<\"]|$|when|confirmed|bestätigt|confirma|rang|and|und|y|for|at|al|unter|on|asked|entered|reachable|'s)")
+_LOWER_TAIL = re.compile(r"\s*(?:[.,;(<\"\n]|$|when|confirmed|bestätigt|confirma|rang|and|und|y|for|at|al|unter|on|asked|entered|reachable|'s)")
 
 # Words (in lower case) near which the slower patterns are tried.
 _ANCHORS = {
