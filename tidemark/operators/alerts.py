@@ -53,6 +53,11 @@ def page(alerts: DataFrame, order: str, limit: int = 50, offset: int = 0, threat
     return alerts.orderBy(F.desc(order)).offset(offset).limit(limit)
 
 
+def newest(alerts: DataFrame, order: str, cap: int = 10_000) -> DataFrame:
+    """The store's view: the `cap` newest alerts (the table itself keeps all)."""
+    return alerts.orderBy(F.desc(order)).limit(cap)
+
+
 def search(alerts: DataFrame, text: str) -> DataFrame:
     """Alerts whose id or flow contains `text`, whatever the case; ALL finds everything."""
     if text.upper() == "ALL" or not text:

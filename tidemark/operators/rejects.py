@@ -257,6 +257,11 @@ RECORD = {
     "orig_pkts": ("orig_pkts", "bigint"), "resp_pkts": ("resp_pkts", "bigint"), "trans_id": ("trans_id", "int"), "query": ("query", "string"),
     "qtype": ("qtype", "int"), "qtype_name": ("qtype_name", "string"), "rcode": ("rcode", "int"), "rcode_name": ("rcode_name", "string"),
     "ttls": ("ttls", "string"), "rejected": ("rejected", "boolean"),
+    "version": ("version", "string"), "cipher": ("cipher", "string"), "server_name": ("server_name", "string"), "established": ("established", "boolean"),
+    "resumed": ("resumed", "boolean"), "ja3": ("ja3", "string"), "ja3s": ("ja3s", "string"), "validation_status": ("validation_status", "string"),
+    "subject": ("subject", "string"), "issuer": ("issuer", "string"), "method": ("method", "string"), "host": ("host", "string"), "uri": ("uri", "string"),
+    "user_agent": ("user_agent", "string"), "status_code": ("status_code", "int"), "status_msg": ("status_msg", "string"),
+    "request_body_len": ("request_body_len", "bigint"), "response_body_len": ("response_body_len", "bigint"), "resp_mime_types": ("mime_type", "string"),
 }
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.rejects import RECORD, read_lines, typed_records
 
 #: what every source is brought to; columns a record lacks are null
-EVENT = "ts double, event_type string, source_engine string, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, flow_id string, duration double, orig_bytes bigint, resp_bytes bigint, orig_pkts bigint, resp_pkts bigint, conn_state string, history string, service string, query_name string, query_type string, answers array<string>, signature string, severity int"
+EVENT = "ts double, event_type string, source_engine string, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, flow_id string, duration double, orig_bytes bigint, resp_bytes bigint, orig_pkts bigint, resp_pkts bigint, conn_state string, history string, service string, query_name string, query_type string, answers array<string>, signature string, severity int, tls_version string, ja3 string, established boolean, http_method string, uri string, user_agent string, status_code int"
 
 
 def as_events(df: DataFrame) -> DataFrame:
@@ -30,8 +30,10 @@ def events(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, rejects) of log lines. The kind of record follows from its fields."""
     read = read_lines(lines)
     r = typed_records(read)
-    dns = F.col("query").isNotNull() | F.col("qtype_name").isNotNull()
-    kind = F.when(dns, "dns").otherwise("connection")
+    some = lambda *c: F.coalesce(*c).isNotNull()
+    kind = F.when(some("query", "qtype_name"), "dns").when(some("cipher", "server_name", "version"), "tls").when(some("method", "host", "uri"), "http").otherwise("connection")
+    dns, http = kind == "dns", kind == "http"
+    port = F.when(dns, 53).when(kind == "tls", 443).when(http, 80).otherwise(0)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     out = r.select(
         "ts",
@@ -40,16 +42,23 @@ def events(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce("orig_h", F.lit("0.0.0.0")).alias("src_ip"),
         F.coalesce("resp_h", F.lit("0.0.0.0")).alias("dst_ip"),
         F.coalesce("orig_p", F.lit(0)).alias("src_port"),
-        F.coalesce("resp_p", F.when(dns, 53).otherwise(0)).alias("dst_port"),
+        F.coalesce("resp_p", port).alias("dst_port"),
         F.upper(F.coalesce("proto", F.when(dns, "udp").otherwise("tcp"))).alias("protocol"),
         F.coalesce("duration", F.lit(0.0)).alias("duration"),
         *[zero(c) for c in ("orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts")],
         "conn_state",
         "history",
         "service",
-        F.col("query").alias("query_name"),
+        F.coalesce("query", "server_name", "host").alias("query_name"),
         F.col("qtype_name").alias("query_type"),
         "answers",
+        F.col("version").alias("tls_version"),
+        "ja3",
+        "established",
+        F.when(http, F.upper(F.coalesce("method", F.lit("GET")))).alias("http_method"),
+        F.when(http, F.coalesce("uri", F.lit("/"))).alias("uri"),
+        "user_agent",
+        F.when(http, F.coalesce("status_code", F.lit(200))).alias("status_code"),
     )
     return as_events(out), read.where(F.col("reason").isNotNull()).select("line_id", "file", "at", "line", "reason")
 

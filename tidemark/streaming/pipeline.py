@@ -57,6 +57,42 @@ def track_flows(events: DataFrame, at: Column, idle: int = 300, late: str = "10
     return rows.groupBy("flow_id").applyInPandasWithState(_track(idle * 1_000_000), f"flow_id string, event string, {FLOW_STATE}", FLOW_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
+# Seconds between two model evaluations of a flow by its risk, and packets after which one is due anyway.
+INTERVALS = {"HIGH": 0.05, "MEDIUM": 0.25, "LOW": 1.0}
+PACKETS_DUE = 30
+
+
+def _due(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    at, packets, last = state.get if state.exists else (None, 0, 0)
+    for b in batches:
+        rows, due = b.sort_values(["us", "seq"]), []
+        for us, n, urgent, risk in zip(rows.us, rows.packets, rows.urgent, rows.risk):
+            packets += int(n)
+            now = bool(urgent) or at is None or packets - last >= PACKETS_DUE or us - at >= INTERVALS.get(risk, 1.0) * 1e6
+            if now:
+                at, last = int(us), packets
+            due.append(now)
+        yield rows.assign(due=due)[["flow_id", "seq", "due"]]
+    if at is not None:
+        state.update((at, packets, last))
+
+
+def model_schedule(events: DataFrame) -> DataFrame:
+    """flow_id, seq, due: whether the models should look at the flow after this event.
+
+    events: a stream of flow_id, seq, us, packets, urgent (the gate is not passed), risk. Due is the first event, an
+    urgent one, one with enough packets since the last evaluation, or enough time for the flow's risk.
+    """
+    ship(events.sparkSession)
+    rows = events.select("flow_id", "seq", "us", "packets", "urgent", "risk")
+    return rows.groupBy("flow_id").applyInPandasWithState(_due, "flow_id string, seq bigint, due boolean", "at bigint, packets bigint, last bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def paced(stream: DataFrame, path: str, checkpoint: str, seconds: float):
+    """Replays a stream of files (maxFilesPerTrigger sets how many) at one micro-batch every `seconds`."""
+    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+
+
 def drain(spark: SparkSession, stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
     """Runs the stream over what is there and returns its result.
 
