@@ -75,3 +75,26 @@ def test_near_windows_reach_the_target_recall():
         assert (found[2] <= 2).all()
         hit += k in found[1]
     assert hit / len(items) >= 0.9
+
+
+def test_added_and_lost_words_reach_the_target_recall(spark):
+    draw = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(300)]
+    items = [(k, " ".join(draw.choice(vocabulary) for _ in range(13))) for k in range(300)]
+    for kind in ("changed", "added", "lost"):
+        documents = []
+        for k, text in items:
+            w = words(text)
+            at = draw.randint(2, 10)
+            w[at : at + (kind != "added")] = [] if kind == "lost" else ["other"]
+            documents.append((k, " ".join(["x"] * (k % 3) + w + ["y"] * (k % 2 * 20))))
+        found = find_leaks(spark.createDataFrame(documents, "doc_id bigint, text string").coalesce(1), spark.createDataFrame(items, "item_id bigint, text string"), max_edits=1).collect()
+        assert all(r.doc_id == r.item_id and r.edits == 1 for r in found)
+        assert len(found) / len(items) >= 0.93, kind
+
+
+def test_a_passage_belongs_to_the_document_it_starts_in(spark):
+    item = " ".join(f"w{k}" for k in range(13))
+    documents = [(1, "before"), (2, item.removeprefix("w0 ")), (3, "behind")]
+    found = find_leaks(spark.createDataFrame(documents, "doc_id bigint, text string").coalesce(1), spark.createDataFrame([(1, item)], "item_id bigint, text string"), max_edits=1).collect()
+    assert {r.doc_id for r in found} <= {2}

@@ -74,8 +74,11 @@ class Embedding:
         return keys
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Edit distances of the rows of two matrices of symbols (0 equals nothing)."""
+def edit_distance(a: np.ndarray, b: np.ndarray, prefixes: bool = False) -> np.ndarray:
+    """Edit distances of the rows of two matrices of symbols (0 equals nothing).
+
+    prefixes: the least distance to any prefix of b's row, so that passages of all lengths from its start count.
+    """
     n, w = a.shape
     row = np.tile(np.arange(b.shape[1] + 1), (n, 1))
     for i in range(w):
@@ -85,7 +88,7 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             same = (a[:, i] == b[:, j]) & (a[:, i] != 0)
             new[:, j + 1] = np.minimum(row[:, j] + ~same, np.minimum(row[:, j + 1], new[:, j]) + 1)
         row = new
-    return row[:, -1]
+    return row.min(axis=1) if prefixes else row[:, -1]
 
 
 class Index:
@@ -109,48 +112,59 @@ class Index:
         self.keys = np.take_along_axis(keys, self.order, axis=1)
 
     def _repetitions(self, samples: int, target: float, trials: int = 2000) -> int:
-        """Repetitions that reach the target recall on windows with `max_edits` random edits.
+        """Repetitions that reach the target recall on changed, added and lost words alike.
 
-        Measured on `trials` edited windows of the items, since windows differ in how easily they meet; equal
-        windows collide in the first repetition.
+        Measured as search() finds them, collision and verification, on `trials` edited windows of the items among
+        foreign words, since windows differ in how easily they meet; equal windows collide in the first repetition.
         """
         if not self.max_edits or not len(self.windows):
             return 1
         draw = np.random.default_rng(11)
+        w, e = self.window, self.max_edits
         a = self.windows[draw.integers(0, len(self.windows), trials)]
-        b = a.copy()
+        b = np.zeros((trials, w + 3 * e), np.int64)
+        kinds = np.arange(trials) % 3
         for k in range(trials):
-            x = list(b[k])
-            for _ in range(self.max_edits):
-                at = int(draw.integers(0, len(x)))
-                kind = int(draw.integers(0, 3))
-                if kind == 0:
+            x = list(a[k])
+            for _ in range(e):
+                at = int(draw.integers(1, len(x)))
+                if kinds[k] == 0:
                     x[at] = 0
-                elif kind == 1:
+                elif kinds[k] == 1:
                     x.insert(at, 0)
                 else:
                     del x[at]
-            b[k] = (x + [0] * self.window)[: self.window]
+            b[k, e : e + len(x)] = x
         most = 128
-        probe = Embedding(self.window, most, samples)
-        met = np.logical_or.accumulate(probe.keys(a) == probe.keys(b), axis=0).mean(axis=1)
-        enough = np.flatnonzero(met >= target)
+        probe = Embedding(w, most, samples)
+        mine, met = probe.keys(a), np.zeros((most, trials), bool)
+        for start in range(2 * e + 1):
+            near = b[:, start : start + w + e]
+            good = ((near[:, :w] == 0).sum(axis=1) <= e) & (edit_distance(a, near, prefixes=True) <= e)
+            met |= (mine == probe.keys(near[:, :w])) & good
+        met = np.logical_or.accumulate(met, axis=0)
+        enough = np.flatnonzero(np.min([met[:, kinds == k].mean(axis=1) for k in range(3)], axis=0) >= target)
         return int(enough[0]) + 1 if len(enough) else most
 
     def search(self, ids: np.ndarray, document: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, item, edits) of verified windows. ids: word numbers of several documents, `window` zeros between them."""
+        """(document, item, edits) of verified windows. ids: word numbers of several documents, `window` zeros after each.
+
+        document: of each word; -1 for the zeros, where no passage starts. A collision is verified against the passages
+        of all lengths within `max_edits` of the window's that start with it.
+        """
         w = self.window
         if len(ids) < w or not len(self.windows):
             return tuple(np.zeros(0, np.int64) for _ in range(3))  # type: ignore[return-value]
-        # a window with more foreign words than edits allowed can't be within that distance of any item window
+        # a window with more foreign words than edits allowed can't be within that distance of any item window; a
+        # passage shorter by n words has used n edits, so that n foreign words behind it leave the bound as it is
         foreign = np.concatenate([[0], np.cumsum(ids == 0)])
-        at = np.flatnonzero(foreign[w:] - foreign[:-w] <= self.max_edits)
+        at = np.flatnonzero((foreign[w:] - foreign[:-w] <= self.max_edits) & (document[: len(ids) - w + 1] >= 0))
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        views = np.lib.stride_tricks.sliding_window_view(ids, w)
+        views = np.lib.stride_tricks.sliding_window_view(np.concatenate([ids, np.zeros(self.max_edits, ids.dtype)]), w + self.max_edits)
         for low in range(0, len(at), 1 << 16):
             part = at[low : low + (1 << 16)]
             mine = views[part]
-            keys = self.embedding.keys(mine)
+            keys = self.embedding.keys(mine[:, :w])
             for r in range(len(keys)):
                 left, right = np.searchsorted(self.keys[r], keys[r], "left"), np.searchsorted(self.keys[r], keys[r], "right")
                 many = right - left
@@ -159,7 +173,7 @@ class Index:
                     continue
                 item = self.order[r][np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(left, many)]
                 if self.max_edits:
-                    edits = edit_distance(mine[which], self.windows[item])
+                    edits = edit_distance(self.windows[item], mine[which], prefixes=True)
                 else:
                     edits = (mine[which] != self.windows[item]).any(axis=1).astype(np.int64)
                 good = edits <= self.max_edits
@@ -170,7 +184,7 @@ class Index:
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, window: int = 13, max_edits: int = 0, target: float = 0.95, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", block_items: int = 20_000) -> DataFrame:
-    """doc_id, item_id, edits: documents with a window of `window` words within `max_edits` word edits of a window of the item.
+    """doc_id, item_id, edits: documents with a passage within `max_edits` word edits of a window of `window` words of the item.
 
     One row per document and item with the fewest edits found. Without edits the result is exact; with edits
     the chance of finding a leaking window is at least `target` for each such window. Null or empty texts and items
@@ -195,7 +209,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, window: int = 13, max_edi
                 for n, text in enumerate(b.text):
                     mine = np.fromiter((find.vocabulary.get(w, 0) for w in words(text)), np.int64)
                     ids += [mine, gap]
-                    document.append(np.full(len(mine) + window, n))
+                    document += [np.full(len(mine), n), np.full(window, -1)]
                 if not ids:
                     continue
                 d, i, e = find.search(np.concatenate(ids), np.concatenate(document))
