@@ -18,12 +18,15 @@ def flow_windows(events: DataFrame, at: Column, width: str = "1 minute", late: s
     return rows.groupBy(F.window("at", width), "flow_id").agg(F.count(F.lit(1)).alias("n"), F.sum("orig_bytes").alias("orig_bytes"), F.sum("resp_bytes").alias("resp_bytes")).select(F.col("window.start").alias("start"), "flow_id", "n", "orig_bytes", "resp_bytes")
 
 
-def alert_sessions(detections: DataFrame, at: Column, keys: list[str], gap: str = "30 seconds", late: str = "10 minutes") -> DataFrame:
+def alert_sessions(detections: DataFrame, at: Column, keys: list[str], gap: str = "30 seconds", late: str | None = None) -> DataFrame:
     """Detections of one key at most `gap` apart as one alert: first and last time, count, best confidence.
 
-    The end of a session window is the last event plus the gap, and equal gaps join, as in batch.
+    The end of a session window is the last event plus the gap, and equal gaps join, as in batch. late: of a live
+    stream, how far behind the newest row others may be; Spark drops rows later than that, in complete mode too, so that
+    a replay in any order has none and counts every row (append mode, which needs one, says so).
     """
-    rows = detections.select(*keys, at.alias("at"), "confidence").withWatermark("at", late)
+    rows = detections.select(*keys, at.alias("at"), "confidence")
+    rows = rows.withWatermark("at", late) if late else rows
     found = rows.groupBy(F.session_window("at", gap), *keys).agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count(F.lit(1)).alias("occurrence_count"), F.max("confidence").alias("max_confidence"))
     return found.drop("session_window")
 
@@ -97,7 +100,7 @@ def drain(spark: SparkSession, stream: DataFrame, purpose: str, mode: str = "app
     """Runs the stream over what is there and returns its result.
 
     append: rows whose windows the watermark has closed, exactly once, by file sink and checkpoint. complete: the whole
-    aggregate as of the last micro-batch, for replays of finite input.
+    aggregate as of the last micro-batch, for replays of finite input (sessions without a watermark, see alert_sessions).
     """
     base = shared_folder(spark, purpose)
     if mode == "append":
