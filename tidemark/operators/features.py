@@ -47,6 +47,7 @@ def flow_running(events: DataFrame) -> DataFrame:
     return rows.select(
         *events.columns,
         "dur",
+        c("c_first").alias("first_us"),
         (pk / c("rdur")).alias("packet_rate"),
         (by / c("rdur")).alias("byte_rate"),
         (nz(c("has_syn")) / c("rdur")).alias("syn_rate"),
@@ -144,28 +145,79 @@ def name_features(events: DataFrame, keep: int = 100) -> DataFrame:
     return agg.select("*", *[c.alias(k) for k, c in text.letter_ratios(F.col("joined")).items()]).drop("joined")
 
 
-def vectors(events: DataFrame) -> DataFrame:
-    """The 54 features (baseline semantics) of every flow at its latest event, and the window's length."""
-    running = flow_running(events)
-    latest = last_rows(running, ["flow_id"], ["us", "seq"], 1)
-    src = source_windows(events).select("seq", "unique_dst_ports", "unique_dst_hosts", "conn_attempts", "failed_conn_ratio")
+def flow_history(events: DataFrame) -> DataFrame:
+    """What each flow has kept at its latest event: its last 500 times (TLS records leave none), 500 sizes, 100 states, 100 DNS names.
+
+    Sizes are the byte counts of the two directions that are not 0, the originator's first.
+    """
+    c = F.col
+    upto = Window.partitionBy("flow_id").orderBy(c("us").desc(), c("seq").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    some = lambda n: F.coalesce(c(n) != "", F.lit(False))
+    marks = {"timed": ~c("event_type").eqNullSafe("tls"), "sent": c("orig_bytes") > 0, "got": c("resp_bytes") > 0, "stated": some("conn_state"), "named": (c("event_type") == "dns") & some("query_name")}
+    rows = events.select("flow_id", "us", "seq", "event_type", "orig_bytes", "resp_bytes", "conn_state", "query_name", *[F.coalesce(m, F.lit(False)).alias(k) for k, m in marks.items()])
+    rows = rows.select("*", *[F.count_if(k).over(upto).alias(f"n_{k}") for k in marks])
+    sizes = c("n_sent") + c("n_got")
+    times = F.when(c("timed") & (c("n_timed") <= 500), c("us"))
+    sent = F.when(c("sent") & (sizes <= 500), c("orig_bytes").cast("double"))
+    got = F.when(c("got") & (sizes - c("sent").cast("int") <= 500), c("resp_bytes").cast("double"))
+    failed = F.when(c("stated") & (c("n_stated") <= 100), c("conn_state").isin(*FAILED).cast("double"))
+    q = c("name")
+    rows = rows.select("flow_id", times.alias("times"), sent.alias("sent"), got.alias("got"), failed.alias("failed"), F.when(c("named") & (c("n_named") <= 100), c("query_name")).alias("name"))
+    per = rows.select("*", F.length(q).alias("len"), text.shannon_entropy(q).alias("ent"), text.subdomain_depth(q).alias("depth"), F.when(q.isNotNull(), text.bigram_log_likelihood(q)).alias("ll"))
+    agg = per.groupBy("flow_id").agg(
+        F.array_sort(F.collect_list("times")).alias("flow_times"),
+        F.concat(F.collect_list("sent"), F.collect_list("got")).alias("sizes"),
+        F.avg("failed").alias("failed_conn_ratio"),
+        F.count(q).alias("n_queries"),
+        F.avg("len").alias("query_len_mean"),
+        F.avg("ent").alias("shannon_entropy_mean"),
+        F.avg("depth").alias("subdomain_depth_mean"),
+        F.avg("ll").alias("ngram_log_likelihood"),
+        F.array_join(F.array_sort(F.collect_list(q)), "").alias("joined"),
+    )
+    size = series.moments(c("sizes"), 1)
+    return agg.select("*", *[v.alias(k) for k, v in text.letter_ratios(c("joined")).items()], F.when(F.size("sizes") > 0, size["iat_mean"]).alias("size_mean"), size["iat_std"].alias("pkt_size_std"), series.value_entropy(c("sizes")).alias("pkt_size_entropy")).drop("joined", "sizes")
+
+
+def pair_blocks(ranked: DataFrame, keep: int = 500) -> DataFrame:
+    """Times of each pair in blocks of `keep` events, with those of the block before: every last-`keep` frame lies in one row.
+
+    ranked: events with pair_k, their place in the pair from 0 on. A hot pair is many rows.
+    """
+    blocks = ranked.groupBy("src_ip", "dst_ip", F.floor(F.col("pair_k") / keep).alias("pair_block")).agg(F.array_sort(F.collect_list("us")).alias("block_times"))
+    before = F.lag("block_times").over(Window.partitionBy("src_ip", "dst_ip").orderBy("pair_block"))
+    return blocks.select("*", before.alias("times_before"))
+
+
+def vectors(events: DataFrame, keep: int = 500) -> DataFrame:
+    """The 54 features (baseline semantics) of every flow at its latest event, and the window's length.
+
+    Flow, host and pair (of that event) count with what they have right after it; gaps are the flow's own if it has
+    three times or more, else those of the pair's last `keep` events.
+    """
+    c = F.col
+    place = F.row_number().over(Window.partitionBy("src_ip", "dst_ip").orderBy("us", "seq")) - 1
+    ranked = events.select("*", place.alias("pair_k"))
+    latest = last_rows(flow_running(ranked), ["flow_id"], ["us", "seq"], 1).withColumn("pair_block", F.floor(c("pair_k") / keep))
+    src = source_windows(events).select("seq", "unique_dst_ports", "unique_dst_hosts", "conn_attempts")
     dst = destination_windows(events).select("seq", "unique_src_count", "src_ip_entropy")
-    sizes = last_rows(events, ["flow_id"], ["us", "seq"], 250)
-    both = sizes.select("flow_id", F.explode(F.array("orig_bytes", "resp_bytes")).alias("size")).where("size > 0")
-    spread = both.groupBy("flow_id").agg(F.stddev_pop("size").alias("pkt_size_std"), series_entropy(F.collect_list("size")).alias("pkt_size_entropy"))
     v = latest.join(src, "seq").join(dst, "seq").join(degrees(events), "seq").join(destination_share(events), "seq")
-    v = v.join(pair_timing(events), ["src_ip", "dst_ip"]).join(name_features(events), "src_ip", "left").join(spread, "flow_id", "left")
-    zeros = ["query_len_mean", "shannon_entropy_mean", "subdomain_depth_mean", "ngram_log_likelihood", "vowel_ratio", "consonant_ratio", "digit_ratio", "unique_char_ratio", "pkt_size_std", "pkt_size_entropy"]
+    v = v.join(pair_blocks(ranked, keep), ["src_ip", "dst_ip", "pair_block"]).join(flow_history(events), "flow_id")
+    n = (c("pair_k") % keep + 1).cast("int")
+    inside, before = F.slice("block_times", F.lit(1), n), F.coalesce(F.slice("times_before", n + 1, keep - n), F.array().cast("array<bigint>"))
+    own = F.size("flow_times") >= 3
+    pair_first = F.coalesce(F.get("times_before", n), F.get("block_times", F.lit(0)))
+    elapsed = F.greatest(F.lit(1.0), (c("us") - F.when(own, c("first_us")).otherwise(pair_first)) / 1e6)
+    count = F.least(c("pair_k") + 1, F.lit(keep))
+    v = v.withColumns({"timing": series.timing(F.when(own, c("flow_times")).otherwise(F.concat(before, inside))), "repeated_conn_count": count, "repeated_dst_freq": count / (elapsed / 60), "pkt_size_mean": F.coalesce("size_mean", "pkt_size_mean")})
+    v = v.select("*", "timing.*")
+    zeros = ["query_len_mean", "shannon_entropy_mean", "subdomain_depth_mean", "ngram_log_likelihood", "failed_conn_ratio"]
     per_second = lambda c: F.col(c) / F.greatest(F.lit(1.0), F.col("dur"))
     v = v.withColumns({z: F.coalesce(z, F.lit(0.0)) for z in zeros})
-    v = v.withColumns({"dst_port_fanout": per_second("unique_dst_ports"), "dst_host_fanout": per_second("unique_dst_hosts"), "conn_attempt_rate": per_second("conn_attempts"), "query_frequency": F.coalesce(F.col("n_queries") / F.col("dur"), F.lit(0.0)), "txt_record_ratio": F.lit(0.0), "tls_version_num": F.when(F.col("event_type") == "tls", 1.0).otherwise(0.0), "ja3_present": F.lit(0.0)})
+    v = v.withColumns({"dst_port_fanout": per_second("unique_dst_ports"), "dst_host_fanout": per_second("unique_dst_hosts"), "conn_attempt_rate": per_second("conn_attempts"), "query_frequency": c("n_queries") / c("dur"), "txt_record_ratio": F.lit(0.0), "tls_version_num": F.when(c("event_type") == "tls", 1.0).otherwise(0.0), "ja3_present": F.lit(0.0)})
     return v.select("flow_id", (F.col("us") / 1e6).alias("timestamp"), F.col("dur").alias("window_duration_sec"), *[F.col(n).cast("double").alias(n) for n in ORDER])
 
 
-def series_entropy(values: Column) -> Column:
-    return series.value_entropy(values)
-
-
 def optimized(events: DataFrame) -> DataFrame:
     """The selective generation's variants: rates over at least a millisecond, states as counts, sample deviation, unwindowed degrees."""
     flow = events.groupBy("flow_id").agg(F.first("src_ip").alias("src_ip"), F.first("dst_ip").alias("dst_ip"), F.sum(F.col("orig_pkts") + F.col("resp_pkts")).alias("pk"), F.sum(F.col("orig_bytes") + F.col("resp_bytes")).alias("by"), F.count_if(F.col("conn_state").contains("S")).alias("syn"), F.count_if(F.col("conn_state").contains("R")).alias("rst"), F.max("duration").alias("d"), F.min("us").alias("a"), F.max("us").alias("b"), F.count(F.lit(1)).alias("n"), F.stddev_samp(F.col("orig_bytes").cast("double")).alias("size_std"))
