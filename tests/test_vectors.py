@@ -1,3 +1,4 @@
+import json
 import math
 from collections import Counter, defaultdict, deque
 
@@ -8,6 +9,7 @@ from tidemark.functions.text import BIGRAMS, FLOOR
 from tidemark.operators import features
 from tidemark.operators.events import FAILED, normalize
 from tidemark.session import read_table
+from tidemark.sources import eve, zeek
 
 CHECKED = """iat_min iat_max iat_mean iat_std iat_cv periodicity_score repeated_dst_freq repeated_conn_count query_len_mean shannon_entropy_mean
 vowel_ratio digit_ratio unique_char_ratio subdomain_depth_mean query_frequency ngram_log_likelihood pkt_size_mean pkt_size_std pkt_size_entropy failed_conn_ratio""".split()
@@ -92,3 +94,22 @@ def test_long_histories_against_a_fold(spark):
     df = spark.createDataFrame(rows, "event_id string, row_id bigint, timestamp double, event_type string, sensor_id string, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, flow_id string, duration double, orig_bytes bigint, resp_bytes bigint, orig_pkts bigint, resp_pkts bigint, conn_state string, service string, query_name string")
     for keep in (500, 7):
         compare(normalize(df), keep)
+
+
+def test_records_of_sensors_reach_the_vectors(spark, tmp_path):
+    at = lambda *x: "\t".join(map(str, x))
+    ends = ["id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p"]
+    dns = zeek.header(["ts", *ends, "proto", "query", "qtype_name"], "dns") + [at(1724832000 + k, "10.0.0.1", 5000, "10.0.0.2", 53, "udp", "a.example", t) for k, t in enumerate(["TXT", "A", "NULL", "A", "A", "TXT", "ANY", "A"])]
+    ssl = zeek.header(["ts", *ends, "version", "server_name", "ja3"], "ssl") + [at(1724832000, "10.0.0.3", 1, "10.0.0.4", 443, "TLSv1.2", "b.example", "abc"), at(1724832001, "10.0.0.3", 1, "10.0.0.4", 443, "TLSv1.3", "-", "-"), at(1724832001, "10.0.0.5", 1, "10.0.0.4", 443, "TLSv1.0", "-", "-")]
+    conn = zeek.header(["ts", *ends, "proto", "conn_state", "history"], "conn") + [at(1724832000, "10.0.0.6", 1, "10.0.0.4", 80, "tcp", "OTH", "ShAD")] * 2
+    rows = [(f"{n}{k}", n, k, x) for n, xs in (("d", dns), ("s", ssl), ("c", conn)) for k, x in enumerate(xs)]
+    events, _ = zeek.events(spark.createDataFrame(rows, "line_id string, file_name string, line_no int, raw_line string"))
+    got = {r.flow_id.split(":")[0]: r for r in features.vectors(normalize(events)).collect()}
+    assert got["10.0.0.1"].txt_record_ratio == 0.5
+    assert [(got[f"10.0.0.{k}"].tls_version_num, got[f"10.0.0.{k}"].has_tls_sni, got[f"10.0.0.{k}"].ja3_present) for k in (3, 5, 1)] == [(1.3, 1, 1), (1.0, 0, 0), (0, 0, 0)]
+    assert (got["10.0.0.6"].ack_ratio, got["10.0.0.6"].syn_ratio, got["10.0.0.6"].conn_attempts) == (1.0, 0.5, 2)
+    lines = [{"timestamp": "2024-08-28T08:00:00Z", "event_type": "tls", "src_ip": f"10.0.0.{k}", "dest_ip": "10.0.1.1", "tls": {"version": v, "ja3": j}} for k, v, j in ((1, "TLS 1.2", {"hash": "abc"}), (2, "TLS 1.3", "abc"), (3, "TLS 1.3", {}))]
+    lines.append({"timestamp": "2024-08-28T08:00:00Z", "event_type": "dns", "src_ip": "10.0.0.4", "dest_ip": "10.0.1.1", "dns": {"rrname": "a.b", "rrtype": "TXT"}})
+    (tmp_path / "eve.json").write_text("\n".join(map(json.dumps, lines)))
+    got = {r.flow_id.split(":")[0]: r for r in features.vectors(normalize(eve.events(eve.read(spark, str(tmp_path / "eve.json"))))).collect()}
+    assert [(got[f"10.0.0.{k}"].tls_version_num, got[f"10.0.0.{k}"].ja3_present, got[f"10.0.0.{k}"].txt_record_ratio) for k in (1, 2, 3, 4)] == [(1.2, 1, 0), (1.3, 1, 0), (1.3, 0, 0), (0, 0, 1)]

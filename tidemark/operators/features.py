@@ -37,22 +37,28 @@ def flow_running(events: DataFrame) -> DataFrame:
     """Running totals of the flow at every event, and the volume features made of them."""
     w = Window.partitionBy("flow_id").orderBy("us", "seq")
     upto, last100 = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(-99, 0)
+    some = lambda x: F.when(x != "", x)
+    latest = lambda n: F.last(some(F.col(n)), ignorenulls=True).over(upto) if n in events.columns else F.lit(None).cast("string")
+    sni = F.max(F.when(F.col("event_type") == "tls", some(F.col("query_name")).isNotNull())).over(upto)
+    events_columns = events.columns
+    events = events.select("*", latest("history").alias("c_history"), latest("tls_version").alias("c_version"), latest("ja3").alias("c_ja3"), sni.alias("c_sni"))
     rows = events.select("*", *[F.sum(c).over(upto).alias(f"c_{c}") for c in ("orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts")], F.count(F.lit(1)).over(upto).alias("c_events"), F.max("duration").over(upto).alias("c_duration"), F.min("us").over(upto).alias("c_first"), *[F.max(F.col("conn_state").isin(*s).cast("double")).over(last100).alias(n) for n, s in (("has_s0", ["S0"]), ("has_syn", ["S0", "S1", "SF"]), ("has_sf", ["SF"]), ("has_rst", ["RSTO", "RSTR", "RSTOS0"]))])
     c = F.col
+    rows = rows.withColumn("has_syn", F.when(c("c_history").contains("S"), 1.0).otherwise(c("has_syn")))
     raw = F.when(c("c_duration") > 0, c("c_duration")).otherwise((c("us") - c("c_first")) / 1e6)
     rows = rows.select("*", F.greatest(F.lit(1e-3), raw).alias("dur"), F.greatest(F.lit(1.0), raw).alias("rdur"))
     pk = F.greatest(c("c_orig_pkts") + c("c_resp_pkts"), c("c_events"))
     by = c("c_orig_bytes") + c("c_resp_bytes")
     nz = lambda x: F.coalesce(x, F.lit(0.0))
     return rows.select(
-        *events.columns,
+        *events_columns,
         "dur",
         c("c_first").alias("first_us"),
         (pk / c("rdur")).alias("packet_rate"),
         (by / c("rdur")).alias("byte_rate"),
         (nz(c("has_syn")) / c("rdur")).alias("syn_rate"),
         F.when(c("has_s0") == 1, 1.0).when(c("has_syn") == 1, 0.5).otherwise(0.0).alias("syn_ratio"),
-        F.when(c("has_sf") == 1, 0.5).otherwise(0.0).alias("ack_ratio"),
+        F.when(c("c_history").contains("A"), 1.0).when(c("has_sf") == 1, 0.5).otherwise(0.0).alias("ack_ratio"),
         nz(c("has_rst")).alias("rst_ratio"),
         F.when(c("protocol") == "UDP", pk / c("dur")).otherwise(0.0).alias("udp_rate"),
         (c("c_resp_bytes") / F.greatest(F.lit(1), c("c_orig_bytes"))).alias("byte_amplification_ratio"),
@@ -65,7 +71,9 @@ def flow_running(events: DataFrame) -> DataFrame:
         by.cast("double").alias("bytes_per_flow"),
         (c("c_orig_bytes") / c("rdur")).alias("outbound_rate"),
         ((c("c_orig_bytes") - c("c_resp_bytes")) / F.greatest(F.lit(1), by)).alias("asymmetric_traffic_score"),
-        F.when(c("query_name").isNotNull() & (c("event_type") == "tls"), 1.0).otherwise(0.0).alias("has_tls_sni"),
+        F.when(c("c_sni"), 1.0).otherwise(0.0).alias("has_tls_sni"),
+        text.tls_version_number(c("c_version")).alias("tls_version_num"),
+        F.when(c("c_ja3").isNotNull(), 1.0).otherwise(0.0).alias("ja3_present"),
     )
 
 
@@ -146,7 +154,7 @@ def name_features(events: DataFrame, keep: int = 100) -> DataFrame:
 
 
 def flow_history(events: DataFrame) -> DataFrame:
-    """What each flow has kept at its latest event: its last 500 times (TLS records leave none), 500 sizes, 100 states, 100 DNS names.
+    """What each flow has kept at its latest event: its last 500 times (TLS records leave none), 500 sizes, 100 states, 100 DNS names with their types.
 
     Sizes are the byte counts of the two directions that are not 0, the originator's first.
     """
@@ -154,7 +162,8 @@ def flow_history(events: DataFrame) -> DataFrame:
     upto = Window.partitionBy("flow_id").orderBy(c("us").desc(), c("seq").desc()).rowsBetween(Window.unboundedPreceding, 0)
     some = lambda n: F.coalesce(c(n) != "", F.lit(False))
     marks = {"timed": ~c("event_type").eqNullSafe("tls"), "sent": c("orig_bytes") > 0, "got": c("resp_bytes") > 0, "stated": some("conn_state"), "named": (c("event_type") == "dns") & some("query_name")}
-    rows = events.select("flow_id", "us", "seq", "event_type", "orig_bytes", "resp_bytes", "conn_state", "query_name", *[F.coalesce(m, F.lit(False)).alias(k) for k, m in marks.items()])
+    txt = F.coalesce(F.upper("query_type").isin("TXT", "NULL", "ANY"), F.lit(False)) if "query_type" in events.columns else F.lit(False)
+    rows = events.select("flow_id", "us", "seq", "event_type", txt.cast("double").alias("txt"), "orig_bytes", "resp_bytes", "conn_state", "query_name", *[F.coalesce(m, F.lit(False)).alias(k) for k, m in marks.items()])
     rows = rows.select("*", *[F.count_if(k).over(upto).alias(f"n_{k}") for k in marks])
     sizes = c("n_sent") + c("n_got")
     times = F.when(c("timed") & (c("n_timed") <= 500), c("us"))
@@ -162,7 +171,7 @@ def flow_history(events: DataFrame) -> DataFrame:
     got = F.when(c("got") & (sizes - c("sent").cast("int") <= 500), c("resp_bytes").cast("double"))
     failed = F.when(c("stated") & (c("n_stated") <= 100), c("conn_state").isin(*FAILED).cast("double"))
     q = c("name")
-    rows = rows.select("flow_id", times.alias("times"), sent.alias("sent"), got.alias("got"), failed.alias("failed"), F.when(c("named") & (c("n_named") <= 100), c("query_name")).alias("name"))
+    rows = rows.select("flow_id", times.alias("times"), sent.alias("sent"), got.alias("got"), failed.alias("failed"), F.when(c("named") & (c("n_named") <= 100), c("query_name")).alias("name"), "txt")
     per = rows.select("*", F.length(q).alias("len"), text.shannon_entropy(q).alias("ent"), text.subdomain_depth(q).alias("depth"), F.when(q.isNotNull(), text.bigram_log_likelihood(q)).alias("ll"))
     agg = per.groupBy("flow_id").agg(
         F.array_sort(F.collect_list("times")).alias("flow_times"),
@@ -173,6 +182,7 @@ def flow_history(events: DataFrame) -> DataFrame:
         F.avg("ent").alias("shannon_entropy_mean"),
         F.avg("depth").alias("subdomain_depth_mean"),
         F.avg("ll").alias("ngram_log_likelihood"),
+        F.avg(F.when(q.isNotNull(), c("txt"))).alias("txt_record_ratio"),
         F.array_join(F.array_sort(F.collect_list(q)), "").alias("joined"),
     )
     size = series.moments(c("sizes"), 1)
@@ -211,10 +221,10 @@ def vectors(events: DataFrame, keep: int = 500) -> DataFrame:
     count = F.least(c("pair_k") + 1, F.lit(keep))
     v = v.withColumns({"timing": series.timing(F.when(own, c("flow_times")).otherwise(F.concat(before, inside))), "repeated_conn_count": count, "repeated_dst_freq": count / (elapsed / 60), "pkt_size_mean": F.coalesce("size_mean", "pkt_size_mean")})
     v = v.select("*", "timing.*")
-    zeros = ["query_len_mean", "shannon_entropy_mean", "subdomain_depth_mean", "ngram_log_likelihood", "failed_conn_ratio"]
+    zeros = ["query_len_mean", "shannon_entropy_mean", "subdomain_depth_mean", "ngram_log_likelihood", "txt_record_ratio", "failed_conn_ratio"]
     per_second = lambda c: F.col(c) / F.greatest(F.lit(1.0), F.col("dur"))
     v = v.withColumns({z: F.coalesce(z, F.lit(0.0)) for z in zeros})
-    v = v.withColumns({"dst_port_fanout": per_second("unique_dst_ports"), "dst_host_fanout": per_second("unique_dst_hosts"), "conn_attempt_rate": per_second("conn_attempts"), "query_frequency": c("n_queries") / c("dur"), "txt_record_ratio": F.lit(0.0), "tls_version_num": F.when(c("event_type") == "tls", 1.0).otherwise(0.0), "ja3_present": F.lit(0.0)})
+    v = v.withColumns({"dst_port_fanout": per_second("unique_dst_ports"), "dst_host_fanout": per_second("unique_dst_hosts"), "conn_attempt_rate": per_second("conn_attempts"), "query_frequency": c("n_queries") / c("dur")})
     return v.select("flow_id", (F.col("us") / 1e6).alias("timestamp"), F.col("dur").alias("window_duration_sec"), *[F.col(n).cast("double").alias(n) for n in ORDER])
 
 

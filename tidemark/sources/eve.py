@@ -11,7 +11,7 @@ SCHEMA = """timestamp string, flow_id bigint, event_type string, src_ip string,
 flow struct<pkts_toserver: bigint, pkts_toclient: bigint, bytes_toserver: bigint, bytes_toclient: bigint, age: bigint, state: string>,
 alert struct<action: string, category: string, signature: string, gid: int, rev: int, severity: int, signature_id: int>,
 dns struct<id: int, rrname: string, rrtype: string, rcode: string, answers: array<struct<rdata: string>>, grouped: map<string, array<string>>>,
-tls struct<version: string, sni: string, subject: string, issuerdn: string>,
+tls struct<version: string, sni: string, subject: string, issuerdn: string, ja3: string>,
 http struct<http_method: string, hostname: string, url: string, http_user_agent: string, status: int, length: bigint>,
 _corrupt string"""
 _TYPES = {"flow": "connection", "alert": "alert", "dns": "dns", "tls": "tls", "http": "http"}
@@ -59,6 +59,8 @@ def events(raw: DataFrame) -> DataFrame:
         F.coalesce("dns.rrname", "tls.sni", "http.hostname").alias("query_name"),
         c("dns.rrtype").alias("query_type"),
         answers.alias("answers"),
+        c("tls.version").alias("tls_version"),
+        F.when(c("tls.ja3").startswith("{"), F.get_json_object("tls.ja3", "$.hash")).otherwise(c("tls.ja3")).alias("ja3"),
         c("alert.signature").alias("signature"),
         c("alert.severity").alias("severity"),
     )
