@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.alerts import newest
 from tidemark.sources import zeek
-from tidemark.streaming.pipeline import alert_sessions, drain, flow_windows, model_schedule, track_flows
+from tidemark.streaming.pipeline import alert_sessions, drain, flow_windows, model_schedule, push_new, track_flows
 
 
 def stream(spark, folder, rows, schema, files=1):
@@ -49,6 +49,16 @@ def test_tracked_flows_expire(spark, tmp_path):
     assert last["f", "updated"] == (2, 2) and last["f", "expired"] == (2, 2) and last["g", "updated"] == (3, 2)
 
 
+def test_every_alert_of_a_batch_is_pushed(spark, tmp_path):
+    s = stream(spark, tmp_path, [(k, 0) for k in range(2503)] + [(k, 1) for k in range(3000, 3007)], "id int, part int", files=2)
+    sent = []
+    q = push_new(s, sent.append, str(tmp_path / "c"))
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r["id"] for part in sent for r in part) == [*range(2503), *range(3000, 3007)]
+    assert sorted(map(len, sent)) == [7, 503, 1000, 1000]
+
+
 def test_tls_and_http_records(spark):
     ssl = zeek.header(["ts", "id.orig_h", "version", "server_name", "established"], "ssl") + ["1724832000\t10.0.0.1\tTLSv13\ta.example\tF"]
     http = zeek.header(["ts", "id.orig_h", "method", "host", "status_code"], "http") + ["1724832001\t10.0.0.1\tpost\tb.example\t-"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,5 +113,14 @@ def drain(spark: SparkSession, stream: DataFrame, purpose: str, mode: str = "app
 
 
 def push_new(alerts: DataFrame, send: Callable[[list[dict]], None], checkpoint: str, at_most: int = 1000):
-    """Hands the first `at_most` alerts of each micro-batch to `send` (a live view, which shows no more); the table keeps all."""
-    return alerts.writeStream.foreachBatch(lambda df, _: send([r.asDict() for r in df.limit(at_most).collect()])).option("checkpointLocation", checkpoint).start()
+    """Hands every alert of each micro-batch to `send`, in lists of `at_most` or fewer.
+
+    The driver holds one partition of the batch at a time. A batch that failed halfway is sent again as a whole.
+    """
+
+    def push(df: DataFrame, _: int) -> None:
+        rows = df.toLocalIterator()
+        while part := [r.asDict() for r in islice(rows, at_most)]:
+            send(part)
+
+    return alerts.writeStream.foreachBatch(push).option("checkpointLocation", checkpoint).start()
