@@ -58,6 +58,12 @@ def test_spans(detector, case):
     assert got == want
 
 
+@pytest.mark.parametrize("mail", ["alice@example[dot]com", "alice@example[.]com", "alice(.)b@mail [dot] example.com", "alice { at } example.com", "alice < at > example.com", "alice( @ )example.com", "alice [ät] example.com", "alice\tat example\ndot com", "alice [  AT] example [ punkt ]com", "alice［at］example.com"])
+def test_every_form_of_the_patterns_is_found(detector, mail):
+    for text in (f"Please cc {mail}, thanks.", f"Please cc {mail} on host[.]example and 10[.]0[.]0[.]1, thanks."):
+        assert [text[a:b] for a, b, kind in detector.find(text) if kind == "EMAIL"] == [mail]
+
+
 def test_disguises_map_back_to_the_source(detector):
     for text, value in [
         ("call five five five zero one two three four five six now", None),

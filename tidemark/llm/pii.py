@@ -83,7 +83,11 @@ _ODD = re.compile(r"[^\x00-\x7f\u00a1-\u00ac\u00ae-\u024f]")
 _WORDS = "|".join(_DIGIT_WORDS)
 _SPELLED = re.compile(rf"\b(?:(?:double|triple) )?(?:{_WORDS})(?:[ -]+(?:(?:double|triple) )?(?:{_WORDS})){{5,}}\b", re.I)
 _AT_BRACKET = re.compile(r"\s*[\[({<]\s*(?:at|@|arroba|ät)\s*[\])}>]\s*", re.I)
-_DOT_BRACKET = re.compile(r"\s*[\[({<]\s*(?:dot|\.|punkt|punto)\s*[\])}>]\s*", re.I)
+_DOT = r"\s*[\[({<]\s*(?:dot|\.|punkt|punto)\s*[\])}>]\s*"
+_DOT_BRACKET = re.compile(_DOT, re.I)
+#: whether either of them can match, from the bracket on
+_BRACKETED = re.compile(r"[\[({<]\s*(?:at|@|arroba|ät|dot|\.|punkt|punto)\s*[\])}>]", re.I)
+_DOTTED_MAIL = re.compile(rf"(?<![\w.+-])[\w+-]+(?:(?:\.|{_DOT})[\w+-]+)*@[\w-]+(?:(?:\.|{_DOT})[\w-]+)+", re.I)
 
 
 def _digits(m: re.Match) -> str:
@@ -102,15 +106,19 @@ _MAIL_WORDS = re.compile(r"(?<=[\w+-])\s+(?:at|arroba)\s+(?=[\w-]+\s+(?:dot|punk
 
 
 def plain(text: str, spelled: bool = True, disguised: bool = True) -> Traced:
-    """The text after all transducers. spelled, disguised: whether digits, "at" or "dot" as words can occur at all."""
+    """The text after all transducers. spelled, disguised: whether digits, or "dot" as a word of its own, can occur at all."""
     t = Traced(text)
     if not text.isascii():
         t = t.rewrite(_ODD, _plain)
     if spelled:
         t = t.rewrite(_SPELLED, _digits)
-    if disguised:
+    if _BRACKETED.search(t.text):
         if _AT_BRACKET.search(t.text):
             t = t.rewrite(_AT_BRACKET, lambda m: "@").rewrite(_DOT_BRACKET, lambda m: ".")
+        # without it bracketed dots, which stand in any host name, count only beside a plain @
+        elif mails := [m.span() for m in _DOTTED_MAIL.finditer(t.text)]:
+            t = t.rewrite(_DOT_BRACKET, lambda m: "." if any(s <= m.start() < e for s, e in mails) else m[0])
+    if disguised:
         # "at" alone is an ordinary word: it counts only before a domain that is spelled with "dot"
         at = [(m.start(1), m.end(2)) for m in _DOMAIN_WORDS.finditer(t.text)]
         if at:
@@ -215,7 +223,7 @@ _LOWER_TAIL = re.compile(r"\s*(?:[.,;(<\"\n]|$|when|confirmed|bestätigt|confirm
 # Words (in lower case) near which the slower patterns are tried.
 _ANCHORS = {
     "digit": list(_DIGIT_WORDS),
-    "disguise": ["[at]", "(at)", "{at}", "<at>", "[ at ]", "( at )", "[@]", "(@)", "[dot]", "(dot)", " dot ", " punkt ", " punto ", "arroba", "[.]", "(.)"],
+    "disguise": ["dot", "punkt", "punto"],
     "mail": ["@"],
     "address": ["street", " st", "avenue", " ave", "road", " rd", "drive", " dr", "lane", " ln", "court", " ct", "boulevard", "blvd", "place", " pl", "square", " sq", "terrace", " way", " close", "crescent", "highway", "hwy", "parkway", "pkwy", "box ", "postfach", "apartado", "straße", "strasse", "str. ", "gasse", "weg ", "platz", "allee", "calle", "c/", "avda", "avenida", "plaza", "paseo", "camino"],
     "label": ["ssn", "social", "national", "identity", "passport", "tax ", "ausweis", "steuer", "reisepass", "sozialvers", "pasaporte", "número", "numero", "dni", "nie", "nif", "nino", "(id", "id n", "id c"],
@@ -319,7 +327,7 @@ class Detector:
         if not text:
             return []
         hits = self._hits(text)
-        t = plain(text, len(hits.get("digit", ())) > 5, "disguise" in hits)
+        t = plain(text, len(hits.get("digit", ())) > 5, "disguise" in hits or not text.isascii())
         s = t.text
         if s is not text:
             hits = self._hits(s)
