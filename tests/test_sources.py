@@ -93,3 +93,16 @@ def test_isolation_forest_ranks_outliers_first():
     scores = forest.score(np.concatenate([x, np.full((5, 4), 9.0)]))
     assert scores[600:].max() < np.quantile(scores[:600], 0.01) and (np.abs(scores) <= 0.5).all()
     assert (forest.score(x) == IsolationForest(x, 60, 128).score(x)).all()
+
+
+def test_models_have_the_trees_of_the_reference(spark, data, monkeypatch):
+    from tidemark.operators import models
+    from tidemark.plans.registry import QUERIES
+
+    asked = {}
+    forest, fit = models.isolation_forest, models.random_forest
+    monkeypatch.setattr(models, "isolation_forest", lambda *a, **k: asked.update(anomaly_scores=k.get("trees")) or forest(*a, **k))
+    monkeypatch.setattr(models, "random_forest", lambda *a, **k: asked.update(model_classes=k.get("trees")) or fit(*a, **k))
+    for name in ("anomaly_scores", "model_classes"):
+        QUERIES[name](spark, data)
+    assert asked == {"anomaly_scores": 300, "model_classes": 300}

@@ -496,7 +496,7 @@ def anomaly_scores(spark, folder):
 
     calm = _detected(spark, folder).where(~F.exists("found", lambda d: d["triggered"] & (d["score"] >= 0.9)))
     names = features.ORDER
-    return score(_vec(spark, folder).select("vec_id", *names), isolation_forest(calm.select(*names), names), names).select("vec_id", "anomaly_score")
+    return score(_vec(spark, folder).select("vec_id", *names), isolation_forest(calm.select(*names), names, trees=300), names).select("vec_id", "anomaly_score")
 
 
 @query()
@@ -505,7 +505,7 @@ def model_classes(spark, folder):
     from tidemark.operators.models import classify, random_forest
 
     rows = _detected(spark, folder).select("vec_id", *features.ORDER, F.coalesce(detectors.first_fired(F.col("found"))["class"], F.lit("BENIGN")).alias("label"))
-    return classify(random_forest(rows, features.ORDER, "label", trees=20), rows.drop("label")).select("vec_id", "model_class", "model_confidence")
+    return classify(random_forest(rows, features.ORDER, "label", trees=300), rows.drop("label")).select("vec_id", "model_class", "model_confidence")
 
 
 @query()
