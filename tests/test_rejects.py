@@ -1,6 +1,9 @@
+import json
+import random
+
 import pytest
 
-from tidemark.operators.rejects import StructuralIndex, read_lines, typed_records, valid_answer
+from tidemark.operators.rejects import LEAST_TS, TS_END, StructuralIndex, read_json, read_lines, typed_records, valid_answer
 
 HEAD = ["#separator \\x09", "#path\tdns", "#fields\tts\tuid\tquery\tanswers"]
 TSV = [
@@ -77,3 +80,50 @@ def test_index_knows_escapes_and_answers():
     assert index.quotes(True).nonzero()[0].tolist() == [4, 5, 8]
     assert index.ends.tolist() == [5, 9]
     assert [valid_answer(x) for x in ("1.2.3.4", "1.2.3", "010.1.1.1", "::1", "fe80::1%eth0", "a_b.c-d", "a.", "", "a b")] == [True, False, True, True, False, True, False, False, False]
+
+
+def by_parser(line):
+    def no(name):
+        raise ValueError(name)
+
+    try:
+        x = json.loads(line.strip(" \t\n\r"), parse_constant=no)
+        if not isinstance(x, dict):
+            raise ValueError
+    except ValueError:
+        return "json_syntax", None
+    ts, a = x.get("ts"), x.get("answers")
+    if isinstance(ts, bool) or not isinstance(ts, (int, float)) or not LEAST_TS <= ts < TS_END:
+        return "bad_ts", None
+    if a is not None and not (isinstance(a, list) and all(isinstance(v, str) for v in a) and (x.get("qtype_name") == "TXT" or all(map(valid_answer, a)))):
+        return "bad_answers", None
+    return None, a
+
+
+def test_json_index_against_a_parser():
+    draw = random.Random(1)
+    atoms = ["{", "}", "[", "]", ":", ",", '"', "\\", '\\"', "\\\\", "\\u0041", "\\u00", "ts", '"ts"', '"answers"', '"TXT"', "1730304846", "1.5e9", "-0", "01", "true", "null", "NaN", " ", "\t", "\n", "é", '["a.b"]', '"\\u0074s"', "\x01", '""']
+    values = [1730304846, 1.5e9, True, None, "TXT", 'x\\"y', ["a.b"], ["a.b", "1.2.3.999"], [], ["a", 1], {"ts": 1}, [["a"]], "é\n"]
+
+    def line():
+        if draw.random() < 0.3:
+            return "".join(draw.choice(atoms) for _ in range(draw.randint(0, 12)))
+        text = json.dumps({draw.choice(["ts", "answers", "qtype_name", "a", 'b"c', "é"]): draw.choice(values) for _ in range(draw.randint(0, 5))}, ensure_ascii=draw.random() < 0.5)
+        k = draw.randrange(len(text) + 1)
+        return text if draw.random() < 0.5 else text[:k] + draw.choice(atoms) + text[k + draw.randint(0, 2) :]
+
+    for _ in range(60):
+        lines = [line() for _ in range(draw.choice([1, 5, 100]))]
+        assert list(zip(*read_json(lines))) == [by_parser(x) for x in lines]
+    assert read_json([]) == ([], [])
+
+
+def test_any_number_of_fields_and_repeated_ones(spark):
+    wide = ["ts", *(f"f{k}" for k in range(1300)), "query"]
+    df = lines(spark, {
+        "wide": ["#fields\t" + "\t".join(wide), "\t".join(["1730304846", *"x" * 1300, "a.example"])],
+        "twice": ["#fields\tts\tquery\tts\tquery", "1730304846\tfirst.example\t1\tsecond.example"],
+        "whole": ["#fields\tts\tid.orig_p\torig_bytes", "1730304846\t443.0\t9007199254740993", "1730304846\tx\t1e3"],
+    })
+    rows = sorted(typed_records(read_lines(df)).collect(), key=lambda r: r.line_id)
+    assert [(r.file_name, r.query, r.orig_p, r.orig_bytes) for r in rows] == [("twice", "first.example", None, None), ("whole", None, 443, 9007199254740993), ("whole", None, None, 1000), ("wide", "a.example", None, None)]

@@ -56,6 +56,10 @@ CASES = [
     ("05.11.2024 16:15:20", "UTC", None, None),
     ("now", "UTC", None, None), ("", "UTC", None, None), ('" "', "UTC", None, None), (None, "UTC", "dmy", None),
     ("2024-02-03 10:00:00" + "0" * 200_000, "UTC", None, None),
+    ("2024-05-01T12:00:00." + "123456789" * 9 + "Z", None, None, us(2024, 5, 1, 12, 0, 0, 123456)),
+    (" " * 500 + "2024-05-01" + " " * 70 + "12:00:00" + " " * 900, "UTC", None, us(2024, 5, 1, 12)),
+    ("1734466458." + "9" * 70, None, None, 1734466458999999),
+    ("1734466458123.9999", None, None, 1734466458123999),
 ]
 
 

@@ -48,9 +48,9 @@ def mode_by_key(frequencies: DataFrame) -> DataFrame:
 def percentile_by_key(frequencies: DataFrame, percentages: list[float]) -> DataFrame:
     """Per key the exact percentiles (lower nearest rank) of numeric `value`, from weighted values.
 
-    A first pass over 64 ranges of the value (by the power of two of its size and its sign)
-    finds the range that holds each rank; only that range's distinct values are then put in
-    order, so a key with very many values is never sorted as a whole.
+    A first pass over ranges of the value (by the power of two of its size and its sign)
+    finds the range that holds each rank; only that range's distinct values are then kept and put
+    in order, so a key with very many values is never sorted as a whole.
     Columns: key, percentage, value. Null values don't count; keys without others are absent.
     """
     from pyspark.sql import Window
@@ -64,11 +64,11 @@ def percentile_by_key(frequencies: DataFrame, percentages: list[float]) -> DataF
     wanted = ranges.select("*", F.explode(F.array(*[F.lit(float(p)) for p in percentages])).alias("percentage"))
     rank = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("percentage") * F.col("total")))
     wanted = wanted.select("*", rank.alias("rank")).where((F.col("rank") > F.col("upto") - F.col("n")) & (F.col("rank") <= F.col("upto")))
-    wanted = wanted.select(F.col("key").alias("k"), F.col("range").alias("g"), "percentage", (F.col("rank") - F.col("upto") + F.col("n")).alias("within"))
+    wanted = wanted.groupBy(F.col("key").alias("k"), F.col("range").alias("g")).agg(F.collect_list(F.struct("percentage", (F.col("rank") - F.col("upto") + F.col("n")).alias("within"))).alias("asked"))
+    kept = some.join(wanted, F.col("key").eqNullSafe(F.col("k")) & (F.col("range") == F.col("g")))
     run = Window.partitionBy("key", "range").orderBy("value")
-    ordered = some.select("*", F.sum("n").over(run).alias("upto"))
-    hit = ordered.join(wanted, F.col("key").eqNullSafe(F.col("k")) & (F.col("range") == F.col("g")))
-    hit = hit.where((F.col("within") > F.col("upto") - F.col("n")) & (F.col("within") <= F.col("upto")))
+    hit = kept.select("key", "value", "n", F.sum("n").over(run).alias("upto"), "asked")
+    hit = hit.select("key", "value", F.explode(F.filter("asked", lambda x: (x["within"] > F.col("upto") - F.col("n")) & (x["within"] <= F.col("upto")))).alias("x")).select("key", "value", "x.percentage")
     return hit.groupBy("key", "percentage").agg(F.min("value").alias("value"))
 
 

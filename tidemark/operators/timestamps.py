@@ -30,6 +30,8 @@ _WEEKDAY = r"(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+)?"
 #: hour, minute, second, fraction, half of the day
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?:\s*([AP])\.?M\.?)?"
 _TAIL = rf"(?:\s*\[?{_ZONE}\]?)?$"
+#: what may stand around a text
+_AROUND = ' \t\n\x0b\f\r\u00a0"'
 
 #: (pattern, replacement) in order. The replacement is year|month|day|hour|minute|second|fraction|half|zone.
 _CASCADE = [
@@ -56,8 +58,10 @@ def _canonical(text: Column, order: Column) -> Column:
 
 def _bare_number(text: Column) -> Column:
     """Epoch seconds, or finer units by the number of digits before the point; digits beyond microseconds are cut off."""
-    whole = F.length(F.substring_index(text, ".", 1))
-    value = text.try_cast("decimal(31,9)")
+    before, after = F.substring_index(text, ".", 1), F.split_part(text, F.lit("."), F.lit(2))
+    whole = F.length(before)
+    # cut as text, because a cast would round
+    value = F.concat(before, F.lit("."), F.rpad(F.substring(after, 1, 9), 9, "0")).try_cast("decimal(31,9)")
     scale = F.when(whole == 13, F.lit(1000)).when(whole == 16, F.lit(1)).otherwise(F.lit(1000000))
     micros = F.when(whole == 19, F.floor(value / 1000)).otherwise(F.floor(value * scale))
     return micros.try_cast("bigint")
@@ -90,9 +94,7 @@ def normalize_timestamps(df: DataFrame, text: str, received: str, tz: str, order
     `order` is null, a year-less text whose `received` is null. Rows keep their number
     and order of columns; an existing column named `out` is replaced.
     """
-    raw = F.regexp_replace(F.col(f"`{text}`"), r'^[\s\x{00A0}"]+|[\s\x{00A0}"]+$', "")
-    # the longest text in any format is far shorter; longer ones name nothing and skip the patterns
-    raw = F.when(F.length(raw) <= 80, raw)
+    raw = F.btrim(F.col(f"`{text}`"), F.lit(_AROUND))
     names = {k: f"__ts_{k}" for k in ("raw", "parts", "y", "mo", "d", "h", "mi", "s", "zone", "off", "us")}
     c = {k: F.col(v) for k, v in names.items()}
     columns = [F.col(f"`{x}`") for x in df.columns if x != out]
@@ -115,7 +117,9 @@ def normalize_timestamps(df: DataFrame, text: str, received: str, tz: str, order
         return F.when(possible & c["off"].isNotNull(), with_offset).when(possible & c["zone"].isNotNull(), with_zone)
 
     at = F.col(f"`{received}`")
-    years = F.sequence(F.year(at) - 8, F.year(at) + 8)
+    # the nearest instant lies in the year before, the same or the next; a 29 February at most eight years away (around 2100)
+    reach = F.when((c["mo"] == 2) & (c["d"] == 29), 8).otherwise(1)
+    years = F.sequence(F.year(at) - reach, F.year(at) + reach)
     nearest = F.array_min(F.filter(F.transform(years, lambda y: F.struct(F.abs(instant(y) - F.unix_micros(at)).alias("far"), instant(y).alias("us"))), lambda x: x["us"].isNotNull()))["us"]
     staged = (
         df.select(*columns, raw.alias(names["raw"]))
