@@ -68,9 +68,9 @@ def test_sessions_against_brute_force(spark):
             rows.append((u, t if draw.random() < 0.97 else None, draw.choice([None, "f", "g", "h"])))
     rows += rows[:50]
     df = spark.createDataFrame(rows, "src string, t bigint, f string").withColumn("block", F.lit("x")).withColumn("user", F.lit(0))
-    for block in (150, 1000, 10**9):
-        got = sorted(tuple(r) for r in sessionize(df, "src", F.col("t"), "f", gap_us=100, block_us=block).select("user", "start_us", "end_us", "n_events", "n_flows").collect())
-        assert got == brute(rows, 100)
+    for gap in (0, 1, 100, 5000, 10**9):
+        got = sorted(tuple(r) for r in sessionize(df, "src", F.col("t"), "f", gap_us=gap).select("user", "start_us", "end_us", "n_events", "n_flows").collect())
+        assert got == brute(rows, gap)
     assert sessionize(df.limit(0), "src", F.col("t"), "f").count() == 0
 
 

@@ -1,8 +1,9 @@
 """Activity split into sessions at inactivity gaps, without one task per user.
 
-A gap flag from `lag` and its running sum number the sessions, first inside one time
-block of a user and then over the (few) block-wise sessions of that user. A user with
-a third of all rows is thus spread over its time blocks.
+Events are first combined, in the map tasks, into blocks of time no wider than the gap: no session can
+end inside a block, so its first and last instant say all about it. A gap flag from `lag` over a user's
+blocks and its running sum number the sessions. A user with a third of all rows is thus as many rows as
+there are blocks in the time covered, whatever the number of events.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ def first_copies(df: DataFrame, key: str, order: str, columns: list[str]) -> Dat
     return kept.select(*[F.col(f"__row.c{k + 1}").alias(c) for k, c in enumerate(columns)])
 
 
-def sessionize(df: DataFrame, user: str, at_us: Column, flow: str, gap_us: int = 1_800_000_000, block_us: int = 3_600_000_000) -> DataFrame:
+def sessionize(df: DataFrame, user: str, at_us: Column, flow: str, gap_us: int = 1_800_000_000) -> DataFrame:
     """Sessions of each user: columns user, start_us, end_us, n_events, n_flows.
 
     A session begins where more than `gap_us` lie between neighbouring events. Equal
@@ -31,16 +32,13 @@ def sessionize(df: DataFrame, user: str, at_us: Column, flow: str, gap_us: int =
     as they occur; an empty table gives no rows.
     """
     rows = df.select(F.col(f"`{user}`").alias("user"), at_us.alias("t"), F.col(f"`{flow}`").alias("flow")).where(F.col("user").isNotNull() & F.col("t").isNotNull())
-    rows = rows.select("*", F.floor(F.col("t") / block_us).alias("block"))
-    inside = Window.partitionBy("user", "block").orderBy("t")
-    rows = rows.select("*", F.lag("t").over(inside).alias("before"))
-    rows = rows.select("*", F.sum((F.col("t") - F.col("before") > gap_us).cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("part"))
-    rows = rows.select("user", "block", F.coalesce("part", F.lit(0)).alias("part"), "flow", "t")
-    by_flow = rows.groupBy("user", "block", "part", "flow").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
-    parts = by_flow.groupBy("user", "block", "part").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    over = Window.partitionBy("user").orderBy("first")
-    parts = parts.select("*", (F.col("first") - F.lag("last").over(over) > gap_us).cast("int").alias("flag"))
-    parts = parts.select(F.col("user").alias("u"), F.col("block").alias("b"), F.col("part").alias("p"), F.coalesce(F.sum("flag").over(over.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("session"))
-    whole = by_flow.join(parts, (F.col("user") == F.col("u")) & (F.col("block") == F.col("b")) & (F.col("part") == F.col("p")))
+    block = F.floor(F.col("t") / max(1, gap_us)).alias("block")
+    by_flow = rows.groupBy("user", block, "flow").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
+    blocks = by_flow.groupBy("user", "block").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    over = Window.partitionBy("user").orderBy("block")
+    blocks = blocks.select("user", "block", (F.col("first") - F.lag("last").over(over) > gap_us).cast("int").alias("flag"))
+    session = F.coalesce(F.sum("flag").over(over.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    numbers = blocks.select(F.col("user").alias("u"), F.col("block").alias("b"), session.alias("session"))
+    whole = by_flow.join(numbers, (F.col("user") == F.col("u")) & (F.col("block") == F.col("b")))
     flows = whole.groupBy("user", "session", "flow").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
     return flows.groupBy("user", "session").agg(F.min("first").alias("start_us"), F.max("last").alias("end_us"), F.sum("n").alias("n_events"), F.count("flow").alias("n_flows")).drop("session")
