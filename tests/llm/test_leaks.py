@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tidemark.llm.leaks import Index, edit_distance, find_leaks, words
 
@@ -54,8 +55,8 @@ def test_exact_windows_are_all_found(spark):
     d = spark.createDataFrame(documents, "doc_id bigint, text string").selectExpr("*", "1 as item_id", "2 as edits")
     i = spark.createDataFrame(items + items[:2] + [(99, None)], "item_id bigint, text string")
     want = {(a, b) for a, t in documents for b, u in items if grams(t, 13) & grams(u, 13)}
-    for block in (20_000, 7):
-        got = [(r.doc_id, r.item_id) for r in find_leaks(d, i, block_items=block).collect()]
+    for block in (200_000, 150):
+        got = [(r.doc_id, r.item_id) for r in find_leaks(d, i, block_words=block).collect()]
         assert len(got) == len(set(got)) and set(got) == want and want
     assert find_leaks(d.limit(0), i).count() == 0 and find_leaks(d, i.limit(0)).count() == 0
 
@@ -98,3 +99,34 @@ def test_a_passage_belongs_to_the_document_it_starts_in(spark):
     documents = [(1, "before"), (2, item.removeprefix("w0 ")), (3, "behind")]
     found = find_leaks(spark.createDataFrame(documents, "doc_id bigint, text string").coalesce(1), spark.createDataFrame([(1, item)], "item_id bigint, text string"), max_edits=1).collect()
     assert {r.doc_id for r in found} <= {2}
+
+
+def test_as_many_repetitions_as_the_target_needs(monkeypatch):
+    draw = random.Random(6)
+    items = [(k, " ".join(f"w{draw.randint(0, 300)}" for _ in range(40))) for k in range(60)]
+    some, more, most = (Index(items, 13, 5, target) for target in (0.9, 0.99, 0.997))
+    assert some.embedding.repetitions < more.embedding.repetitions < most.embedding.repetitions
+    assert most.embedding.repetitions > 128 and most.recall >= 0.997
+    monkeypatch.setattr(Index, "MOST", 16)
+    with pytest.raises(ValueError):
+        Index(items, 13, 5, 0.997)
+
+
+def test_near_windows_against_all_pairs():
+    """Every window of every document against every item window, by edit distance."""
+    draw = random.Random(7)
+    items = [(k, " ".join(draw.choice("abcdefgh") for _ in range(draw.choice([9, 14])))) for k in range(12)]
+    index = Index(items, 8, 1, 0.9999)
+    want, got = set(), set()
+    for d in range(60):
+        body = [draw.choice("abcdefghxyz") for _ in range(20)]
+        k, text = draw.choice(items)
+        body[5:5] = words(text)
+        at = draw.randint(5, 12)
+        body[at : at + draw.randint(0, 1)] = draw.choice([[], ["x"], ["a"]])
+        ids = np.array([index.vocabulary.get(x, 0) for x in body] + [0] * 8)
+        found = index.search(ids, np.where(np.arange(len(ids)) < len(body), d, -1))
+        got |= set(zip(found[0].tolist(), found[1].tolist()))
+        coded = [index.vocabulary.get(x, -1) for x in body]
+        want |= {(d, int(o)) for w, o in zip(index.windows.tolist(), index.owner) for s in range(len(coded) - 7) for n in (7, 8, 9) if levenshtein(w, coded[s : s + n]) <= 1}
+    assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 60

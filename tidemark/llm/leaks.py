@@ -4,12 +4,13 @@ Items and documents are sequences of words; every window of an item (as many wor
 leak must have) is a query. The CGK random walk reads a window symbol by symbol and, by a
 random bit of (step, symbol), either stays on the symbol or goes on; two windows at a small
 edit distance soon walk in step again, so that edits turn into few differing outputs. Random
-samples of these outputs are the keys of a locality-sensitive hash: `repetitions` of them
-reach the target recall, equal windows always collide. Every collision is then verified by the
-exact edit distance.
+samples of these outputs are the keys of a locality-sensitive hash: as many repetitions of them
+as reach the target recall, measured on edited windows; equal windows always collide. Every
+collision is then verified by the exact edit distance. Whole passages are found the same way,
+as those verified with distance 0.
 
 The items are the stated query set; they are broadcast in blocks of bounded size. Documents
-never move: each is read once where it lies, whole, and only hits leave the task.
+never move: each is read once for each block where it lies, whole, and only hits leave the task.
 """
 
 from __future__ import annotations
@@ -94,31 +95,32 @@ def edit_distance(a: np.ndarray, b: np.ndarray, prefixes: bool = False) -> np.nd
 class Index:
     """The windows of a block of items, their words and their keys."""
 
+    MOST = 4096
+
     def __init__(self, items: list[tuple[int, str]], window: int, max_edits: int, target: float):
         self.window, self.max_edits = window, max_edits
         self.vocabulary: dict[str, int] = {}
-        rows, owner = [], []
+        rows, owner, pairs = [], [], []
         for item, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
+            pairs += zip(ids, ids[1:])
             for k in range(len(ids) - window + 1):
                 rows.append(ids[k : k + window])
                 owner.append(item)
-        self.windows = np.array(rows, np.int64).reshape(-1, window)
+        self.windows = np.array(rows, np.int32).reshape(-1, window)
         self.owner = np.array(owner, np.int64)
+        self.pairs = np.unique(self._pair(*np.array(pairs, np.int64).reshape(-1, 2).T))
         samples = max(3, window // (1 + 2 * max_edits))
-        self.embedding = Embedding(window, self._repetitions(samples, target), samples)
+        self.embedding, self.recall = self._embedding(samples, target)
         keys = self.embedding.keys(self.windows)
-        self.order = np.argsort(keys, axis=1, kind="stable")
+        self.order = np.argsort(keys, axis=1, kind="stable").astype(np.int32)
         self.keys = np.take_along_axis(keys, self.order, axis=1)
 
-    def _repetitions(self, samples: int, target: float, trials: int = 2000) -> int:
-        """Repetitions that reach the target recall on changed, added and lost words alike.
+    def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return left * (len(self.vocabulary) + 1) + right
 
-        Measured as search() finds them, collision and verification, on `trials` edited windows of the items among
-        foreign words, since windows differ in how easily they meet; equal windows collide in the first repetition.
-        """
-        if not self.max_edits or not len(self.windows):
-            return 1
+    def _edited(self, trials: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item windows, passages with `max_edits` changed, added or lost words anywhere among foreign words, kinds."""
         draw = np.random.default_rng(11)
         w, e = self.window, self.max_edits
         a = self.windows[draw.integers(0, len(self.windows), trials)]
@@ -127,7 +129,7 @@ class Index:
         for k in range(trials):
             x = list(a[k])
             for _ in range(e):
-                at = int(draw.integers(1, len(x)))
+                at = int(draw.integers(0, len(x)))
                 if kinds[k] == 0:
                     x[at] = 0
                 elif kinds[k] == 1:
@@ -135,16 +137,52 @@ class Index:
                 else:
                     del x[at]
             b[k, e : e + len(x)] = x
-        most = 128
-        probe = Embedding(w, most, samples)
-        mine, met = probe.keys(a), np.zeros((most, trials), bool)
-        for start in range(2 * e + 1):
-            near = b[:, start : start + w + e]
-            good = ((near[:, :w] == 0).sum(axis=1) <= e) & (edit_distance(a, near, prefixes=True) <= e)
-            met |= (mine == probe.keys(near[:, :w])) & good
-        met = np.logical_or.accumulate(met, axis=0)
-        enough = np.flatnonzero(np.min([met[:, kinds == k].mean(axis=1) for k in range(3)], axis=0) >= target)
-        return int(enough[0]) + 1 if len(enough) else most
+        return a, b, kinds
+
+    def _embedding(self, samples: int, target: float, trials: int = 3000) -> tuple[Embedding, float]:
+        """The embedding with as many repetitions as reach the target recall, and that recall.
+
+        Measured as search() finds them, collision and verification, on `trials` edited windows of the items,
+        changed, added and lost words each, since windows differ in how easily they meet.
+        """
+        if not len(self.windows):
+            return Embedding(self.window, 1, samples), 1.0
+        w, e = self.window, self.max_edits
+        a, b, kinds = self._edited(trials)
+        most = 16
+        while most <= self.MOST:
+            probe = Embedding(w, most, samples)
+            mine, met = probe.keys(a), np.zeros((most, trials), bool)
+            for start in range(2 * e + 1):
+                near = b[:, start : start + w + e]
+                good = edit_distance(a, near, prefixes=True) <= e
+                met |= (mine == probe.keys(near[:, :w])) & good
+            met = np.logical_or.accumulate(met, axis=0)
+            recall = np.min([met[:, kinds == k].mean(axis=1) for k in range(3)], axis=0)
+            if recall[-1] >= target:
+                enough = int(np.flatnonzero(recall >= target)[0])
+                return Embedding(w, enough + 1, samples), float(recall[enough])
+            most *= 4
+        raise ValueError(f"{self.MOST} repetitions find less than {target:.4f} of the windows with {e} edits")
+
+    def _possible(self, ids: np.ndarray, document: np.ndarray) -> np.ndarray:
+        """Where a passage can start, by counts that no match can miss.
+
+        Each edit makes at most one word foreign to all items, and at most two pairs of neighbouring words.
+        """
+        w, e, n = self.window, self.max_edits, len(ids)
+        foreign = np.concatenate([[0], np.cumsum(ids == 0)])
+        known = np.zeros(n - 1, bool)
+        both = np.flatnonzero((ids[:-1] != 0) & (ids[1:] != 0))
+        asked = self._pair(ids[both], ids[both + 1])
+        place = np.minimum(np.searchsorted(self.pairs, asked), len(self.pairs) - 1)
+        known[both] = self.pairs[place] == asked
+        strange = np.concatenate([[0], np.cumsum(~known)])
+        # passages that end before the window does have used edits for that
+        shortest = w - e
+        starts = np.arange(n - w + 1)
+        fits = (foreign[w:] - foreign[:-w] <= e) & (document[: n - w + 1] >= 0)
+        return np.flatnonzero(fits & (strange[starts + max(shortest - 1, 0)] - strange[starts] <= 2 * e))
 
     def search(self, ids: np.ndarray, document: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, item, edits) of verified windows. ids: word numbers of several documents, `window` zeros after each.
@@ -153,53 +191,50 @@ class Index:
         of all lengths within `max_edits` of the window's that start with it.
         """
         w = self.window
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [tuple(np.zeros(0, np.int64) for _ in range(3))]
         if len(ids) < w or not len(self.windows):
-            return tuple(np.zeros(0, np.int64) for _ in range(3))  # type: ignore[return-value]
-        # a window with more foreign words than edits allowed can't be within that distance of any item window; a
-        # passage shorter by n words has used n edits, so that n foreign words behind it leave the bound as it is
-        foreign = np.concatenate([[0], np.cumsum(ids == 0)])
-        at = np.flatnonzero((foreign[w:] - foreign[:-w] <= self.max_edits) & (document[: len(ids) - w + 1] >= 0))
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            return out[0]
+        at = self._possible(ids, document)
         views = np.lib.stride_tricks.sliding_window_view(np.concatenate([ids, np.zeros(self.max_edits, ids.dtype)]), w + self.max_edits)
-        for low in range(0, len(at), 1 << 16):
-            part = at[low : low + (1 << 16)]
+        for low in range(0, len(at), 1 << 14):
+            part = at[low : low + (1 << 14)]
             mine = views[part]
             keys = self.embedding.keys(mine[:, :w])
+            met = []
             for r in range(len(keys)):
                 left, right = np.searchsorted(self.keys[r], keys[r], "left"), np.searchsorted(self.keys[r], keys[r], "right")
                 many = right - left
                 which = np.repeat(np.arange(len(part)), many)
-                if not len(which):
-                    continue
                 item = self.order[r][np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(left, many)]
-                if self.max_edits:
-                    edits = edit_distance(self.windows[item], mine[which], prefixes=True)
-                else:
-                    edits = (mine[which] != self.windows[item]).any(axis=1).astype(np.int64)
-                good = edits <= self.max_edits
-                out.append((document[part[which[good]]], self.owner[item[good]], edits[good]))
-        if not out:
-            return tuple(np.zeros(0, np.int64) for _ in range(3))  # type: ignore[return-value]
+                met.append(which * len(self.windows) + item)
+            which, item = np.divmod(np.unique(np.concatenate(met)), len(self.windows))
+            edits = edit_distance(self.windows[item], mine[which], prefixes=True)
+            good = edits <= self.max_edits
+            out.append((document[part[which[good]]], self.owner[item[good]], edits[good]))
         return tuple(np.concatenate(x) for x in zip(*out))  # type: ignore[return-value]
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, window: int = 13, max_edits: int = 0, target: float = 0.95, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", block_items: int = 20_000) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, window: int = 13, max_edits: int = 0, target: float = 0.95, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = 200_000) -> DataFrame:
     """doc_id, item_id, edits: documents with a passage within `max_edits` word edits of a window of `window` words of the item.
 
-    One row per document and item with the fewest edits found. Without edits the result is exact; with edits
-    the chance of finding a leaking window is at least `target` for each such window. Null or empty texts and items
+    One row per document and item with the fewest edits found. The search is always made for at least one edit.
+    Windows that occur unchanged are all found; the chance of finding one with edits is at least `target` for changed,
+    added and lost words each (ValueError if that can't be reached). Null or empty texts and items
     of fewer words than `window` have no windows; repeated rows give one row; empty tables give none.
-    block_items: items broadcast at a time; more items are searched block by block.
+    block_words: about how many words of items are broadcast at a time (about a kilobyte each); more items are searched
+    block by block. An item is never divided.
     """
     spark = documents.sparkSession
     ship(spark)
     slim = documents.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{doc_text}`").alias("text"))
     asked = items.select(F.col(f"`{item_id}`").cast("bigint").alias("item_id"), F.col(f"`{item_text}`").alias("text")).where("item_id is not null and text is not null")
-    blocks = max(1, -(-asked.count() // block_items))
+    n_words = asked.agg(F.sum(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")))).first()[0] or 0
+    blocks = max(1, -(-n_words // block_words))
+    reach = max(1, max_edits)
     found = None
     for k in range(blocks):
         mine = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        index = spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in mine.collect()], window, max_edits, target))
+        index = spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in mine.collect()], window, reach, target))
 
         def search(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             find = index.value
@@ -218,4 +253,4 @@ def find_leaks(documents: DataFrame, items: DataFrame, window: int = 13, max_edi
 
         part = slim.mapInPandas(search, "doc_id bigint, item_id bigint, edits bigint")
         found = part if found is None else found.unionByName(part)
-    return found.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
+    return found.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits")).where(F.col("edits") <= max_edits)
