@@ -118,7 +118,7 @@ def test_near_windows_against_all_pairs():
     items = [(k, " ".join(draw.choice("abcdefgh") for _ in range(draw.choice([9, 14])))) for k in range(12)]
     index = Index(items, 8, 1, 0.9999)
     want, got = set(), set()
-    for d in range(60):
+    for d in range(90):
         body = [draw.choice("abcdefghxyz") for _ in range(20)]
         k, text = draw.choice(items)
         body[5:5] = words(text)
