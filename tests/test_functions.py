@@ -1,9 +1,11 @@
 import hashlib
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import series, text
@@ -71,14 +73,34 @@ def test_gaps_drop_repeats(spark):
 
 
 def test_windows_against_brute_force(spark):
-    from tidemark.operators.windows import distinct_in, running_total, sliding
+    from tidemark.operators.windows import running_total, sliding
 
     draw = random.Random(1)
-    rows = [(k, draw.choice("hhhhab"), draw.randint(0, 900), draw.choice("xyz")) for k in range(400)]
-    df = spark.createDataFrame(rows, "seq bigint, host string, us bigint, peer string")
-    got = {r.seq: (r.n, r.d) for r in sliding(df, ["host"], "us", 50, {"n": lambda w: F.count(F.lit(1)).over(w), "d": distinct_in(F.col("peer"))}).collect()}
-    for s, h, t, _ in rows:
-        near = [p for _, g, u, p in rows if g == h and t - 50 <= u <= t]
-        assert got[s] == (len(near), len(set(near)))
-    run = {r.seq: r.sum for r in running_total(df, "us", "seq", F.lit(1), "sum", 100).collect()}
-    assert [run[s] for s, *_ in sorted(rows, key=lambda r: (r[2], r[0]))] == list(range(1, 401))
+    for span, reach in ((900, 50), (3_000_000_000, 40_000_000)):  # the second lies in several blocks
+        rows = [(k, draw.choice("hhhhab"), draw.randint(0, span), draw.choice(["x", "y", "z", None]), draw.choice([0, 1, None])) for k in range(500)]
+        df = spark.createDataFrame(rows, "seq bigint, host string, us bigint, peer string, flag int")
+        c = F.col
+        got = {r.seq: r for r in sliding(df, ["host"], "us", reach, {"n": F.lit(1), "f": c("flag")}, {"d": c("peer")}, {"h": c("peer")}).collect()}
+        assert len(got) == len(rows)
+        for s, h, t, _, _ in rows:
+            near = [(p, f) for _, g, u, p, f in rows if g == h and t - reach <= u <= t]
+            peers = [p for p, _ in near if p]
+            n = len(peers)
+            entropy = -sum(peers.count(p) / n * math.log2(peers.count(p) / n) for p in set(peers))
+            assert (got[s].n, got[s].f, got[s].d) == (len(near), sum(f or 0 for _, f in near), len(set(peers)))
+            assert got[s].h == pytest.approx(entropy, abs=1e-9)
+        run = {r.seq: r.sum for r in running_total(df, "us", "seq", F.lit(1), "sum", block_us=span // 9).collect()}
+        assert [run[s] for s, *_ in sorted(rows, key=lambda r: (r[2], r[0]))] == list(range(1, 501))
+        by = {r.seq: r.sum for r in running_total(df, "us", "seq", F.lit(1), "sum", ["host"], span // 9).collect()}
+        assert all(by[s] == sum(g == h and (u, k) <= (t, s) for k, g, u, *_ in rows) for s, h, t, *_ in rows)
+
+
+def test_a_flooded_host_takes_linear_time(spark):
+    """Half a million events of one host within 30 seconds: lists of what lies in reach would hold 10^11 values."""
+    from tidemark.operators.windows import sliding
+
+    df = spark.range(500_000).select(F.col("id").alias("seq"), (F.col("id") * 60).alias("us"), F.lit("h").alias("host"), (F.col("id") % 50_000).alias("peer"))
+    began = time.time()
+    got = sliding(df, ["host"], "us", 30_000_000, {"n": F.lit(1)}, {"d": F.col("peer")}, {"h": F.col("peer")}).agg(F.max("n"), F.max("d"), F.max("h")).first()
+    assert (got[0], got[1]) == (500_000, 50_000) and got[2] == pytest.approx(math.log2(50_000), abs=1e-6)
+    assert time.time() - began < 120

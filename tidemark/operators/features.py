@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import series, text
 from tidemark.operators.events import FAILED
-from tidemark.operators.windows import distinct_in, last_rows, running_total, sliding
+from tidemark.operators.windows import last_rows, running_total, sliding
+from tidemark.session import cut
 
 HALF_MINUTE, MINUTE = 30_000_000, 60_000_000
 
@@ -33,70 +34,73 @@ def flow_totals(events: DataFrame) -> DataFrame:
     )
 
 
+def _volume() -> list[Column]:
+    """Volume features of a flow from its totals (c_...) and the marks of its last states (has_...)."""
+    c = F.col
+    raw = F.when(c("c_duration") > 0, c("c_duration")).otherwise((c("us") - c("c_first")) / 1e6)
+    dur, rdur = F.greatest(F.lit(1e-3), raw), F.greatest(F.lit(1.0), raw)
+    packets, pk = c("c_orig_pkts") + c("c_resp_pkts"), F.greatest(c("c_orig_pkts") + c("c_resp_pkts"), c("c_events"))
+    sent, got, by = c("c_orig_bytes"), c("c_resp_bytes"), c("c_orig_bytes") + c("c_resp_bytes")
+    one = F.lit(1)
+    syn = F.when(c("c_history").contains("S"), 1.0).otherwise(F.coalesce(c("has_syn"), F.lit(0.0)))
+    features = {
+        "dur": dur,
+        "packet_rate": pk / rdur,
+        "byte_rate": by / rdur,
+        "syn_rate": syn / rdur,
+        "syn_ratio": F.when(c("has_s0") == 1, 1.0).when(syn == 1, 0.5).otherwise(0.0),
+        "ack_ratio": F.when(c("c_history").contains("A"), 1.0).when(c("has_sf") == 1, 0.5).otherwise(0.0),
+        "rst_ratio": F.coalesce(c("has_rst"), F.lit(0.0)),
+        "udp_rate": F.when(c("protocol") == "UDP", pk / dur).otherwise(0.0),
+        "byte_amplification_ratio": got / F.greatest(one, sent),
+        "flow_duration": dur,
+        "pkt_size_mean": by / F.greatest(one, pk),
+        "directionality_ratio": c("c_orig_pkts") / F.greatest(one, packets),
+        "inbound_bytes": got.cast("double"),
+        "outbound_bytes": sent.cast("double"),
+        "out_in_byte_ratio": sent / F.greatest(one, got),
+        "bytes_per_flow": by.cast("double"),
+        "outbound_rate": sent / rdur,
+        "asymmetric_traffic_score": (sent - got) / F.greatest(one, by),
+        "has_tls_sni": F.when(c("c_sni"), 1.0).otherwise(0.0),
+        "tls_version_num": text.tls_version_number(c("c_tls_version")),
+        "ja3_present": F.when(c("c_ja3").isNotNull(), 1.0).otherwise(0.0),
+    }
+    return [v.alias(k) for k, v in features.items()]
+
+
 def flow_running(events: DataFrame) -> DataFrame:
-    """Running totals of the flow at every event, and the volume features made of them."""
+    """The events with the volume features of their flow right after each of them (running totals)."""
+    c = F.col
     w = Window.partitionBy("flow_id").orderBy("us", "seq")
     upto, last100 = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(-99, 0)
-    some = lambda x: F.when(x != "", x)
-    latest = lambda n: F.last(some(F.col(n)), ignorenulls=True).over(upto) if n in events.columns else F.lit(None).cast("string")
-    sni = F.max(F.when(F.col("event_type") == "tls", some(F.col("query_name")).isNotNull())).over(upto)
-    events_columns = events.columns
-    events = events.select("*", latest("history").alias("c_history"), latest("tls_version").alias("c_version"), latest("ja3").alias("c_ja3"), sni.alias("c_sni"))
-    rows = events.select("*", *[F.sum(c).over(upto).alias(f"c_{c}") for c in ("orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts")], F.count(F.lit(1)).over(upto).alias("c_events"), F.max("duration").over(upto).alias("c_duration"), F.min("us").over(upto).alias("c_first"), *[F.max(F.col("conn_state").isin(*s).cast("double")).over(last100).alias(n) for n, s in (("has_s0", ["S0"]), ("has_syn", ["S0", "S1", "SF"]), ("has_sf", ["SF"]), ("has_rst", ["RSTO", "RSTR", "RSTOS0"]))])
-    c = F.col
-    rows = rows.withColumn("has_syn", F.when(c("c_history").contains("S"), 1.0).otherwise(c("has_syn")))
-    raw = F.when(c("c_duration") > 0, c("c_duration")).otherwise((c("us") - c("c_first")) / 1e6)
-    rows = rows.select("*", F.greatest(F.lit(1e-3), raw).alias("dur"), F.greatest(F.lit(1.0), raw).alias("rdur"))
-    pk = F.greatest(c("c_orig_pkts") + c("c_resp_pkts"), c("c_events"))
-    by = c("c_orig_bytes") + c("c_resp_bytes")
-    nz = lambda x: F.coalesce(x, F.lit(0.0))
-    return rows.select(
-        *events_columns,
-        "dur",
-        c("c_first").alias("first_us"),
-        (pk / c("rdur")).alias("packet_rate"),
-        (by / c("rdur")).alias("byte_rate"),
-        (nz(c("has_syn")) / c("rdur")).alias("syn_rate"),
-        F.when(c("has_s0") == 1, 1.0).when(c("has_syn") == 1, 0.5).otherwise(0.0).alias("syn_ratio"),
-        F.when(c("c_history").contains("A"), 1.0).when(c("has_sf") == 1, 0.5).otherwise(0.0).alias("ack_ratio"),
-        nz(c("has_rst")).alias("rst_ratio"),
-        F.when(c("protocol") == "UDP", pk / c("dur")).otherwise(0.0).alias("udp_rate"),
-        (c("c_resp_bytes") / F.greatest(F.lit(1), c("c_orig_bytes"))).alias("byte_amplification_ratio"),
-        c("dur").alias("flow_duration"),
-        (by / F.greatest(F.lit(1), pk)).alias("pkt_size_mean"),
-        (c("c_orig_pkts") / F.greatest(F.lit(1), c("c_orig_pkts") + c("c_resp_pkts"))).alias("directionality_ratio"),
-        c("c_resp_bytes").cast("double").alias("inbound_bytes"),
-        c("c_orig_bytes").cast("double").alias("outbound_bytes"),
-        (c("c_orig_bytes") / F.greatest(F.lit(1), c("c_resp_bytes"))).alias("out_in_byte_ratio"),
-        by.cast("double").alias("bytes_per_flow"),
-        (c("c_orig_bytes") / c("rdur")).alias("outbound_rate"),
-        ((c("c_orig_bytes") - c("c_resp_bytes")) / F.greatest(F.lit(1), by)).alias("asymmetric_traffic_score"),
-        F.when(c("c_sni"), 1.0).otherwise(0.0).alias("has_tls_sni"),
-        text.tls_version_number(c("c_version")).alias("tls_version_num"),
-        F.when(c("c_ja3").isNotNull(), 1.0).otherwise(0.0).alias("ja3_present"),
+    some = lambda n: F.nullif(c(n), F.lit("")) if n in events.columns else F.lit(None).cast("string")
+    rows = events.select(
+        "*",
+        *[F.last(some(n), ignorenulls=True).over(upto).alias(f"c_{n}") for n in ("history", "tls_version", "ja3")],
+        F.coalesce(F.max(F.when(c("event_type") == "tls", some("query_name").isNotNull())).over(upto), F.lit(False)).alias("c_sni"),
+        *[F.sum(n).over(upto).alias(f"c_{n}") for n in ("orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts")],
+        F.count(F.lit(1)).over(upto).alias("c_events"),
+        F.max("duration").over(upto).alias("c_duration"),
+        F.min("us").over(upto).alias("c_first"),
+        *[F.max(c("conn_state").isin(*s).cast("double")).over(last100).alias(n) for n, s in (("has_s0", ["S0"]), ("has_syn", ["S0", "S1", "SF"]), ("has_sf", ["SF"]), ("has_rst", ["RSTO", "RSTR", "RSTOS0"]))],
     )
+    return rows.select(*events.columns, c("c_first").alias("first_us"), *_volume())
 
 
 def source_windows(events: DataFrame, reach_us: int = HALF_MINUTE) -> DataFrame:
     """Distinct ports and hosts a source touched, its attempts and failures within reach of each event."""
-    return sliding(
-        events,
-        ["src_ip"],
-        "us",
-        reach_us,
-        {
-            "unique_dst_ports": distinct_in(F.col("dst_port")),
-            "unique_dst_hosts": distinct_in(F.col("dst_ip")),
-            "conn_attempts": lambda w: F.count(F.lit(1)).over(w),
-            "failed_conn_ratio": lambda w: F.coalesce(F.avg(F.when(F.col("conn_state").isNotNull(), F.col("conn_state").isin(*FAILED).cast("double"))).over(w), F.lit(0.0)),
-        },
-    )
+    c = F.col
+    failed = F.when(c("conn_state").isNotNull(), c("conn_state").isin(*FAILED).cast("bigint"))
+    sums = {"conn_attempts": F.lit(1), "__failed": failed, "__stated": c("conn_state").isNotNull().cast("bigint")}
+    found = sliding(events, ["src_ip"], "us", reach_us, sums, {"unique_dst_ports": c("dst_port"), "unique_dst_hosts": c("dst_ip")})
+    ratio = F.when(c("__stated") > 0, c("__failed") / c("__stated")).otherwise(0.0)
+    return found.select(*events.columns, "unique_dst_ports", "unique_dst_hosts", "conn_attempts", ratio.alias("failed_conn_ratio"))
 
 
 def destination_windows(events: DataFrame, reach_us: int = HALF_MINUTE) -> DataFrame:
     """Distinct sources of a destination and their entropy within reach of each event."""
-    found = sliding(events, ["dst_ip"], "us", reach_us, {"__srcs": lambda w: F.collect_list("src_ip").over(w)})
-    return found.select(*events.columns, F.size(F.array_distinct("__srcs")).cast("bigint").alias("unique_src_count"), series.value_entropy(F.col("__srcs")).alias("src_ip_entropy"))
+    return sliding(events, ["dst_ip"], "us", reach_us, distinct={"unique_src_count": F.col("src_ip")}, entropy={"src_ip_entropy": F.col("src_ip")})
 
 
 def degrees(events: DataFrame, reach_us: int = MINUTE) -> DataFrame:
@@ -107,7 +111,7 @@ def degrees(events: DataFrame, reach_us: int = MINUTE) -> DataFrame:
     out = events.select("seq", "us", F.col("src_ip").alias("host"), F.lit("out").alias("role"), F.col("dst_ip").alias("peer"))
     into = events.select("seq", "us", F.col("dst_ip").alias("host"), F.lit("in").alias("role"), F.col("src_ip").alias("peer"))
     peers = lambda r: F.when(F.col("role") == r, F.col("peer"))
-    both = sliding(out.unionByName(into), ["host"], "us", reach_us, {"outs": distinct_in(peers("out")), "ins": distinct_in(peers("in")), "n_out": lambda w: F.count_if(F.col("role") == "out").over(w)})
+    both = sliding(out.unionByName(into), ["host"], "us", reach_us, {"n_out": (F.col("role") == "out").cast("bigint")}, {"outs": peers("out"), "ins": peers("in")})
     return both.groupBy("seq").agg(
         F.max(F.when(F.col("role") == "out", F.col("outs"))).alias("src_out_degree"),
         F.max(F.when(F.col("role") == "in", F.col("ins"))).alias("dst_in_degree"),
@@ -119,13 +123,9 @@ def degrees(events: DataFrame, reach_us: int = MINUTE) -> DataFrame:
 def destination_share(events: DataFrame) -> DataFrame:
     """Packets to the event's destination so far among all packets so far; every event counts at least one packet."""
     packets = F.greatest(F.lit(1), F.col("orig_pkts") + F.col("resp_pkts"))
-    everything = running_total(events.select("seq", "us", "dst_ip", packets.alias("p")), "us", "seq", F.col("p"), "all_p")
-    blocks = everything.select("*", F.floor(F.col("us") / 3_600_000_000).alias("b"))
-    inside = F.sum("p").over(Window.partitionBy("dst_ip", "b").orderBy("us", "seq").rowsBetween(Window.unboundedPreceding, 0))
-    totals = blocks.groupBy(F.col("dst_ip").alias("d"), F.col("b").alias("c")).agg(F.sum("p").alias("t"))
-    starts = totals.select("d", "c", F.coalesce(F.sum("t").over(Window.partitionBy("d").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("s"))
-    mine = blocks.select("*", inside.alias("i")).join(starts, (F.col("dst_ip") == F.col("d")) & (F.col("b") == F.col("c")))
-    return mine.select("seq", ((F.col("i") + F.col("s")) / F.col("all_p")).alias("dest_concentration"))
+    rows = events.select("seq", "us", "dst_ip", packets.alias("p"))
+    both = running_total(running_total(rows, "us", "seq", F.col("p"), "all_p"), "us", "seq", F.col("p"), "dst_p", ["dst_ip"])
+    return both.select("seq", (F.col("dst_p") / F.col("all_p")).alias("dest_concentration"))
 
 
 def pair_series(events: DataFrame, keep: int = 500) -> DataFrame:
@@ -153,28 +153,43 @@ def name_features(events: DataFrame, keep: int = 100) -> DataFrame:
     return agg.select("*", *[c.alias(k) for k, c in text.letter_ratios(F.col("joined")).items()]).drop("joined")
 
 
+#: how many of its last times, sizes (rows with a size), states and DNS names a flow keeps
+KEPT = {"time": 500, "size": 500, "state": 100, "name": 100}
+
+
 def flow_history(events: DataFrame) -> DataFrame:
     """What each flow has kept at its latest event: its last 500 times (TLS records leave none), 500 sizes, 100 states, 100 DNS names with their types.
 
-    Sizes are the byte counts of the two directions that are not 0, the originator's first.
+    Sizes are the byte counts of the two directions that are not 0, the originator's first. Map tasks keep no more of a
+    flow than that, so a flow with very many events is never one task.
     """
     c = F.col
-    upto = Window.partitionBy("flow_id").orderBy(c("us").desc(), c("seq").desc()).rowsBetween(Window.unboundedPreceding, 0)
     some = lambda n: F.coalesce(c(n) != "", F.lit(False))
-    marks = {"timed": ~c("event_type").eqNullSafe("tls"), "sent": c("orig_bytes") > 0, "got": c("resp_bytes") > 0, "stated": some("conn_state"), "named": (c("event_type") == "dns") & some("query_name")}
     txt = F.coalesce(F.upper("query_type").isin("TXT", "NULL", "ANY"), F.lit(False)) if "query_type" in events.columns else F.lit(False)
-    rows = events.select("flow_id", "us", "seq", "event_type", txt.cast("double").alias("txt"), "orig_bytes", "resp_bytes", "conn_state", "query_name", *[F.coalesce(m, F.lit(False)).alias(k) for k, m in marks.items()])
-    rows = rows.select("*", *[F.count_if(k).over(upto).alias(f"n_{k}") for k in marks])
-    sizes = c("n_sent") + c("n_got")
-    times = F.when(c("timed") & (c("n_timed") <= 500), c("us"))
-    sent = F.when(c("sent") & (sizes <= 500), c("orig_bytes").cast("double"))
-    got = F.when(c("got") & (sizes - c("sent").cast("int") <= 500), c("resp_bytes").cast("double"))
-    failed = F.when(c("stated") & (c("n_stated") <= 100), c("conn_state").isin(*FAILED).cast("double"))
+    kinds = {"time": ~c("event_type").eqNullSafe("tls"), "size": (c("orig_bytes") > 0) | (c("resp_bytes") > 0), "state": some("conn_state"), "name": (c("event_type") == "dns") & some("query_name")}
+    kind = F.explode(F.array_compact(F.array(*[F.when(cond, F.lit(k)) for k, cond in kinds.items()]))).alias("kind")
+    rows = events.select("flow_id", "us", "seq", txt.cast("double").alias("txt"), "orig_bytes", "resp_bytes", "conn_state", "query_name", kind)
+    rows = rows.select("flow_id", "us", "seq", "kind", *[F.when(c("kind") == k, c(v)).alias(v) for k, v in (("size", "orig_bytes"), ("size", "resp_bytes"), ("state", "conn_state"), ("name", "query_name"), ("name", "txt"))])
+    newest = Window.partitionBy("flow_id", "kind").orderBy(c("us").desc(), c("seq").desc())
+    last = rows.select("*", F.row_number().over(newest).alias("nth")).where(c("nth") <= max(KEPT.values()))
+    last = last.where(c("nth") <= F.when(c("kind").isin("time", "size"), KEPT["time"]).otherwise(KEPT["state"]))
+    sized = (c("orig_bytes") > 0).cast("int") + (c("resp_bytes") > 0).cast("int")
+    before = F.coalesce(F.sum(sized).over(newest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = KEPT["size"] - c("before")
+    q = c("query_name")
+    rows = last.select("*", before.alias("before")).select(
+        "flow_id",
+        F.when(c("kind") == "time", c("us")).alias("time"),
+        F.when((c("resp_bytes") > 0) & (room >= 1), c("resp_bytes").cast("double")).alias("got"),
+        F.when((c("orig_bytes") > 0) & (room >= 1 + (c("resp_bytes") > 0).cast("int")), c("orig_bytes").cast("double")).alias("sent"),
+        c("conn_state").isin(*FAILED).cast("double").alias("failed"),
+        q.alias("name"),
+        "txt",
+    )
     q = c("name")
-    rows = rows.select("flow_id", times.alias("times"), sent.alias("sent"), got.alias("got"), failed.alias("failed"), F.when(c("named") & (c("n_named") <= 100), c("query_name")).alias("name"), "txt")
     per = rows.select("*", F.length(q).alias("len"), text.shannon_entropy(q).alias("ent"), text.subdomain_depth(q).alias("depth"), F.when(q.isNotNull(), text.bigram_log_likelihood(q)).alias("ll"))
     agg = per.groupBy("flow_id").agg(
-        F.array_sort(F.collect_list("times")).alias("flow_times"),
+        F.array_sort(F.collect_list("time")).alias("flow_times"),
         F.concat(F.collect_list("sent"), F.collect_list("got")).alias("sizes"),
         F.avg("failed").alias("failed_conn_ratio"),
         F.count(q).alias("n_queries"),
@@ -182,17 +197,50 @@ def flow_history(events: DataFrame) -> DataFrame:
         F.avg("ent").alias("shannon_entropy_mean"),
         F.avg("depth").alias("subdomain_depth_mean"),
         F.avg("ll").alias("ngram_log_likelihood"),
-        F.avg(F.when(q.isNotNull(), c("txt"))).alias("txt_record_ratio"),
+        F.avg("txt").alias("txt_record_ratio"),
         F.array_join(F.array_sort(F.collect_list(q)), "").alias("joined"),
     )
     size = series.moments(c("sizes"), 1)
     return agg.select("*", *[v.alias(k) for k, v in text.letter_ratios(c("joined")).items()], F.when(F.size("sizes") > 0, size["iat_mean"]).alias("size_mean"), size["iat_std"].alias("pkt_size_std"), series.value_entropy(c("sizes")).alias("pkt_size_entropy")).drop("joined", "sizes")
 
 
+def flow_snapshots(events: DataFrame) -> DataFrame:
+    """Each flow at its latest event: that event's seq, us and ends, and the volume features of all its events.
+
+    Sums and the latest values are combined in the map tasks; only the last 100 connection states are ranked.
+    """
+    c = F.col
+    at = [c("us"), c("seq")]
+    some = lambda n: F.nullif(c(n), F.lit("")) if n in events.columns else F.lit(None).cast("string")
+    latest = lambda n: F.max(F.when(some(n).isNotNull(), F.struct(*at, some(n).alias("v"))))["v"].alias(f"c_{n}")
+    known = [n for n in ("history", "tls_version", "ja3") if n in events.columns]
+    totals = events.groupBy("flow_id").agg(
+        F.max(F.struct(*at, "src_ip", "dst_ip", "src_port", "dst_port", "protocol")).alias("e"),
+        *[F.sum(n).alias(f"c_{n}") for n in ("orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts")],
+        F.count(F.lit(1)).alias("c_events"),
+        F.max("duration").alias("c_duration"),
+        F.min("us").alias("c_first"),
+        F.coalesce(F.max(F.when(c("event_type") == "tls", some("query_name").isNotNull())), F.lit(False)).alias("c_sni"),
+        *[latest(n) for n in known],
+    )
+    totals = totals.select("flow_id", "e.*", *[x for x in totals.columns if x.startswith("c_")], *[F.lit(None).cast("string").alias(f"c_{n}") for n in ("history", "tls_version", "ja3") if n not in known])
+    # the states of the last 100 events, whether or not they have one
+    states = last_rows(events.select("flow_id", "us", "seq", "conn_state"), ["flow_id"], ["us", "seq"], 100)
+    marks = (("has_s0", ["S0"]), ("has_syn", ["S0", "S1", "SF"]), ("has_sf", ["SF"]), ("has_rst", ["RSTO", "RSTR", "RSTOS0"]))
+    states = states.groupBy("flow_id").agg(*[F.max(c("conn_state").isin(*s).cast("double")).alias(n) for n, s in marks])
+    return totals.join(states, "flow_id").select("flow_id", "seq", "us", "src_ip", "dst_ip", "src_port", "dst_port", c("c_first").alias("first_us"), *_volume())
+
+
+def pair_places(events: DataFrame) -> DataFrame:
+    """src_ip, dst_ip, us, seq, pair_k: the place of each event in its host pair, from 0 on."""
+    rows = events.select("src_ip", "dst_ip", "us", "seq")
+    return running_total(rows, "us", "seq", F.lit(1).cast("bigint"), "pair_k", ["src_ip", "dst_ip"]).withColumn("pair_k", F.col("pair_k") - 1)
+
+
 def pair_blocks(ranked: DataFrame, keep: int = 500) -> DataFrame:
     """Times of each pair in blocks of `keep` events, with those of the block before: every last-`keep` frame lies in one row.
 
-    ranked: events with pair_k, their place in the pair from 0 on. A hot pair is many rows.
+    ranked: pair_places(). A hot pair is many rows.
     """
     blocks = ranked.groupBy("src_ip", "dst_ip", F.floor(F.col("pair_k") / keep).alias("pair_block")).agg(F.array_sort(F.collect_list("us")).alias("block_times"))
     before = F.lag("block_times").over(Window.partitionBy("src_ip", "dst_ip").orderBy("pair_block"))
@@ -203,16 +251,17 @@ def vectors(events: DataFrame, keep: int = 500) -> DataFrame:
     """The 54 features (baseline semantics) of every flow at its latest event, and the window's length.
 
     Flow, host and pair (of that event) count with what they have right after it; gaps are the flow's own if it has
-    three times or more, else those of the pair's last `keep` events.
+    three times or more, else those of the pair's last `keep` events. The events are written to the shared folder first,
+    so that every branch reads only its columns and repeats none of what made them.
     """
     c = F.col
-    place = F.row_number().over(Window.partitionBy("src_ip", "dst_ip").orderBy("us", "seq")) - 1
-    ranked = events.select("*", place.alias("pair_k"))
-    latest = last_rows(flow_running(ranked), ["flow_id"], ["us", "seq"], 1).withColumn("pair_block", F.floor(c("pair_k") / keep))
-    src = source_windows(events).select("seq", "unique_dst_ports", "unique_dst_hosts", "conn_attempts")
-    dst = destination_windows(events).select("seq", "unique_src_count", "src_ip_entropy")
-    v = latest.join(src, "seq").join(dst, "seq").join(degrees(events), "seq").join(destination_share(events), "seq")
-    v = v.join(pair_blocks(ranked, keep), ["src_ip", "dst_ip", "pair_block"]).join(flow_history(events), "flow_id")
+    events = cut(events, "events")
+    src = source_windows(events.select("seq", "us", "src_ip", "dst_ip", "dst_port", "conn_state")).select("seq", "unique_dst_ports", "unique_dst_hosts", "conn_attempts")
+    dst = destination_windows(events.select("seq", "us", "src_ip", "dst_ip")).select("seq", "unique_src_count", "src_ip_entropy")
+    ranked = pair_places(events)
+    v = flow_snapshots(events).join(src, "seq").join(dst, "seq").join(degrees(events), "seq").join(destination_share(events), "seq")
+    v = v.join(ranked.select("seq", "pair_k", F.floor(c("pair_k") / keep).alias("pair_block")), "seq")
+    v = v.join(pair_blocks(ranked, keep), ["src_ip", "dst_ip", "pair_block"]).join(flow_history(events), "flow_id", "left")
     n = (c("pair_k") % keep + 1).cast("int")
     inside, before = F.slice("block_times", F.lit(1), n), F.coalesce(F.slice("times_before", n + 1, keep - n), F.array().cast("array<bigint>"))
     own = F.size("flow_times") >= 3
@@ -221,11 +270,13 @@ def vectors(events: DataFrame, keep: int = 500) -> DataFrame:
     count = F.least(c("pair_k") + 1, F.lit(keep))
     v = v.withColumns({"timing": series.timing(F.when(own, c("flow_times")).otherwise(F.concat(before, inside))), "repeated_conn_count": count, "repeated_dst_freq": count / (elapsed / 60), "pkt_size_mean": F.coalesce("size_mean", "pkt_size_mean")})
     v = v.select("*", "timing.*")
-    zeros = ["query_len_mean", "shannon_entropy_mean", "subdomain_depth_mean", "ngram_log_likelihood", "txt_record_ratio", "failed_conn_ratio"]
+    # of a flow that has kept nothing of the kind
+    zeros = ["n_queries", "query_len_mean", "shannon_entropy_mean", "subdomain_depth_mean", "ngram_log_likelihood", "txt_record_ratio", "failed_conn_ratio"]
+    zeros += ["vowel_ratio", "consonant_ratio", "digit_ratio", "unique_char_ratio", "pkt_size_std", "pkt_size_entropy"]
     per_second = lambda c: F.col(c) / F.greatest(F.lit(1.0), F.col("dur"))
     v = v.withColumns({z: F.coalesce(z, F.lit(0.0)) for z in zeros})
     v = v.withColumns({"dst_port_fanout": per_second("unique_dst_ports"), "dst_host_fanout": per_second("unique_dst_hosts"), "conn_attempt_rate": per_second("conn_attempts"), "query_frequency": c("n_queries") / c("dur")})
-    return v.select("flow_id", (F.col("us") / 1e6).alias("timestamp"), F.col("dur").alias("window_duration_sec"), *[F.col(n).cast("double").alias(n) for n in ORDER])
+    return v.select("flow_id", *ENDS, (F.col("us") / 1e6).alias("timestamp"), F.col("dur").alias("window_duration_sec"), *[F.col(n).cast("double").alias(n) for n in ORDER])
 
 
 def optimized(events: DataFrame) -> DataFrame:
@@ -237,6 +288,8 @@ def optimized(events: DataFrame) -> DataFrame:
     return joined.select("flow_id", (F.col("pk") / dur).alias("packet_rate"), (F.col("by") / dur).alias("byte_rate"), (F.col("syn") / F.greatest(F.lit(1), F.col("pk"))).alias("syn_ratio"), (F.col("rst") / F.greatest(F.lit(1), F.col("syn"))).alias("failed_conn_ratio"), text.shannon_entropy(F.col("src_ip")).alias("src_ip_entropy"), (1 / F.greatest(F.lit(1), F.col("hosts"))).alias("dest_concentration"), F.log2(F.coalesce("size_std", F.lit(0.0)) + 1).alias("pkt_size_entropy"), F.col("n").alias("repeated_conn_count"))
 
 
+#: the ends of a flow's latest event
+ENDS = ["src_ip", "dst_ip", "src_port", "dst_port"]
 # The 54 features in their order.
 ORDER = """packet_rate byte_rate syn_rate syn_ratio ack_ratio rst_ratio udp_rate unique_src_count src_ip_entropy dest_concentration byte_amplification_ratio
 iat_min iat_max iat_mean iat_std iat_cv periodicity_score repeated_dst_freq flow_duration repeated_conn_count query_len_mean shannon_entropy_mean

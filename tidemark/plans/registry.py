@@ -380,7 +380,7 @@ def anti_expired(spark, folder):
 @query("""{ev} select a.seq as seq, count(*) as n_near from ev a join ev b on a.src_ip = b.src_ip and b.us between a.us - 300000000 and a.us group by a.seq""")
 def interval_join(spark, folder):
     """Events of the same source in the five minutes up to each event, as a sliding count instead of a join of all pairs."""
-    return windows.sliding(_ev(spark, folder), ["src_ip"], "us", 300_000_000, {"n_near": lambda w: F.count(F.lit(1)).over(w)}).select("seq", "n_near")
+    return windows.sliding(_ev(spark, folder).select("seq", "src_ip", "us"), ["src_ip"], "us", 300_000_000, {"n_near": F.lit(1)}).select("seq", "n_near")
 
 
 # --- metrics ------------------------------------------------------------------------------------
