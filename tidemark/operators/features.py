@@ -34,6 +34,15 @@ def flow_totals(events: DataFrame) -> DataFrame:
     )
 
 
+# The states that speak for a SYN without answer, any SYN, an orderly end and a reset.
+_MARKS = {"has_s0": ["S0"], "has_syn": ["S0", "S1", "SF"], "has_sf": ["SF"], "has_rst": ["RSTO", "RSTR", "RSTOS0"]}
+
+
+def _counted() -> Column:
+    """Whether an event counts as one of its flow: web and alert records don't."""
+    return ~F.coalesce(F.col("event_type").isin("http", "alert"), F.lit(False))
+
+
 def _volume() -> list[Column]:
     """Volume features of a flow from its totals (c_...) and the marks of its last states (has_...)."""
     c = F.col
@@ -80,10 +89,10 @@ def flow_running(events: DataFrame) -> DataFrame:
         *[F.last(some(n), ignorenulls=True).over(upto).alias(f"c_{n}") for n in ("history", "tls_version", "ja3")],
         F.coalesce(F.max(F.when(c("event_type") == "tls", some("query_name").isNotNull())).over(upto), F.lit(False)).alias("c_sni"),
         *[F.sum(n).over(upto).alias(f"c_{n}") for n in ("orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts")],
-        F.count(F.lit(1)).over(upto).alias("c_events"),
+        F.count_if(_counted()).over(upto).alias("c_events"),
         F.max("duration").over(upto).alias("c_duration"),
         F.min("us").over(upto).alias("c_first"),
-        *[F.max(c("conn_state").isin(*s).cast("double")).over(last100).alias(n) for n, s in (("has_s0", ["S0"]), ("has_syn", ["S0", "S1", "SF"]), ("has_sf", ["SF"]), ("has_rst", ["RSTO", "RSTR", "RSTOS0"]))],
+        *[F.max(c("conn_state").isin(*s).cast("double")).over(last100).alias(n) for n, s in _MARKS.items()],
     )
     return rows.select(*events.columns, c("c_first").alias("first_us"), *_volume())
 
@@ -183,6 +192,7 @@ def flow_history(events: DataFrame) -> DataFrame:
         F.when((c("resp_bytes") > 0) & (room >= 1), c("resp_bytes").cast("double")).alias("got"),
         F.when((c("orig_bytes") > 0) & (room >= 1 + (c("resp_bytes") > 0).cast("int")), c("orig_bytes").cast("double")).alias("sent"),
         c("conn_state").isin(*FAILED).cast("double").alias("failed"),
+        *[c("conn_state").isin(*states).cast("double").alias(n) for n, states in _MARKS.items()],
         q.alias("name"),
         "txt",
     )
@@ -192,6 +202,7 @@ def flow_history(events: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list("time")).alias("flow_times"),
         F.concat(F.collect_list("sent"), F.collect_list("got")).alias("sizes"),
         F.avg("failed").alias("failed_conn_ratio"),
+        *[F.max(n).alias(n) for n in _MARKS],
         F.count(q).alias("n_queries"),
         F.avg("len").alias("query_len_mean"),
         F.avg("ent").alias("shannon_entropy_mean"),
@@ -205,10 +216,7 @@ def flow_history(events: DataFrame) -> DataFrame:
 
 
 def flow_snapshots(events: DataFrame) -> DataFrame:
-    """Each flow at its latest event: that event's seq, us and ends, and the volume features of all its events.
-
-    Sums and the latest values are combined in the map tasks; only the last 100 connection states are ranked.
-    """
+    """Each flow at its latest event: that event's seq, us and ends, and the flow's totals (c_...), combined in the map tasks."""
     c = F.col
     at = [c("us"), c("seq")]
     some = lambda n: F.nullif(c(n), F.lit("")) if n in events.columns else F.lit(None).cast("string")
@@ -217,18 +225,14 @@ def flow_snapshots(events: DataFrame) -> DataFrame:
     totals = events.groupBy("flow_id").agg(
         F.max(F.struct(*at, "src_ip", "dst_ip", "src_port", "dst_port", "protocol")).alias("e"),
         *[F.sum(n).alias(f"c_{n}") for n in ("orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts")],
-        F.count(F.lit(1)).alias("c_events"),
+        F.count_if(_counted()).alias("c_events"),
         F.max("duration").alias("c_duration"),
         F.min("us").alias("c_first"),
         F.coalesce(F.max(F.when(c("event_type") == "tls", some("query_name").isNotNull())), F.lit(False)).alias("c_sni"),
         *[latest(n) for n in known],
     )
-    totals = totals.select("flow_id", "e.*", *[x for x in totals.columns if x.startswith("c_")], *[F.lit(None).cast("string").alias(f"c_{n}") for n in ("history", "tls_version", "ja3") if n not in known])
-    # the states of the last 100 events, whether or not they have one
-    states = last_rows(events.select("flow_id", "us", "seq", "conn_state"), ["flow_id"], ["us", "seq"], 100)
-    marks = (("has_s0", ["S0"]), ("has_syn", ["S0", "S1", "SF"]), ("has_sf", ["SF"]), ("has_rst", ["RSTO", "RSTR", "RSTOS0"]))
-    states = states.groupBy("flow_id").agg(*[F.max(c("conn_state").isin(*s).cast("double")).alias(n) for n, s in marks])
-    return totals.join(states, "flow_id").select("flow_id", "seq", "us", "src_ip", "dst_ip", "src_port", "dst_port", c("c_first").alias("first_us"), *_volume())
+    missing = [F.lit(None).cast("string").alias(f"c_{n}") for n in ("history", "tls_version", "ja3") if n not in known]
+    return totals.select("flow_id", "e.*", *[x for x in totals.columns if x.startswith("c_")], *missing)
 
 
 def pair_places(events: DataFrame) -> DataFrame:
@@ -262,11 +266,12 @@ def vectors(events: DataFrame, keep: int = 500) -> DataFrame:
     v = flow_snapshots(events).join(src, "seq").join(dst, "seq").join(degrees(events), "seq").join(destination_share(events), "seq")
     v = v.join(ranked.select("seq", "pair_k", F.floor(c("pair_k") / keep).alias("pair_block")), "seq")
     v = v.join(pair_blocks(ranked, keep), ["src_ip", "dst_ip", "pair_block"]).join(flow_history(events), "flow_id", "left")
+    v = v.select("*", *_volume())
     n = (c("pair_k") % keep + 1).cast("int")
     inside, before = F.slice("block_times", F.lit(1), n), F.coalesce(F.slice("times_before", n + 1, keep - n), F.array().cast("array<bigint>"))
     own = F.size("flow_times") >= 3
     pair_first = F.coalesce(F.get("times_before", n), F.get("block_times", F.lit(0)))
-    elapsed = F.greatest(F.lit(1.0), (c("us") - F.when(own, c("first_us")).otherwise(pair_first)) / 1e6)
+    elapsed = F.greatest(F.lit(1.0), (c("us") - F.when(own, c("c_first")).otherwise(pair_first)) / 1e6)
     count = F.least(c("pair_k") + 1, F.lit(keep))
     v = v.withColumns({"timing": series.timing(F.when(own, c("flow_times")).otherwise(F.concat(before, inside))), "repeated_conn_count": count, "repeated_dst_freq": count / (elapsed / 60), "pkt_size_mean": F.coalesce("size_mean", "pkt_size_mean")})
     v = v.select("*", "timing.*")

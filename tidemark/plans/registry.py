@@ -85,7 +85,7 @@ def connection_summary(spark, folder):
   select seq, greatest(op + rp, n) / greatest(1.0, raw) as packet_rate, (ob + rb) / greatest(1.0, raw) as byte_rate, case when s0 then 1.0 when syn then 0.5 else 0.0 end as syn_ratio,
     case when protocol = 'UDP' then greatest(op + rp, n) / greatest(0.001, raw) else 0.0 end as udp_rate, rb / greatest(1, ob) as byte_amplification_ratio, ob / greatest(1, rb) as out_in_byte_ratio, (ob - rb) / greatest(1, ob + rb) as asymmetric_traffic_score
   from (select *, case when d > 0 then d else (us - f) / 1000000 end as raw from (
-    select seq, us, protocol, sum(orig_bytes) over w as ob, sum(resp_bytes) over w as rb, sum(orig_pkts) over w as op, sum(resp_pkts) over w as rp, count(*) over w as n, max(duration) over w as d, min(us) over w as f,
+    select seq, us, protocol, sum(orig_bytes) over w as ob, sum(resp_bytes) over w as rb, sum(orig_pkts) over w as op, sum(resp_pkts) over w as rp, count(case when event_type not in ('http', 'alert') then 1 end) over w as n, max(duration) over w as d, min(us) over w as f,
       coalesce(bool_or(conn_state = 'S0') over l, false) as s0, coalesce(bool_or(conn_state in ('S0', 'S1', 'SF')) over l, false) as syn
     from ev window w as (partition by flow_id order by us, seq rows unbounded preceding), l as (partition by flow_id order by us, seq rows between 99 preceding and current row))))""")
 def features_volume(spark, folder):
@@ -301,12 +301,6 @@ def fusion_gated(spark, folder):
     return _detected(spark, folder).select("vec_id", *[v.alias(k) for k, v in out.items()])
 
 
-@query()
-def feature_vectors(spark, folder):
-    """The 54 features of every flow from the events."""
-    return features.vectors(_ev(spark, folder))
-
-
 @query("""{ev}, f as (select flow_id, any_value(src_ip) as src_ip, sum(orig_pkts + resp_pkts) as pk, sum(orig_bytes + resp_bytes) as by_, count(case when contains(conn_state, 'S') then 1 end) as syn, count(case when contains(conn_state, 'R') then 1 end) as rst, max(duration) as d, min(us) as a, max(us) as b, count(*) as n, stddev_samp(orig_bytes) as sd from ev group by flow_id),
   h as (select src_ip, count(distinct dst_ip) as hosts from ev group by src_ip)
   select flow_id, round(pk / greatest(0.001, case when d > 0 then d else (b - a) / 1000000 end), 5) as packet_rate, round(syn / greatest(1, pk), 6) as syn_ratio, round(rst / greatest(1, syn), 6) as failed_conn_ratio, round(1 / greatest(1, hosts), 6) as dest_concentration, round(log2(coalesce(sd, 0) + 1), 6) as pkt_size_entropy, n as repeated_conn_count
