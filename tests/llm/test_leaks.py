@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemark.llm.leaks import Index, edit_distance, find_leaks, words
+from tidemark.llm.leaks import Index, find_leaks, near_prefixes, words
 
 
 def levenshtein(a, b):
@@ -23,9 +23,14 @@ def test_words():
 
 def test_edit_distance_against_brute_force():
     draw = random.Random(1)
-    a = np.array([[draw.randint(1, 4) for _ in range(7)] for _ in range(200)])
-    b = np.array([[draw.randint(1, 4) for _ in range(7)] for _ in range(200)])
-    assert edit_distance(a, b).tolist() == [levenshtein(list(x), list(y)) for x, y in zip(a, b)]
+    for most in (1, 2, 3):
+        a = np.array([[draw.randint(0, 4) for _ in range(7)] for _ in range(300)])
+        b = np.array([[draw.randint(0, 4) for _ in range(7 + most)] for _ in range(300)])
+        for k in range(0, 300, 2):
+            b[k, :7] = a[k]
+            b[k, draw.randint(0, 6)] = 5
+        want = [min(levenshtein([v or -1 for v in x], list(y[:n])) for n in range(8 + most)) for x, y in zip(a.tolist(), b.tolist())]
+        assert near_prefixes(a, b, most).tolist() == [min(v, most + 1) for v in want]
 
 
 def make(seed):
@@ -128,5 +133,5 @@ def test_near_windows_against_all_pairs():
         found = index.search(ids, np.where(np.arange(len(ids)) < len(body), d, -1))
         got |= set(zip(found[0].tolist(), found[1].tolist()))
         coded = [index.vocabulary.get(x, -1) for x in body]
-        want |= {(d, int(o)) for w, o in zip(index.windows.tolist(), index.owner) for s in range(len(coded) - 7) for n in (7, 8, 9) if levenshtein(w, coded[s : s + n]) <= 1}
+        want |= {(d, int(o)) for w, f, t in zip(index.windows.tolist(), index.owners_from, index.owners_from[1:]) for o in index.owner[f:t] for s in range(len(coded) - 7) for n in (7, 8, 9) if levenshtein(w, coded[s : s + n]) <= 1}
     assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 60

@@ -75,21 +75,29 @@ class Embedding:
         return keys
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, prefixes: bool = False) -> np.ndarray:
-    """Edit distances of the rows of two matrices of symbols (0 equals nothing).
+def near_prefixes(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Least edit distance of each row of `a` to any prefix of that row of `b` (`most` symbols longer; 0 equals nothing).
 
-    prefixes: the least distance to any prefix of b's row, so that passages of all lengths from its start count.
+    Exact up to `most`; anything greater comes out as more than `most`. Only the cells within `most` of the diagonal
+    count, for all rows at once.
     """
     n, w = a.shape
-    row = np.tile(np.arange(b.shape[1] + 1), (n, 1))
+    far = np.int8(most + 1)
+    band = [np.full(n, max(d, 0) if d >= 0 else far, np.int8) for d in range(-most, most + 1)]  # by column minus row
+    columns, rows = np.ascontiguousarray(b.T), np.ascontiguousarray(a.T)
     for i in range(w):
-        new = np.empty_like(row)
-        new[:, 0] = i + 1
-        for j in range(b.shape[1]):
-            same = (a[:, i] == b[:, j]) & (a[:, i] != 0)
-            new[:, j + 1] = np.minimum(row[:, j] + ~same, np.minimum(row[:, j + 1], new[:, j]) + 1)
-        row = new
-    return row.min(axis=1) if prefixes else row[:, -1]
+        for k, d in enumerate(range(-most, most + 1)):
+            j = i + d  # row i + 1, column j + 1
+            if j < 0:
+                value = np.full(n, i + 1 if j == -1 else far, np.int8)
+            else:
+                value = band[k] + ((rows[i] != columns[j]) | (rows[i] == 0))
+                if k:
+                    np.minimum(value, band[k - 1] + 1, out=value)
+            if k + 1 < len(band):
+                np.minimum(value, band[k + 1] + 1, out=value)
+            band[k] = np.minimum(value, far).astype(np.int8)
+    return np.min(band, axis=0)
 
 
 class Index:
@@ -107,8 +115,10 @@ class Index:
             for k in range(len(ids) - window + 1):
                 rows.append(ids[k : k + window])
                 owner.append(item)
-        self.windows = np.array(rows, np.int32).reshape(-1, window)
-        self.owner = np.array(owner, np.int64)
+        # equal windows of several items are one window with several owners
+        self.windows, number = np.unique(np.array(rows, np.int32).reshape(-1, window), axis=0, return_inverse=True)
+        order = np.argsort(number.ravel(), kind="stable")
+        self.owner, self.owners_from = np.array(owner, np.int64)[order], np.searchsorted(number.ravel()[order], np.arange(len(self.windows) + 1))
         self.pairs = np.unique(self._pair(*np.array(pairs, np.int64).reshape(-1, 2).T))
         samples = max(3, window // (1 + 2 * max_edits))
         self.embedding, self.recall = self._embedding(samples, target)
@@ -155,7 +165,7 @@ class Index:
             mine, met = probe.keys(a), np.zeros((most, trials), bool)
             for start in range(2 * e + 1):
                 near = b[:, start : start + w + e]
-                good = edit_distance(a, near, prefixes=True) <= e
+                good = near_prefixes(a, near, e) <= e
                 met |= (mine == probe.keys(near[:, :w])) & good
             met = np.logical_or.accumulate(met, axis=0)
             recall = np.min([met[:, kinds == k].mean(axis=1) for k in range(3)], axis=0)
@@ -200,17 +210,21 @@ class Index:
             part = at[low : low + (1 << 14)]
             mine = views[part]
             keys = self.embedding.keys(mine[:, :w])
-            met = []
+            met = np.zeros(0, np.int64)
             for r in range(len(keys)):
                 left, right = np.searchsorted(self.keys[r], keys[r], "left"), np.searchsorted(self.keys[r], keys[r], "right")
                 many = right - left
                 which = np.repeat(np.arange(len(part)), many)
                 item = self.order[r][np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(left, many)]
-                met.append(which * len(self.windows) + item)
-            which, item = np.divmod(np.unique(np.concatenate(met)), len(self.windows))
-            edits = edit_distance(self.windows[item], mine[which], prefixes=True)
-            good = edits <= self.max_edits
-            out.append((document[part[which[good]]], self.owner[item[good]], edits[good]))
+                met = np.union1d(met, which * len(self.windows) + item)
+            for first in range(0, len(met), 1 << 18):
+                which, item = np.divmod(met[first : first + (1 << 18)], len(self.windows))
+                edits = near_prefixes(self.windows[item], mine[which], self.max_edits)
+                good = edits <= self.max_edits
+                which, item, edits = which[good], item[good], edits[good]
+                many = self.owners_from[item + 1] - self.owners_from[item]
+                nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.owners_from[item], many)
+                out.append((document[part[np.repeat(which, many)]], self.owner[nth], np.repeat(edits, many).astype(np.int64)))
         return tuple(np.concatenate(x) for x in zip(*out))  # type: ignore[return-value]
 
 
