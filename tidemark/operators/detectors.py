@@ -155,12 +155,17 @@ def first_fired(results: Column) -> Column:
     return F.get(ordered, F.lit(0))
 
 
+def anomaly_bypass(results: Column, model_class: Column, model_confidence: Column) -> Column:
+    """Whether the anomaly detector isn't asked: a known threat, or a benign flow that no detector speaks against."""
+    calm = (model_class == "BENIGN") & (model_confidence >= 0.85) & first_fired(results).isNull()
+    return ((model_class != "BENIGN") & (model_confidence >= 0.75)) | calm
+
+
 def fuse(results: Column, model_class: Column, model_confidence: Column, anomaly: Column, anomalous: Column, threshold: float = 0.0) -> dict[str, Column]:
     """label, state, confidence, method by the ordered decision table of the production engine."""
     top = first_fired(results)
     known = (model_class != "BENIGN") & (model_confidence >= 0.75)
-    bypass = known | ((model_class == "BENIGN") & (model_confidence >= 0.85) & top.isNull())
-    odd = anomalous & ~bypass
+    odd = anomalous & ~anomaly_bypass(results, model_class, model_confidence)
     rule = top.isNotNull() & ((model_confidence < 0.75) | (model_class == "BENIGN") | (top["class"] == model_class))
     same = F.exists(results, lambda r: r["triggered"] & (r["class"] == model_class))
     confirmed = known & (odd | same)
@@ -199,6 +204,28 @@ def fuse_gated(gated: dict[str, Column], results: Column, model_class: Column, m
     return {"label": label, "state": state, "confidence": confidence}
 
 
+def fuse_unordered(results: Column, model_class: Column, model_confidence: Column, anomaly: Column, anomalous: Column, threshold: float = 0.0) -> dict[str, Column]:
+    """The variant of side-by-side comparisons: fired detectors in list order, no priorities, and no bypass of the anomaly
+    detector; the first of them that may override the model does."""
+    fired = F.filter(results, lambda r: r["triggered"])
+    top = F.get(F.filter(fired, lambda r: (model_confidence < 0.75) | (model_class == "BENIGN") | (r["class"] == model_class)), F.lit(0))
+    known = (model_class != "BENIGN") & (model_confidence >= 0.75)
+    confirmed = known & (anomalous | F.exists(fired, lambda r: r["class"] == model_class))
+    odd = anomalous | (F.size(fired) > 0)
+    rule = top.isNotNull()
+    label = F.when(rule, top["class"]).when(known, model_class).when(odd, "UNKNOWN_ANOMALY").otherwise("BENIGN")
+    state = F.when(rule, "B").when(confirmed, "A").when(known, "B").when(odd, "C").otherwise("D")
+    confidence = (
+        F.when(rule, F.greatest(F.lit(0.85), top["score"]))
+        .when(confirmed, F.least(F.lit(1.0), F.greatest(model_confidence, F.lit(0.92))))
+        .when(known, model_confidence)
+        .when(odd, F.least(F.lit(1.0), 0.60 + F.abs(anomaly - threshold) / 0.5))
+        .otherwise(F.when(model_class == "BENIGN", model_confidence).otherwise(1 - model_confidence))
+    )
+    method = F.when(rule, "BEHAVIORAL_RULE").when(confirmed, "HYBRID").when(known, "MODEL_SUPERVISED").when(odd, "MODEL_ANOMALY").otherwise("MODEL_SUPERVISED")
+    return {"label": label, "state": state, "confidence": F.bround(confidence, 4), "method": method}
+
+
 def severity(label: Column, confidence: Column) -> Column:
     """INFO to CRITICAL by class, confidence and volume."""
     c = F.col
@@ -214,25 +241,74 @@ def severity(label: Column, confidence: Column) -> Column:
     )
 
 
-#: class -> [(feature, least or most value that makes it evidence, whether it must be above, text)]
-EVIDENCE = {
-    "DDOS": [("syn_ratio", 0.5, True, "SYN share %.3f"), ("packet_rate", 10, True, "%.1f packets/s"), ("src_ip_entropy", 1.5, True, "source entropy %.2f bits"), ("dst_in_degree", 5, True, "in-degree %.0f"), ("udp_rate", 10, True, "%.1f UDP packets/s")],
-    "PORT_SCAN": [("unique_dst_ports", 1, True, "%.0f ports"), ("dst_port_fanout", 0.5, True, "%.2f ports/s"), ("unique_dst_hosts", 1, True, "%.0f hosts"), ("conn_attempts", 1, True, "%.0f attempts")],
-    "DGA_DNS_TUNNELLING": [("shannon_entropy_mean", 2.5, True, "entropy %.2f bits"), ("query_len_mean", 15, True, "length %.1f"), ("txt_record_ratio", 0.2, True, "TXT share %.3f"), ("ngram_log_likelihood", -3, False, "log-likelihood %.2f"), ("query_frequency", 1, True, "%.1f queries/s")],
-    "C2_BEACONING": [("iat_mean", 0, True, "interval %.3f s"), ("iat_cv", 0.30, False, "variation %.4f"), ("periodicity_score", 0.05, True, "periodicity %.3f"), ("repeated_conn_count", 1, True, "%.0f connections")],
-    "DATA_EXFILTRATION": [("outbound_bytes", -1, True, "%.0f bytes out"), ("out_in_byte_ratio", -1, True, "ratio %.1f"), ("outbound_rate", 1000, True, "%.0f bytes/s")],
-    "ENCRYPTED_MALWARE": [("tls_version_num", 0, True, "TLS %.1f"), ("pkt_size_entropy", 0, True, "size entropy %.2f bits")],
-    "UNKNOWN_ANOMALY": [("packet_rate", 10, True, "%.1f packets/s")],
+#: For each class the evidence as (condition, text, its values, what the snapshot keeps).
+_EVIDENCE = {
+    "DDOS": [
+        ("syn_ratio > 0.5", "SYN share %.3f", ["syn_ratio"], ["syn_ratio"]),
+        ("packet_rate > 10", "%.1f packets/s", ["packet_rate"], ["packet_rate"]),
+        ("src_ip_entropy > 1.5", "source entropy %.2f bits", ["src_ip_entropy"], ["src_ip_entropy"]),
+        ("unique_src_count > 5 or dst_in_degree > 5", "in-degree %.0f", ["dst_in_degree"], ["dst_in_degree"]),
+        ("udp_rate > 10", "%.1f UDP packets/s, amplified %.1f times", ["udp_rate", "byte_amplification_ratio"], ["udp_rate"]),
+    ],
+    "PORT_SCAN": [
+        ("unique_dst_ports > 1", "%.0f ports", ["unique_dst_ports"], ["unique_dst_ports"]),
+        ("dst_port_fanout > 0.5", "%.2f ports/s", ["dst_port_fanout"], ["dst_port_fanout"]),
+        ("unique_dst_hosts > 1", "%.0f hosts, out-degree %.0f", ["unique_dst_hosts", "src_out_degree"], ["unique_dst_hosts"]),
+        ("conn_attempts > 1", "%.0f attempts, %.3f of them failed", ["conn_attempts", "failed_conn_ratio"], ["conn_attempts", "failed_conn_ratio"]),
+    ],
+    "DGA_DNS_TUNNELLING": [
+        ("shannon_entropy_mean > 2.5", "entropy %.2f bits", ["shannon_entropy_mean"], ["shannon_entropy_mean"]),
+        ("query_len_mean > 15", "length %.1f", ["query_len_mean"], ["query_len_mean"]),
+        ("txt_record_ratio > 0.2", "TXT share %.3f", ["txt_record_ratio"], ["txt_record_ratio"]),
+        ("ngram_log_likelihood < -3", "log-likelihood %.2f", ["ngram_log_likelihood"], ["ngram_log_likelihood"]),
+        ("query_frequency > 1", "%.1f queries/s", ["query_frequency"], ["query_frequency"]),
+    ],
+    "C2_BEACONING": [
+        ("iat_mean > 0", "interval %.3f s", ["iat_mean"], ["iat_mean"]),
+        ("iat_cv < 0.30", "variation %.4f", ["iat_cv"], ["iat_cv"]),
+        ("periodicity_score > 0.05", "periodicity %.3f", ["periodicity_score"], ["periodicity_score"]),
+        ("repeated_conn_count > 1", "%.0f connections, %.1f a minute", ["repeated_conn_count", "repeated_dst_freq"], ["repeated_conn_count"]),
+    ],
+    "DATA_EXFILTRATION": [
+        ("true", "%.0f bytes out, %.0f in", ["outbound_bytes", "inbound_bytes"], ["outbound_bytes"]),
+        ("true", "ratio %.1f, asymmetry %+.2f", ["out_in_byte_ratio", "asymmetric_traffic_score"], ["out_in_byte_ratio", "asymmetric_traffic_score"]),
+        ("outbound_rate > 1000", "%.0f bytes/s out", ["outbound_rate"], []),
+    ],
+    "ENCRYPTED_MALWARE": [
+        ("tls_version_num > 0", "TLS %.1f", ["tls_version_num"], ["tls_version_num"]),
+        ("has_tls_sni = 0", "no server name", [], ["has_tls_sni"]),
+        ("pkt_size_entropy > 0", "size entropy %.2f bits, mean size %.1f", ["pkt_size_entropy", "pkt_size_mean"], ["pkt_size_entropy"]),
+    ],
+    "UNKNOWN_ANOMALY": [("packet_rate > 10", "%.1f packets/s", ["packet_rate"], [])],
 }
+#: what an alert of each class says first
+_REASONS = {
+    "DDOS": "flood of traffic at a host", "PORT_SCAN": "ports or hosts probed by a source", "DGA_DNS_TUNNELLING": "generated names or data in DNS queries",
+    "C2_BEACONING": "regular check-ins with a host", "DATA_EXFILTRATION": "much more data out than in", "ENCRYPTED_MALWARE": "TLS without a server name",
+    "UNKNOWN_ANOMALY": "unlike ordinary traffic, of no known class",
+}
+
+
+def primary_reason(label: Column, confidence: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in _REASONS.items() for x in pair])
+    return F.coalesce(F.format_string("%s (confidence %.1f%%)", F.try_element_at(table, label), confidence * 100), F.lit("ordinary session"))
 
 
-def evidence(label: Column) -> tuple[Column, Column]:
-    """Texts (array) and values (map) that speak for the label."""
-    texts, values = F.array().cast("array<string>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
-    out_t, out_v = texts, values
-    for cls, rules in EVIDENCE.items():
-        hits = [(F.col(f) > v) if above else (F.col(f) < v) for f, v, above, _ in rules]
-        t = F.array_compact(F.array(*[F.when(h, F.format_string(text, F.col(f))) for h, (f, _, _, text) in zip(hits, rules)]))
-        e = F.map_from_entries(F.array_compact(F.array(*[F.when(h, F.struct(F.lit(f).alias("k"), F.col(f).alias("v"))) for h, (f, _, _, _) in zip(hits, rules)])))
-        out_t, out_v = F.when(label == cls, t).otherwise(out_t), F.when(label == cls, e).otherwise(out_v)
-    return F.when(label == "BENIGN", F.array(F.lit("ordinary two-way traffic"))).otherwise(out_t), out_v
+def evidence(label: Column, results: Column | None = None, anomaly: Column | None = None, threshold: float = 0.0) -> tuple[Column, Column]:
+    """Texts (array) and values (map) that speak for the label, then what each fired detector says, if not said yet."""
+    score = F.lit(None).cast("double") if anomaly is None else anomaly
+    texts = F.array(F.lit("ordinary two-way traffic"))
+    entry = lambda k, v: F.struct(F.lit(k).alias("k"), v.cast("double").alias("v"))
+    values = F.array().cast("array<struct<k: string, v: double>>")
+    for name, rules in _EVIDENCE.items():
+        said = [F.when(F.expr(cond), F.format_string(words, *[F.col(f) for f in fields])) for cond, words, fields, _ in rules]
+        kept = [F.when(F.expr(cond), entry(k, F.col(k))) for cond, _, _, keys in rules for k in keys]
+        if name == "UNKNOWN_ANOMALY" and anomaly is not None:
+            said.insert(0, F.format_string("anomaly score %.6f, threshold %.6f", score, F.lit(threshold)))
+            kept.append(entry("anomaly_score", score))
+        texts = F.when(label == name, F.array_compact(F.array(*said))).otherwise(texts)
+        values = F.when(label == name, F.array_compact(F.array(*kept)) if kept else F.array().cast("array<struct<k: string, v: double>>")).otherwise(values)
+    if results is not None:
+        fired = F.transform(F.filter(results, lambda r: r["triggered"]), lambda r: F.concat(F.lit("["), r["class"], F.lit("] "), r["reason"]))
+        texts = F.array_distinct(F.concat(texts, fired))
+    return texts, F.map_from_entries(values)

@@ -15,11 +15,56 @@ def class_report(df: DataFrame, truth: str, guess: str) -> DataFrame:
     return sums.select("class", "support", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
 
 
+def _in_ranges(df: DataFrame, value: str, by: list[str], parts: int = 1024) -> DataFrame:
+    """Counts n per value with __r, a range of values that follows their order: one of at most `parts` per group.
+
+    The bounds are quantiles of a summary (approx_percentile), so that ranges hold about equally many rows.
+    """
+    steps = [k / parts for k in range(1, parts)]
+    bounds = df.groupBy(*[F.col(b).alias(f"__g_{b}") for b in by]).agg(F.percentile_approx(value, steps, 10 * parts).alias("__bounds"))
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    same = F.lit(True)
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"__g_{b}"))
+    rows = counts.join(bounds, same)
+    return rows.select(*by, value, "n", F.size(F.filter("__bounds", lambda x: x < F.col(value))).alias("__r"))
+
+
+def percentiles(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """by..., share, value: exact percentiles with linear interpolation between neighbours, nulls and NaN left out.
+
+    Counts per value are cut into ranges that hold about equally many rows; running sums over the ranges find the one
+    that holds each rank, and only inside it values are put in order: no group is one task.
+    """
+    by = by or []
+    rows = _in_ranges(df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))), value, by)
+    sums = rows.groupBy(*by, "__r").agg(F.sum("n").alias("__m"))
+    w = Window.partitionBy(*by)
+    starts = sums.select(*[F.col(b).alias(f"__k_{b}") for b in by], F.col("__r").alias("__q"), F.sum("__m").over(w).alias("__all"), (F.sum("__m").over(w.orderBy("__r")) - F.col("__m")).alias("__s"), "__m")
+    # of each share the two ranks between which it lies, from 0 on
+    asked = F.array(*[F.struct(F.lit(float(p)).alias("share"), F.lit(k).alias("side"), (F.floor((F.col("__all") - 1) * float(p)) + k).alias("rank")) for p in shares for k in (0, 1)])
+    starts = starts.withColumn("__asked", F.filter(asked, lambda x: (F.least(x["rank"], F.col("__all") - 1) >= F.col("__s")) & (F.least(x["rank"], F.col("__all") - 1) < F.col("__s") + F.col("__m")))).where(F.size("__asked") > 0)
+    same = F.col("__r") == F.col("__q")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"__k_{b}"))
+    upto = F.sum("n").over(Window.partitionBy(*by, "__r").orderBy(value))
+    hits = rows.join(starts, same).select(*by, F.col(value).cast("double").alias("__v"), "n", (F.col("__s") + upto).alias("__u"), "__asked", "__all")
+    hits = hits.select("*", F.explode(F.filter("__asked", lambda x: (F.least(x["rank"], F.col("__all") - 1) < F.col("__u")) & (F.least(x["rank"], F.col("__all") - 1) >= F.col("__u") - F.col("n")))).alias("__x"))
+    low, high = (F.max(F.when(F.col("__x.side") == k, F.col("__v"))) for k in (0, 1))
+    part = F.max((F.col("__all") - 1) * F.col("__x.share") - F.floor((F.col("__all") - 1) * F.col("__x.share")))
+    return hits.groupBy(*by, F.col("__x.share").alias("share")).agg((low + (high - low) * part).alias("value"))
+
+
 def auc(df: DataFrame, positive: Column, score: Column) -> DataFrame:
-    """One row: auc, with ties counted half, from counts per distinct score (buckets of scores are never one task's rows)."""
-    by = df.groupBy(score.alias("s")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return by.select("p", "q", below.alias("below")).agg((F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / (F.sum("p") * F.sum("q"))).alias("auc"))
+    """One row: auc, with ties counted half, from counts per distinct score in ranges of scores; no task has all of them."""
+    rows = df.select(positive.alias("__p"), score.alias("s"))
+    ranges = _in_ranges(rows, "s", [])
+    by = rows.groupBy(F.col("s").alias("t")).agg(F.count_if("__p").alias("p"), F.count_if(~F.col("__p")).alias("q")).join(ranges, F.col("t") == F.col("s"))
+    sums = by.groupBy("__r").agg(F.sum("q").alias("__m"))
+    starts = sums.select(F.col("__r").alias("__k"), F.coalesce(F.sum("__m").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
+    inside = F.coalesce(F.sum("q").over(Window.partitionBy("__r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    below = by.select("p", "q", "__r", inside.alias("__i")).join(starts, F.col("__r") == F.col("__k")).select("p", "q", (F.col("__i") + F.col("__s")).alias("below"))
+    return below.agg((F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / (F.sum("p") * F.sum("q"))).alias("auc"))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

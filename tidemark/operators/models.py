@@ -114,6 +114,14 @@ def anomaly_scores(df: DataFrame, forest: IsolationForest, features: list[str])
     return df.withColumn("anomaly_score", score(F.struct(*features)))
 
 
+def contamination_threshold(scored: DataFrame, share: float = 0.01) -> float:
+    """The score below which `share` of the training rows lie: what is lower is anomalous. 0 for no rows."""
+    from tidemark.operators.metrics import percentiles
+
+    found = percentiles(scored, "anomaly_score", [share]).first()
+    return float(found.value) if found else 0.0
+
+
 def save(model, path: str, metadata: dict) -> None:
     """The model and, beside it, what it was made of."""
     model.write().overwrite().save(f"{path}/model")

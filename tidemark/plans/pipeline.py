@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import features, pipeline
+from tidemark.operators import detectors, features, models, pipeline
 from tidemark.operators.events import normalize
-from tidemark.plans.registry import _EV
-from tidemark.session import read_table
+from tidemark.plans.registry import _DETECT, _EV
+from tidemark.session import cut, read_table
 
 _LL = " ".join(f"when '{k}' then ln({v})" for k, v in text.BIGRAMS.items())
 
@@ -83,7 +83,61 @@ def feature_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return v.select("flow_id", *features.ENDS, "timestamp", *[F.round(F.col(n) + 1e-9, 4).alias(n) for n in ["window_duration_sec", *features.ORDER]])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (feature_vectors,)}
+#: CTEs: sv, the rules' decision on each vector; al, the alerts made of them
+_RULES = _VECTORS.rstrip() + ",\n  fv as (select *, src_port as sp, dst_port as dp from v),\n" + _DETECT[_DETECT.index("  d as (") :].replace("from v)", "from fv)") + """,
+  r as (select *, round(us) as at, case when exfil > 0 then 'DATA_EXFILTRATION' when c2_ > 0 then 'C2_BEACONING' when dns > 0 then 'DGA_DNS_TUNNELLING' when scan > 0 then 'PORT_SCAN' when encrypted > 0 then 'ENCRYPTED_MALWARE' when ddos > 0 then 'DDOS' else 'BENIGN' end as label,
+    case when exfil > 0 then greatest(0.85, exfil) when c2_ > 0 then greatest(0.85, c2_) when dns > 0 then greatest(0.85, dns) when scan > 0 then greatest(0.85, scan) when encrypted > 0 then greatest(0.85, encrypted) when ddos > 0 then greatest(0.85, ddos) else 0.9 end as confidence from s),
+  sv as (select *, case label when 'BENIGN' then 'INFO' when 'DDOS' then case when packet_rate >= 500 or dst_in_degree >= 20 or confidence >= 0.9 then 'CRITICAL' else 'HIGH' end
+    when 'DATA_EXFILTRATION' then case when outbound_bytes >= 10000000 or outbound_rate >= 100000 then 'CRITICAL' else 'HIGH' end when 'C2_BEACONING' then case when confidence >= 0.85 or periodicity_score >= 0.2 then 'CRITICAL' else 'HIGH' end
+    when 'PORT_SCAN' then case when unique_dst_ports >= 25 or dst_port_fanout >= 10 then 'HIGH' else 'MEDIUM' end else case when confidence >= 0.8 then 'HIGH' else 'MEDIUM' end end as severity from r),
+  fl as (select *, case when us - lag(us) over (partition by src_ip, dst_ip, label order by us) > 30000000 then 1 else 0 end as flag from sv),
+  ru as (select *, sum(flag) over (partition by src_ip, dst_ip, label order by us) as run from fl),
+  al as (select src_ip, dst_ip, label as threat_class, min(us) as first_us, max(us) as last_us, count(*) as occurrence_count, round(cast(max(confidence) as double), 6) as max_confidence, arg_min(severity, (us, severity)) as severity from ru group by src_ip, dst_ip, label, run)
+"""
+
+
+def _decided_by_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Decisions where the supervised model calls everything benign at 0.9: what the rules alone find."""
+    return pipeline.decide(_vectors(spark, folder), F.lit("BENIGN"), F.lit(0.9), F.lit(1.0))
+
+
+def pipeline_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """From deliveries to alerts without fitted models."""
+    found = pipeline.to_alerts(_decided_by_rules(spark, folder))
+    return found.select("src_ip", "dst_ip", "threat_class", "first_us", "last_us", "occurrence_count", F.round("max_confidence", 6).alias("max_confidence"), "severity")
+
+
+def run_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The report of that run."""
+    decided = cut(_decided_by_rules(spark, folder), "decided")
+    return pipeline.report(normalize(read_table(spark, folder, "net_events")), decided, pipeline.to_alerts(decided))
+
+
+def pipeline_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    """From deliveries to alerts with models: a forest and an anomaly detector are fitted on the vectors of the run, labelled
+    by the detectors, and applied to all of them. (flow_vectors has other distributions: a forest fitted there calls nearly
+    every flow of net_events a beacon.)"""
+    v = cut(_vectors(spark, folder), "run-vectors")
+    found = v.withColumn("found", detectors.detect(F.col("src_port"), F.col("dst_port")))
+    train = found.select(*features.ORDER, F.coalesce(detectors.first_fired(F.col("found"))["class"], F.lit("BENIGN")).alias("label"))
+    forest = models.random_forest(train, features.ORDER, "label")
+    calm = train.where("label = 'BENIGN'").select(*features.ORDER)
+    odd = models.isolation_forest(calm, features.ORDER, trees=100)
+    threshold = models.contamination_threshold(models.anomaly_scores(calm, odd, features.ORDER), 0.01)
+    scored = models.anomaly_scores(models.classify(forest, v), odd, features.ORDER)
+    names = {"model_class": "m_class", "model_confidence": "m_confidence", "anomaly_score": "m_anomaly"}
+    decided = pipeline.decide(scored.withColumnsRenamed(names), F.col("m_class"), F.col("m_confidence"), F.col("m_anomaly"), threshold)
+    return pipeline.threats(pipeline.to_alerts(decided))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (feature_vectors, pipeline_rules, run_report, pipeline_alerts)}
 SQL = {
+    "pipeline_rules": _RULES + " select * from al",
+    "run_report": _RULES
+    + """, re as (select count(*) as n_events, count(distinct flow_id) as n_flows, greatest(0.0001, (max(us) - min(us)) / 1000000) as seconds from ev),
+  rd as (select count(*) as n_decisions, count(*) filter (label <> 'BENIGN') as n_triggered, count(*) filter (label = 'BENIGN') as n_bypassed from sv),
+  ra as (select count(*) as n_alerts, count(*) filter (threat_class <> 'BENIGN') as n_threats, count(*) filter (threat_class not in ('BENIGN', 'UNKNOWN_ANOMALY')) as n_known, count(*) filter (threat_class = 'UNKNOWN_ANOMALY') as n_novel,
+    count(*) filter (threat_class <> 'BENIGN' and severity in ('CRITICAL', 'HIGH')) as n_severe from al)
+  select * exclude (seconds), round_even(n_events / seconds, 6) as events_per_second, round_even(n_flows / seconds, 6) as flows_per_second, round_even(greatest(0.0, 1 - n_alerts / greatest(n_decisions, 1)), 4) as dedup_savings from re, rd, ra""",
     "feature_vectors": _VECTORS + " select flow_id, src_ip, dst_ip, src_port, dst_port, \"timestamp\", " + ", ".join(f"round(cast({n} as double) + 1e-9, 4) as {n}" for n in ["window_duration_sec", *features.ORDER]) + " from v",
 }

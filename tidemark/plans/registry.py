@@ -267,12 +267,15 @@ def fusion_table(spark, folder):
 
 
 @query(_FUSED + """ select vec_id, label, cast(case label when 'BENIGN' then 1
-  when 'DDOS' then (syn_ratio > 0.5)::int + (packet_rate > 10)::int + (src_ip_entropy > 1.5)::int + (dst_in_degree > 5)::int + (udp_rate > 10)::int when 'PORT_SCAN' then (unique_dst_ports > 1)::int + (dst_port_fanout > 0.5)::int + (unique_dst_hosts > 1)::int + (conn_attempts > 1)::int
+  when 'DDOS' then (syn_ratio > 0.5)::int + (packet_rate > 10)::int + (src_ip_entropy > 1.5)::int + (unique_src_count > 5 or dst_in_degree > 5)::int + (udp_rate > 10)::int when 'PORT_SCAN' then (unique_dst_ports > 1)::int + (dst_port_fanout > 0.5)::int + (unique_dst_hosts > 1)::int + (conn_attempts > 1)::int
   when 'DGA_DNS_TUNNELLING' then (shannon_entropy_mean > 2.5)::int + (query_len_mean > 15)::int + (txt_record_ratio > 0.2)::int + (ngram_log_likelihood < -3)::int + (query_frequency > 1)::int when 'C2_BEACONING' then (iat_mean > 0)::int + (iat_cv < 0.3)::int + (periodicity_score > 0.05)::int + (repeated_conn_count > 1)::int
-  when 'DATA_EXFILTRATION' then (outbound_bytes > -1)::int + (out_in_byte_ratio > -1)::int + (outbound_rate > 1000)::int when 'ENCRYPTED_MALWARE' then (tls_version_num > 0)::int + (pkt_size_entropy > 0)::int else (packet_rate > 10)::int end as int) as n_evidence from y""")
+  when 'DATA_EXFILTRATION' then 2 + (outbound_rate > 1000)::int when 'ENCRYPTED_MALWARE' then (tls_version_num > 0)::int + (has_tls_sni = 0)::int + (pkt_size_entropy > 0)::int else (packet_rate > 10)::int end as int) as n_evidence, cast(case label when 'BENIGN' then 0
+  when 'DDOS' then (syn_ratio > 0.5)::int + (packet_rate > 10)::int + (src_ip_entropy > 1.5)::int + (unique_src_count > 5 or dst_in_degree > 5)::int + (udp_rate > 10)::int when 'PORT_SCAN' then (unique_dst_ports > 1)::int + (dst_port_fanout > 0.5)::int + (unique_dst_hosts > 1)::int + 2 * (conn_attempts > 1)::int
+  when 'DGA_DNS_TUNNELLING' then (shannon_entropy_mean > 2.5)::int + (query_len_mean > 15)::int + (txt_record_ratio > 0.2)::int + (ngram_log_likelihood < -3)::int + (query_frequency > 1)::int when 'C2_BEACONING' then (iat_mean > 0)::int + (iat_cv < 0.3)::int + (periodicity_score > 0.05)::int + (repeated_conn_count > 1)::int
+  when 'DATA_EXFILTRATION' then 3 when 'ENCRYPTED_MALWARE' then (tls_version_num > 0)::int + (has_tls_sni = 0)::int + (pkt_size_entropy > 0)::int else 0 end as int) as n_values from y""")
 def alert_evidence(spark, folder):
-    texts, _ = detectors.evidence(F.col("label"))
-    return _fused(spark, folder).select("vec_id", "label", F.size(texts).alias("n_evidence"))
+    texts, values = detectors.evidence(F.col("label"))
+    return _fused(spark, folder).select("vec_id", "label", F.size(texts).alias("n_evidence"), F.size(values).alias("n_values"))
 
 
 @query(f"""with v as (select *, {_PORTS} from flow_vectors),
@@ -294,11 +297,45 @@ def _gate():
     return detectors.gate({"syn_ratio": c("syn_ratio"), "packet_rate": c("packet_rate"), "ports": c("unique_dst_ports"), "port_fanout": c("dst_port_fanout"), "hosts": c("unique_dst_hosts"), "host_fanout": c("dst_host_fanout"), "query_length": c("query_len_mean"), "txt_ratio": c("txt_record_ratio"), "out_bytes": c("outbound_bytes"), "out_in_ratio": c("out_in_byte_ratio"), "src_port": _port(0), "dst_port": _port(1), "n_times": c("repeated_conn_count"), "tls": c("tls_version_num") > 0, "sni": c("has_tls_sni") > 0})
 
 
-@query()
+_GATE = f"""with v as (select *, {_PORTS} from flow_vectors),
+  g as (select *, sp > 1024 and dp in (80, 443, 8080, 22) and outbound_bytes >= 15000 as client from v),
+  c as (select *, case when client and out_in_byte_ratio >= 20 then 'DATA_EXFILTRATION' when query_len_mean >= 25 or txt_record_ratio >= 0.35 then 'DGA_DNS_TUNNELLING' when unique_dst_ports >= 10 or dst_port_fanout >= 10 or unique_dst_hosts >= 8 or dst_host_fanout >= 8 then 'PORT_SCAN' when syn_ratio >= 0.7 or packet_rate >= 80 then 'DDOS' end as crit,
+    cast(greatest(case when syn_ratio >= 0.7 or packet_rate >= 80 then 0.95 when syn_ratio >= 0.45 or packet_rate >= 20 then 0.65 else 0 end,
+     case when unique_dst_ports >= 10 or dst_port_fanout >= 10 then 0.92 when unique_dst_hosts >= 8 or dst_host_fanout >= 8 then 0.88 when unique_dst_ports >= 3 or unique_dst_hosts >= 3 then 0.6 else 0 end,
+     case when query_len_mean >= 25 or txt_record_ratio >= 0.35 then 0.93 when query_len_mean >= 15 or txt_record_ratio >= 0.2 then 0.7 else 0 end,
+     case when client and out_in_byte_ratio >= 20 then 0.9 when client and out_in_byte_ratio >= 8 then 0.65 else 0 end, case when repeated_conn_count >= 4 then 0.55 else 0 end,
+     case when tls_version_num > 0 and has_tls_sni = 0 and dp in (443, 8443) then 0.75 else 0 end) as double) as urgency from g)"""
+#: fired detectors in list order, and whether the model is confirmed by one
+_IN_ORDER = """case when ddos > 0 then 'DDOS' when scan > 0 then 'PORT_SCAN' when dns > 0 then 'DGA_DNS_TUNNELLING' when c2_ > 0 then 'C2_BEACONING' when exfil > 0 then 'DATA_EXFILTRATION' when encrypted > 0 then 'ENCRYPTED_MALWARE' end as top,
+    case when ddos > 0 then ddos when scan > 0 then scan when dns > 0 then dns when c2_ > 0 then c2_ when exfil > 0 then exfil when encrypted > 0 then encrypted end as top_score"""
+
+
+@query(_DETECT + f""", gate as ({_GATE} select vec_id, crit, urgency from c),
+  m as (select s.*, crit, urgency, {_MODEL_SQL.replace("vec_id", "s.vec_id")} from s join gate on s.vec_id = gate.vec_id), t as (select *, {_IN_ORDER} from m),
+  u as (select *, urgency > 0 and top is not null and (conf < 0.75 or rf = 'BENIGN' or top = rf) as rule, rf <> 'BENIGN' and conf >= 0.75 as known, odd and not (rf <> 'BENIGN' and conf >= 0.8) as anomalous from t)
+  select vec_id, case when crit is not null then crit when rule then top when known then rf when anomalous then 'UNKNOWN_ANOMALY' else 'BENIGN' end as label, case when crit is not null or rule then 'B' when known and anomalous then 'A' when known then 'B' when anomalous then 'C' else 'D' end as state,
+    round(cast(case when crit is not null then greatest(0.9, urgency) when rule then greatest(0.85, top_score) when known and anomalous then least(1.0, greatest(conf, 0.92)) when known then conf when anomalous then least(1.0, 0.6 + 2 * greatest(0, -anomaly)) else greatest(0.9, conf) end as double), 6) as confidence from u""")
 def fusion_gated(spark, folder):
     rf, conf, anomaly, odd = _model()
     out = detectors.fuse_gated(_gate(), F.col("found"), rf, conf, anomaly, odd)
-    return _detected(spark, folder).select("vec_id", *[v.alias(k) for k, v in out.items()])
+    return _detected(spark, folder).select("vec_id", out["label"].alias("label"), out["state"].alias("state"), F.round(out["confidence"], 6).alias("confidence"))
+
+
+_UNORDERED = _DETECT + f""", m as (select *, {_MODEL_SQL} from s),
+  t as (select *, rf <> 'BENIGN' and conf >= 0.75 as known, ddos > 0 or scan > 0 or dns > 0 or c2_ > 0 or exfil > 0 or encrypted > 0 as fired, conf < 0.75 or rf = 'BENIGN' as weak from m),
+  u as (select *, case when ddos > 0 and (weak or rf = 'DDOS') then 'DDOS' when scan > 0 and (weak or rf = 'PORT_SCAN') then 'PORT_SCAN' when dns > 0 and weak then 'DGA_DNS_TUNNELLING' when c2_ > 0 and (weak or rf = 'C2_BEACONING') then 'C2_BEACONING' when exfil > 0 and weak then 'DATA_EXFILTRATION' when encrypted > 0 and weak then 'ENCRYPTED_MALWARE' end as top,
+    case when ddos > 0 and (weak or rf = 'DDOS') then ddos when scan > 0 and (weak or rf = 'PORT_SCAN') then scan when dns > 0 and weak then dns when c2_ > 0 and (weak or rf = 'C2_BEACONING') then c2_ when exfil > 0 and weak then exfil when encrypted > 0 and weak then encrypted end as top_score from t),
+  x as (select *, case when top is not null then top when known then rf when odd or fired then 'UNKNOWN_ANOMALY' else 'BENIGN' end as label,
+    case when top is not null then 'B' when known and odd then 'A' when known then 'B' when odd or fired then 'C' else 'D' end as state,
+    round_even(cast(case when top is not null then greatest(0.85, top_score) when known and odd then least(1.0, greatest(conf, 0.92)) when known then conf when odd or fired then least(1.0, 0.6 + abs(anomaly) / 0.5) when rf = 'BENIGN' then conf else 1 - conf end as double), 4) as confidence from u)"""
+
+
+@query(_UNORDERED + " select vec_id, label, state, confidence from x")
+def fusion_unordered(spark, folder):
+    """The decision table of side-by-side comparisons."""
+    rf, conf, anomaly, odd = _model()
+    out = detectors.fuse_unordered(F.col("found"), rf, conf, anomaly, odd)
+    return _detected(spark, folder).select("vec_id", *[out[k].alias(k) for k in ("label", "state", "confidence")])
 
 
 @query("""{ev}, f as (select flow_id, any_value(src_ip) as src_ip, sum(orig_pkts + resp_pkts) as pk, sum(orig_bytes + resp_bytes) as by_, count(case when contains(conn_state, 'S') then 1 end) as syn, count(case when contains(conn_state, 'R') then 1 end) as rst, max(duration) as d, min(us) as a, max(us) as b, count(*) as n, stddev_samp(orig_bytes) as sd from ev group by flow_id),
