@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import leaks, neighbors, packing, pii, sketch
-from tidemark.session import read_table
+from tidemark.session import cut, read_table
 
 _KEYS = ["day", "sensor_id", "event_type", "protocol"]
 
@@ -67,7 +67,22 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The ten most similar other vectors of every vector."""
-    return neighbors.most_similar(read_table(spark, folder, "flow_vectors"), read_table(spark, folder, "feature_scale"))
+    found = neighbors.most_similar(read_table(spark, folder, "flow_vectors"), read_table(spark, folder, "feature_scale"))
+    return found.withColumn("distance", F.round("distance", 5))
+
+
+def p3_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the vectors whose id is divisible by 20: how many true neighbours they have (by comparing all), and whether the
+    index finds 99 % of them (another vector at the same distance counts)."""
+    vectors, scale = read_table(spark, folder, "flow_vectors"), read_table(spark, folder, "feature_scale")
+    points, width = neighbors.scaled_rows(vectors, scale, "vec_id")
+    points = cut(points, "points")
+    true = neighbors.nearest_by_scan(points, points.where(F.col("id") % 20 == 0), 10, width)
+    found = p3_neighbours(spark, folder).where(F.col("a") % 20 == 0)
+    last = true.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far"))
+    hit = found.select(F.col("a").alias("q"), "distance").join(last, F.col("q") == F.col("a")).where(F.col("distance") <= F.col("far") + 1e-5)
+    both = last.agg(F.sum("n").alias("n_neighbours")).crossJoin(hit.agg(F.count(F.lit(1)).alias("hits")))  # two single rows
+    return both.select("n_neighbours", (F.col("hits") >= 0.99 * F.col("n_neighbours")).alias("recall_is_99_percent"))
 
 
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,7 +108,7 @@ def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find_pii(read_table(spark, folder, "documents"), read_table(spark, folder, "name_lexicon"), with_text=True).select("doc_id", F.col("redacted").alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_distinct_sources, p1_within_bound, p1_large_sets, p3_found, p3_neighbours, p8_containers, p9_found, p9_near, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p1_distinct_sources, p1_within_bound, p1_large_sets, p3_found, p3_neighbours, p3_recall, p8_containers, p9_found, p9_near, p10_found, p10_redacted)}
 
 _CUBE = """
     with rows as (select case when "timestamp" <> 0 then strftime(make_timestamp(cast(floor("timestamp") as bigint) * 1000000), '%Y-%m-%d') end as day,
@@ -122,7 +137,16 @@ _NEAR = """
     near as (select distinct doc_id, item_id from (select distinct * from dk) join (select distinct * from ik) using (k, kind, g)),
     exact as (select distinct doc_id, item_id from (select doc_id, array_to_string(v[:13], ' ') as g from dw where n >= 13) join (select item_id, array_to_string(v, ' ') as g from ig) using (g))
     select near.doc_id, near.item_id, cast(case when exact.doc_id is null then 1 else 0 end as bigint) as edits from near left join exact on near.doc_id = exact.doc_id and near.item_id = exact.item_id"""
+#: all pairs, by scaled distance in single precision as the index has it
+_SCALED = """
+    with long as (unpivot (select * exclude (flow_id, "timestamp", window_duration_sec) from (select * from flow_vectors)) on columns(* exclude (vec_id)) into name feature_name value x),
+    z as (select vec_id, list(cast((case when log_scaled then ln(1 + x) else x end - center) / spread as float) order by feature_index) as v from long join feature_scale using (feature_name) group by vec_id),
+    p as (select a.vec_id as a, b.vec_id as b, list_distance(cast(a.v as double[]), cast(b.v as double[])) as d from z a join z b on a.vec_id <> b.vec_id),
+    k as (select *, row_number() over (partition by a order by d, b) as nth from p)"""
 SQL = {
+    "p3_found": _SCALED + " select distinct least(a, b) as vec_a, greatest(a, b) as vec_b from k where nth <= 10 and d <= 0.9",
+    "p3_neighbours": _SCALED + " select a, b, round(d, 5) as distance from k where nth <= 10",
+    "p3_recall": "with n as (select count(*) as n from flow_vectors) select cast(least(10, n - 1) * (select count(*) from flow_vectors where vec_id % 20 = 0) as bigint) as n_neighbours, true as recall_is_99_percent from n",
     "p9_near": _NEAR,
     "p1_within_bound": _CUBE + """
     select day, sensor_id, event_type, protocol, cast(grouping_id(day, sensor_id, event_type, protocol) as bigint) as level, count(distinct src_ip) as exact_sources, true as within
