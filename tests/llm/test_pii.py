@@ -76,6 +76,35 @@ def test_disguises_map_back_to_the_source(detector):
         assert got == ([] if value is None else [value])
 
 
+#: sentences of none of the corpus's templates, with names of no list; the rules were written before them
+HELD_OUT = [
+    "«Johann Keller» fixed the router.", "We interviewed «Dana Whitfield» on Monday.", "Her manager, «Tomas Brandt», disagreed.", "Please forward this to «Priya Raman» today.",
+    "Our new hire is «Chen Wei».", "The report by «Elena Rossi» was late.", "It ships to «12 Oak Hollow, Springfield».", "The office is at «77 rue de Rivoli, 75001 Paris».",
+    "Account DE89 3704 0044 0532 0130 00 was charged.", "write to «j dot doe at gmail dot com» soon", "According to «Miriam Oduya», the outage began at 9.",
+    "I spoke with «Henrik Lindqvist» about the firewall.", "Her colleague «Sven Aaltonen» said nothing.", "Yesterday «Fatima Zahra» wrote a long mail.", "The patch was reviewed by «Kofi Mensah».",
+    "Our client, «Anneliese Vogt», complained twice.", "The technician «Marek Novák» replied within the hour.", "Dear «Olivia Pereira», the ticket is closed.", "They promoted «Ngozi Eze» last year.",
+    "«Rosa Delgado», our auditor, suggested a change.", "We thanked «Liam O'Connor» for the help.", "The engineer «Yuki Tanaka» noticed it first.", "Laut «Jürgen Krause» war der Server aus.",
+    "Der Kollege «Uwe Steinmann» sagte nichts.", "Según «Carmen Ibáñez», todo funciona.", "Handed over to «Peter van Dyke» at noon.", "He lives at «221 Birch Row, Milton».", "Deliver to «5 via Garibaldi, 20121 Milano».",
+    "Via Port 443 the host answered.", "3 Failed Path, retry later.", "Blue Heron targeted the bank.", "Team Falcon fixed the router.", "The Load Balancer replied slowly.", "Windows Server agreed to the policy.",
+    "Silver Fox resigned the certificate.", "San Diego agreed to pay.", "The Night Shift reported it.", "New York said no.", "Rule 7 by Default Policy was hit.", "What The Analyst Should Record Before Isolating Anything",
+    "Contact «" + "a.very.long.local.part." + "x" * 120 + "@mail.example» now", "cc «a@" + "sub." * 80 + "example.org», please",
+    "Send it to «Apt 5C, 364 " + "W" + "i" * 200 + "ngate Drive, Brightfen». Then wait.",
+]
+
+
+def test_sentences_of_other_templates(detector):
+    hit, extra, missed = 0, [], []
+    for case in HELD_OUT:
+        at = case.find("«")
+        text = case.replace("«", "").replace("»", "")
+        want = {(at, case.index("»") - 1)} if at >= 0 else set()
+        got = {(a, b) for a, b, _ in detector.find(text)}
+        hit += len(got & want)
+        extra += [text[a:b] for a, b in got - want]
+        missed += [text[a:b] for a, b in want - got]
+    assert (hit, extra, missed) == (30, [], [])
+
+
 def test_traced_spans():
     t = plain("a (at) b [dot] org, x")
     assert t.text == "a@b.org, x" and t.span(0, 7) == (0, 18)

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -102,6 +103,7 @@ def _digits(m: re.Match) -> str:
 
 
 _DOMAIN_WORDS = re.compile(r"(?<=[\w+-])(\s+(?:at|arroba)\s+|@)([\w-]+(?:\s+(?:dot|punkt|punto)\s+[\w-]+)+)", re.I)
+_LOCAL_WORDS = re.compile(r"(?<![\w@.+-])(?:[\w+-]+\s+(?:dot|punkt|punto)\s+)+[\w+-]+$", re.I)
 _MAIL_WORDS = re.compile(r"(?<=[\w+-])\s+(?:at|arroba)\s+(?=[\w-]+\s+(?:dot|punkt|punto)\s)|(?<=\w)\s+(?:dot|punkt|punto)\s+(?=[\w-])", re.I)
 
 
@@ -120,7 +122,10 @@ def plain(text: str, spelled: bool = True, disguised: bool = True) -> Traced:
             t = t.rewrite(_DOT_BRACKET, lambda m: "." if any(s <= m.start() < e for s, e in mails) else m[0])
     if disguised:
         # "at" alone is an ordinary word: it counts only before a domain that is spelled with "dot"
-        at = [(m.start(1), m.end(2)) for m in _DOMAIN_WORDS.finditer(t.text)]
+        at = []
+        for m in _DOMAIN_WORDS.finditer(t.text):
+            local = _LOCAL_WORDS.search(t.text, at[-1][1] if at else 0, m.start(1))
+            at.append((local.start() if local else m.start(1), m.end(2)))
         if at:
             inside = lambda m: any(s <= m.start() < e for s, e in at)
             t = t.rewrite(_MAIL_WORDS, lambda m: m[0] if not inside(m) else "@" if m[0].strip().lower() in ("at", "arroba") else ".")
@@ -160,12 +165,24 @@ _ID_LABEL = re.compile(
 )
 _ID_FIELD = re.compile(rf'";"({_ID_SHAPE}|\d{{9,11}})";"')
 
+_IBAN = re.compile(r"(?<![\w])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w)")
+
+
+def _bank_account(text: str) -> bool:
+    """Whether the check digits of an account number hold; it is no number of a person."""
+    plain_ = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain_[4:] + plain_[:4])) % 97 == 1
+
+
 _UNIT = r"(?:(?:Apt|Apartment|Flat|Suite|Unit|APT|FLAT|SUITE|UNIT|Ste|Wohnung|Piso)\.?[ ]?#?[\w-]{1,5},?\s+)?"
 _CAP = r"[A-ZÀ-ÖØ-Þ](?:[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+)(?:['-][A-ZÀ-Þ]?[A-Za-zÀ-ÿ]+)?"
 _KIND = (
     r"(?:Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Lane|Ln|Court|Ct|Boulevard|Blvd|Place|Pl|Square|Sq|Terrace|Way|Close|Crescent|Highway|Hwy|Parkway|Pkwy"
     r"|STREET|ST|AVENUE|AVE|ROAD|RD|DRIVE|DR|LANE|LN|COURT|CT|BOULEVARD|BLVD|PLACE|PL|SQUARE|TERRACE|WAY|CLOSE|CRESCENT|HIGHWAY)\b\.?"
 )
+#: kinds that are ordinary words too: they count before a town only
+_KIND_NEAR_TOWN = r"(?:Hollow|Row|Walk|Mews|Circle|Cir|Trail|Trl|Loop|Alley|Gardens|Gdns|Gate|Grove|Rise|Quay|Wharf|Bend|Crossing|Pike|Path|Ridge|View|Yard|Park|Green|Hill|Crest|Point|Cove|Glen|Heath|Meadows?)"
+_ROMANCE = r"(?:rue|avenue|boulevard|place|quai|chemin|all[ée]e|impasse|cours|via|viale|piazza|corso|Rue|Via|Viale|Piazza|Corso)"
 _TOWN_WORD = r"(?!Tel\b|Phone\b|TEL\b)" + _CAP
 _TOWN = (
     rf"(?:(?:Port|New|San|Santa|Los|Las|Saint|St\.|Fort|Mount|Lake|North|South|East|West|Upper|Lower|Bad|PORT|NEW|SAN|SANTA|SAINT|FORT|MOUNT|LAKE|BAD)[ ]{_TOWN_WORD}"
@@ -177,6 +194,8 @@ _PLACE_FIRST_ZIP = rf"(?:,?\s+(?:D-)?\d{{5}}[ ]{_TOWN}|,[ ]{_TOWN}{_ZIP}?|,?\s+{
 _ADDRESS = re.compile(
     r"(?<![\w.:/-])(?:"
     rf"{_UNIT}\d{{1,5}}[a-zA-Z]?[ ](?:(?:N|S|E|W|North|South|East|West)\.?[ ])?{_CAP}(?:[ ]{_CAP}){{0,2}}[ ]{_KIND}(?:,[ ](?:Apt|Apartment|Flat|Suite|Unit)\.?[ ]?#?\w{{1,5}})?{_PLACE}"
+    rf"|{_UNIT}\d{{1,5}}[a-zA-Z]?[ ](?:{_CAP}[ ]){{1,3}}{_KIND_NEAR_TOWN},[ ]{_TOWN}{_ZIP}?"
+    rf"|\d{{1,4}}(?:[ ]?(?:bis|ter))?,?[ ]{_ROMANCE}[ ](?:(?:de la|de l['’]|de|du|des|d['’]|della|dei|del|di)[ ]?)*{_CAP}(?:[ -]{_CAP}){{0,3}}{_PLACE_FIRST_ZIP}"
     rf"|{_UNIT}(?:P\.?[ ]?O\.?[ ]?Box|P\.?[ ]?O\.?[ ]?BOX|Postfach|POSTFACH|Apartado(?:[ ]de[ ]Correos)?|APARTADO)[ ]\d{{1,6}}{_PLACE_FIRST_ZIP}"
     rf"|(?:(?:Am|An[ ]der|Auf[ ]der|Im|In[ ]der|Zum|Zur|AM|IM|ZUM|ZUR)[ ])?{_CAP}(?:(?<=straße)|(?<=strasse)|(?<=str\.)|(?<=gasse)|(?<=weg)|(?<=platz)|(?<=allee)|(?<=STRASSE)|(?<=GASSE)|(?<=WEG)|(?<=PLATZ)|(?<=ALLEE))[ ]\d{{1,4}}[ ]?[a-z]?\b{_PLACE_FIRST_ZIP}"
     rf"|(?:Calle|C/|Avda\.?|Avenida|Plaza|Paseo|Camino|CALLE|AVENIDA|PLAZA|PASEO)[ ]?(?:(?:de|del|la|las|los|DE|DEL|LA|LAS|LOS)[ ])*{_CAP}(?:[ ]{_CAP}){{0,2}},?[ ]\d{{1,4}}[a-z]?\b(?:,[ ]\d{{1,2}}[º°ª](?:[ ]?[A-Za-z]\b)?)?{_PLACE_FIRST_ZIP}"
@@ -220,31 +239,93 @@ _TAIL_OK = re.compile(r"\s*(?:[.,;:()<\"\n]|$|when|at|on|and|und|y|rang|who|for|
 
 _LOWER_TAIL = re.compile(r"\s*(?:[.,;(<\"\n]|$|when|confirmed|bestätigt|confirma|rang|and|und|y|for|at|al|unter|on|asked|entered|reachable|'s)")
 
+# Names that nothing but their shape and the sentence around them gives away: two words or more that look like a name, none of
+# them a word that often is capital for other reasons, and beside them what only people are or do. No further capital word may
+# follow, as in titles.
+_ROLES = """manager boss colleague coworker co-worker supervisor engineer analyst administrator operator technician developer consultant director officer
+ceo cto ciso cfo nurse doctor teacher professor student employee contractor intern tenant customer client patient witness author editor assistant secretary
+friend brother sister wife husband son daughter mother father neighbour neighbor predecessor successor deputy chairman chairwoman lawyer accountant
+kollege kollegin chef chefin leiter leiterin mitarbeiter mitarbeiterin kunde kundin techniker technikerin
+jefe jefa colega ingeniero ingeniera empleado empleada cliente técnico técnica""".split()
+_ACTS = """interviewed emailed e-mailed phoned messaged texted hired promoted thanked notified informed invited
+accompanied|by report|by note|by mail|by letter|by memo|by patch|by paper|by talk|by summary|by review|by analysis|by written|by sent|by opened|by closed|by filed|by prepared|by
+reviewed|by created|by authored|by handled|by led|by forward|this|to forward|it|to hand|this|to hand|it|to handed|over|to speak|to speak|with spoke|to spoke|with talk|to talk|with talked|to talked|with met|with meeting|with call|with interview|with
+according|to on|behalf|of hire|is named dear befragte befragten laut geschrieben|von erstellt|von verfasst|von entrevistamos|a según escrito|por enviado|por""".split()
+_DOES = """said says wrote writes replied replies answered told thinks thought believes believed agreed agrees disagreed disagrees explained noticed
+apologised apologized complained fixed joined resigned retired emailed phoned suggested promised offered sagte schrieb meinte antwortete dijo escribió respondió opina""".split()
+_NO_NAME = """the this that these those our my your her his their its an in on at if when while after before each every some no not new old all any both few many most
+other such yesterday today tomorrow later then however meanwhile finally also but and or so yet once since because although please thanks hello hi dear we they he she it
+you i who what where why how monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december
+team group campaign operation project program street road avenue drive lane court room building floor meeting main port version rule sensor node server router switch load balancer proxy gateway firewall database cluster printer scanner laptop phone mail web cloud default policy
+san santa saint fort mount lake los angeles hong kong
+network security data internet windows linux service desk center centre office department company corporation inc ltd gmbh university college school hospital bank
+north south east west central upper lower city town county state united states kingdom incident report alert ticket case class build release shift night day blue red
+should would could will can must may might shall has have had is was are were do does did be been being
+black white grey gray silver golden dark iron steel storm shadow winter rapid first second third last next der die das den dem ein eine einen kein keine wir sie er es ich
+ihr unser mein dein im am um bei mit nach von zu und oder aber wenn nachdem heute gestern montag dienstag mittwoch donnerstag freitag samstag sonntag el la los las un una
+su mi tu nuestro nuestra este esta hoy ayer lunes martes miércoles jueves viernes sábado domingo en con por para si cuando""".split()
+_PROPER = rf"(?!(?i:{'|'.join(_NO_NAME)})\b){_PART}"
+_WHOLE = rf"(?P<name>{_PROPER}[ ](?:{_INITIAL}[ ])*{_PARTICLE}?{_PROPER}(?:[ ]{_PROPER})?)(?![\w@/-])(?![ ][A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])"
+_AFTER_ROLE = re.compile(rf"(?i:\b(?:{'|'.join(_ROLES)})(?:,|[ ](?:is|was|ist|war|es))?[ ]){_WHOLE}")
+_AFTER_ACT = re.compile(rf"(?i:\b(?:{'|'.join(x.replace('|', '[ ]') for x in _ACTS)})[ ]){_WHOLE}")
+_BEFORE_DOES = re.compile(rf"(?<![\w.@'’/-]){_WHOLE}(?:,[^,.\n]*,)?[ ](?:{'|'.join(_DOES)})\b")
+
 # Words (in lower case) near which the slower patterns are tried.
 _ANCHORS = {
     "digit": list(_DIGIT_WORDS),
     "disguise": ["dot", "punkt", "punto"],
     "mail": ["@"],
-    "address": ["street", " st", "avenue", " ave", "road", " rd", "drive", " dr", "lane", " ln", "court", " ct", "boulevard", "blvd", "place", " pl", "square", " sq", "terrace", " way", " close", "crescent", "highway", "hwy", "parkway", "pkwy", "box ", "postfach", "apartado", "straße", "strasse", "str. ", "gasse", "weg ", "platz", "allee", "calle", "c/", "avda", "avenida", "plaza", "paseo", "camino"],
+    "address": ["street", " st", "avenue", " ave", "road", " rd", "drive", " dr", "lane", " ln", "court", " ct", "boulevard", "blvd", "place", " pl", "square", " sq", "terrace", " way", " close", "crescent", "hollow", " row", " walk", "mews", " cir", "trail", " trl", " loop", "alley", "gardens", "gdns", " gate", "grove", " rise", " quay", "wharf", " bend", "crossing", " pike", " path", "ridge", " view", " yard", " park", " green", " hill", " crest", " point", " cove", " glen", "heath", "meadow", "rue ", "quai ", "chemin ", "allee ", "allée ", "impasse ", "cours ", "via ", "viale ", "piazza ", "corso ", "highway", "hwy", "parkway", "pkwy", "box ", "postfach", "apartado", "straße", "strasse", "str. ", "gasse", "weg ", "platz", "allee", "calle", "c/", "avda", "avenida", "plaza", "paseo", "camino"],
     "label": ["ssn", "social", "national", "identity", "passport", "tax ", "ausweis", "steuer", "reisepass", "sozialvers", "pasaporte", "número", "numero", "dni", "nie", "nif", "nino", "(id", "id n", "id c"],
     "field": ['";"'],
     "cue": ["mr.", "mr ", "mrs", "ms.", "ms ", "miss ", "mx", "dr.", "dr ", "prof", "herr", "frau", "señor", "sra", "sr.", "sr ", "srta", "don ", "doña ", "belongs to ", "reported by ", "owned by ", "signed by ", "approved by ", "confirmed by ", "assigned to ", "escalate to ", "eskalieren an ", "thanks to ", "dank an ", "gracias a ", "spoke ", "talked to ", "met ", "ask ", "call ", "contact ", "ping ", "llamar a ", "llame a ", "hablar con ", "escalar a ", "avisar a ", "rufen sie ", "bitte ", "gemeldet von ", "lo notificó ", "notificado por ", "badge holder ", "cardholder ", "on call", "from: ", "to: ", "cc: ", "attn: ", "contact: ", "name: ", "owner: ", "reporter: ", "author: ", "analyst: ", "von: ", "de: ", "pasted in chat: ", "name=", '"reporter"', '"name"', '"owner"', '"author"', '"analyst"', '"user_name"', '"full_name"', '"contact"', "leaked row", "signed", "regards", "best", "cheers", "thanks", "sincerely", "yours", "grüßen", "grüße", "gruß", "mit freundlichen", "viele gr", "beste gr", "saludos", "un saludo", "atentamente"],
+    "role": [f"{x}{y}" for x in _ROLES for y in (" ", ",")],
+    "act": [x.replace("|", " ") + " " for x in _ACTS],
+    "does": [f" {x}" for x in _DOES],
     "before": ["'s account", "’s account", " asked for", " logged in"],
 }
 
 
-def _near(pattern: re.Pattern, text: str, hits: list[tuple[int, int]] | None, before: int, after: int) -> Iterator[re.Match]:
-    """Matches in the surroundings of the hits; overlapping surroundings are one."""
-    if not hits:
-        return
-    low, high = max(0, hits[0][0] - before), hits[0][1] + after
-    for a, b in hits[1:]:
-        if a - before <= high:
-            high = max(high, b + after)
-        else:
-            yield from pattern.finditer(text, low, high)
-            low, high = a - before, b + after
-    yield from pattern.finditer(text, low, high)
+class _Places:
+    """A text and where its blanks stand, to look around places by whole words, however long they are."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self._blanks: list[int] | None = None
+
+    def around(self, a: int, b: int, before: int, after: int) -> tuple[int, int]:
+        """From `before` words before the one at a to `after` words behind the one at b."""
+        if self._blanks is None:
+            self._blanks = [m.start() for m in re.finditer(r"\s+", self.text)]
+        k, n = bisect_left(self._blanks, a) - 1 - before, bisect_left(self._blanks, b) + after
+        return (self._blanks[k] if k >= 0 else 0), (self._blanks[n] if n < len(self._blanks) else len(self.text))
+
+    def near(self, pattern: re.Pattern, hits: list[tuple[int, int]] | None, before: int, after: int) -> Iterator[re.Match]:
+        """Matches in the surroundings of the hits; overlapping surroundings are one.
+
+        before, after: at least as many words as the pattern can have there. Where repetitions in it let a match reach the
+        end of its surroundings, they are extended until it ends inside.
+        """
+        text = self.text
+        regions: list[list[int]] = []
+        for a, b in hits or ():
+            low, high = self.around(a, b, before, after)
+            if regions and low <= regions[-1][1]:
+                regions[-1][1] = max(regions[-1][1], high)
+            else:
+                regions.append([low, high])
+        at = 0
+        for low, high in regions:
+            at = max(at, low)
+            while at <= high and (m := pattern.search(text, at, high)):
+                end = high
+                while m.end() >= end - 1 and end < len(text):  # what follows the match must be seen too
+                    end = min(len(text), end + 200 + (end - m.start()))
+                    m = pattern.match(text, m.start(), end) or m
+                    if m.end() < end - 1:
+                        break
+                yield m
+                at = max(m.end(), m.start() + 1)
 
 
 _TAIL_LONE = re.compile(r"\s+(?:at|al|unter|on site|when|for the|and|und|y)\b|\s*\n?Reply-To|,\s[+(\d]|\s*<|\s*$")
@@ -289,8 +370,9 @@ class Detector:
                 out.setdefault(k, []).append((end + 1 - size, end + 1))
         return out
 
-    def _names(self, text: str, mails: list[tuple[int, int]], hits: dict) -> Iterator[tuple[int, int]]:
-        for m in _near(_CUED, text, hits.get("cue"), 2, 160):
+    def _names(self, places: _Places, mails: list[tuple[int, int]], hits: dict) -> Iterator[tuple[int, int]]:
+        text = places.text
+        for m in places.near(_CUED, hits.get("cue"), 3, 20):
             a, b = m.span("name")
             cue, name = text[m.start() : a], text[a:b]
             lone = " " not in name and "," not in name
@@ -304,17 +386,20 @@ class Detector:
             if m["more"]:
                 gap = re.match(r" (?:and|und|y) ", m["more"])
                 yield m.start("more") + gap.end(), m.end("more")
-        for m in _near(self.listed, text, hits.get("listed"), 40, 60):
+        for m in places.near(self.listed, hits.get("listed"), 8, 8):
             yield self._trim(text, *m.span())
-        for m in _near(self.lower, text, hits.get("listed"), 40, 60):
+        for m in places.near(self.lower, hits.get("listed"), 4, 4):
             yield m.span()
+        for pattern, kind, before, after in ((_AFTER_ROLE, "role", 1, 12), (_AFTER_ACT, "act", 4, 12), (_BEFORE_DOES, "does", 16, 1)):
+            for m in places.near(pattern, hits.get(kind), before, after):
+                yield m.span("name")
         # a name right before a mail address in brackets
         marked, before = text, list(hits.get("before", ()))
         for a, _ in mails:
             if a >= 2 and text[a - 1] in "<(" and text[a - 2] == " ":
                 marked = marked[:a] + "\x00" + marked[a + 1 :]
                 before.append((a - 1, a))
-        for m in _near(_BEFORE, marked, sorted(before), 70, 20):
+        for m in _Places(marked).near(_BEFORE, sorted(before), 10, 3):
             yield self._trim(marked, *m.span("name"))
 
     def _trim(self, text: str, a: int, b: int) -> tuple[int, int]:
@@ -331,11 +416,12 @@ class Detector:
         s = t.text
         if s is not text:
             hits = self._hits(s)
-        mails = [m.span() for m in _near(_EMAIL, s, hits.get("mail"), 100, 200)]
+        places = _Places(s)
+        mails = [m.span() for m in places.near(_EMAIL, hits.get("mail"), 0, 0)]
         found: list[tuple[int, int, str]] = [(a, b, "EMAIL") for a, b in mails]
-        found += [(m.start(), m.end() - (m[0][-1] == "." and not m[0].endswith("..")), "ADDRESS") for m in _near(_ADDRESS, s, hits.get("address"), 90, 130)]
-        found += [(*m.span(1), "ID_NUMBER") for m in _near(_ID_LABEL, s, hits.get("label"), 2, 90)]
-        found += [(*m.span(1), "ID_NUMBER") for m in _near(_ID_FIELD, s, hits.get("field"), 2, 40)]
+        found += [(m.start(), m.end() - (m[0][-1] == "." and not m[0].endswith("..")), "ADDRESS") for m in places.near(_ADDRESS, hits.get("address"), 12, 14)]
+        found += [(*m.span(1), "ID_NUMBER") for m in places.near(_ID_LABEL, hits.get("label"), 1, 10)]
+        found += [(*m.span(1), "ID_NUMBER") for m in places.near(_ID_FIELD, hits.get("field"), 0, 5)]
         found += [(*m.span(), "ID_NUMBER") for m in _ID_SURE.finditer(s)]
         found += [(*m.span(), "PHONE") for m in _PHONE.finditer(s)]
         taken = bytearray(len(s))
@@ -347,8 +433,11 @@ class Detector:
                     taken[a:b] = b"\x01" * (b - a)
                     out.append((*t.span(a, b), kind))
 
+        for m in _IBAN.finditer(s):
+            if _bank_account(m[0]):
+                taken[m.start() : m.end()] = b"\x01" * (m.end() - m.start())
         accept(found)
-        for a, b in self._names(s, mails, hits):
+        for a, b in self._names(places, mails, hits):
             comma = s.find(",", a, b)
             if comma > 0 and any(taken[comma:b]) and not any(taken[a:comma]):
                 b = comma  # what follows the comma is an address
