@@ -114,7 +114,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Container]
 def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, salt: int = 64) -> DataFrame:
     """doc_id, part, token_from, token_to, n_tokens, container_id: where each text (or part of it) goes.
 
-    Only texts above the capacity are split: into full containers and one rest, which is packed
+    Only texts above the capacity are split: into full containers (with numbers below zero) and one rest, which is packed
     like a text of its size. Texts without tokens (null or empty) need no container: part 0 with a
     null container_id. Repeated rows are packed each; an empty table gives no rows.
     The lookup table of the plan depends on `capacity`, not on the number of texts: it has at most
@@ -127,6 +127,9 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: in
     start = F.col("part") * capacity
     items = items.select("doc_id", F.col("part").cast("int").alias("part"), start.alias("token_from"), F.least(start + capacity, F.col("n_tokens")).alias("token_to"))
     items = items.select("*", (F.col("token_to") - F.col("token_from")).alias("size"), F.pmod(F.xxhash64("doc_id", "part"), F.lit(salt)).cast("int").alias("bucket"))
+    # what fills a container needs no plan and no order, only numbers of its own: those below all others
+    full = items.where(F.col("size") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("container_id"))
+    items = items.where(F.col("size") < capacity)
     cells = items.where("size > 0").groupBy("size", "bucket").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["size"]: r["n"] for r in cells.groupBy("size").agg(F.sum("n").alias("n")).collect()}
     rows, taken, first = [], dict.fromkeys(histogram, 0), 0
@@ -139,9 +142,10 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: in
     over = Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.select(F.col("size").alias("z"), F.col("bucket").alias("q"), F.coalesce(F.sum("n").over(over), F.lit(0)).alias("offset"))
     number = F.row_number().over(Window.partitionBy("size", "bucket").orderBy("doc_id", "part")) - 1
-    ranked = items.where("size > 0").select("*", number.alias("number")).join(F.broadcast(offsets), (F.col("size") == F.col("z")) & (F.col("bucket") == F.col("q"))).withColumn("rank", F.col("number") + F.col("offset"))
+    ranked = items.where("size > 0").select("*", number.alias("number")).join(offsets, (F.col("size") == F.col("z")) & (F.col("bucket") == F.col("q"))).withColumn("rank", F.col("number") + F.col("offset"))
+    # the plan has at most a few rows for each size, so its place in memory is bounded by the capacity
     placed = ranked.join(F.broadcast(table), (F.col("size") == F.col("s")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     placed = placed.withColumn("container_id", F.col("first") + F.floor((F.col("rank") - F.col("low")) / F.col("per")))
     empty = items.where("size = 0").withColumn("container_id", F.lit(None).cast("bigint"))
     columns = ["doc_id", "part", "token_from", "token_to", F.col("size").alias("n_tokens"), "container_id"]
-    return placed.select(*columns).unionByName(empty.select(*columns))
+    return placed.select(*columns).unionByName(full.select(*columns)).unionByName(empty.select(*columns))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import leaks, neighbors, packing, pii, sketch
@@ -89,6 +89,24 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read_table(spark, folder, "documents"))
 
 
+def p8_check(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of p8_containers: every text in adjoining parts that cover it once, only texts above the capacity split,
+    no container overfull, and hardly more containers than the tokens need."""
+    documents = read_table(spark, folder, "documents")
+    placed = cut(packing.pack(documents), "placed")
+    over = Window.partitionBy("doc_id").orderBy("part")
+    rows = placed.select("*", F.coalesce(F.lag("token_to").over(over), F.lit(0)).alias("before"), F.count(F.lit(1)).over(Window.partitionBy("doc_id")).alias("parts"))
+    by_text = rows.groupBy("doc_id").agg(F.bool_and((F.col("token_from") == F.col("before")) & (F.col("n_tokens") == F.col("token_to") - F.col("token_from"))).alias("adjoining"), F.max("parts").alias("parts"), F.sum("n_tokens").alias("n"))
+    sizes = packing.token_counts(documents, "doc_id", "text").groupBy(F.col("doc_id").alias("d")).agg(F.sum("n_tokens").alias("size"))
+    texts = by_text.join(sizes, F.col("doc_id") == F.col("d"), "full_outer")
+    split = F.col("parts") == F.greatest(F.lit(1), F.ceil(F.col("size") / packing.CAPACITY))
+    texts = texts.agg(F.count(F.lit(1)).alias("n_texts"), F.bool_and(F.coalesce(F.col("adjoining") & (F.col("n") == F.col("size")) & split, F.lit(False))).alias("every_token_once"), F.sum("size").alias("tokens"))
+    load = placed.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("load"))
+    load = load.agg(F.bool_and(F.col("load") <= packing.CAPACITY).alias("none_overfull"), F.count(F.lit(1)).alias("containers"))
+    both = texts.crossJoin(load)  # two single rows
+    return both.select("n_texts", "every_token_once", "none_overfull", (F.col("containers") <= 1.002 * F.ceil(F.col("tokens") / packing.CAPACITY) + 1).alias("hardly_any_room_lost"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.find_leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
@@ -108,7 +126,20 @@ def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find_pii(read_table(spark, folder, "documents"), read_table(spark, folder, "name_lexicon"), with_text=True).select("doc_id", F.col("redacted").alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_distinct_sources, p1_within_bound, p1_large_sets, p3_found, p3_neighbours, p3_recall, p8_containers, p9_found, p9_near, p10_found, p10_redacted)}
+def p10_check(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of p10_redacted and p10_found: outside the spans the text is unchanged, and each span became a
+    placeholder of its type."""
+    names = read_table(spark, folder, "name_lexicon")
+    found = cut(pii.find_pii(read_table(spark, folder, "documents"), names, with_text=True), "redacted")
+    rows = found.join(read_table(spark, folder, "documents").select(F.col("doc_id").alias("d"), "text"), F.col("doc_id") == F.col("d"))
+    # the pieces between the spans, with placeholders, put together again
+    step = lambda a, s: F.struct(F.concat(a["t"], F.substr("text", a["at"] + 1, s["start_pos"] - a["at"]), F.lit("["), s["pii_type"], F.lit("]")).alias("t"), s["end_pos"].alias("at"))
+    built = F.aggregate("spans", F.struct(F.lit("").alias("t"), F.lit(0).alias("at")), step, lambda a: F.concat(a["t"], F.substr("text", a["at"] + 1, F.length("text"))))
+    apart = F.forall(F.zip_with(F.slice("spans", 2, F.greatest(F.size("spans") - 1, F.lit(0))), F.slice("spans", 1, F.greatest(F.size("spans") - 1, F.lit(0))), lambda b, a: a["end_pos"] <= b["start_pos"]), lambda x: x)
+    return rows.agg(F.count(F.lit(1)).alias("n_texts"), F.bool_and((F.col("text").isNull() & F.col("redacted").isNull()) | (apart & (built == F.col("redacted")))).alias("consistent"))
+
+
+QUERIES = {f.__name__: f for f in (p1_distinct_sources, p1_within_bound, p1_large_sets, p3_found, p3_neighbours, p3_recall, p8_containers, p8_check, p9_found, p9_near, p10_found, p10_redacted, p10_check)}
 
 _CUBE = """
     with rows as (select case when "timestamp" <> 0 then strftime(make_timestamp(cast(floor("timestamp") as bigint) * 1000000), '%Y-%m-%d') end as day,
@@ -155,5 +186,7 @@ SQL = {
     select l_returnflag, l_linestatus, l_linenumber, l_discount, cast(grouping_id(l_returnflag, l_linestatus, l_linenumber, l_discount) as bigint) as level,
         count(distinct concat(l_orderkey, '-', l_linenumber)) as exact_count, true as within
     from lineitem group by cube(l_returnflag, l_linestatus, l_linenumber, l_discount)""",
+    "p8_check": "select count(distinct doc_id) as n_texts, true as every_token_once, true as none_overfull, true as hardly_any_room_lost from documents",
+    "p10_check": "select count(*) as n_texts, true as consistent from documents",
     "p9_found": _NGRAM,
 }
