@@ -9,7 +9,7 @@ from tidemark.operators.heavy_keys import heavy_keys, mode_by_key, percentile_by
 from tidemark.operators.rejects import read_lines, typed_records
 from tidemark.operators.sessions import first_copies, sessionize
 from tidemark.operators.timestamps import normalize_timestamps
-from tidemark.session import read_table
+from tidemark.session import read_table, shared_folder
 from tidemark.streaming.dedup import surplus_rows
 
 def _micros(column: str = "timestamp") -> Column:
@@ -84,13 +84,23 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p6_short_horizon(spark: SparkSession, folder: str) -> DataFrame:
+    """The same of net_events, delivered in sixteen micro-batches in order of arrival, where identifiers leave the state after
+    an hour: copies that come later are settled by the archive."""
+    base = shared_folder(spark, "deliveries")
+    read_table(spark, folder, "net_events").select("row_id", "event_id", "timestamp", "received_at").repartitionByRange(16, "row_id").write.parquet(f"{base}/net_events.parquet")
+    at = F.coalesce(_event_time(), F.unix_micros("received_at"))
+    found = surplus_rows(spark, base, "net_events", "event_id", "row_id", at, horizon_us=3_600_000_000, files_per_trigger=1)
+    return found.select(F.lit("net_events").alias("source_table"), F.col("row").alias("row_id"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = first_copies(read_table(spark, folder, "net_events"), "event_id", "row_id", ["src_ip", "timestamp", "flow_id"])
     rows = rows.where((F.col("src_ip") != "0.0.0.0") & (F.col("timestamp") != 0) & ~F.isnan("timestamp"))
     return sessionize(rows, "src_ip", _micros(), "flow_id").withColumnRenamed("user", "src_ip")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p4_found, p4_destinations, p4_modes, p5_found, p5_instants, p6_found, p7_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p4_found, p4_destinations, p4_modes, p5_found, p5_instants, p6_found, p6_short_horizon, p7_found)}
 
 _FIRST = """first_copy as (select * from (select *, row_number() over (partition by event_id order by row_id) as copy from net_events) where event_id is null or copy = 1)"""
 _HEAVY = "select '{0}' as source_table, dst_ip from {0} where dst_ip is not null group by dst_ip having count(*) >= 0.02 * (select count(*) from {0})"
@@ -112,6 +122,7 @@ SQL = {
         select p.dst_ip, m.src_ip as top_source, coalesce(m.n, 0) as top_source_rows, bytes_p50, bytes_p95
         from (select dst_ip, cast(quantile_disc(size, 0.5) as bigint) as bytes_p50, cast(quantile_disc(size, 0.95) as bigint) as bytes_p95 from e group by dst_ip) p
         left join m on m.dst_ip = p.dst_ip and m.k = 1""",
+    "p6_short_horizon": _SURPLUS.format("net_events", "event_id"),
     "p6_found": _SURPLUS.format("net_events", "event_id") + " union all " + _SURPLUS.format("security_alerts", "alert_id"),
     "p7_found": f"""
         with {_FIRST},

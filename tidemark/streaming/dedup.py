@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.session import shared_folder, ship, stream_table
+from tidemark.session import read_table, shared_folder, ship, stream_table
 
 ENTRY = np.dtype([("h1", "<i8"), ("h2", "<i8"), ("row", "<i8"), ("at", "<i8"), ("asked", "<i8")])
 SURPLUS, ASKED, EXPIRED = 1, 2, 3
@@ -132,7 +132,7 @@ def resolve(events: DataFrame) -> DataFrame:
     return sure.unionByName(settled).distinct()
 
 
-def surplus_rows(spark: SparkSession, folder: str, table: str, identifier: str, row: str, at_us: Column, horizon_us: int = 30 * 86_400_000_000, buckets: int = 48, files_per_trigger: int = 12) -> DataFrame:
+def surplus_rows(spark: SparkSession, folder: str, table: str, identifier: str, row: str, at_us: Column, horizon_us: int = 30 * 86_400_000_000, buckets: int | None = None, files_per_trigger: int = 12) -> DataFrame:
     """Column row: every delivery in `table` whose non-null identifier also occurs at a smaller `row`.
 
     The table's files are replayed as a stream until they end; state, offsets and output share one
@@ -140,11 +140,13 @@ def surplus_rows(spark: SparkSession, folder: str, table: str, identifier: str,
 
     horizon_us: how long (event time) an identifier stays in the state; anything later is settled by
     the archive. buckets: parts of the state, each a packed table of 40 bytes per identifier in the
-    horizon; raise it with the rate of messages. Identifiers are compared as written, by a 128-bit hash.
+    horizon; by default as many as keep one below 10 MB if all rows of the table were in it, and 48 at least. Identifiers are compared as written, by a 128-bit hash.
     Null event times are taken as the newest; null identifiers are never surplus; the same
     `row` delivered twice is one delivery; an empty table gives no rows.
     """
     base = shared_folder(spark, f"dedup-{table}")
+    if buckets is None:
+        buckets = max(48, -(-read_table(spark, folder, table).count() // 250_000))  # a count from the files' footers
     events = surplus_stream(stream_table(spark, folder, table, files_per_trigger), identifier, row, at_us, horizon_us, buckets)
     query = events.writeStream.format("parquet").option("path", f"{base}/events").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
