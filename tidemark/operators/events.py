@@ -11,6 +11,7 @@ COLUMNS = ["row_id", "timestamp", "event_type", "sensor_id", "src_ip", "dst_ip",
 #: columns of the protocols above, carried where the deliveries have them
 DETAILS = ["history", "query_type", "tls_version", "ja3"]
 #: connection states of attempts that failed, and those that count as SYN without answer
+# Fixed values.
 FAILED = ("S0", "REJ", "RSTO", "RSTOS0")
 
 

@@ -285,12 +285,84 @@ def vectors(events: DataFrame, keep: int = 500) -> DataFrame:
 
 
 def optimized(events: DataFrame) -> DataFrame:
-    """The selective generation's variants: rates over at least a millisecond, states as counts, sample deviation, unwindowed degrees."""
-    flow = events.groupBy("flow_id").agg(F.first("src_ip").alias("src_ip"), F.first("dst_ip").alias("dst_ip"), F.sum(F.col("orig_pkts") + F.col("resp_pkts")).alias("pk"), F.sum(F.col("orig_bytes") + F.col("resp_bytes")).alias("by"), F.count_if(F.col("conn_state").contains("S")).alias("syn"), F.count_if(F.col("conn_state").contains("R")).alias("rst"), F.max("duration").alias("d"), F.min("us").alias("a"), F.max("us").alias("b"), F.count(F.lit(1)).alias("n"), F.stddev_samp(F.col("orig_bytes").cast("double")).alias("size_std"))
-    dur = F.greatest(F.lit(1e-3), F.when(F.col("d") > 0, F.col("d")).otherwise((F.col("b") - F.col("a")) / 1e6))
-    degree = events.groupBy(F.col("src_ip").alias("s")).agg(F.countDistinct("dst_ip").alias("hosts"))
-    joined = flow.join(degree, F.col("src_ip") == F.col("s"))
-    return joined.select("flow_id", (F.col("pk") / dur).alias("packet_rate"), (F.col("by") / dur).alias("byte_rate"), (F.col("syn") / F.greatest(F.lit(1), F.col("pk"))).alias("syn_ratio"), (F.col("rst") / F.greatest(F.lit(1), F.col("syn"))).alias("failed_conn_ratio"), text.shannon_entropy(F.col("src_ip")).alias("src_ip_entropy"), (1 / F.greatest(F.lit(1), F.col("hosts"))).alias("dest_concentration"), F.log2(F.coalesce("size_std", F.lit(0.0)) + 1).alias("pkt_size_entropy"), F.col("n").alias("repeated_conn_count"))
+    """The 54 features of the selective generation, of every flow after all its events.
+
+    Rates over at least a millisecond; states as counts over packets; gaps and sizes by running moments with the sample's
+    deviation; host degrees over the last 2000 events of the host up to the flow's latest; names by the last DNS query alone.
+    Web and alert records open a flow but change nothing else.
+    """
+    c = F.col
+    w = Window.partitionBy("flow_id").orderBy("us", "seq")
+    kind = F.coalesce("event_type", F.lit(""))
+    known = kind.isin("connection", "dns", "tls")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    gap = (c("us") - F.coalesce(F.last(F.when(known, c("us")), ignorenulls=True).over(before), F.first("us").over(before))) / 1e6
+    some = lambda n: F.nullif(c(n), F.lit("")) if n in events.columns else F.lit(None).cast("string")
+    events = cut(events, "events")
+    rows = events.select("*", F.when(kind.isin("connection", "dns") & (gap > 0), gap).alias("gap"))
+    state, at = F.coalesce("conn_state", F.lit("")), F.struct("us", "seq")
+    ends = F.struct("us", "seq", "src_ip", "dst_ip", "src_port", "dst_port", "protocol")
+    sizes = F.array_compact(F.array(F.when(c("orig_bytes") > 0, c("orig_bytes").cast("double")), F.when(c("resp_bytes") > 0, c("resp_bytes").cast("double"))))
+    n_sizes, sum_sizes, sum_squares = (F.sum(F.aggregate(sizes, F.lit(0.0), f)) for f in (lambda a, x: a + 1, lambda a, x: a + x, lambda a, x: a + x * x))
+    flows = rows.groupBy("flow_id").agg(
+        F.coalesce(F.max(F.when(known, ends)), F.min(ends)).alias("e"),
+        *[F.sum(n).alias(n) for n in ("orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts")],
+        F.count_if(known).alias("n"), F.max("duration").alias("d"), F.min("us").alias("first"),
+        F.count_if(state.contains("S")).alias("syn"), F.count_if(state.contains("A") | state.isin("SF", "S1", "S2")).alias("ack"), F.count_if(state.contains("R")).alias("rst"),
+        F.min("gap").alias("iat_min"), F.max("gap").alias("iat_max"), F.avg("gap").alias("iat_mean"), F.stddev_samp("gap").alias("iat_std"),
+        n_sizes.alias("n_sizes"), sum_sizes.alias("sum_sizes"), sum_squares.alias("sum_squares"),
+        F.max(F.when((kind == "tls") & some("query_name").isNotNull(), F.lit(1.0))).alias("sni"),
+        F.max(F.when(some("tls_version").isNotNull(), F.struct(at, some("tls_version").alias("v"))))["v"].alias("version"),
+        F.max(some("ja3").isNotNull().cast("double")).alias("ja3"),
+    )
+    times = last_rows(rows.where(kind.isin("connection", "dns")).select("flow_id", "us", "seq"), ["flow_id"], ["us", "seq"], 128).groupBy("flow_id").agg(F.array_sort(F.collect_list("us")).alias("times"))
+    txt = F.coalesce(F.upper("query_type").isin("TXT", "NULL", "16"), F.lit(False)) if "query_type" in events.columns else F.lit(False)
+    names = last_rows(rows.where((kind == "dns") & some("query_name").isNotNull()).select("flow_id", "us", "seq", "query_name", txt.cast("double").alias("txt")), ["flow_id"], ["us", "seq"], 50)
+    names = names.groupBy("flow_id").agg(F.count(F.lit(1)).alias("nq"), F.avg(F.length("query_name")).alias("len"), F.avg(text.subdomain_depth(c("query_name"))).alias("depth"), F.avg("txt").alias("txt"), F.max_by("query_name", at).alias("q"))
+
+    def recent(host: str, peers: dict[str, str]) -> DataFrame:
+        placed = running_total(events.select("seq", "us", host, *peers.values(), known.alias("known")), "us", "seq", c("known").cast("bigint"), "place", [host])
+        # an event that doesn't count stands at the place of the one before it, and sees what that saw
+        return sliding(placed, [host], "place", 1999, distinct={k: F.when(c("known"), c(p)) for k, p in peers.items()}, block_us=16_000).select("seq", *[F.greatest(F.lit(1), k).alias(k) for k in peers])
+
+    sources, targets = recent("src_ip", {"hosts": "dst_ip", "ports": "dst_port"}), recent("dst_ip", {"srcs": "src_ip"})
+    v = flows.select("flow_id", "e.*", *[x for x in flows.columns if x not in ("flow_id", "e")])
+    v = v.join(times, "flow_id", "left").join(names, "flow_id", "left").join(sources, "seq").join(targets, "seq")
+    raw = F.when(c("d") > 0, c("d")).otherwise((c("us") - c("first")) / 1e6)
+    v = v.select("*", F.greatest(F.lit(1e-3), raw).alias("dur"), F.substring_index(F.lower("q"), ".", 1).alias("label"), series.spectral_peak(series.gaps(F.coalesce("times", F.array().cast("array<bigint>")))).alias("periodicity"))
+    pk, by, one = c("orig_pkts") + c("resp_pkts"), c("orig_bytes") + c("resp_bytes"), F.lit(1)
+    whole = F.greatest(F.lit(1.0), c("dur"))
+    nz = lambda x: F.coalesce(x, F.lit(0.0))
+    mean_size = c("sum_sizes") / c("n_sizes")
+    var = (c("sum_squares") - c("sum_sizes") * mean_size) / (c("n_sizes") - 1)
+    std_size = F.when(c("n_sizes") > 1, F.sqrt(F.greatest(F.lit(0.0), var))).otherwise(0.0)
+    letters = F.greatest(F.length("label"), one)
+    vowels = F.regexp_count("label", F.lit("[aeiou]"))
+    version = F.lower(F.coalesce("version", F.lit("")))
+    values = {
+        "packet_rate": pk / c("dur"), "byte_rate": by / c("dur"), "syn_rate": c("syn") / c("dur"), "syn_ratio": c("syn") / F.greatest(one, pk), "ack_ratio": c("ack") / F.greatest(one, pk), "rst_ratio": c("rst") / F.greatest(one, pk),
+        "udp_rate": F.when(F.upper("protocol") == "UDP", pk / c("dur")).otherwise(0.0), "unique_src_count": c("srcs"), "src_ip_entropy": text.shannon_entropy(c("src_ip")), "dest_concentration": 1 / F.greatest(F.lit(1.0), c("hosts")),
+        "byte_amplification_ratio": c("resp_bytes") / F.greatest(one, c("orig_bytes")), "iat_min": nz(c("iat_min")), "iat_max": nz(c("iat_max")), "iat_mean": nz(c("iat_mean")), "iat_std": nz(c("iat_std")),
+        "iat_cv": nz(F.when(c("iat_mean") > 1e-5, nz(c("iat_std")) / c("iat_mean"))), "periodicity_score": c("periodicity"), "repeated_dst_freq": c("n") / c("dur") * 60, "flow_duration": c("dur"), "repeated_conn_count": c("n"),
+        "query_len_mean": nz(c("len")), "shannon_entropy_mean": nz(text.shannon_entropy(c("q"))), "vowel_ratio": nz(vowels / letters), "consonant_ratio": nz((F.regexp_count("label", F.lit(r"\p{L}")) - vowels) / letters),
+        "digit_ratio": nz(F.regexp_count("label", F.lit(r"\p{Nd}")) / letters), "unique_char_ratio": nz(F.when(F.length("label") > 0, F.size(F.array_distinct(F.split("label", ""))) / letters)), "subdomain_depth_mean": nz(c("depth")),
+        "query_frequency": nz(c("nq") / c("dur")), "txt_record_ratio": nz(c("txt")), "ngram_log_likelihood": nz(F.when(c("q").isNotNull(), text.bigram_log_likelihood(c("q")))),
+        "tls_version_num": F.coalesce(*[F.when(version.contains(x), float(x)) for x in ("1.3", "1.2", "1.1", "1.0")], F.lit(0.0)), "has_tls_sni": nz(c("sni")), "ja3_present": nz(c("ja3")),
+        "pkt_size_mean": F.when(c("n_sizes") > 0, mean_size).otherwise(0.0), "pkt_size_std": std_size, "pkt_size_entropy": F.log2(std_size + 1), "directionality_ratio": c("orig_pkts") / F.greatest(one, pk),
+        "unique_dst_ports": c("ports"), "unique_dst_hosts": c("hosts"), "dst_port_fanout": c("ports") / whole, "dst_host_fanout": c("hosts") / whole, "conn_attempts": c("syn"), "conn_attempt_rate": c("syn") / c("dur"), "failed_conn_ratio": c("rst") / F.greatest(one, c("syn")),
+        "inbound_bytes": c("resp_bytes"), "outbound_bytes": c("orig_bytes"), "out_in_byte_ratio": c("orig_bytes") / F.greatest(one, c("resp_bytes")), "bytes_per_flow": by, "outbound_rate": c("orig_bytes") / c("dur"),
+        "asymmetric_traffic_score": (c("orig_bytes") - c("resp_bytes")) / F.greatest(one, by), "src_out_degree": c("hosts"), "dst_in_degree": c("srcs"), "comm_partner_count": c("hosts") + c("srcs"), "graph_fanout_ratio": c("hosts") / F.greatest(F.lit(1.0), c("srcs")),
+    }
+    return v.select("flow_id", *ENDS, (c("us") / 1e6).alias("timestamp"), *[values[n].cast("double").alias(n) for n in ORDER])
+
+
+#: features that only a suspicious flow is worth, in the selective generation
+COSTLY = ["src_ip_entropy", "periodicity_score", "shannon_entropy_mean", "vowel_ratio", "consonant_ratio", "digit_ratio", "unique_char_ratio", "subdomain_depth_mean", "query_frequency", "txt_record_ratio", "ngram_log_likelihood"]
+
+
+def tiered(vectors_: DataFrame, suspicious: Column) -> DataFrame:
+    """`vectors_` with the costly features 0 where the gate passes the flow."""
+    return vectors_.withColumns({n: F.when(suspicious, F.col(n)).otherwise(0.0) for n in COSTLY})
 
 
 #: the ends of a flow's latest event

@@ -15,6 +15,55 @@ def class_report(df: DataFrame, truth: str, guess: str) -> DataFrame:
     return sums.select("class", "support", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
 
 
+def agreement(a: DataFrame, b: DataFrame, key: str, columns: list[str], tolerance: float = 1e-6) -> DataFrame:
+    """Per column: n rows with the key in both, mean and largest absolute difference, share of rows that differ no more than
+    `tolerance`. All columns are compared in one pass."""
+    both = a.select(key, *[F.col(c).cast("double").alias(f"a_{c}") for c in columns]).join(b.select(F.col(key).alias("__k"), *[F.col(c).cast("double").alias(f"b_{c}") for c in columns]), F.col(key) == F.col("__k"))
+    off = {c: F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in columns}
+    one = both.agg(F.count(F.lit(1)).alias("n"), *[f(x).alias(f"{n}_{c}") for c, x in off.items() for n, f in (("mean", F.avg), ("most", F.max))], *[F.avg((x <= tolerance).cast("int")).alias(f"same_{c}") for c, x in off.items()])
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"mean_{c}").alias("mean_difference"), F.col(f"most_{c}").alias("largest_difference"), F.col(f"same_{c}").alias("agreement")) for c in columns])).alias("r")
+    return one.select("n", rows).select("r.feature", "n", "r.mean_difference", "r.largest_difference", "r.agreement")
+
+
+def confusion(df: DataFrame, truth: str, guess: str) -> DataFrame:
+    """truth, guess, n: the cells of the confusion matrix that are not 0."""
+    return df.groupBy(F.col(truth).alias("truth"), F.col(guess).alias("guess")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def macro(report: DataFrame) -> DataFrame:
+    """One row from class_report: macro averages of precision, recall and f1 over the classes that occur in truth."""
+    return report.where("support > 0").agg(*[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")])
+
+
+def rates(df: DataFrame, positive: Column, flagged: Column, score: Column) -> DataFrame:
+    """One row: true and false positive rate of a flag, mean scores of both sides and how far they lie apart."""
+    rate = lambda x: F.count_if(flagged & x) / F.greatest(F.lit(1), F.count_if(x))
+    mean = lambda x: F.avg(F.when(x, score))
+    return df.agg(rate(positive).alias("true_positive_rate"), rate(~positive).alias("false_positive_rate"), mean(positive).alias("positive_mean"), mean(~positive).alias("negative_mean"), F.abs(mean(positive) - mean(~positive)).alias("separation"))
+
+
+def class_summary(df: DataFrame, group: str, label: str, score: str, probabilities: list[str]) -> DataFrame:
+    """Per group: most frequent label (the smallest of equally frequent), least and mean score, mean of each probability."""
+    some = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("k"), F.min(score).alias("least"), F.sum(score).alias("total"), F.count(score).alias("scored"), *[F.sum(p).alias(f"s_{p}") for p in probabilities])
+    best = F.min(F.struct((-F.col("k")).alias("k"), F.col(label).alias("label")))["label"]
+    return some.groupBy(group).agg(F.sum("k").alias("n"), best.alias("mode"), F.min("least").alias("least_score"), (F.sum("total") / F.sum("scored")).alias("mean_score"), *[(F.sum(f"s_{p}") / F.sum("k")).alias(f"mean_{p}") for p in probabilities])
+
+
+def classes_worth_training(df: DataFrame, label: str, allowed: list[str] | None = None, least: int = 10) -> DataFrame:
+    """The rows of classes with at least `least` rows, and in `allowed` if that is given. Counts are joined, so no class is one task."""
+    counts = df.groupBy(F.col(label).alias("__l")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least)
+    kept = counts if allowed is None else counts.where(F.col("__l").isin(allowed))
+    return df.join(kept.select("__l"), F.col(label) == F.col("__l"), "left_semi")
+
+
+def audit(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: rows, rows repeated in full, and per column nulls, NaN and infinite values."""
+    numbers = [c for c in columns if dict(df.dtypes)[c] in ("double", "float")]
+    hashed = df.select(F.xxhash64(*columns).alias("h1"), F.xxhash64(F.lit(1), *columns).alias("h2"), *columns)
+    groups = hashed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("k"), *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in columns], *[F.count_if(F.isnan(c)).alias(f"nan_{c}") for c in numbers], *[F.count_if(F.abs(F.col(c)) == float("inf")).alias(f"inf_{c}") for c in numbers])
+    return groups.agg(F.sum("k").alias("n_rows"), F.sum(F.col("k") - 1).alias("repeated_rows"), *[F.sum(f"{k}_{c}").alias(f"{k}_{c}") for k, cs in (("null", columns), ("nan", numbers), ("inf", numbers)) for c in cs])
+
+
 def _in_ranges(df: DataFrame, value: str, by: list[str], parts: int = 1024) -> DataFrame:
     """Counts n per value with __r, a range of values that follows their order: one of at most `parts` per group.
 

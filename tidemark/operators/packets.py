@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import series, text
@@ -26,7 +26,7 @@ def vectors(packets: DataFrame, keep: int = 1000) -> DataFrame:
     share = lambda x, n: (F.count_if(tcp & x) / n_tcp).alias(n)
     base = rows.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n"), F.sum("wire_len").alias("outbound_bytes_total"), ((F.max("us") - F.min("us")) / 1e6).alias("span"),
-        share(c("syn") & ~c("ack"), "syn_ratio"), share(c("ack") & ~c("syn"), "ack_ratio"), share(c("rst"), "rst_ratio"), share(c("fin"), "fin_ratio"), share(c("syn") & c("ack"), "syn_ack_ratio"),
+        share(c("syn") & ~c("ack"), "syn_ratio"), share(c("ack") & ~c("syn"), "ack_ratio"), share(c("rst"), "rst_ratio"), share(c("fin"), "fin_ratio"), share(c("syn") & c("ack"), "syn_ack_ratio"), share(c("psh"), "psh_ratio"),
         F.max(c("sni").isNotNull().cast("double")).alias("has_tls_sni"), F.count_if(c("syn")).alias("n_syn"),
     )
     last = last_rows(rows, key, ["us", "seq"], keep).groupBy(*key).agg(F.array_sort(F.collect_list("us")).alias("times"), F.collect_list("wire_len").alias("sizes"))
@@ -46,6 +46,36 @@ def vectors(packets: DataFrame, keep: int = 1000) -> DataFrame:
     return v.na.fill(0.0).drop("n", "span", "n_syn")
 
 
+# Per class three conditions; a class is claimed with the share of them that holds, from two thirds (0.67) on.
+RULES = {
+    "dns_dga": (("dns_entropy_mean", ">", 3.5), ("dns_txt_ratio", ">", 0.6), ("dns_ngram", "<", -5.0)),
+    "c2_beacon": (("iat_cv", "<", 0.15), ("iat_mean", ">", 0.1), ("fft_peak_magnitude", ">", 0.05)),
+}
+
+
+def predict(v: DataFrame, model_class: Column, model_confidence: Column) -> DataFrame:
+    """`v` with prediction, confidence and method: a rule overrides the model where it is surer, DNS before beacons."""
+    out_class, out_confidence, method = model_class, model_confidence, F.lit("MODEL_BASED")
+    for name, rules in reversed(RULES.items()):
+        holds = sum(((F.col(f) > t) if op == ">" else (F.col(f) < t)).cast("int") for f, op, t in rules)
+        score = F.bround(holds / len(rules), 4)
+        wins = (holds / len(rules) >= 0.67) & (score > model_confidence)
+        out_class, out_confidence, method = F.when(wins, name).otherwise(out_class), F.when(wins, score).otherwise(out_confidence), F.when(wins, "RULE_BASED").otherwise(method)
+    return v.withColumns({"prediction": out_class, "confidence": F.bround(out_confidence, 4), "method": method})
+
+
+def of_events(events: DataFrame) -> DataFrame:
+    """Normalized events seen as packets, one each: flags by connection state, length by the bytes of both directions."""
+    c = F.col
+    state = F.coalesce("conn_state", F.lit(""))
+    tls = c("event_type") == "tls"
+    return events.select(
+        (c("us") / 1e6).alias("ts"), F.lit("ok").alias("status"), "src_ip", "dst_ip", "src_port", "dst_port", "protocol",
+        state.startswith("S").alias("syn"), (state == "SF").alias("ack"), (state == "SF").alias("fin"), state.startswith("R").alias("rst"), (c("resp_bytes") > 0).alias("psh"),
+        (c("orig_bytes") + c("resp_bytes")).cast("int").alias("wire_len"), F.when(~F.coalesce(tls, F.lit(False)), c("query_name")).alias("dns_query"), F.lit("A").alias("dns_type"), F.when(tls, c("query_name")).alias("sni"),
+    )
+
+
 def heuristics(v: DataFrame) -> DataFrame:
     """Class by rules of three conditions each (all three must hold), else null."""
     c = F.col

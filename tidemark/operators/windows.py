@@ -30,7 +30,7 @@ def _change(x: Column, up: Column) -> Column:
     return weigh(x) - F.when(up, weigh(x - 1)).otherwise(weigh(x + 1))
 
 
-def sliding(df: DataFrame, keys: list[str], us: str, reach_us: int, sums: dict[str, Column] | None = None, distinct: dict[str, Column] | None = None, entropy: dict[str, Column] | None = None) -> DataFrame:
+def sliding(df: DataFrame, keys: list[str], us: str, reach_us: int, sums: dict[str, Column] | None = None, distinct: dict[str, Column] | None = None, entropy: dict[str, Column] | None = None, block_us: int | None = None) -> DataFrame:
     """`df` with values over the last `reach_us` of the row's keys, itself and its ties included.
 
     sums: whole numbers to add up, null counting 0 (bigint); distinct: values whose different non-null ones are counted
@@ -38,14 +38,16 @@ def sliding(df: DataFrame, keys: list[str], us: str, reach_us: int, sums: dict[s
 
     The work is linear in the rows, however many lie within reach: each row is one change when it comes and one when
     it goes, and running sums of the changes are the values. A value is counted as new only if it didn't occur within
-    reach before, and as gone only if it doesn't occur again within reach.
+    reach before, and as gone only if it doesn't occur again within reach. `us` may be any whole number that orders the
+    rows of a key, such as their place; block_us is then how much of it makes a task.
     """
     sums, distinct, entropy = sums or {}, distinct or {}, entropy or {}
     c = F.col
     block = [*keys, "__block"]
     measured = [F.coalesce(v.cast("bigint"), F.lit(0)).alias(f"__s_{k}") for k, v in sums.items()]
     measured += [v.alias(f"__d_{k}") for k, v in distinct.items()] + [v.alias(f"__e_{k}") for k, v in entropy.items()]
-    rows = in_blocks(df.select("*", *measured), us, reach_us)
+    block_us = block_us or _block_us(reach_us)
+    rows = in_blocks(df.select("*", *measured), us, reach_us, block_us)
     for k in distinct:
         w = Window.partitionBy(*block, f"__d_{k}").orderBy(us)
         some = c(f"__d_{k}").isNotNull()
@@ -55,7 +57,7 @@ def sliding(df: DataFrame, keys: list[str], us: str, reach_us: int, sums: dict[s
     signs = F.explode(F.array(F.lit(1), F.lit(-1))).alias("__sign")
     changes = rows.select("*", signs).withColumn("__at", F.when(c("__sign") > 0, c(us)).otherwise(c(us) + reach_us + 1))
     # what would come or go after the last row of the block changes nothing
-    changes = changes.where((c("__sign") > 0) | (c("__block") == F.floor(c("__at") / _block_us(reach_us))))
+    changes = changes.where((c("__sign") > 0) | (c("__block") == F.floor(c("__at") / block_us)))
     up = c("__sign") > 0
     for k in entropy:
         own = Window.partitionBy(*block, f"__e_{k}").orderBy("__at", "__sign").rowsBetween(Window.unboundedPreceding, 0)

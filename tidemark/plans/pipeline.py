@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import detectors, features, models, pipeline
+from tidemark.operators import detectors, features, metrics, models, pipeline
 from tidemark.operators.events import normalize
 from tidemark.plans.registry import _DETECT, _EV
 from tidemark.session import cut, read_table
@@ -73,6 +73,46 @@ _VECTORS = _EV.rstrip() + f""",
 """
 
 
+#: CTE ov: the 54 features of the selective generation
+_OPTIMIZED = _EV.rstrip() + f""",
+  kn as (select *, coalesce(event_type in ('connection', 'dns', 'tls'), false) as known from ev),
+  pr as (select *, coalesce(last_value(case when known then us end ignore nulls) over b, first_value(us) over b) as prev from kn window b as (partition by flow_id order by us, seq rows between unbounded preceding and 1 preceding)),
+  gaps as (select *, case when event_type in ('connection', 'dns') and us > prev then (us - prev) / 1000000 end as gap from pr),
+  fo as (select flow_id, sum(orig_bytes) as ob, sum(resp_bytes) as rb, sum(orig_pkts) as op, sum(resp_pkts) as rp, count(*) filter (known) as n, max(duration) as d, min(us) as f,
+      count(*) filter (contains(conn_state, 'S')) as syn, count(*) filter (contains(conn_state, 'A') or conn_state in ('SF', 'S1', 'S2')) as ack, count(*) filter (contains(conn_state, 'R')) as rst,
+      min(gap) as gmin, max(gap) as gmax, avg(gap) as gmean, stddev_samp(gap) as gsd, max(case when event_type = 'tls' and query_name <> '' then 1.0 else 0.0 end) as sni from gaps group by flow_id),
+  lo as (select * from (select *, row_number() over (partition by flow_id order by known desc, case when known then us else -us end desc, case when known then seq else -seq end desc) as k from kn) where k = 1),
+  so as (select flow_id, avg(v) as mean, coalesce(stddev_samp(v), 0) as sd from (select flow_id, orig_bytes as v from ev where orig_bytes > 0 union all select flow_id, resp_bytes from ev where resp_bytes > 0) group by flow_id),
+  tm as (select flow_id, us from (select flow_id, us, row_number() over (partition by flow_id order by us desc, seq desc) as k from ev where event_type in ('connection', 'dns')) where k <= 128),
+  go as (select flow_id, gap, row_number() over (partition by flow_id order by us) - 1 as t, count(*) over (partition by flow_id) as n, avg(gap) over (partition by flow_id) as mean from (select flow_id, us, (us - lag(us) over (partition by flow_id order by us)) / 1000000 as gap from tm) where gap > 0),
+  ft as (select flow_id, k, sqrt(sum((gap - mean) * cos(2 * pi() * k * t / n)) ** 2 + sum((gap - mean) * sin(2 * pi() * k * t / n)) ** 2) as amp from go, range(1, 65) r(k) where n >= 6 and k <= n // 2 group by flow_id, k),
+  pe as (select flow_id, max(amp) / sum(amp) as score from ft group by flow_id having sum(amp) > 1e-6),
+  qn as (select flow_id, query_name as q, row_number() over (partition by flow_id order by us desc, seq desc) as k from ev where event_type = 'dns' and query_name <> ''),
+  qa as (select flow_id, count(*) as nq, avg(length(q)) as len, avg(length(q) - length(replace(q, '.', ''))) as depth, max(case when k = 1 then q end) as q from qn where k <= 50 group by flow_id),
+  qc as (select q, c, count(*) as m from (select q, unnest(string_split(q, '')) as c from (select distinct q from qa)) group by all),
+  qe as (select q, -sum(m / length(q) * log2(m / length(q))) as h from qc group by q),
+  qb as (select q, avg(case substr(split_part(q, '.', 1), i, 2) {_LL} else ln({text.FLOOR}) end) as ll from (select q, unnest(range(1, length(split_part(q, '.', 1)))) as i from (select distinct q from qa) where length(split_part(q, '.', 1)) >= 2) group by q),
+  ic as (select ip, c, count(*) as m from (select ip, unnest(string_split(ip, '')) as c from (select distinct src_ip as ip from ev)) group by all),
+  ie as (select ip, -sum(m / length(ip) * log2(m / length(ip))) as h from ic group by ip),
+  sp as (select seq, src_ip, dst_ip, dst_port, known, sum(known::int) over (partition by src_ip order by us, seq) as place from kn),
+  tp as (select seq, dst_ip, src_ip, known, sum(known::int) over (partition by dst_ip order by us, seq) as place from kn),
+  sd as (select lo.seq, greatest(1, count(distinct b.dst_ip)) as hosts, greatest(1, count(distinct b.dst_port)) as ports from lo join sp a on lo.seq = a.seq left join sp b on a.src_ip = b.src_ip and b.known and b.place between a.place - 1999 and a.place group by lo.seq),
+  td as (select lo.seq, greatest(1, count(distinct b.src_ip)) as srcs from lo join tp a on lo.seq = a.seq left join tp b on a.dst_ip = b.dst_ip and b.known and b.place between a.place - 1999 and a.place group by lo.seq),
+  oj as (select lo.*, fo.* exclude (flow_id), case when d > 0 then d else (lo.us - f) / 1000000 end as raw, op + rp as pk, ob + rb as by_, so.mean as zmean, coalesce(so.sd, 0) as zsd, pe.score, qa.* exclude (flow_id), qe.h as qh, qb.ll, ie.h as iph, hosts, ports, srcs, split_part(qa.q, '.', 1) as label
+    from lo join fo on lo.flow_id = fo.flow_id left join so on lo.flow_id = so.flow_id left join pe on lo.flow_id = pe.flow_id left join qa on lo.flow_id = qa.flow_id left join qe on qa.q = qe.q left join qb on qa.q = qb.q
+      join ie on lo.src_ip = ie.ip join sd on lo.seq = sd.seq join td on lo.seq = td.seq),
+  ow as (select *, greatest(0.001, raw) as dur, greatest(1.0, raw) as whole, greatest(1, length(label)) as ll_, length(regexp_replace(label, '[^aeiou]', '', 'g')) as vowels from oj),
+  ov as (select flow_id, us, src_ip, dst_ip, src_port, dst_port, us / 1000000 as "timestamp", pk / dur as packet_rate, by_ / dur as byte_rate, syn / dur as syn_rate, syn / greatest(1, pk) as syn_ratio, ack / greatest(1, pk) as ack_ratio, rst / greatest(1, pk) as rst_ratio,
+    case when protocol = 'UDP' then pk / dur else 0 end as udp_rate, srcs as unique_src_count, iph as src_ip_entropy, 1 / greatest(1.0, hosts) as dest_concentration, rb / greatest(1, ob) as byte_amplification_ratio,
+    coalesce(gmin, 0) as iat_min, coalesce(gmax, 0) as iat_max, coalesce(gmean, 0) as iat_mean, coalesce(gsd, 0) as iat_std, coalesce(case when gmean > 0.00001 then coalesce(gsd, 0) / gmean end, 0) as iat_cv, coalesce(score, 0) as periodicity_score,
+    n / dur * 60 as repeated_dst_freq, dur as flow_duration, n as repeated_conn_count, coalesce(len, 0) as query_len_mean, coalesce(qh, 0) as shannon_entropy_mean, coalesce(vowels / ll_, 0) as vowel_ratio, coalesce((length(regexp_replace(label, '[^\\p{{L}}]', '', 'g')) - vowels) / ll_, 0) as consonant_ratio,
+    coalesce(length(regexp_replace(label, '[^\\p{{Nd}}]', '', 'g')) / ll_, 0) as digit_ratio, coalesce(case when label <> '' then len(list_distinct(string_split(label, ''))) / ll_ end, 0) as unique_char_ratio, coalesce(depth, 0) as subdomain_depth_mean, coalesce(nq / dur, 0) as query_frequency,
+    0.0 as txt_record_ratio, coalesce(ll, 0) as ngram_log_likelihood, 0.0 as tls_version_num, sni as has_tls_sni, 0.0 as ja3_present, coalesce(zmean, 0) as pkt_size_mean, zsd as pkt_size_std, log2(zsd + 1) as pkt_size_entropy, op / greatest(1, pk) as directionality_ratio,
+    ports as unique_dst_ports, hosts as unique_dst_hosts, ports / whole as dst_port_fanout, hosts / whole as dst_host_fanout, syn as conn_attempts, syn / dur as conn_attempt_rate, rst / greatest(1, syn) as failed_conn_ratio, rb as inbound_bytes, ob as outbound_bytes, ob / greatest(1, rb) as out_in_byte_ratio,
+    by_ as bytes_per_flow, ob / dur as outbound_rate, (ob - rb) / greatest(1, by_) as asymmetric_traffic_score, hosts as src_out_degree, srcs as dst_in_degree, hosts + srcs as comm_partner_count, hosts / greatest(1.0, srcs) as graph_fanout_ratio from ow)
+"""
+
+
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
     return features.vectors(normalize(read_table(spark, folder, "net_events")))
 
@@ -83,6 +123,19 @@ def feature_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return v.select("flow_id", *features.ENDS, "timestamp", *[F.round(F.col(n) + 1e-9, 4).alias(n) for n in ["window_duration_sec", *features.ORDER]])
 
 
+def features_optimized(spark: SparkSession, folder: str) -> DataFrame:
+    """The 54 features of the selective generation, to four digits behind the point."""
+    v = features.optimized(normalize(read_table(spark, folder, "net_events")))
+    return v.select("flow_id", *features.ENDS, "timestamp", *[F.round(F.col(n) + 1e-9, 4).alias(n) for n in features.ORDER])
+
+
+def feature_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    """How the two generations agree on each feature: mean and largest absolute difference, share of flows that are equal."""
+    events = normalize(read_table(spark, folder, "net_events"))
+    a, b = (cut(v.select("flow_id", *features.ORDER), "generation") for v in (features.vectors(events), features.optimized(events)))
+    return metrics.agreement(a, b, "flow_id", features.ORDER).select("feature", "n", *[F.round(F.col(c) + 1e-9, 3).alias(c) for c in ("mean_difference", "largest_difference", "agreement")])
+
+
 #: CTEs: sv, the rules' decision on each vector; al, the alerts made of them
 _RULES = _VECTORS.rstrip() + ",\n  fv as (select *, src_port as sp, dst_port as dp from v),\n" + _DETECT[_DETECT.index("  d as (") :].replace("from v)", "from fv)") + """,
   r as (select *, round(us) as at, case when exfil > 0 then 'DATA_EXFILTRATION' when c2_ > 0 then 'C2_BEACONING' when dns > 0 then 'DGA_DNS_TUNNELLING' when scan > 0 then 'PORT_SCAN' when encrypted > 0 then 'ENCRYPTED_MALWARE' when ddos > 0 then 'DDOS' else 'BENIGN' end as label,
@@ -130,8 +183,14 @@ def pipeline_alerts(spark: SparkSession, folder: str) -> DataFrame:
     return pipeline.threats(pipeline.to_alerts(decided))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (feature_vectors, pipeline_rules, run_report, pipeline_alerts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (feature_vectors, features_optimized, feature_agreement, pipeline_rules, run_report, pipeline_alerts)}
 SQL = {
+    "features_optimized": _OPTIMIZED + " select flow_id, src_ip, dst_ip, src_port, dst_port, \"timestamp\", " + ", ".join(f"round(cast({n} as double) + 1e-9, 4) as {n}" for n in features.ORDER) + " from ov",
+    "feature_agreement": _VECTORS
+    + _OPTIMIZED[len(_EV.rstrip()) :]
+    + ", bo as ("
+    + " union all ".join(f"select '{n}' as feature, cast(v.{n} as double) as a, cast(ov.{n} as double) as b from v join ov on v.flow_id = ov.flow_id" for n in features.ORDER)
+    + ") select feature, count(*) as n, round(avg(abs(a - b)) + 1e-9, 3) as mean_difference, round(max(abs(a - b)) + 1e-9, 3) as largest_difference, round(avg((abs(a - b) <= 1e-6)::int) + 1e-9, 3) as agreement from bo group by feature",
     "pipeline_rules": _RULES + " select * from al",
     "run_report": _RULES
     + """, re as (select count(*) as n_events, count(distinct flow_id) as n_flows, greatest(0.0001, (max(us) - min(us)) / 1000000) as seconds from ev),

@@ -338,15 +338,6 @@ def fusion_unordered(spark, folder):
     return _detected(spark, folder).select("vec_id", *[out[k].alias(k) for k in ("label", "state", "confidence")])
 
 
-@query("""{ev}, f as (select flow_id, any_value(src_ip) as src_ip, sum(orig_pkts + resp_pkts) as pk, sum(orig_bytes + resp_bytes) as by_, count(case when contains(conn_state, 'S') then 1 end) as syn, count(case when contains(conn_state, 'R') then 1 end) as rst, max(duration) as d, min(us) as a, max(us) as b, count(*) as n, stddev_samp(orig_bytes) as sd from ev group by flow_id),
-  h as (select src_ip, count(distinct dst_ip) as hosts from ev group by src_ip)
-  select flow_id, round(pk / greatest(0.001, case when d > 0 then d else (b - a) / 1000000 end), 5) as packet_rate, round(syn / greatest(1, pk), 6) as syn_ratio, round(rst / greatest(1, syn), 6) as failed_conn_ratio, round(1 / greatest(1, hosts), 6) as dest_concentration, round(log2(coalesce(sd, 0) + 1), 6) as pkt_size_entropy, n as repeated_conn_count
-  from f join h on f.src_ip = h.src_ip""")
-def features_optimized(spark, folder):
-    o = features.optimized(_ev(spark, folder))
-    return o.select("flow_id", F.round("packet_rate", 5).alias("packet_rate"), *[F.round(c, 6).alias(c) for c in ("syn_ratio", "failed_conn_ratio", "dest_concentration", "pkt_size_entropy")], "repeated_conn_count")
-
-
 # --- alerts -------------------------------------------------------------------------------------
 _DET = """{ev}, d as (select *, src_ip || '>' || dst_ip as pair, (seq * 37 % 100) / 100 as conf, coalesce(conn_state, '-') as st from ev),
   f as (select *, case when us - lag(us) over (partition by src_ip, dst_ip, protocol order by us) > 30000000 then 1 else 0 end as flag from d),

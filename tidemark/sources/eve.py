@@ -11,7 +11,7 @@ SCHEMA = """timestamp string, flow_id bigint, event_type string, src_ip string,
 flow struct<pkts_toserver: bigint, pkts_toclient: bigint, bytes_toserver: bigint, bytes_toclient: bigint, age: bigint, state: string>,
 alert struct<action: string, category: string, signature: string, gid: int, rev: int, severity: int, signature_id: int>,
 dns struct<id: int, rrname: string, rrtype: string, rcode: string, answers: array<struct<rdata: string>>, grouped: map<string, array<string>>>,
-tls struct<version: string, sni: string, subject: string, issuerdn: string, ja3: string>,
+tls struct<version: string, sni: string, subject: string, issuerdn: string, ja3: string, ja3s: string>,
 http struct<http_method: string, hostname: string, url: string, http_user_agent: string, status: int, length: bigint>,
 _corrupt string"""
 _TYPES = {"flow": "connection", "alert": "alert", "dns": "dns", "tls": "tls", "http": "http"}
@@ -39,7 +39,9 @@ def events(raw: DataFrame) -> DataFrame:
     kind = F.try_element_at(table, c("event_type"))
     zero = lambda x: F.coalesce(x, F.lit(0))
     answers = F.coalesce(F.transform("dns.answers", lambda a: a["rdata"]), F.flatten(F.map_values("dns.grouped")))
-    rows = raw.where(c("_corrupt").isNull()).select("*", epoch_seconds(c("timestamp")).alias("ts"), kind.alias("kind")).where("ts is not null and kind is not null")
+    when = lambda k, x: F.when(c("kind") == k, x)
+    fingerprint = lambda n: F.when(c(n).startswith("{"), F.get_json_object(n, "$.hash")).otherwise(c(n))
+    rows = raw.where(c("_corrupt").isNull()).select("*", c("flow_id").alias("raw_flow"), epoch_seconds(c("timestamp")).alias("ts"), kind.alias("kind")).where("ts is not null and kind is not null")
     out = rows.select(
         "ts",
         c("kind").alias("event_type"),
@@ -60,9 +62,23 @@ def events(raw: DataFrame) -> DataFrame:
         c("dns.rrtype").alias("query_type"),
         answers.alias("answers"),
         c("tls.version").alias("tls_version"),
-        F.when(c("tls.ja3").startswith("{"), F.get_json_object("tls.ja3", "$.hash")).otherwise(c("tls.ja3")).alias("ja3"),
-        c("alert.signature").alias("signature"),
-        c("alert.severity").alias("severity"),
+        fingerprint("tls.ja3").alias("ja3"),
+        fingerprint("tls.ja3s").alias("ja3s"),
+        c("tls.subject").alias("subject"),
+        c("tls.issuerdn").alias("issuer"),
+        when("http", F.upper(F.coalesce("http.http_method", F.lit("GET")))).alias("http_method"),
+        when("http", F.coalesce("http.url", F.lit("/"))).alias("uri"),
+        c("http.http_user_agent").alias("user_agent"),
+        when("http", F.coalesce("http.status", F.lit(200))).alias("status_code"),
+        when("http", zero(c("http.length"))).alias("request_body_len"),
+        when("alert", F.coalesce("alert.signature", F.lit("Unknown Signature"))).alias("signature"),
+        when("alert", F.coalesce("alert.severity", F.lit(3))).alias("severity"),
+        when("alert", F.coalesce("alert.category", F.lit("Security Threat"))).alias("category"),
+        when("alert", F.coalesce("alert.action", F.lit("allowed"))).alias("action"),
+        when("alert", zero(c("alert.signature_id"))).alias("signature_id"),
+        when("alert", F.coalesce("alert.gid", F.lit(1))).alias("gid"),
+        when("alert", F.coalesce("alert.rev", F.lit(1))).alias("rev"),
+        F.concat_ws("_", "kind", F.coalesce(c("raw_flow").cast("string"), F.lit("0")), when("alert", zero(c("alert.signature_id")).cast("string"))).alias("source_id"),
     )
     return as_events(out)
 
@@ -73,6 +89,17 @@ def rejects(raw: DataFrame) -> DataFrame:
     return raw.select("*", reason.alias("reason")).where("reason is not null")
 
 
+def of_packets(packets: DataFrame, first: int = 50) -> DataFrame:
+    """EVE flow records (column value) of the `first` packets in order of time: one per packet, as a sensor's first look."""
+    c = F.col
+    when = F.date_format(F.timestamp_micros(F.floor(c("ts") * 1_000_000 + 0.5)), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    app = F.when(c("dns_query").isNotNull(), "dns").when(c("sni").isNotNull(), "tls").otherwise("failed")
+    flow = F.struct(F.lit(1).alias("pkts_toserver"), F.lit(0).alias("pkts_toclient"), c("wire_len").alias("bytes_toserver"), F.lit(0).alias("bytes_toclient"), F.lit(1).alias("age"), F.lit("established").alias("state"))
+    rows = packets.orderBy("ts", "src_ip", "src_port", "dst_ip", "dst_port").limit(first)
+    record = F.struct(when.alias("timestamp"), F.lit("flow").alias("event_type"), "src_ip", "src_port", c("dst_ip").alias("dest_ip"), c("dst_port").alias("dest_port"), c("protocol").alias("proto"), app.alias("app_proto"), flow.alias("flow"))
+    return rows.select(F.to_json(record).alias("value"))
+
+
 def to_json_lines(df: DataFrame) -> DataFrame:
     """Rows as JSON text (column value), for text files or a message bus."""
     return df.select(F.to_json(F.struct("*")).alias("value"))

@@ -18,22 +18,56 @@ from tidemark.functions.text import DNS_TYPES
 
 SCHEMA = """ts double, wire_len int, status string, src_ip string, dst_ip string, src_port int, dst_port int, protocol string,
 syn boolean, ack boolean, fin boolean, rst boolean, psh boolean, urg boolean, ece boolean, cwr boolean, window int, seq bigint, payload_len int,
-dns_query string, dns_type string, dns_response boolean, sni string"""
-_WIDTH = 23
-
-
-def _dns(data: bytes) -> tuple[str | None, str | None, bool | None]:
+dns_query string, dns_type string, dns_response boolean, sni string, dns_rcode int, dns_answers array<string>"""
+_WIDTH = 25
+
+
+def _name(data: bytes, at: int) -> tuple[str | None, int]:
+    """A domain name at a place of a DNS message, and the place behind it. Pointers go backwards only."""
+    labels, behind, limit = [], None, at
+    while True:
+        if at >= len(data):
+            return None, len(data)
+        size = data[at]
+        if size >= 192:
+            if at + 1 >= len(data):
+                return None, len(data)
+            behind = behind or at + 2
+            target = (size & 63) << 8 | data[at + 1]
+            if target >= limit:
+                return None, behind
+            at = limit = target
+        elif size == 0:
+            return ".".join(labels), behind or at + 1
+        elif size >= 64:
+            return None, behind or at + 1
+        else:
+            labels.append(data[at + 1 : at + 1 + size].decode("ascii", "replace"))
+            at += 1 + size
+
+
+def _dns(data: bytes) -> tuple[str | None, str | None, bool | None, int | None, list[str] | None]:
+    """First question and its type, whether it is a response, its code, and the owner names of the answers."""
     if len(data) < 17:
-        return None, None, None
-    flags, questions = struct.unpack(">HH", data[2:6])
-    labels, at = [], 12
-    while questions and at < len(data) and data[at] and data[at] < 64:
-        labels.append(data[at + 1 : at + 1 + data[at]].decode("ascii", "replace"))
-        at += 1 + data[at]
-    if not labels or at + 3 > len(data):
-        return None, None, bool(flags >> 15)
-    code = struct.unpack(">H", data[at + 1 : at + 3])[0]
-    return ".".join(labels), DNS_TYPES.get(code, f"TYPE_{code}"), bool(flags >> 15)
+        return None, None, None, None, None
+    flags, questions, answers = struct.unpack(">HHH", data[2:8])
+    at, first = 12, (None, None)
+    for k in range(questions):
+        name, at = _name(data, at)
+        if name is None or at + 4 > len(data):
+            break
+        if k == 0 and name:
+            code = struct.unpack(">H", data[at : at + 2])[0]
+            first = name, DNS_TYPES.get(code, f"TYPE_{code}")
+        at += 4
+    owners = []
+    for _ in range(answers):
+        name, at = _name(data, at)
+        if name is None or at + 10 > len(data):
+            break
+        owners.append(name)
+        at += 10 + struct.unpack(">H", data[at + 8 : at + 10])[0]
+    return *first, bool(flags >> 15), flags & 15, owners
 
 
 def _sni(data: bytes) -> str | None:
@@ -103,7 +137,7 @@ def decode(ts: float, frame: bytes, wire_len: int) -> tuple:
         row[5], row[6] = struct.unpack(">HH", body[:4])
         payload = body[8:]
         if 53 in (row[5], row[6]):
-            row[19], row[20], row[21] = _dns(payload)
+            row[19], row[20], row[21], row[23], row[24] = _dns(payload)
     row[18] = len(payload)
     return tuple(row)
 
