@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import packets
 from tidemark.operators.models import IsolationForest
-from tidemark.sources import bus, eve, pcap, scenarios, zeek
+from tidemark.sources import bus, eve, folder, pcap, scenarios, zeek
 
 CONN = zeek.header(zeek.CONN, "conn") + [
     "1724832000.5\tC1\t10.0.0.1\t5000\t10.0.0.2\t80\ttcp\thttp\t1.5\t100\t200\tSF\t0\tShADadfF\t4\t5",
@@ -57,6 +57,58 @@ def hello(name):
     return b"\x16\x03\x01" + struct.pack(">H", len(shake)) + shake
 
 
+def test_dns_answers_and_their_code():
+    head = struct.pack(">HHHHHH", 1, 0x8183, 1, 2, 0, 0)
+    question = b"\x01a\x07example\0" + struct.pack(">HH", 1, 1)
+    answer = lambda name: name + struct.pack(">HHIH", 1, 1, 60, 4) + bytes([192, 0, 2, 1])
+    full = head + question + answer(b"\xc0\x0c") + answer(b"\x01b\xc0\x0e")
+    assert pcap._dns(full) == ("a.example", "A", True, 3, ["a.example", "b.example"])
+    assert pcap._dns(full[:-6]) == ("a.example", "A", True, 3, ["a.example"])
+    assert pcap._dns(head + b"\xc0\x0c" + b"\0" * 4) == (None, None, True, 3, [])  # a pointer at itself
+    assert pcap._dns(b"short") == (None, None, None, None, None)
+
+
+def test_records_of_packets(spark, tmp_path):
+    p = scenarios.packets(spark, "benign")
+    records = zeek.records_of(p)
+    fields = {"conn": zeek.CONN, "dns": zeek.DNS, "ssl": zeek.SSL}
+    for kind, df in records.items():
+        lines = [r.value for r in zeek.to_tsv(df, fields[kind]).collect()]
+        (tmp_path / f"{kind}.log").write_text("\n".join(zeek.header(fields[kind], kind) + lines) + "\n")
+    (tmp_path / "eve.json").write_text("\n".join(r.value for r in eve.of_packets(p).collect()))
+    found = folder.read(spark, str(tmp_path))
+    kinds = {(r.source_engine, r.event_type): r.n for r in found.groupBy("source_engine", "event_type").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert kinds == {("zeek", "connection"): 2, ("zeek", "dns"): 2, ("zeek", "tls"): 1, ("suricata", "connection"): 18}
+    conn = found.where("source_engine = 'zeek' and event_type = 'connection' and dst_port = 443").first()
+    assert (conn.orig_pkts, conn.conn_state, conn.service) == (16, "SF", "ssl")
+    ordered = folder.in_order(found).collect()
+    assert [r.ts for r in ordered] == sorted(r.ts for r in ordered) and ordered == folder.in_order(found.repartition(7)).collect()
+    lone = zeek.records_of(scenarios.packets(spark, "port_scan"))["conn"]
+    assert {r.conn_state for r in lone.collect()} == {"S0"} and lone.count() == 100
+
+
+def test_eve_details(spark, tmp_path):
+    lines = [
+        {"timestamp": "2024-08-28T08:00:00Z", "flow_id": 7, "event_type": "alert", "alert": {"signature_id": 5}},
+        {"timestamp": "2024-08-28T08:00:00Z", "event_type": "tls", "tls": {"subject": "CN=a", "issuerdn": "CN=b", "ja3s": {"hash": "x"}}},
+        {"timestamp": "2024-08-28T08:00:00Z", "event_type": "http", "http": {"http_method": "post", "hostname": "h", "length": 9}},
+    ]
+    (tmp_path / "eve.json").write_text("\n".join(map(json.dumps, lines)))
+    rows = {r.event_type: r for r in eve.events(eve.read(spark, str(tmp_path / "eve.json"))).collect()}
+    a, t, h = rows["alert"], rows["tls"], rows["http"]
+    assert (a.source_id, a.signature, a.category, a.severity, a.action, a.gid, a.rev) == ("alert_7_5", "Unknown Signature", "Security Threat", 3, "allowed", 1, 1)
+    assert (t.subject, t.issuer, t.ja3s, t.severity) == ("CN=a", "CN=b", "x", None)
+    assert (h.http_method, h.uri, h.status_code, h.request_body_len) == ("POST", "/", 200, 9)
+
+
+def test_packet_predictions(spark):
+    v = packets.vectors(scenarios.packets(spark, "dns_tunnel").unionByName(scenarios.packets(spark, "benign")))
+    got = {r.src_ip: (r.prediction, r.confidence, r.method) for r in packets.predict(v.where("dns_entropy_mean > 0"), F.lit("benign"), F.lit(0.9)).collect()}
+    assert got["192.168.1.50"] == ("dns_dga", 1.0, "RULE_BASED") and got["192.168.1.100"] == ("benign", 0.9, "MODEL_BASED")
+    sure = packets.predict(v, F.lit("benign"), F.lit(1.0)).select("method").distinct().collect()
+    assert [r.method for r in sure] == ["MODEL_BASED"]  # a rule must be surer than the model
+
+
 def dns_frame():
     query = struct.pack(">HHHHHH", 1, 0x0100, 1, 0, 0, 0) + b"\x06google\x03com\0" + struct.pack(">HH", 16, 1)
     body = struct.pack(">HHHH", 5353, 53, 8 + len(query), 0) + query

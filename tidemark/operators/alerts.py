@@ -65,7 +65,12 @@ def search(alerts: DataFrame, text: str) -> DataFrame:
     return alerts.where(F.lower("flow_id").contains(text.lower()) | F.lower("alert_id").contains(text.lower()))
 
 
-def previous_within(detections: DataFrame, keys: list[str], us: str, reach_us: int) -> DataFrame:
-    """As-of lookup: the time of the previous detection of the same key if within reach, else null."""
-    before = F.lag(us).over(Window.partitionBy(*keys).orderBy(us))
+def get(alerts: DataFrame, alert_id: str | None) -> DataFrame:
+    """The alert of an id; no row if there is none."""
+    return alerts.where(F.col("alert_id") == F.lit(alert_id))
+
+
+def previous_within(detections: DataFrame, keys: list[str], us: str, reach_us: int, seq: str | None = None) -> DataFrame:
+    """As-of lookup: the time of the previous detection of the same key if within reach, else null. seq: order of equal times."""
+    before = F.lag(us).over(Window.partitionBy(*keys).orderBy(us, *([seq] if seq else [])))
     return detections.select("*", F.when(F.col(us) - before <= reach_us, before).alias("previous_us"))

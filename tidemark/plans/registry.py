@@ -195,11 +195,10 @@ def dns_features(spark, folder):
     return features.name_features(_ev(spark, folder)).select("src_ip", "n_queries", F.round("query_len_mean", 6).alias("query_len_mean"), F.round("subdomain_depth_mean", 6).alias("subdomain_depth_mean"))
 
 
-@query("""select row_id, case row_id % 5 when 0 then 1.3 when 1 then 1.2 when 2 then 1.0 else 0.0 end as tls_version_num, cast(case when query_name is not null and query_name <> '' then 1 else 0 end as double) as has_tls_sni from net_events where lower(event_type) = 'tls'""")
-def tls_encoding(spark, folder):
+@query("""select row_id, cast(case when query_name <> '' then 1 else 0 end as double) as has_tls_sni from net_events where lower(event_type) = 'tls'""")
+def tls_names(spark, folder):
     rows = read_table(spark, folder, "net_events").where(F.lower("event_type") == "tls")
-    version = F.when(F.col("row_id") % 5 == 0, "TLSv1.3").when(F.col("row_id") % 5 == 1, "TLSv1.2").when(F.col("row_id") % 5 == 2, "TLSv1.0").when(F.col("row_id") % 5 == 3, "")
-    return rows.select("row_id", text.tls_version_number(version).alias("tls_version_num"), F.when(F.col("query_name").isNotNull() & (F.col("query_name") != ""), 1.0).otherwise(0.0).alias("has_tls_sni"))
+    return rows.select("row_id", F.when(F.nullif(F.col("query_name"), F.lit("")).isNotNull(), 1.0).otherwise(0.0).alias("has_tls_sni"))
 
 
 # --- detectors, gate, fusion, severity ------------------------------------------------------------
@@ -384,9 +383,8 @@ def top_alerts(spark, folder):
 
 @query("""{ev} select seq, coalesce(case when us - lag(us) over w <= 21600000000 then lag(us) over w end, 0) as previous_us from ev window w as (partition by src_ip, dst_ip, dst_port order by us, seq)""")
 def asof_previous(spark, folder):
-    w = Window.partitionBy("src_ip", "dst_ip", "dst_port").orderBy("us", "seq")
-    before = F.lag("us").over(w)
-    return _ev(spark, folder).select("seq", F.coalesce(F.when(F.col("us") - before <= 21_600_000_000, before), F.lit(0)).alias("previous_us"))
+    found = alerts.previous_within(_ev(spark, folder), ["src_ip", "dst_ip", "dst_port"], "us", 21_600_000_000, "seq")
+    return found.select("seq", F.coalesce("previous_us", F.lit(0)).alias("previous_us"))
 
 
 @query("{ev} select seq, flow_id, us, event_type from (select *, row_number() over (partition by flow_id order by us desc, seq desc) as k from ev) where k = 1")
@@ -411,9 +409,10 @@ def interval_join(spark, folder):
 def latency_percentiles(spark, folder):
     lag = F.unix_micros("received_at") / 1_000_000 - F.col("timestamp")
     rows = read_table(spark, folder, "net_events").where("timestamp > 0 and received_at is not null").select(F.lower("event_type").alias("event_type"), lag.alias("l"))
-    p = F.percentile("l", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), p.alias("p"), F.avg("l").alias("mean"), F.min("l").alias("least"), F.max("l").alias("most"))
-    return out.select("event_type", "n", *[F.round(F.col("p")[k], 4).alias(n) for k, n in enumerate(("p50", "p95", "p99"))], *[F.round(c, 4).alias(c) for c in ("mean", "least", "most")])
+    names = {0.5: "p50", 0.95: "p95", 0.99: "p99"}
+    p = metrics.percentiles(rows, "l", list(names), ["event_type"]).groupBy(F.col("event_type").alias("e")).agg(*[F.max(F.when(F.col("share") == q, F.col("value"))).alias(n) for q, n in names.items()])
+    out = rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("l").alias("mean"), F.min("l").alias("least"), F.max("l").alias("most")).join(p, F.col("event_type").eqNullSafe(F.col("e")))
+    return out.select("event_type", "n", *[F.round(n, 4).alias(n) for n in (*names.values(), "mean", "least", "most")])
 
 
 @query("""{ev} select sensor_id, count(*) as n_events, count(distinct flow_id) as n_flows, cast(sum(orig_pkts + resp_pkts) as bigint) as n_packets, round(count(*) / greatest(0.001, (max(us) - min(us)) / 1000000), 6) as events_per_second from ev group by sensor_id""")
@@ -445,7 +444,8 @@ def auc_rank(spark, folder):
 @query("select round(quantile_cont(anomaly_score, 0.05), 6) as p05, round(quantile_cont(anomaly_score, 0.5), 6) as p50 from security_alerts where threat_class = 'BENIGN' and anomaly_score is not null")
 def threshold_selection(spark, folder):
     a = read_table(spark, folder, "security_alerts").where("threat_class = 'BENIGN' and anomaly_score is not null")
-    return a.agg(F.round(F.percentile("anomaly_score", F.lit(0.05)), 6).alias("p05"), F.round(F.percentile("anomaly_score", F.lit(0.5)), 6).alias("p50"))
+    p = metrics.percentiles(a, "anomaly_score", [0.05, 0.5])
+    return p.agg(*[F.round(F.max(F.when(F.col("share") == q, F.col("value"))), 6).alias(n) for q, n in ((0.05, "p05"), (0.5, "p50"))])
 
 
 @query("""select vec_id, round((packet_rate - (select avg(packet_rate) from flow_vectors)) / (select stddev_pop(packet_rate) from flow_vectors), 5) as packet_rate, round((iat_cv - (select avg(iat_cv) from flow_vectors)) / (select stddev_pop(iat_cv) from flow_vectors), 5) as iat_cv from flow_vectors""")
@@ -471,6 +471,61 @@ def data_audit(spark, folder):
     return t.agg(F.count(F.lit(1)).alias("n_rows"), (F.count("event_id") - F.countDistinct("event_id")).alias("repeated_ids"), no(F.col("src_ip").isNull() | (F.col("src_ip") == "0.0.0.0"), "no_source"), no(F.col("timestamp").isNull() | (F.col("timestamp") == 0), "no_time"), no(F.col("orig_bytes").isNull(), "no_bytes"))
 
 
+@query(_FUSED + " select rf as truth, label as guess, count(*) as n from y group by all")
+def confusion_matrix(spark, folder):
+    return metrics.confusion(_fused(spark, folder), "rf", "label")
+
+
+@query(_FUSED + """, p as (select rf, label, count(*) as n from y group by all), r as (select rf, sum(n) as s, coalesce(sum(case when rf = label then n end), 0) as h from p group by rf),
+  g as (select label, sum(n) as g from p group by label)
+  select round(avg(h / greatest(1, coalesce(g, 0))), 6) as macro_precision, round(avg(h / s), 6) as macro_recall, round(avg(case when h > 0 then 2 * (h / g) * (h / s) / (h / g + h / s) else 0 end), 6) as macro_f1 from r left join g on r.rf = g.label""")
+def macro_averages(spark, folder):
+    m = metrics.macro(metrics.class_report(_fused(spark, folder), "rf", "label"))
+    return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
+
+
+@query("""with a as (select threat_class <> 'BENIGN' as pos, if_is_anomalous as flag, anomaly_score as s from security_alerts where threat_class is not null and if_is_anomalous is not null and anomaly_score is not null)
+  select round(avg(flag::int) filter (pos), 6) as true_positive_rate, round(avg(flag::int) filter (not pos), 6) as false_positive_rate, round(avg(s) filter (pos), 6) as positive_mean, round(avg(s) filter (not pos), 6) as negative_mean,
+    round(abs(avg(s) filter (pos) - avg(s) filter (not pos)), 6) as separation from a""")
+def anomaly_rates(spark, folder):
+    a = read_table(spark, folder, "security_alerts").where("threat_class is not null and if_is_anomalous is not null and anomaly_score is not null")
+    r = metrics.rates(a, F.col("threat_class") != "BENIGN", F.col("if_is_anomalous"), F.col("anomaly_score"))
+    return r.select(*[F.round(c, 6).alias(c) for c in r.columns])
+
+
+@query("""with c as (select severity, threat_class, count(*) as k from security_alerts group by all), m as (select severity, arg_min(threat_class, (-k, threat_class)) as mode from c group by severity)
+  select s.severity, count(*) as n, any_value(mode) as mode, round(min(anomaly_score), 6) as least_score, round(avg(anomaly_score), 6) as mean_score, round(sum(confidence_score) / count(*), 6) as mean_confidence_score from security_alerts s join m on s.severity is not distinct from m.severity group by s.severity""")
+def severity_summary(spark, folder):
+    r = metrics.class_summary(read_table(spark, folder, "security_alerts"), "severity", "threat_class", "anomaly_score", ["confidence_score"])
+    return r.select("severity", "n", "mode", *[F.round(c, 6).alias(c) for c in ("least_score", "mean_score", "mean_confidence_score")])
+
+
+@query("select row_id from security_alerts where threat_class in (select threat_class from security_alerts group by threat_class having count(*) >= 100)")
+def trainable_rows(spark, folder):
+    return metrics.classes_worth_training(read_table(spark, folder, "security_alerts"), "threat_class", least=100).select("row_id")
+
+
+@query("""with g as (select src_ip, dst_ip, duration, count(*) as k from net_events group by all) select cast(sum(k) as bigint) as n_rows, cast(sum(k - 1) as bigint) as repeated_rows, cast(coalesce(sum(k) filter (src_ip is null), 0) as bigint) as null_src_ip, cast(coalesce(sum(k) filter (dst_ip is null), 0) as bigint) as null_dst_ip,
+  cast(coalesce(sum(k) filter (duration is null), 0) as bigint) as null_duration, cast(coalesce(sum(k) filter (isnan(duration)), 0) as bigint) as nan_duration, cast(coalesce(sum(k) filter (isinf(duration)), 0) as bigint) as inf_duration from g""")
+def row_audit(spark, folder):
+    """Rows that repeat in full over three columns, and nulls, NaN and infinite values."""
+    return metrics.audit(read_table(spark, folder, "net_events").select("src_ip", "dst_ip", "duration"), ["src_ip", "dst_ip", "duration"])
+
+
+@query(_FIRST_ALERT + " select row_id, alert_id, threat_class from a where alert_id = (select min(alert_id) from a)")
+def alert_by_id(spark, folder):
+    a = _alerts(spark, folder)
+    first = a.agg(F.min("alert_id")).first()[0]
+    return alerts.get(a, first).select("row_id", "alert_id", "threat_class")
+
+
+@query("{ev} select row_number() over (order by us, event_type, flow_id, seq) as place, seq from ev")
+def event_order(spark, folder):
+    """The place of each event in the stable order of time."""
+    e = _ev(spark, folder).select("seq", "us", F.struct(F.coalesce("event_type", F.lit("")).alias("e"), F.coalesce("flow_id", F.lit("")).alias("f"), "seq").alias("tie"))
+    return windows.running_total(e, "us", "tie", F.lit(1).cast("bigint"), "place").select("place", "seq")
+
+
 # --- sets, unions and the generic relational extras -------------------------------------------------
 @query("""select 'net_events' as source, lower(event_type) as event_type, count(*) as n from net_events group by all union all select 'event_feed', lower(event_type), count(*) from event_feed group by all union all select 'security_alerts', 'alert', count(*) from security_alerts""")
 def union_sources(spark, folder):
@@ -530,16 +585,58 @@ def model_classes(spark, folder):
     return classify(random_forest(rows, features.ORDER, "label", trees=300), rows.drop("label")).select("vec_id", "model_class", "model_confidence")
 
 
-@query()
+@query("""{ev}, p as (select src_ip, dst_ip, src_port, dst_port, protocol, us, coalesce(starts_with(conn_state, 'S'), false) as syn, coalesce(conn_state = 'SF', false) as ack, coalesce(starts_with(conn_state, 'R'), false) as rst, orig_bytes + resp_bytes as len,
+    case when coalesce(event_type, '') <> 'tls' then query_name end as q, case when event_type = 'tls' then query_name end as sni from ev),
+  f as (select src_ip, dst_ip, src_port, dst_port, protocol, count(*) as n, sum(len) as bytes, (max(us) - min(us)) / 1000000 as span, count(*) filter (syn and not ack) as a, count(*) filter (ack and not syn) as b, count(*) filter (rst) as c, count(*) filter (syn and ack) as d, count(*) filter (syn) as syns, max((sni is not null)::int) as sni from p group by all),
+  s as (select dst_ip, count(distinct src_ip) as srcs, entropy(src_ip) as h from p group by dst_ip), h as (select src_ip, count(distinct dst_port) as ports, count(distinct dst_ip) as hosts from p group by src_ip),
+  g as (select f.*, srcs, h, ports, hosts, greatest(0.001, span) as dur, greatest(1.0, span) as whole, greatest(1, case when protocol = 'TCP' then n else 0 end) as tcp, (protocol = 'TCP')::int as is_tcp from f join s using (dst_ip) join h using (src_ip))
+  select src_ip, dst_ip, src_port, dst_port, protocol, round(n / dur, 4) as packet_rate, round(bytes / dur, 4) as byte_rate, round(is_tcp * a / tcp, 6) as syn_ratio, round(is_tcp * b / tcp, 6) as ack_ratio, round(is_tcp * c / tcp, 6) as rst_ratio, round(is_tcp * d / tcp, 6) as syn_ack_ratio,
+    cast(srcs as double) as unique_src_ips, round(h, 6) + 0.0 as src_ip_entropy, cast(ports as double) as unique_dst_ports, cast(hosts as double) as unique_dst_hosts, round(ports / whole, 6) as dst_port_fanout, round(hosts / whole, 6) as dst_host_fanout, round(syns / whole, 6) as connection_attempt_rate,
+    cast(bytes as double) as outbound_bytes_total, round(dur, 6) as flow_duration_sec, cast(sni as double) as has_tls_sni from g""")
 def packet_features(spark, folder):
-    """The 33 packet features and rule classes of the six traffic scenarios."""
-    from functools import reduce
+    """Features of the packet generation, every event taken for a packet."""
+    from tidemark.operators import packets
 
+    v = packets.vectors(packets.of_events(_ev(spark, folder)))
+    digits = {"packet_rate": 4, "byte_rate": 4, "syn_ratio": 6, "ack_ratio": 6, "rst_ratio": 6, "syn_ack_ratio": 6, "unique_src_ips": 0, "src_ip_entropy": 6, "unique_dst_ports": 0, "unique_dst_hosts": 0, "dst_port_fanout": 6, "dst_host_fanout": 6, "connection_attempt_rate": 6, "outbound_bytes_total": 0, "flow_duration_sec": 6, "has_tls_sni": 0}
+    return v.select("src_ip", "dst_ip", "src_port", "dst_port", "protocol", *[(F.round(F.col(n).cast("double"), d) + 0.0).alias(n) for n, d in digits.items()])
+
+
+@query("""{ev}, t as (select src_ip, dst_ip, src_port, dst_port, protocol, us, (us - lag(us) over (partition by src_ip, dst_ip, src_port, dst_port, protocol order by us)) / 1000000 as gap
+    from (select *, row_number() over (partition by src_ip, dst_ip, src_port, dst_port, protocol order by us desc) as k from ev) where k <= 1000),
+  g as (select *, avg(gap) over w as mean, count(*) over w as n, row_number() over (partition by src_ip, dst_ip, src_port, dst_port, protocol order by us) - 1 as t from t where gap > 0 window w as (partition by src_ip, dst_ip, src_port, dst_port, protocol)),
+  a as (select src_ip, dst_ip, src_port, dst_port, protocol, any_value(mean) as m, stddev_pop(gap) as sd from g where n >= 2 group by all),
+  f as (select src_ip, dst_ip, src_port, dst_port, protocol, k, sqrt(sum((gap - mean) * cos(2 * pi() * k * t / n)) ** 2 + sum((gap - mean) * sin(2 * pi() * k * t / n)) ** 2) as amp from g, range(1, 501) r(k) where n >= 8 and k <= n // 2 group by all),
+  p as (select src_ip, dst_ip, src_port, dst_port, protocol, max(amp) / sum(amp) as peak from f group by all having sum(amp) > 1e-9),
+  r as (select src_ip, dst_ip, src_port, dst_port, protocol, case when sd / m < 0.15 then 1 else 0 end + case when m > 0.1 then 1 else 0 end + case when coalesce(peak, 0) > 0.05 then 1 else 0 end as holds from a left join p using (src_ip, dst_ip, src_port, dst_port, protocol) where m > 1e-5)
+  select distinct ev.src_ip, ev.dst_ip, ev.src_port, ev.dst_port, ev.protocol, case when holds = 3 then 'c2_beacon' else 'benign' end as prediction, case when holds = 3 then 1.0 else 0.9 end as confidence, case when holds = 3 then 'RULE_BASED' else 'MODEL_BASED' end as method
+  from ev left join r on ev.src_ip = r.src_ip and ev.dst_ip = r.dst_ip and ev.src_port = r.src_port and ev.dst_port = r.dst_port and ev.protocol is not distinct from r.protocol""")
+def packet_predictions(spark, folder):
+    """What the packet generation's rules say of each flow beside a model that calls all of them benign at 0.9."""
     from tidemark.operators import packets
-    from tidemark.sources import scenarios
 
-    rows = reduce(DataFrame.unionByName, [packets.heuristics(packets.vectors(scenarios.packets(spark, n))).withColumn("scenario", F.lit(n)) for n in scenarios.NAMES])
-    return rows
+    v = packets.vectors(packets.of_events(_ev(spark, folder)).withColumn("dns_query", F.lit(None).cast("string")))
+    found = packets.predict(v, F.lit("benign"), F.lit(0.9))
+    return found.select("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "prediction", "confidence", "method")
+
+
+@query("""with r as (select threat_class, (row_number() over (partition by threat_class order by cast(('0x' || substr(md5('42:' || row_id), 1, 2)) as int), md5('42:' || row_id)) - 1) % 5 as fold from security_alerts)
+  select threat_class, cast(fold as int) as fold, count(*) as n from r group by all""")
+def model_folds(spark, folder):
+    """Rows of each class in each of five stratified folds."""
+    from tidemark.operators.models import folds
+
+    rows = read_table(spark, folder, "security_alerts").select("row_id", "threat_class")
+    return folds(rows, "threat_class", "row_id").groupBy("threat_class", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def model_validation(spark, folder):
+    """Accuracy and macro averages of forests on five stratified folds of flow_vectors, labelled by the detectors."""
+    from tidemark.operators.models import cross_validate, random_forest
+
+    rows = _detected(spark, folder).select("vec_id", *features.ORDER, F.coalesce(detectors.first_fired(F.col("found"))["class"], F.lit("BENIGN")).alias("label"))
+    return cross_validate(rows, features.ORDER, "label", "vec_id", lambda train: random_forest(train, features.ORDER, "label"))
 
 
 @query("""with d as (select flow_id, threat_class, epoch_us(received_at) as us, confidence_score from security_alerts where received_at is not null),

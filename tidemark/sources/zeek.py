@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.rejects import RECORD, read_lines, typed_records
@@ -77,8 +77,14 @@ def header(fields: list[str], path: str) -> list[str]:
 
 def to_tsv(records: DataFrame, fields: list[str]) -> DataFrame:
     """Typed records as TSV lines (column value) in the order of `fields`; null is the unset mark."""
-    column = lambda n: F.col(RECORD[n][0] if n in RECORD else n)
-    text = lambda n: F.coalesce(column(n).cast("string"), F.lit("-"))
+    kinds = dict(records.dtypes)
+
+    def text(n: str) -> Column:
+        name = RECORD[n][0] if n in RECORD else n
+        # a double as text may be in powers of ten, which no log has
+        value = F.format_string("%.6f", F.col(name)) if kinds[name] == "double" else F.col(name).cast("string")
+        return F.when(F.col(name).isNotNull(), value).otherwise("-")
+
     return records.select(F.concat_ws("\t", *[text(n) for n in fields]).alias("value"))
 
 
