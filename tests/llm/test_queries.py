@@ -1,0 +1,23 @@
+import glob
+import os
+
+import duckdb
+import pytest
+
+from tidemark.llm import queries
+from verify import canonical
+
+
+@pytest.fixture(scope="module")
+def db(data):
+    c = duckdb.connect()
+    c.execute("SET TimeZone='UTC'")
+    for path in glob.glob(f"{data}/*.parquet"):
+        c.execute(f"create view {os.path.basename(path)[:-8]} as select * from read_parquet('{path}')")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_same_as_sql(spark, db, data, name):
+    got, want = canonical(queries.QUERIES[name](spark, data).toPandas()), canonical(db.execute(queries.SQL[name]).df())
+    assert got.equals(want)
