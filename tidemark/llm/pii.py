@@ -18,6 +18,7 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -275,7 +276,7 @@ _ANCHORS = {
     "digit": list(_DIGIT_WORDS),
     "disguise": ["dot", "punkt", "punto"],
     "mail": ["@"],
-    "address": ["street", " st", "avenue", " ave", "road", " rd", "drive", " dr", "lane", " ln", "court", " ct", "boulevard", "blvd", "place", " pl", "square", " sq", "terrace", " way", " close", "crescent", "hollow", " row", " walk", "mews", " cir", "trail", " trl", " loop", "alley", "gardens", "gdns", " gate", "grove", " rise", " quay", "wharf", " bend", "crossing", " pike", " path", "ridge", " view", " yard", " park", " green", " hill", " crest", " point", " cove", " glen", "heath", "meadow", "rue ", "quai ", "chemin ", "allee ", "allée ", "impasse ", "cours ", "via ", "viale ", "piazza ", "corso ", "highway", "hwy", "parkway", "pkwy", "box ", "postfach", "apartado", "straße", "strasse", "str. ", "gasse", "weg ", "platz", "allee", "calle", "c/", "avda", "avenida", "plaza", "paseo", "camino"],
+    "address": ["street", " st", "avenue", " ave", "road", " rd", "drive", " dr", "lane", " ln", "court", " ct", "boulevard", "blvd", "place", " pl", "square", " sq", "terrace", " way", " close", "crescent", " hollow,", " row,", " walk,", " mews,", " circle,", " cir,", " trail,", " trl,", " loop,", " alley,", " gardens,", " gdns,", " gate,", " grove,", " rise,", " quay,", " wharf,", " bend,", " crossing,", " pike,", " path,", " ridge,", " view,", " yard,", " park,", " green,", " hill,", " crest,", " point,", " cove,", " glen,", " heath,", " meadow,", " meadows,", "rue ", "quai ", "chemin ", "allee ", "allée ", "impasse ", "cours ", "via ", "viale ", "piazza ", "corso ", "highway", "hwy", "parkway", "pkwy", "box ", "postfach", "apartado", "straße", "strasse", "str. ", "gasse", "weg ", "platz", "allee", "calle", "c/", "avda", "avenida", "plaza", "paseo", "camino"],
     "label": ["ssn", "social", "national", "identity", "passport", "tax ", "ausweis", "steuer", "reisepass", "sozialvers", "pasaporte", "número", "numero", "dni", "nie", "nif", "nino", "(id", "id n", "id c"],
     "field": ['";"'],
     "cue": ["mr.", "mr ", "mrs", "ms.", "ms ", "miss ", "mx", "dr.", "dr ", "prof", "herr", "frau", "señor", "sra", "sr.", "sr ", "srta", "don ", "doña ", "belongs to ", "reported by ", "owned by ", "signed by ", "approved by ", "confirmed by ", "assigned to ", "escalate to ", "eskalieren an ", "thanks to ", "dank an ", "gracias a ", "spoke ", "talked to ", "met ", "ask ", "call ", "contact ", "ping ", "llamar a ", "llame a ", "hablar con ", "escalar a ", "avisar a ", "rufen sie ", "bitte ", "gemeldet von ", "lo notificó ", "notificado por ", "badge holder ", "cardholder ", "on call", "from: ", "to: ", "cc: ", "attn: ", "contact: ", "name: ", "owner: ", "reporter: ", "author: ", "analyst: ", "von: ", "de: ", "pasted in chat: ", "name=", '"reporter"', '"name"', '"owner"', '"author"', '"analyst"', '"user_name"', '"full_name"', '"contact"', "leaked row", "signed", "regards", "best", "cheers", "thanks", "sincerely", "yours", "grüßen", "grüße", "gruß", "mit freundlichen", "viele gr", "beste gr", "saludos", "un saludo", "atentamente"],
@@ -286,6 +287,15 @@ _ANCHORS = {
 }
 
 
+def _blanks(text: str) -> list[int]:
+    """Where each run of blanks begins."""
+    at = np.flatnonzero(_IS_BLANK[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0x3001)])
+    return at[np.diff(at, prepend=-2) > 1].tolist()
+
+
+_IS_BLANK = np.array([chr(k).isspace() for k in range(0x3002)])
+
+
 class _Places:
     """A text and where its blanks stand, to look around places by whole words, however long they are."""
 
@@ -296,7 +306,7 @@ class _Places:
     def around(self, a: int, b: int, before: int, after: int) -> tuple[int, int]:
         """From `before` words before the one at a to `after` words behind the one at b."""
         if self._blanks is None:
-            self._blanks = [m.start() for m in re.finditer(r"\s+", self.text)]
+            self._blanks = _blanks(self.text)
         k, n = bisect_left(self._blanks, a) - 1 - before, bisect_left(self._blanks, b) + after
         return (self._blanks[k] if k >= 0 else 0), (self._blanks[n] if n < len(self._blanks) else len(self.text))
 
