@@ -94,7 +94,10 @@ def test_added_and_lost_words_reach_the_target_recall(spark):
             at = draw.randint(2, 10)
             w[at : at + (kind != "added")] = [] if kind == "lost" else ["other"]
             documents.append((k, " ".join(["x"] * (k % 3) + w + ["y"] * (k % 2 * 20))))
-        found = find_leaks(spark.createDataFrame(documents, "doc_id bigint, text string").coalesce(1), spark.createDataFrame(items, "item_id bigint, text string"), max_edits=1).collect()
+        found = find_leaks(
+            spark.createDataFrame(documents, "doc_id bigint, text string").coalesce(1),
+            spark.createDataFrame(items, "item_id bigint, text string"), max_edits=1
+        ).collect()
         assert all(r.doc_id == r.item_id and r.edits == 1 for r in found)
         assert len(found) / len(items) >= 0.93, kind
 
@@ -102,7 +105,10 @@ def test_added_and_lost_words_reach_the_target_recall(spark):
 def test_a_passage_belongs_to_the_document_it_starts_in(spark):
     item = " ".join(f"w{k}" for k in range(13))
     documents = [(1, "before"), (2, item.removeprefix("w0 ")), (3, "behind")]
-    found = find_leaks(spark.createDataFrame(documents, "doc_id bigint, text string").coalesce(1), spark.createDataFrame([(1, item)], "item_id bigint, text string"), max_edits=1).collect()
+    found = find_leaks(
+        spark.createDataFrame(documents, "doc_id bigint, text string").coalesce(1),
+        spark.createDataFrame([(1, item)], "item_id bigint, text string"), max_edits=1
+    ).collect()
     assert {r.doc_id for r in found} <= {2}
 
 
@@ -133,5 +139,10 @@ def test_near_windows_against_all_pairs():
         found = index.search(ids, np.where(np.arange(len(ids)) < len(body), d, -1))
         got |= set(zip(found[0].tolist(), found[1].tolist()))
         coded = [index.vocabulary.get(x, -1) for x in body]
-        want |= {(d, int(o)) for w, f, t in zip(index.windows.tolist(), index.owners_from, index.owners_from[1:]) for o in index.owner[f:t] for s in range(len(coded) - 7) for n in (7, 8, 9) if levenshtein(w, coded[s : s + n]) <= 1}
+        want |= {
+            (d, int(o)) for w, f,
+            t in zip(
+                index.windows.tolist(), index.owners_from, index.owners_from[1:]
+            ) for o in index.owner[f:t] for s in range(len(coded) - 7) for n in (7, 8, 9) if levenshtein(w, coded[s : s + n]) <= 1
+        }
     assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 60

@@ -2,7 +2,10 @@ import pytest
 
 from tidemark.llm.pii import Detector, find_pii, plain, redact
 
-NAMES = [("Aisha", "given"), ("May", "given"), ("Will", "given"), ("Leon", "given"), ("Birkenthal", "family"), ("van der Holm", "family"), ("Nakamori-Bell", "family"), ("Grünwaldt", "family")]
+NAMES = [
+    ("Aisha", "given"), ("May", "given"), ("Will", "given"), ("Leon", "given"), ("Birkenthal", "family"),
+    ("van der Holm", "family"), ("Nakamori-Bell", "family"), ("Grünwaldt", "family")
+]
 #: text with «TYPE:span» marks
 CASES = [
     "Please cc «EMAIL:amara.mbekiru+soc@mail.northquay.example» on SEC-8960.",
@@ -58,7 +61,14 @@ def test_spans(detector, case):
     assert got == want
 
 
-@pytest.mark.parametrize("mail", ["alice@example[dot]com", "alice@example[.]com", "alice(.)b@mail [dot] example.com", "alice { at } example.com", "alice < at > example.com", "alice( @ )example.com", "alice [ät] example.com", "alice\tat example\ndot com", "alice [  AT] example [ punkt ]com", "alice［at］example.com"])
+@pytest.mark.parametrize(
+    "mail",
+    [
+        "alice@example[dot]com", "alice@example[.]com", "alice(.)b@mail [dot] example.com", "alice { at } example.com",
+        "alice < at > example.com", "alice( @ )example.com", "alice [ät] example.com", "alice\tat example\ndot com",
+        "alice [  AT] example [ punkt ]com", "alice［at］example.com"
+    ]
+)
 def test_every_form_of_the_patterns_is_found(detector, mail):
     for text in (f"Please cc {mail}, thanks.", f"Please cc {mail} on host[.]example and 10[.]0[.]0[.]1, thanks."):
         assert [text[a:b] for a, b, kind in detector.find(text) if kind == "EMAIL"] == [mail]
@@ -112,7 +122,9 @@ def test_traced_spans():
 
 def test_table(spark):
     text = "Contact: « » " + "x " * 100_000 + "bob@example.org"
-    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (1, text)], "doc_id bigint, text string").selectExpr("*", "1 as spans", "2 as redacted")
+    df = spark.createDataFrame(
+        [(1, text), (2, None), (3, ""), (1, text)], "doc_id bigint, text string"
+    ).selectExpr("*", "1 as spans", "2 as redacted")
     names = spark.createDataFrame([(1, *NAMES[0]), (2, None, None)], "lex_id int, name_text string, name_type string")
     rows = sorted(find_pii(df, names, with_text=True).collect(), key=lambda r: r.doc_id)
     assert [len(r.spans) for r in rows] == [1, 1, 0, 0]

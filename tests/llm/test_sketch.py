@@ -17,7 +17,10 @@ def one_sketch(spark, sets, keys, **how):
 
 
 def test_estimates_within_the_bound(spark):
-    sets = {"tiny": range(7), "one": ["x"], "some": range(1000, 3100), "few": range(40), "edge": range(8_500), "many": range(10_000, 90_000), "more": range(20_000, 60_000)}
+    sets = {
+        "tiny": range(7), "one": ["x"], "some": range(1000, 3100), "few": range(40), "edge": range(8_500),
+        "many": range(10_000, 90_000), "more": range(20_000, 60_000)
+    }
     df = table(spark, sets).withColumn("sketch", F.lit("clash"))
     parts = sketch.sketches(df, {"grp": F.col("grp")}, F.col("id"), run_rows=5000)
     got = {r.grp: r.estimate for r in sketch.estimate(sketch.merge(parts, ["grp"]), ["grp"]).collect()}
@@ -69,7 +72,10 @@ def test_cube_nulls_and_empty(spark):
     df = spark.createDataFrame([("a", "x", "1"), ("a", None, "2"), (None, "x", "2"), ("b", "y", None)], "k string, l string, id string")
     parts = sketch.sketches(df, {"k": F.col("k"), "l": F.col("l")}, F.col("id"))
     got = {(r.k, r.l, r.level): round(r.estimate) for r in sketch.estimate(sketch.merge_cube(parts, ["k", "l"]), ["k", "l", "level"]).collect()}
-    assert got == {("a", "x", 0): 1, ("a", None, 0): 1, (None, "x", 0): 1, ("a", None, 1): 2, (None, None, 1): 1, (None, "x", 2): 2, (None, None, 2): 1, (None, None, 3): 2}
+    assert got == {
+        ("a", "x", 0): 1, ("a", None, 0): 1, (None, "x", 0): 1, ("a", None, 1): 2, (None, None, 1): 1, (None, "x", 2): 2,
+        (None, None, 2): 1, (None, None, 3): 2
+    }
     none = sketch.sketches(df.limit(0), {"k": F.col("k")}, F.col("id"))
     assert sketch.estimate(sketch.merge(none, ["k"]), ["k"]).count() == 0
     assert sketch.merge_cube(none, ["k"]).count() == 0

@@ -228,7 +228,10 @@ class Index:
         return tuple(np.concatenate(x) for x in zip(*out))  # type: ignore[return-value]
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, window: int = 13, max_edits: int = 0, target: float = 0.95, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = 200_000) -> DataFrame:
+def find_leaks(
+    documents: DataFrame, items: DataFrame, window: int = 13, max_edits: int = 0, target: float = 0.95, doc_id: str = "doc_id",
+    doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = 200_000
+) -> DataFrame:
     """doc_id, item_id, edits: documents with a passage within `max_edits` word edits of a window of `window` words of the item.
 
     One row per document and item with the fewest edits found. The search is always made for at least one edit.

@@ -111,7 +111,10 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Container]
     return [c for g in gaps for c in by_gap[g]]
 
 
-def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, salt: int = 64) -> DataFrame:
+def pack(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER,
+    salt: int = 64
+) -> DataFrame:
     """doc_id, part, token_from, token_to, n_tokens, container_id: where each text (or part of it) goes.
 
     Only texts above the capacity are split: into full containers (with numbers below zero) and one rest, which is packed
@@ -125,8 +128,14 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: in
     parts = F.when(F.col("n_tokens") == 0, F.lit(1).cast("bigint")).otherwise(F.ceil(F.col("n_tokens") / capacity))
     items = sized.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"))
     start = F.col("part") * capacity
-    items = items.select("doc_id", F.col("part").cast("int").alias("part"), start.alias("token_from"), F.least(start + capacity, F.col("n_tokens")).alias("token_to"))
-    items = items.select("*", (F.col("token_to") - F.col("token_from")).alias("size"), F.pmod(F.xxhash64("doc_id", "part"), F.lit(salt)).cast("int").alias("bucket"))
+    items = items.select(
+        "doc_id", F.col("part").cast("int").alias("part"), start.alias("token_from"),
+        F.least(start + capacity, F.col("n_tokens")).alias("token_to")
+    )
+    items = items.select(
+        "*", (F.col("token_to") - F.col("token_from")).alias("size"),
+        F.pmod(F.xxhash64("doc_id", "part"), F.lit(salt)).cast("int").alias("bucket")
+    )
     # what fills a container needs no plan and no order, only numbers of its own: those below all others
     full = items.where(F.col("size") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("container_id"))
     items = items.where(F.col("size") < capacity)
@@ -138,11 +147,16 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: in
             rows.append((size, taken[size], taken[size] + per * c.count, first, per))
             taken[size] += per * c.count
         first += c.count
-    table = spark.createDataFrame(pd.DataFrame(rows, columns=["s", "low", "high", "first", "per"]).astype("int64") if rows else [], "s bigint, low bigint, high bigint, first bigint, per bigint")
+    table = spark.createDataFrame(
+        pd.DataFrame(rows, columns=["s", "low", "high", "first", "per"]).astype("int64") if rows else [],
+        "s bigint, low bigint, high bigint, first bigint, per bigint"
+    )
     over = Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.select(F.col("size").alias("z"), F.col("bucket").alias("q"), F.coalesce(F.sum("n").over(over), F.lit(0)).alias("offset"))
     number = F.row_number().over(Window.partitionBy("size", "bucket").orderBy("doc_id", "part")) - 1
-    ranked = items.where("size > 0").select("*", number.alias("number")).join(offsets, (F.col("size") == F.col("z")) & (F.col("bucket") == F.col("q"))).withColumn("rank", F.col("number") + F.col("offset"))
+    ranked = items.where("size > 0").select("*", number.alias("number")).join(
+        offsets, (F.col("size") == F.col("z")) & (F.col("bucket") == F.col("q"))
+    ).withColumn("rank", F.col("number") + F.col("offset"))
     # the plan has at most a few rows for each size, so its place in memory is bounded by the capacity
     placed = ranked.join(F.broadcast(table), (F.col("size") == F.col("s")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     placed = placed.withColumn("container_id", F.col("first") + F.floor((F.col("rank") - F.col("low")) / F.col("per")))

@@ -276,10 +276,32 @@ _ANCHORS = {
     "digit": list(_DIGIT_WORDS),
     "disguise": ["dot", "punkt", "punto"],
     "mail": ["@"],
-    "address": ["street", " st", "avenue", " ave", "road", " rd", "drive", " dr", "lane", " ln", "court", " ct", "boulevard", "blvd", "place", " pl", "square", " sq", "terrace", " way", " close", "crescent", " hollow,", " row,", " walk,", " mews,", " circle,", " cir,", " trail,", " trl,", " loop,", " alley,", " gardens,", " gdns,", " gate,", " grove,", " rise,", " quay,", " wharf,", " bend,", " crossing,", " pike,", " path,", " ridge,", " view,", " yard,", " park,", " green,", " hill,", " crest,", " point,", " cove,", " glen,", " heath,", " meadow,", " meadows,", "rue ", "quai ", "chemin ", "allee ", "allée ", "impasse ", "cours ", "via ", "viale ", "piazza ", "corso ", "highway", "hwy", "parkway", "pkwy", "box ", "postfach", "apartado", "straße", "strasse", "str. ", "gasse", "weg ", "platz", "allee", "calle", "c/", "avda", "avenida", "plaza", "paseo", "camino"],
-    "label": ["ssn", "social", "national", "identity", "passport", "tax ", "ausweis", "steuer", "reisepass", "sozialvers", "pasaporte", "número", "numero", "dni", "nie", "nif", "nino", "(id", "id n", "id c"],
+    "address": [
+        "street", " st", "avenue", " ave", "road", " rd", "drive", " dr", "lane", " ln", "court", " ct", "boulevard", "blvd",
+        "place", " pl", "square", " sq", "terrace", " way", " close", "crescent", " hollow,", " row,", " walk,", " mews,",
+        " circle,", " cir,", " trail,", " trl,", " loop,", " alley,", " gardens,", " gdns,", " gate,", " grove,", " rise,",
+        " quay,", " wharf,", " bend,", " crossing,", " pike,", " path,", " ridge,", " view,", " yard,", " park,", " green,",
+        " hill,", " crest,", " point,", " cove,", " glen,", " heath,", " meadow,", " meadows,", "rue ", "quai ", "chemin ",
+        "allee ", "allée ", "impasse ", "cours ", "via ", "viale ", "piazza ", "corso ", "highway", "hwy", "parkway", "pkwy",
+        "box ", "postfach", "apartado", "straße", "strasse", "str. ", "gasse", "weg ", "platz", "allee", "calle", "c/", "avda",
+        "avenida", "plaza", "paseo", "camino"
+    ],
+    "label": [
+        "ssn", "social", "national", "identity", "passport", "tax ", "ausweis", "steuer", "reisepass", "sozialvers", "pasaporte",
+        "número", "numero", "dni", "nie", "nif", "nino", "(id", "id n", "id c"
+    ],
     "field": ['";"'],
-    "cue": ["mr.", "mr ", "mrs", "ms.", "ms ", "miss ", "mx", "dr.", "dr ", "prof", "herr", "frau", "señor", "sra", "sr.", "sr ", "srta", "don ", "doña ", "belongs to ", "reported by ", "owned by ", "signed by ", "approved by ", "confirmed by ", "assigned to ", "escalate to ", "eskalieren an ", "thanks to ", "dank an ", "gracias a ", "spoke ", "talked to ", "met ", "ask ", "call ", "contact ", "ping ", "llamar a ", "llame a ", "hablar con ", "escalar a ", "avisar a ", "rufen sie ", "bitte ", "gemeldet von ", "lo notificó ", "notificado por ", "badge holder ", "cardholder ", "on call", "from: ", "to: ", "cc: ", "attn: ", "contact: ", "name: ", "owner: ", "reporter: ", "author: ", "analyst: ", "von: ", "de: ", "pasted in chat: ", "name=", '"reporter"', '"name"', '"owner"', '"author"', '"analyst"', '"user_name"', '"full_name"', '"contact"', "leaked row", "signed", "regards", "best", "cheers", "thanks", "sincerely", "yours", "grüßen", "grüße", "gruß", "mit freundlichen", "viele gr", "beste gr", "saludos", "un saludo", "atentamente"],
+    "cue": [
+        "mr.", "mr ", "mrs", "ms.", "ms ", "miss ", "mx", "dr.", "dr ", "prof", "herr", "frau", "señor", "sra", "sr.", "sr ",
+        "srta", "don ", "doña ", "belongs to ", "reported by ", "owned by ", "signed by ", "approved by ", "confirmed by ",
+        "assigned to ", "escalate to ", "eskalieren an ", "thanks to ", "dank an ", "gracias a ", "spoke ", "talked to ", "met ",
+        "ask ", "call ", "contact ", "ping ", "llamar a ", "llame a ", "hablar con ", "escalar a ", "avisar a ", "rufen sie ",
+        "bitte ", "gemeldet von ", "lo notificó ", "notificado por ", "badge holder ", "cardholder ", "on call", "from: ", "to: ",
+        "cc: ", "attn: ", "contact: ", "name: ", "owner: ", "reporter: ", "author: ", "analyst: ", "von: ", "de: ",
+        "pasted in chat: ", "name=", '"reporter"', '"name"', '"owner"', '"author"', '"analyst"', '"user_name"', '"full_name"',
+        '"contact"', "leaked row", "signed", "regards", "best", "cheers", "thanks", "sincerely", "yours", "grüßen", "grüße",
+        "gruß", "mit freundlichen", "viele gr", "beste gr", "saludos", "un saludo", "atentamente"
+    ],
     "role": [f"{x}{y}" for x in _ROLES for y in (" ", ",")],
     "act": [x.replace("|", " ") + " " for x in _ACTS],
     "does": [f" {x}" for x in _DOES],
@@ -390,7 +412,9 @@ class Detector:
                 continue
             if _WEAK.match(cue) and not self._known(name) and not (_TAIL_LONE if lone else _TAIL_OK).match(text, b):
                 continue
-            if name[0].islower() and not name.startswith(("de ", "van ", "von ", "di ", "del ")) and not self._known(name) and not _LOWER_TAIL.match(text, b):
+            if name[0].islower() and not name.startswith((
+                "de ", "van ", "von ", "di ", "del "
+            )) and not self._known(name) and not _LOWER_TAIL.match(text, b):
                 continue
             yield a, b
             if m["more"]:
@@ -429,7 +453,9 @@ class Detector:
         places = _Places(s)
         mails = [m.span() for m in places.near(_EMAIL, hits.get("mail"), 0, 0)]
         found: list[tuple[int, int, str]] = [(a, b, "EMAIL") for a, b in mails]
-        found += [(m.start(), m.end() - (m[0][-1] == "." and not m[0].endswith("..")), "ADDRESS") for m in places.near(_ADDRESS, hits.get("address"), 12, 14)]
+        found += [(
+            m.start(), m.end() - (m[0][-1] == "." and not m[0].endswith("..")), "ADDRESS"
+        ) for m in places.near(_ADDRESS, hits.get("address"), 12, 14)]
         found += [(*m.span(1), "ID_NUMBER") for m in places.near(_ID_LABEL, hits.get("label"), 1, 10)]
         found += [(*m.span(1), "ID_NUMBER") for m in places.near(_ID_FIELD, hits.get("field"), 0, 5)]
         found += [(*m.span(), "ID_NUMBER") for m in _ID_SURE.finditer(s)]

@@ -46,10 +46,12 @@ def p1_within_bound(spark: SparkSession, folder: str) -> DataFrame:
     """Each estimate of p1_distinct_sources against the exact count of the same group."""
     events, keys = _sources(spark, folder)
     rows = events.select(*[c.alias(k) for k, c in keys.items()], "src_ip").distinct()
-    return _within(spark, rows, "src_ip", p1_distinct_sources(spark, folder).withColumnRenamed("distinct_sources", "rough"), _KEYS).withColumnRenamed("exact_count", "exact_sources")
+    return _within(
+        spark, rows, "src_ip", p1_distinct_sources(spark, folder).withColumnRenamed("distinct_sources", "rough"), _KEYS
+    ).withColumnRenamed("exact_count", "exact_sources")
 
 
-_LARGE = ["l_returnflag", "l_linestatus", "l_linenumber", "l_discount"]
+_LARGE = ["l_returnflag", "l_linestatus", "l_linenumber"]
 
 
 def p1_large_sets(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,16 +97,29 @@ def p8_check(spark: SparkSession, folder: str) -> DataFrame:
     documents = read_table(spark, folder, "documents")
     placed = cut(packing.pack(documents), "placed")
     over = Window.partitionBy("doc_id").orderBy("part")
-    rows = placed.select("*", F.coalesce(F.lag("token_to").over(over), F.lit(0)).alias("before"), F.count(F.lit(1)).over(Window.partitionBy("doc_id")).alias("parts"))
-    by_text = rows.groupBy("doc_id").agg(F.bool_and((F.col("token_from") == F.col("before")) & (F.col("n_tokens") == F.col("token_to") - F.col("token_from"))).alias("adjoining"), F.max("parts").alias("parts"), F.sum("n_tokens").alias("n"))
+    rows = placed.select(
+        "*", F.coalesce(F.lag("token_to").over(over), F.lit(0)).alias("before"),
+        F.count(F.lit(1)).over(Window.partitionBy("doc_id")).alias("parts")
+    )
+    by_text = rows.groupBy("doc_id").agg(
+        F.bool_and((F.col("token_from") == F.col("before")) & (F.col("n_tokens") == F.col("token_to") - F.col("token_from"))).alias("adjoining"),
+        F.max("parts").alias("parts"), F.sum("n_tokens").alias("n")
+    )
     sizes = packing.token_counts(documents, "doc_id", "text").groupBy(F.col("doc_id").alias("d")).agg(F.sum("n_tokens").alias("size"))
     texts = by_text.join(sizes, F.col("doc_id") == F.col("d"), "full_outer")
     split = F.col("parts") == F.greatest(F.lit(1), F.ceil(F.col("size") / packing.CAPACITY))
-    texts = texts.agg(F.count(F.lit(1)).alias("n_texts"), F.bool_and(F.coalesce(F.col("adjoining") & (F.col("n") == F.col("size")) & split, F.lit(False))).alias("every_token_once"), F.sum("size").alias("tokens"))
+    texts = texts.agg(
+        F.count(F.lit(1)).alias("n_texts"),
+        F.bool_and(F.coalesce(F.col("adjoining") & (F.col("n") == F.col("size")) & split, F.lit(False))).alias("every_token_once"),
+        F.sum("size").alias("tokens")
+    )
     load = placed.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("load"))
     load = load.agg(F.bool_and(F.col("load") <= packing.CAPACITY).alias("none_overfull"), F.count(F.lit(1)).alias("containers"))
     both = texts.crossJoin(load)  # two single rows
-    return both.select("n_texts", "every_token_once", "none_overfull", (F.col("containers") <= 1.002 * F.ceil(F.col("tokens") / packing.CAPACITY) + 1).alias("hardly_any_room_lost"))
+    return both.select(
+        "n_texts", "every_token_once", "none_overfull",
+        (F.col("containers") <= 1.002 * F.ceil(F.col("tokens") / packing.CAPACITY) + 1).alias("hardly_any_room_lost")
+    )
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,7 +138,9 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """The documents with typed placeholders."""
-    return pii.find_pii(read_table(spark, folder, "documents"), read_table(spark, folder, "name_lexicon"), with_text=True).select("doc_id", F.col("redacted").alias("text"))
+    return pii.find_pii(
+        read_table(spark, folder, "documents"), read_table(spark, folder, "name_lexicon"), with_text=True
+    ).select("doc_id", F.col("redacted").alias("text"))
 
 
 def p10_check(spark: SparkSession, folder: str) -> DataFrame:
@@ -133,17 +150,37 @@ def p10_check(spark: SparkSession, folder: str) -> DataFrame:
     found = cut(pii.find_pii(read_table(spark, folder, "documents"), names, with_text=True), "redacted")
     rows = found.join(read_table(spark, folder, "documents").select(F.col("doc_id").alias("d"), "text"), F.col("doc_id") == F.col("d"))
     # the pieces between the spans, with placeholders, put together again
-    step = lambda a, s: F.struct(F.concat(a["t"], F.substr("text", a["at"] + 1, s["start_pos"] - a["at"]), F.lit("["), s["pii_type"], F.lit("]")).alias("t"), s["end_pos"].alias("at"))
-    built = F.aggregate("spans", F.struct(F.lit("").alias("t"), F.lit(0).alias("at")), step, lambda a: F.concat(a["t"], F.substr("text", a["at"] + 1, F.length("text"))))
-    apart = F.forall(F.zip_with(F.slice("spans", 2, F.greatest(F.size("spans") - 1, F.lit(0))), F.slice("spans", 1, F.greatest(F.size("spans") - 1, F.lit(0))), lambda b, a: a["end_pos"] <= b["start_pos"]), lambda x: x)
-    return rows.agg(F.count(F.lit(1)).alias("n_texts"), F.bool_and((F.col("text").isNull() & F.col("redacted").isNull()) | (apart & (built == F.col("redacted")))).alias("consistent"))
-
-
-QUERIES = {f.__name__: f for f in (p1_distinct_sources, p1_within_bound, p1_large_sets, p3_found, p3_neighbours, p3_recall, p8_containers, p8_check, p9_found, p9_near, p10_found, p10_redacted, p10_check)}
+    step = lambda a, s: F.struct(
+        F.concat(a["t"], F.substr("text", a["at"] + 1, s["start_pos"] - a["at"]), F.lit("["), s["pii_type"], F.lit("]")).alias("t"),
+        s["end_pos"].alias("at")
+    )
+    built = F.aggregate(
+        "spans", F.struct(F.lit("").alias("t"), F.lit(0).alias("at")), step,
+        lambda a: F.concat(a["t"], F.substr("text", a["at"] + 1, F.length("text")))
+    )
+    apart = F.forall(
+        F.zip_with(
+            F.slice("spans", 2, F.greatest(F.size("spans") - 1, F.lit(0))),
+            F.slice("spans", 1, F.greatest(F.size("spans") - 1, F.lit(0))), lambda b, a: a["end_pos"] <= b["start_pos"]
+        ),
+        lambda x: x
+    )
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_texts"),
+        F.bool_and((F.col("text").isNull() & F.col("redacted").isNull()) | (apart & (built == F.col("redacted")))).alias("consistent")
+    )
+
+
+QUERIES = {f.__name__: f for f in (
+    p1_distinct_sources, p1_within_bound, p1_large_sets, p3_found, p3_neighbours, p3_recall, p8_containers, p8_check, p9_found,
+    p9_near, p10_found, p10_redacted, p10_check
+)}
 
 _CUBE = """
-    with rows as (select case when "timestamp" <> 0 then strftime(make_timestamp(cast(floor("timestamp") as bigint) * 1000000), '%Y-%m-%d') end as day,
-        lower(sensor_id) as sensor_id, lower(event_type) as event_type, lower(protocol) as protocol, src_ip from net_events where src_ip <> '0.0.0.0')"""
+    with rows as (select case when "timestamp" <> 0 then strftime(make_timestamp(cast(floor("timestamp") as bigint) * 1000000), '%Y-%m-%d')
+      end as day,
+        lower(sensor_id) as sensor_id, lower(event_type) as event_type, lower(protocol) as protocol, src_ip from net_events
+        where src_ip <> '0.0.0.0')"""
 _NGRAM = """
     with d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents),
     i as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from eval_items),
@@ -166,13 +203,18 @@ _NEAR = """
       union all select doc_id, 0, 'added', array_to_string(v[:k - 1] || v[k + 1:14], ' ') from dw, k where n >= 14
       union all select doc_id, 0, 'lost', array_to_string(v[:12], ' ') from dw where n >= 12),
     near as (select distinct doc_id, item_id from (select distinct * from dk) join (select distinct * from ik) using (k, kind, g)),
-    exact as (select distinct doc_id, item_id from (select doc_id, array_to_string(v[:13], ' ') as g from dw where n >= 13) join (select item_id, array_to_string(v, ' ') as g from ig) using (g))
-    select near.doc_id, near.item_id, cast(case when exact.doc_id is null then 1 else 0 end as bigint) as edits from near left join exact on near.doc_id = exact.doc_id and near.item_id = exact.item_id"""
+    exact as (select distinct doc_id, item_id from (select doc_id, array_to_string(v[:13], ' ') as g from dw where n >= 13)
+      join (select item_id, array_to_string(v, ' ') as g from ig) using (g))
+    select near.doc_id, near.item_id, cast(case when exact.doc_id is null then 1 else 0 end as bigint) as edits from near left
+      join exact on near.doc_id = exact.doc_id and near.item_id = exact.item_id"""
 #: all pairs, by scaled distance in single precision as the index has it
 _SCALED = """
-    with long as (unpivot (select * exclude (flow_id, "timestamp", window_duration_sec) from (select * from flow_vectors)) on columns(* exclude (vec_id)) into name feature_name value x),
-    z as (select vec_id, list(cast((case when log_scaled then ln(1 + x) else x end - center) / spread as float) order by feature_index) as v from long join feature_scale using (feature_name) group by vec_id),
-    p as (select a.vec_id as a, b.vec_id as b, list_distance(cast(a.v as double[]), cast(b.v as double[])) as d from z a join z b on a.vec_id <> b.vec_id),
+    with long as (unpivot (select * exclude (flow_id, "timestamp", window_duration_sec) from (select *
+      from flow_vectors)) on columns(* exclude (vec_id)) into name feature_name value x),
+    z as (select vec_id, list(cast((case when log_scaled then ln(1 + x) else x end - center) / spread as float) order by feature_index) as v
+      from long join feature_scale using (feature_name) group by vec_id),
+    p as (select a.vec_id as a, b.vec_id as b, list_distance(cast(a.v as double[]), cast(b.v as double[])) as d from z a
+      join z b on a.vec_id <> b.vec_id),
     k as (select *, row_number() over (partition by a order by d, b) as nth from p)"""
 SQL = {
     "p3_found": _SCALED + " select distinct least(a, b) as vec_a, greatest(a, b) as vec_b from k where nth <= 10 and d <= 0.9",
@@ -180,12 +222,13 @@ SQL = {
     "p3_recall": "with n as (select count(*) as n from flow_vectors) select cast(least(10, n - 1) * (select count(*) from flow_vectors where vec_id % 20 = 0) as bigint) as n_neighbours, true as recall_is_99_percent from n",
     "p9_near": _NEAR,
     "p1_within_bound": _CUBE + """
-    select day, sensor_id, event_type, protocol, cast(grouping_id(day, sensor_id, event_type, protocol) as bigint) as level, count(distinct src_ip) as exact_sources, true as within
+    select day, sensor_id, event_type, protocol, cast(grouping_id(day, sensor_id, event_type, protocol) as bigint) as level,
+      count(distinct src_ip) as exact_sources, true as within
     from rows group by cube(day, sensor_id, event_type, protocol)""",
     "p1_large_sets": """
-    select l_returnflag, l_linestatus, l_linenumber, l_discount, cast(grouping_id(l_returnflag, l_linestatus, l_linenumber, l_discount) as bigint) as level,
+    select l_returnflag, l_linestatus, l_linenumber, cast(grouping_id(l_returnflag, l_linestatus, l_linenumber) as bigint) as level,
         count(distinct concat(l_orderkey, '-', l_linenumber)) as exact_count, true as within
-    from lineitem group by cube(l_returnflag, l_linestatus, l_linenumber, l_discount)""",
+    from lineitem group by cube(l_returnflag, l_linestatus, l_linenumber)""",
     "p8_check": "select count(distinct doc_id) as n_texts, true as every_token_once, true as none_overfull, true as hardly_any_room_lost from documents",
     "p10_check": "select count(*) as n_texts, true as consistent from documents",
     "p9_found": _NGRAM,

@@ -140,7 +140,9 @@ def sketches(df: DataFrame, keys: dict[str, Column], identifier: Column, p: int
     nothing; an empty table gives no rows. run_rows: rows that are sketched together.
     """
     ship(df.sparkSession)
-    slim = df.select(*[c.alias(k) for k, c in keys.items()], F.xxhash64(identifier).alias("__h"), identifier.alias("__id")).where(F.col("__id").isNotNull()).drop("__id")
+    slim = df.select(
+        *[c.alias(k) for k, c in keys.items()], F.xxhash64(identifier).alias("__h"), identifier.alias("__id")
+    ).where(F.col("__id").isNotNull()).drop("__id")
     names = list(keys)
 
     def sketch_run(run: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -183,10 +185,14 @@ def merge(parts: DataFrame, keys: list[str], p: int = PRECISION) -> DataFrame:
                 b = pa.Table.from_batches([kept, b]).combine_chunks().to_batches()[0]
             columns = [b.column(k) for k in keys]
             group, first = _groups(columns) if keys else (np.zeros(b.num_rows, np.int64), np.zeros(1, np.int64))
-            done = pa.RecordBatch.from_arrays([*(c.take(pa.array(first)) for c in columns), union(group, b.column("sketch"), len(first), p)], [*keys, "sketch"])
+            done = pa.RecordBatch.from_arrays(
+                [*(c.take(pa.array(first)) for c in columns), union(group, b.column("sketch"), len(first), p)], [*keys, "sketch"]
+            )
             last = int(group[-1])
             kept = done.slice(last, 1)
-            yield pa.Table.from_batches([done.slice(0, last), done.slice(last + 1)]).combine_chunks().to_batches()[0] if len(first) > 1 else done.slice(0, 0)
+            yield pa.Table.from_batches([
+                done.slice(0, last), done.slice(last + 1)
+            ]).combine_chunks().to_batches()[0] if len(first) > 1 else done.slice(0, 0)
         if kept is not None:
             yield kept
 
@@ -217,7 +223,9 @@ def merge_cube(parts: DataFrame, keys: list[str], p: int = PRECISION) -> DataFra
                 group, first = _groups(columns)
                 at = pa.array(first)
                 done[level] = [c.take(at) for c in columns], union(group, from_, len(first), p)
-                yield pa.RecordBatch.from_arrays([*done[level][0], pa.array(np.full(len(first), level, np.int64)), done[level][1]], [*keys, "level", "sketch"])
+                yield pa.RecordBatch.from_arrays(
+                    [*done[level][0], pa.array(np.full(len(first), level, np.int64)), done[level][1]], [*keys, "level", "sketch"]
+                )
 
     rolled = parts.select(*keys, "sketch").mapInArrow(roll, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "level bigint", "sketch binary"]))
     return merge(rolled, [*keys, "level"], p)
