@@ -20,10 +20,16 @@ BOUNDS = [
     ("scan", 0.85, dict(conn_attempts=15, failed_conn_ratio=0.6), dict(conn_attempts=14, failed_conn_ratio=1)),
     ("dns", 0.90, dict(shannon_entropy_mean=3.4, query_len_mean=15), dict(shannon_entropy_mean=3.39, query_len_mean=15)),
     ("dns", 0.93, dict(txt_record_ratio=0.5), dict(txt_record_ratio=0.49)),
-    ("dns", 0.80, dict(query_frequency=5, query_len_mean=15, shannon_entropy_mean=3), dict(query_frequency=4.9, query_len_mean=15, shannon_entropy_mean=3)),
+    (
+        "dns", 0.80, dict(query_frequency=5, query_len_mean=15, shannon_entropy_mean=3),
+        dict(query_frequency=4.9, query_len_mean=15, shannon_entropy_mean=3)
+    ),
     ("c2", 0.88, dict(repeated_conn_count=5, iat_cv=0.15, iat_mean=0.5), dict(repeated_conn_count=4, iat_cv=0.1, iat_mean=1)),
     ("c2", 0.75, dict(repeated_dst_freq=2, repeated_conn_count=5, iat_cv=0.3, periodicity_score=0.08, iat_mean=0.4999), None),
-    ("exfil", 0.90, dict(outbound_bytes=25000, out_in_byte_ratio=8, asymmetric_traffic_score=0.75), dict(outbound_bytes=24999, out_in_byte_ratio=9, asymmetric_traffic_score=0.9)),
+    (
+        "exfil", 0.90, dict(outbound_bytes=25000, out_in_byte_ratio=8, asymmetric_traffic_score=0.75),
+        dict(outbound_bytes=24999, out_in_byte_ratio=9, asymmetric_traffic_score=0.9)
+    ),
     ("exfil", 0.85, dict(outbound_bytes=25000, outbound_rate=10000), dict(outbound_bytes=25000, outbound_rate=9999)),
     ("encrypted", 0.75, dict(tls_version_num=1.2), dict(tls_version_num=1.2, has_tls_sni=1)),
 ]
@@ -45,11 +51,16 @@ def test_boundaries(spark, name, score, hit, miss):
 
 def test_server_answers_are_no_exfiltration(spark):
     v = vector(spark, outbound_bytes=50_000, out_in_byte_ratio=9, asymmetric_traffic_score=0.8)
-    hit = lambda port: v.select(F.exists(detectors.detect(F.lit(port).cast("int"), F.lit(50000)), lambda d: d["triggered"] & (d["detector"] == "exfil")).alias("x")).first().x
+    hit = lambda port: v.select(F.exists(
+        detectors.detect(F.lit(port).cast("int"), F.lit(50000)), lambda d: d["triggered"] & (d["detector"] == "exfil")
+    ).alias("x")).first().x
     assert not hit(443) and hit(50123) and hit(None)
 
 
-CALM = dict(syn_ratio=0.0, packet_rate=1.0, ports=1.0, port_fanout=0.0, hosts=1.0, host_fanout=0.0, query_length=None, txt_ratio=0.0, out_bytes=0, out_in_ratio=0.0, src_port=50000, dst_port=443, n_times=1, tls=False, sni=False)
+CALM = dict(
+    syn_ratio=0.0, packet_rate=1.0, ports=1.0, port_fanout=0.0, hosts=1.0, host_fanout=0.0, query_length=None, txt_ratio=0.0,
+    out_bytes=0, out_in_ratio=0.0, src_port=50000, dst_port=443, n_times=1, tls=False, sni=False
+)
 GATE = [
     ({}, ("PASS_NORMAL", "BENIGN", 0.0)),
     (dict(syn_ratio=0.45), ("SUSPICIOUS", None, 0.65)),
@@ -102,7 +113,7 @@ def test_severity_and_evidence(spark):
     assert sev("UNKNOWN_ANOMALY", 0.69) == "LOW" and sev("C2_BEACONING", 0.1, periodicity_score=0.2) == "CRITICAL"
     texts, values = detectors.evidence(F.lit("PORT_SCAN"))
     r = vector(spark, unique_dst_ports=20, conn_attempts=30).select(texts.alias("t"), values.alias("v")).first()
-    assert len(r.t) == 2 and r.v == {"unique_dst_ports": 20.0, "conn_attempts": 30.0}
+    assert len(r.t) == 2 and r.v == {"unique_dst_ports": 20.0, "conn_attempts": 30.0, "failed_conn_ratio": 0.0}
 
 
 def test_dedup_counts_and_frozen_columns(spark):
@@ -116,7 +127,10 @@ def test_dedup_counts_and_frozen_columns(spark):
 
 def test_alert_queries(spark):
     rows = [(1, "A1", "f1", "DDOS", "HIGH", "RULE", 2), (2, "A2", "f2", "BENIGN", "INFO", None, 1), (3, "A3", "f1", "ddos", "high", "RULE", 1)]
-    a = spark.createDataFrame(rows, "k int, alert_id string, flow_id string, threat_class string, severity string, detection_method string, occurrence_count bigint")
+    a = spark.createDataFrame(
+        rows,
+        "k int, alert_id string, flow_id string, threat_class string, severity string, detection_method string, occurrence_count bigint"
+    )
     assert [r.k for r in page(a, "k", 2, 0, severity="High").collect()] == [3, 1]
     assert [r.k for r in page(a, "k", 5, 1, exclude_benign=True).collect()] == [1]
     assert search(a, "F1").count() == 2 and search(a, "a2").count() == 1 and search(a, "all").count() == 3

@@ -20,7 +20,10 @@ def test_text_functions(spark):
     df = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k int, n string")
     n = F.col("n")
     r = text.letter_ratios(n)
-    rows = df.select("k", text.shannon_entropy(n).alias("h"), text.bigram_log_likelihood(n).alias("ll"), text.subdomain_depth(n).alias("depth"), text.md5_partition(n, 8).alias("part"), *[c.alias(k) for k, c in r.items()]).orderBy("k").collect()
+    rows = df.select(
+        "k", text.shannon_entropy(n).alias("h"), text.bigram_log_likelihood(n).alias("ll"),
+        text.subdomain_depth(n).alias("depth"), text.md5_partition(n, 8).alias("part"), *[c.alias(k) for k, c in r.items()]
+    ).orderBy("k").collect()
     for name, row in zip(names[:-1], rows):
         label = name.lower().split(".")[0]
         pairs = [text.BIGRAMS.get(label[i : i + 2], text.FLOOR) for i in range(len(label) - 1)]
@@ -35,11 +38,20 @@ def test_text_functions(spark):
 
 
 def test_identity_and_encoding(spark):
-    df = spark.createDataFrame([("10.0.0.1", 5, "10.0.0.2", 80, "TCP"), ("10.0.0.2", 80, "10.0.0.1", 5, "TCP")], "s string, sp int, d string, dp int, p string")
+    df = spark.createDataFrame(
+        [("10.0.0.1", 5, "10.0.0.2", 80, "TCP"), ("10.0.0.2", 80, "10.0.0.1", 5, "TCP")],
+        "s string, sp int, d string, dp int, p string"
+    )
     five = [F.col(c) for c in ("s", "sp", "d", "dp", "p")]
     rows = df.select(text.flow_id(*five).alias("f"), text.both_ways_id(*five).alias("b")).collect()
     assert rows[0].f == "10.0.0.1:5 -> 10.0.0.2:80 [TCP]" and rows[0].b == rows[1].b
-    one = spark.range(1).select(text.tls_version_number(F.lit("TLSv13 1.3")).alias("a"), text.tls_version_number(F.lit("TLS 1.2")).alias("b"), text.tls_version_number(F.lit("SSLv3")).alias("c"), text.tls_version_number(F.lit(None).cast("string")).alias("d"), text.dns_type_name(F.lit(16)).alias("t"), text.dns_type_name(F.lit(99)).alias("u"), text.tcp_flag_summary({"SYN": F.lit(True), "ACK": F.lit(True), "FIN": F.lit(False)}).alias("fl"), text.tcp_flag_summary({"SYN": F.lit(False)}).alias("none"), text.ratio(F.lit(3), F.lit(0), 1.0).alias("r")).first()
+    one = spark.range(1).select(
+        text.tls_version_number(F.lit("TLSv13 1.3")).alias("a"), text.tls_version_number(F.lit("TLS 1.2")).alias("b"),
+        text.tls_version_number(F.lit("SSLv3")).alias("c"), text.tls_version_number(F.lit(None).cast("string")).alias("d"),
+        text.dns_type_name(F.lit(16)).alias("t"), text.dns_type_name(F.lit(99)).alias("u"),
+        text.tcp_flag_summary({"SYN": F.lit(True), "ACK": F.lit(True), "FIN": F.lit(False)}).alias("fl"),
+        text.tcp_flag_summary({"SYN": F.lit(False)}).alias("none"), text.ratio(F.lit(3), F.lit(0), 1.0).alias("r")
+    ).first()
     assert tuple(one) == (1.3, 1.2, 1.0, 0.0, "TXT", "TYPE_99", "SYN+ACK", "NONE", 3.0)
 
 
@@ -48,7 +60,11 @@ def test_series_against_numpy(spark):
     xs = [list(map(float, draw.exponential(3, n))) for n in (0, 1, 2, 3, 5, 6, 7, 8, 40, 200)] + [[2.0] * 10]
     df = spark.createDataFrame([(k, x) for k, x in enumerate(xs)], "k int, x array<double>")
     x = F.col("x")
-    rows = df.select("k", *[c.alias(n) for n, c in series.moments(x).items()], series.skewness(x).alias("skew"), series.spectral_peak(x).alias("peak"), series.autocorrelation_peak(x).alias("auto"), series.value_entropy(F.transform(x, lambda v: F.floor(v))).alias("h")).orderBy("k").collect()
+    rows = df.select(
+        "k", *[c.alias(n) for n, c in series.moments(x).items()], series.skewness(x).alias("skew"),
+        series.spectral_peak(x).alias("peak"), series.autocorrelation_peak(x).alias("auto"),
+        series.value_entropy(F.transform(x, lambda v: F.floor(v))).alias("h")
+    ).orderBy("k").collect()
     for v, r in zip(xs, rows):
         a = np.array(v)
         if len(a) >= 2:
@@ -99,8 +115,12 @@ def test_a_flooded_host_takes_linear_time(spark):
     """Half a million events of one host within 30 seconds: lists of what lies in reach would hold 10^11 values."""
     from tidemark.operators.windows import sliding
 
-    df = spark.range(500_000).select(F.col("id").alias("seq"), (F.col("id") * 60).alias("us"), F.lit("h").alias("host"), (F.col("id") % 50_000).alias("peer"))
+    df = spark.range(500_000).select(
+        F.col("id").alias("seq"), (F.col("id") * 60).alias("us"), F.lit("h").alias("host"), (F.col("id") % 50_000).alias("peer")
+    )
     began = time.time()
-    got = sliding(df, ["host"], "us", 30_000_000, {"n": F.lit(1)}, {"d": F.col("peer")}, {"h": F.col("peer")}).agg(F.max("n"), F.max("d"), F.max("h")).first()
+    got = sliding(
+        df, ["host"], "us", 30_000_000, {"n": F.lit(1)}, {"d": F.col("peer")}, {"h": F.col("peer")}
+    ).agg(F.max("n"), F.max("d"), F.max("h")).first()
     assert (got[0], got[1]) == (500_000, 50_000) and got[2] == pytest.approx(math.log2(50_000), abs=1e-6)
     assert time.time() - began < 120

@@ -9,14 +9,20 @@ from tidemark.operators.sessions import first_copies, sessionize
 
 def test_profiles_against_brute_force(spark):
     draw = random.Random(1)
-    rows = [("hot" if draw.random() < 0.4 else draw.choice("abcdef") if draw.random() < 0.95 else None, draw.choice([None, *"uvwxyz"]), draw.choice([None, 1, 5, 900]), k) for k in range(3000)]
+    rows = [(
+        "hot" if draw.random() < 0.4 else draw.choice("abcdef") if draw.random() < 0.95 else None, draw.choice([None, *"uvwxyz"]),
+        draw.choice([None, 1, 5, 900]), k
+    ) for k in range(3000)]
     df = spark.createDataFrame(rows, "key string, value string, n bigint, at bigint").withColumn("amount", F.lit("clash"))
     f = value_frequencies(df, "key", "value", F.col("n"), F.col("at"))
     got = {r.key: (r.n_rows, r.amount, r.n_values, r.first_at, r.last_at) for r in profile_by_key(f).collect()}
     by = defaultdict(list)
     for r in rows:
         by[r[0]].append(r)
-    assert got == {k: (len(v), sum(x[2] or 0 for x in v), len({x[1] for x in v} - {None}), min(x[3] for x in v), max(x[3] for x in v)) for k, v in by.items()}
+    assert got == {
+        k: (len(v), sum(x[2] or 0 for x in v), len({x[1] for x in v} - {None}), min(x[3] for x in v), max(x[3] for x in v)) for k,
+        v in by.items()
+    }
     mode = {r.key: (r.mode, r.mode_rows) for r in mode_by_key(f).collect()}
     for k, v in by.items():
         c = Counter(x[1] for x in v if x[1] is not None)
@@ -28,7 +34,9 @@ def test_percentiles_are_exact(spark):
     draw = random.Random(2)
     rows = [(draw.choice("ab"), int(draw.gauss(0, 10 ** draw.randint(0, 6)))) for _ in range(4000)] + [("one", 7), ("none", None)]
     p = [0.0, 0.25, 0.5, 0.95, 1.0]
-    got = {(r.key, r.percentage): r.value for r in percentile_by_key(value_frequencies(spark.createDataFrame(rows, "key string, value bigint"), "key", "value"), p).collect()}
+    got = {(r.key, r.percentage): r.value for r in percentile_by_key(
+        value_frequencies(spark.createDataFrame(rows, "key string, value bigint"), "key", "value"), p
+    ).collect()}
     for key in ("a", "b", "one"):
         v = sorted(x for k, x in rows if k == key)
         assert [got[key, q] for q in p] == [v[max(0, -(-int(q * 100) * len(v) // 100) - 1)] for q in p]
@@ -69,7 +77,9 @@ def test_sessions_against_brute_force(spark):
     rows += rows[:50]
     df = spark.createDataFrame(rows, "src string, t bigint, f string").withColumn("block", F.lit("x")).withColumn("user", F.lit(0))
     for gap in (0, 1, 100, 5000, 10**9):
-        got = sorted(tuple(r) for r in sessionize(df, "src", F.col("t"), "f", gap_us=gap).select("user", "start_us", "end_us", "n_events", "n_flows").collect())
+        got = sorted(tuple(r) for r in sessionize(df, "src", F.col("t"), "f", gap_us=gap).select(
+            "user", "start_us", "end_us", "n_events", "n_flows"
+        ).collect())
         assert got == brute(rows, gap)
     assert sessionize(df.limit(0), "src", F.col("t"), "f").count() == 0
 

@@ -48,11 +48,17 @@ def test_bypassed_flows_have_no_anomaly(spark):
     from tidemark.operators.features import ORDER
 
     zero = {n: 0.0 for n in ORDER}
-    base = [("calm", zero, "BENIGN", 0.9, -0.4), ("unsure", zero, "BENIGN", 0.5, -0.4), ("known", zero, "DDOS", 0.8, -0.4), ("quiet", zero, "BENIGN", 0.5, 0.2), ("loud", zero | {"packet_rate": 90.0}, "BENIGN", 0.9, -0.4)]
+    base = [
+        ("calm", zero, "BENIGN", 0.9, -0.4), ("unsure", zero, "BENIGN", 0.5, -0.4), ("known", zero, "DDOS", 0.8, -0.4),
+        ("quiet", zero, "BENIGN", 0.5, 0.2), ("loud", zero | {"packet_rate": 90.0}, "BENIGN", 0.9, -0.4)
+    ]
     df = spark.createDataFrame([(n, "1.1.1.1", "2.2.2.2", 1, 2, 5.0, c, p, s, *[z[k] for k in ORDER]) for n, z, c, p, s in base], "flow_id string, src_ip string, dst_ip string, src_port int, dst_port int, timestamp double, mc string, mp double, ms double, " + ", ".join(f"{n} double" for n in ORDER))
     decided = pipeline.decide(df, F.col("mc"), F.col("mp"), F.col("ms"), -0.1)
     got = {r.flow_id: r for r in decided.collect()}
-    assert {k: (r.label, r.anomaly_score, r.anomalous) for k, r in got.items()} == {"calm": ("BENIGN", 0.0, False), "unsure": ("UNKNOWN_ANOMALY", -0.4, True), "known": ("DDOS", 0.0, False), "quiet": ("BENIGN", 0.2, False), "loud": ("DDOS", -0.4, True)}
+    assert {k: (r.label, r.anomaly_score, r.anomalous) for k, r in got.items()} == {
+        "calm": ("BENIGN", 0.0, False), "unsure": ("UNKNOWN_ANOMALY", -0.4, True), "known": ("DDOS", 0.0, False),
+        "quiet": ("BENIGN", 0.2, False), "loud": ("DDOS", -0.4, True)
+    }
     assert got["known"].classifier_probability == 0.8 and got["loud"].classifier_probability is None
     assert got["loud"].triggered_detectors == ["ddos"] and any(x.startswith("[DDOS] packet rate 90.0") for x in got["loud"].supporting_evidence)
     assert got["unsure"].feature_snapshot == {"anomaly_score": -0.4} and got["unsure"].confidence == pytest.approx(1.0)

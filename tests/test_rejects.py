@@ -71,7 +71,10 @@ def test_records_and_odd_input(spark):
     assert rows["t"].answers == ["v=spf1 -all, x", 'say "hi"'] and rows["t"].query == "a.example" and rows["t"].ts == 1730304846
     assert rows["j"].orig_p == 53 and rows["j"].rejected is True and rows["j"].answers is None
     assert read_lines(df.limit(0)).count() == 0
-    odd = spark.createDataFrame([(1, None, None, "{}"), (2, "a", None, None), (3, "a", 1, "é" * 100_000)], "line_id int, file_name string, line_no int, raw_line string").selectExpr("*", "1 as reason", "2 as tsv", "3 as block")
+    odd = spark.createDataFrame(
+        [(1, None, None, "{}"), (2, "a", None, None), (3, "a", 1, "é" * 100_000)],
+        "line_id int, file_name string, line_no int, raw_line string"
+    ).selectExpr("*", "1 as reason", "2 as tsv", "3 as block")
     assert {r.line_id: r.reason for r in read_lines(odd).collect()} == {1: "bad_ts", 3: "json_syntax"}
 
 
@@ -79,7 +82,9 @@ def test_index_knows_escapes_and_answers():
     index = StructuralIndex([b'a\\"b"', b'"\\\\"'])
     assert index.quotes(True).nonzero()[0].tolist() == [4, 5, 8]
     assert index.ends.tolist() == [5, 9]
-    assert [valid_answer(x) for x in ("1.2.3.4", "1.2.3", "010.1.1.1", "::1", "fe80::1%eth0", "a_b.c-d", "a.", "", "a b")] == [True, False, True, True, False, True, False, False, False]
+    assert [valid_answer(x) for x in (
+        "1.2.3.4", "1.2.3", "010.1.1.1", "::1", "fe80::1%eth0", "a_b.c-d", "a.", "", "a b"
+    )] == [True, False, True, True, False, True, False, False, False]
 
 
 def by_parser(line):
@@ -95,20 +100,28 @@ def by_parser(line):
     ts, a = x.get("ts"), x.get("answers")
     if isinstance(ts, bool) or not isinstance(ts, (int, float)) or not LEAST_TS <= ts < TS_END:
         return "bad_ts", None
-    if a is not None and not (isinstance(a, list) and all(isinstance(v, str) for v in a) and (x.get("qtype_name") == "TXT" or all(map(valid_answer, a)))):
+    if a is not None and not (isinstance(a, list) and all(isinstance(v, str) for v in a) and (x.get("qtype_name") == "TXT" or all(map(
+        valid_answer, a
+    )))):
         return "bad_answers", None
     return None, a
 
 
 def test_json_index_against_a_parser():
     draw = random.Random(1)
-    atoms = ["{", "}", "[", "]", ":", ",", '"', "\\", '\\"', "\\\\", "\\u0041", "\\u00", "ts", '"ts"', '"answers"', '"TXT"', "1730304846", "1.5e9", "-0", "01", "true", "null", "NaN", " ", "\t", "\n", "é", '["a.b"]', '"\\u0074s"', "\x01", '""']
+    atoms = [
+        "{", "}", "[", "]", ":", ",", '"', "\\", '\\"', "\\\\", "\\u0041", "\\u00", "ts", '"ts"', '"answers"', '"TXT"',
+        "1730304846", "1.5e9", "-0", "01", "true", "null", "NaN", " ", "\t", "\n", "é", '["a.b"]', '"\\u0074s"', "\x01", '""'
+    ]
     values = [1730304846, 1.5e9, True, None, "TXT", 'x\\"y', ["a.b"], ["a.b", "1.2.3.999"], [], ["a", 1], {"ts": 1}, [["a"]], "é\n"]
 
     def line():
         if draw.random() < 0.3:
             return "".join(draw.choice(atoms) for _ in range(draw.randint(0, 12)))
-        text = json.dumps({draw.choice(["ts", "answers", "qtype_name", "a", 'b"c', "é"]): draw.choice(values) for _ in range(draw.randint(0, 5))}, ensure_ascii=draw.random() < 0.5)
+        text = json.dumps(
+            {draw.choice(["ts", "answers", "qtype_name", "a", 'b"c', "é"]): draw.choice(values) for _ in range(draw.randint(0, 5))},
+            ensure_ascii=draw.random() < 0.5
+        )
         k = draw.randrange(len(text) + 1)
         return text if draw.random() < 0.5 else text[:k] + draw.choice(atoms) + text[k + draw.randint(0, 2) :]
 
@@ -126,4 +139,7 @@ def test_any_number_of_fields_and_repeated_ones(spark):
         "whole": ["#fields\tts\tid.orig_p\torig_bytes", "1730304846\t443.0\t9007199254740993", "1730304846\tx\t1e3"],
     })
     rows = sorted(typed_records(read_lines(df)).collect(), key=lambda r: r.line_id)
-    assert [(r.file_name, r.query, r.orig_p, r.orig_bytes) for r in rows] == [("twice", "first.example", None, None), ("whole", None, 443, 9007199254740993), ("whole", None, None, 1000), ("wide", "a.example", None, None)]
+    assert [(r.file_name, r.query, r.orig_p, r.orig_bytes) for r in rows] == [
+        ("twice", "first.example", None, None), ("whole", None, 443, 9007199254740993), ("whole", None, None, 1000),
+        ("wide", "a.example", None, None)
+    ]

@@ -21,15 +21,25 @@ def test_zeek_folder(spark, tmp_path):
     (tmp_path / "dns.log").write_text('{"ts": 1724832002.0, "id.orig_h": "10.0.0.9", "query": "x.example", "answers": ["192.0.2.1"]}\nnot json\n')
     events, rejected = zeek.events(zeek.read_folder(spark, str(tmp_path)))
     rows = sorted(events.collect(), key=lambda r: r.ts)
-    assert [(r.event_type, r.flow_id, r.duration, r.orig_bytes) for r in rows] == [("connection", "10.0.0.1:5000 -> 10.0.0.2:80 [TCP]", 1.5, 100), ("connection", "10.0.0.1:5001 -> 10.0.0.2:80 [TCP]", 0.0, 0), ("dns", "10.0.0.9:0 -> 0.0.0.0:53 [UDP]", 0.0, 0)]
+    assert [(r.event_type, r.flow_id, r.duration, r.orig_bytes) for r in rows] == [
+        ("connection", "10.0.0.1:5000 -> 10.0.0.2:80 [TCP]", 1.5, 100),
+        ("connection", "10.0.0.1:5001 -> 10.0.0.2:80 [TCP]", 0.0, 0), ("dns", "10.0.0.9:0 -> 0.0.0.0:53 [UDP]", 0.0, 0)
+    ]
     assert rows[2].answers == ["192.0.2.1"]
     assert sorted(r.reason for r in rejected.collect()) == ["column_count", "json_syntax"]
 
 
 def test_eve(spark, tmp_path):
     lines = [
-        {"timestamp": "2024-08-28T08:00:00.123456+0000", "event_type": "flow", "src_ip": "10.0.0.1", "src_port": 1, "dest_ip": "10.0.0.2", "dest_port": 2, "proto": "tcp", "flow": {"pkts_toserver": 3, "bytes_toserver": 30, "age": 4, "state": "closed"}},
-        {"timestamp": "2024-08-28T08:00:01Z", "event_type": "dns", "src_ip": "10.0.0.1", "dns": {"rrname": "a.b", "rrtype": "A", "grouped": {"A": ["192.0.2.7"]}}},
+        {
+            "timestamp": "2024-08-28T08:00:00.123456+0000", "event_type": "flow", "src_ip": "10.0.0.1", "src_port": 1,
+            "dest_ip": "10.0.0.2", "dest_port": 2, "proto": "tcp",
+            "flow": {"pkts_toserver": 3, "bytes_toserver": 30, "age": 4, "state": "closed"}
+        },
+        {
+            "timestamp": "2024-08-28T08:00:01Z", "event_type": "dns", "src_ip": "10.0.0.1",
+            "dns": {"rrname": "a.b", "rrtype": "A", "grouped": {"A": ["192.0.2.7"]}}
+        },
         {"timestamp": "2024-08-28T08:00:02Z", "event_type": "alert", "alert": {"signature": "s", "severity": 1}},
         {"timestamp": "CORRUPT", "event_type": "flow"},
         {"timestamp": "2024-08-28T08:00:03Z", "event_type": "stats"},
@@ -96,14 +106,18 @@ def test_eve_details(spark, tmp_path):
     (tmp_path / "eve.json").write_text("\n".join(map(json.dumps, lines)))
     rows = {r.event_type: r for r in eve.events(eve.read(spark, str(tmp_path / "eve.json"))).collect()}
     a, t, h = rows["alert"], rows["tls"], rows["http"]
-    assert (a.source_id, a.signature, a.category, a.severity, a.action, a.gid, a.rev) == ("alert_7_5", "Unknown Signature", "Security Threat", 3, "allowed", 1, 1)
+    assert (
+        a.source_id, a.signature, a.category, a.severity, a.action, a.gid, a.rev
+    ) == ("alert_7_5", "Unknown Signature", "Security Threat", 3, "allowed", 1, 1)
     assert (t.subject, t.issuer, t.ja3s, t.severity) == ("CN=a", "CN=b", "x", None)
     assert (h.http_method, h.uri, h.status_code, h.request_body_len) == ("POST", "/", 200, 9)
 
 
 def test_packet_predictions(spark):
     v = packets.vectors(scenarios.packets(spark, "dns_tunnel").unionByName(scenarios.packets(spark, "benign")))
-    got = {r.src_ip: (r.prediction, r.confidence, r.method) for r in packets.predict(v.where("dns_entropy_mean > 0"), F.lit("benign"), F.lit(0.9)).collect()}
+    got = {r.src_ip: (r.prediction, r.confidence, r.method) for r in packets.predict(
+        v.where("dns_entropy_mean > 0"), F.lit("benign"), F.lit(0.9)
+    ).collect()}
     assert got["192.168.1.50"] == ("dns_dga", 1.0, "RULE_BASED") and got["192.168.1.100"] == ("benign", 0.9, "MODEL_BASED")
     sure = packets.predict(v, F.lit("benign"), F.lit(1.0)).select("method").distinct().collect()
     assert [r.method for r in sure] == ["MODEL_BASED"]  # a rule must be surer than the model
@@ -112,12 +126,20 @@ def test_packet_predictions(spark):
 def dns_frame():
     query = struct.pack(">HHHHHH", 1, 0x0100, 1, 0, 0, 0) + b"\x06google\x03com\0" + struct.pack(">HH", 16, 1)
     body = struct.pack(">HHHH", 5353, 53, 8 + len(query), 0) + query
-    return b"\0" * 12 + b"\x08\x00" + struct.pack(">BBHHHBBH4s4s", 0x45, 0, 20 + len(body), 0, 0, 64, 17, 0, bytes([1, 1, 1, 1]), bytes([8, 8, 8, 8])) + body
+    return b"\0" * 12 + b"\x08\x00" + struct.pack(
+        ">BBHHHBBH4s4s", 0x45, 0, 20 + len(body), 0, 0, 64, 17, 0, bytes([1, 1, 1, 1]), bytes([8, 8, 8, 8])
+    ) + body
 
 
 def test_pcap(spark, tmp_path):
-    frames = [tcp([10, 0, 0, 1], [10, 0, 0, 2], 50000, 443, 2), tcp([10, 0, 0, 1], [10, 0, 0, 2], 50000, 443, 24, hello(b"example.com")), dns_frame(), b"1234", b"\0" * 12 + b"\x08\x00" + b"\x45\0\0", b"\0" * 12 + b"\x08\x06" + b"\0" * 40]
-    data = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1) + b"".join(struct.pack("<IIII", 1724832000, k * 1000, len(f), len(f)) + f for k, f in enumerate(frames))
+    frames = [
+        tcp([10, 0, 0, 1], [10, 0, 0, 2], 50000, 443, 2),
+        tcp([10, 0, 0, 1], [10, 0, 0, 2], 50000, 443, 24, hello(b"example.com")), dns_frame(), b"1234",
+        b"\0" * 12 + b"\x08\x00" + b"\x45\0\0", b"\0" * 12 + b"\x08\x06" + b"\0" * 40
+    ]
+    data = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1) + b"".join(
+        struct.pack("<IIII", 1724832000, k * 1000, len(f), len(f)) + f for k, f in enumerate(frames)
+    )
     (tmp_path / "x.pcap").write_bytes(data)
     pcap.register(spark)
     rows = sorted(spark.read.format("pcap").load(str(tmp_path)).collect(), key=lambda r: r.ts)

@@ -13,8 +13,15 @@ def stream(spark, folder, rows, schema, files=1):
 
 
 def test_schedule(spark, tmp_path):
-    rows = [("f", 0, 0, 1, False, "LOW"), ("f", 1, 400_000, 1, False, "LOW"), ("f", 2, 500_000, 1, False, "HIGH"), ("f", 3, 600_000, 30, False, "LOW"), ("f", 4, 700_000, 1, True, "LOW"), ("f", 5, 1_800_000, 1, False, "LOW"), ("g", 6, 0, 1, False, "LOW")]
-    s = stream(spark, tmp_path, [(*r, 0) for r in rows], "flow_id string, seq bigint, us bigint, packets bigint, urgent boolean, risk string, part int")
+    rows = [
+        ("f", 0, 0, 1, False, "LOW"), ("f", 1, 400_000, 1, False, "LOW"), ("f", 2, 500_000, 1, False, "HIGH"),
+        ("f", 3, 600_000, 30, False, "LOW"), ("f", 4, 700_000, 1, True, "LOW"), ("f", 5, 1_800_000, 1, False, "LOW"),
+        ("g", 6, 0, 1, False, "LOW")
+    ]
+    s = stream(
+        spark, tmp_path, [(*r, 0) for r in rows],
+        "flow_id string, seq bigint, us bigint, packets bigint, urgent boolean, risk string, part int"
+    )
     got = {r.seq: r.due for r in drain(spark, model_schedule(s), "schedule").collect()}
     assert got == {0: True, 1: False, 2: True, 3: True, 4: True, 5: True, 6: True}
 
@@ -25,7 +32,9 @@ def test_windows_and_sessions(spark, tmp_path):
     at = F.timestamp_seconds("t")
     w = {r.start.timestamp(): r.n for r in drain(spark, flow_windows(s, at), "w", "complete").collect()}
     assert w == {0: 3, 60: 1, 120: 1}
-    a = sorted((r.first_at.timestamp(), r.last_at.timestamp(), r.occurrence_count) for r in drain(spark, alert_sessions(s, at, ["flow_id"]), "s", "complete").collect())
+    a = sorted((
+        r.first_at.timestamp(), r.last_at.timestamp(), r.occurrence_count
+    ) for r in drain(spark, alert_sessions(s, at, ["flow_id"]), "s", "complete").collect())
     assert a == [(0, 40, 3), (71, 71, 1), (130, 130, 1)]  # thirty seconds apart is one alert, thirty-one are two
 
 
@@ -34,7 +43,9 @@ def test_replays_in_any_order_lose_nothing(spark, tmp_path):
     rows = [("f", t, 10, 1, 0.5, k) for k, t in enumerate(times)]
     s = stream(spark, tmp_path, rows, "flow_id string, t int, orig_bytes bigint, resp_bytes bigint, confidence double, part int", files=len(rows))
     at = F.timestamp_seconds("t")
-    a = sorted((r.first_at.timestamp(), r.last_at.timestamp(), r.occurrence_count) for r in drain(spark, alert_sessions(s, at, ["flow_id"]), "s", "complete").collect())
+    a = sorted((
+        r.first_at.timestamp(), r.last_at.timestamp(), r.occurrence_count
+    ) for r in drain(spark, alert_sessions(s, at, ["flow_id"]), "s", "complete").collect())
     assert a == [(10, 10, 1), (500_000, 500_020, 2), (1_000_000, 1_000_040, 3)]
     assert sum(r.n for r in drain(spark, flow_windows(s, at), "w", "complete").collect()) == len(rows)
 
@@ -43,7 +54,11 @@ def test_tracked_flows_expire(spark, tmp_path):
     rows = [("f", 1000, 1, 2, 0), ("f", 1005, 1, 2, 0), ("g", 100_000, 1, 1, 1), ("g", 100_001, 1, 1, 2), ("g", 100_002, None, 1, 3)]
     s = stream(spark, tmp_path, rows, "flow_id string, t int, orig_bytes bigint, resp_bytes bigint, part int", files=4)
     out = []
-    q = track_flows(s, F.timestamp_seconds("t"), idle=60, late="1 second").writeStream.outputMode("update").foreachBatch(lambda df, _: out.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = track_flows(
+        s, F.timestamp_seconds("t"), idle=60, late="1 second"
+    ).writeStream.outputMode("update").foreachBatch(lambda df, _: out.extend(df.collect())).option(
+        "checkpointLocation", str(tmp_path / "c")
+    ).trigger(availableNow=True).start()
     q.awaitTermination()
     last = {(r.flow_id, r.event): (r.n, r.orig_bytes) for r in out}
     assert last["f", "updated"] == (2, 2) and last["f", "expired"] == (2, 2) and last["g", "updated"] == (3, 2)

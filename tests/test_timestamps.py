@@ -87,10 +87,19 @@ def test_no_year_without_reception_and_empty_table(spark, rows):
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.tuples(st.datetimes(datetime(2001, 1, 1), datetime(2037, 1, 1)), st.sampled_from(["Europe/Berlin", "America/New_York", "Australia/Sydney", "Asia/Kathmandu"])), min_size=1, max_size=30))
+@given(st.lists(
+    st.tuples(
+        st.datetimes(datetime(2001, 1, 1), datetime(2037, 1, 1)),
+        st.sampled_from(["Europe/Berlin", "America/New_York", "Australia/Sydney", "Asia/Kathmandu"])
+    ),
+    min_size=1, max_size=30
+))
 def test_zones_against_python(spark, times):
     df = spark.createDataFrame([(k, t.strftime("%d/%m/%Y %H:%M:%S") + f".{t.microsecond:06d}", z) for k, (t, z) in enumerate(times)], "k int, t string, z string")
     df = df.withColumn("r", F.current_timestamp()).withColumn("o", F.lit("dmy"))
     got = {r.k: r.epoch_us for r in normalize_timestamps(df, "t", "r", "z", "o").collect()}
-    want = {k: (t.replace(tzinfo=ZoneInfo(z), fold=0) - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1) for k, (t, z) in enumerate(times)}
+    want = {
+        k: (t.replace(tzinfo=ZoneInfo(z), fold=0) - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1) for k,
+        (t, z) in enumerate(times)
+    }
     assert got == want

@@ -45,7 +45,10 @@ def moments(x: Column, least: int = 2) -> dict[str, Column]:
     mean = total(x) / F.size(x)
     std = F.sqrt(let(mean, lambda m: _power(x, m, 2)))
     zero = lambda c: F.when(F.size(x) >= least, c).otherwise(0.0)
-    return {"iat_min": zero(F.array_min(x)), "iat_max": zero(F.array_max(x)), "iat_mean": zero(mean), "iat_std": zero(std), "iat_cv": zero(F.when(mean > 1e-5, std / mean).otherwise(0.0))}
+    return {
+        "iat_min": zero(F.array_min(x)), "iat_max": zero(F.array_max(x)), "iat_mean": zero(mean), "iat_std": zero(std),
+        "iat_cv": zero(F.when(mean > 1e-5, std / mean).otherwise(0.0))
+    }
 
 
 def skewness(x: Column) -> Column:
@@ -124,7 +127,9 @@ def value_entropy(x: Column) -> Column:
 
     def walk(s: Column) -> Column:
         start = F.struct(F.get(s, F.lit(0)).alias("at"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
-        step = lambda a, v: F.when(v == a["at"], F.struct(a["at"].alias("at"), (a["run"] + 1).alias("run"), a["sum"].alias("sum"))).otherwise(F.struct(v.alias("at"), F.lit(1.0).alias("run"), (a["sum"] + weigh(a["run"])).alias("sum")))
+        step = lambda a, v: F.when(
+            v == a["at"], F.struct(a["at"].alias("at"), (a["run"] + 1).alias("run"), a["sum"].alias("sum"))
+        ).otherwise(F.struct(v.alias("at"), F.lit(1.0).alias("run"), (a["sum"] + weigh(a["run"])).alias("sum")))
         return F.aggregate(s, start, step, lambda a: F.log2(F.size(s)) - (a["sum"] + weigh(a["run"])) / F.size(s))
 
     return F.when(F.size(x) == 0, 0.0).otherwise(let(F.array_sort(x), walk))

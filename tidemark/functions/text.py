@@ -23,14 +23,19 @@ def shannon_entropy(text: Column) -> Column:
     """Bits per character; 0 for empty text, null for null."""
     n = F.length(text)
     parts = F.transform(F.array_distinct(F.split(text, "")), lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n)
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.aggregate(F.filter(F.array_sort(parts), lambda p: p > 0), F.lit(0.0), lambda a, p: a - p * F.log2(p)))
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.aggregate(
+        F.filter(F.array_sort(parts), lambda p: p > 0), F.lit(0.0), lambda a, p: a - p * F.log2(p)
+    ))
 
 
 def bigram_log_likelihood(name: Column) -> Column:
     """Mean log-probability of the letter pairs of the first label; 0 for labels of fewer than two letters."""
     label = F.substring_index(F.lower(name), ".", 1)
     table = F.create_map(*[F.lit(x) for pair in BIGRAMS.items() for x in pair])
-    pairs = F.transform(F.sequence(F.lit(1), F.length(label) - 1), lambda i: F.log(F.coalesce(F.try_element_at(table, F.substr(label, i, F.lit(2))), F.lit(FLOOR))))
+    pairs = F.transform(
+        F.sequence(F.lit(1), F.length(label) - 1),
+        lambda i: F.log(F.coalesce(F.try_element_at(table, F.substr(label, i, F.lit(2))), F.lit(FLOOR)))
+    )
     return F.when(F.length(label) < 2, F.lit(0.0)).otherwise(F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / (F.length(label) - 1))
 
 

@@ -48,7 +48,10 @@ class Thresholds:
 
 
 #: detector -> (class, priority in the fusion)
-CLASSES = {"ddos": ("DDOS", 6), "scan": ("PORT_SCAN", 4), "dns": ("DGA_DNS_TUNNELLING", 3), "c2": ("C2_BEACONING", 2), "exfil": ("DATA_EXFILTRATION", 1), "encrypted": ("ENCRYPTED_MALWARE", 5)}
+CLASSES = {
+    "ddos": ("DDOS", 6), "scan": ("PORT_SCAN", 4), "dns": ("DGA_DNS_TUNNELLING", 3), "c2": ("C2_BEACONING", 2),
+    "exfil": ("DATA_EXFILTRATION", 1), "encrypted": ("ENCRYPTED_MALWARE", 5)
+}
 
 
 def indicators(src_port: Column, dst_port: Column, t: Thresholds = Thresholds()) -> dict[str, list[tuple[Column, float, Column]]]:
@@ -60,31 +63,65 @@ def indicators(src_port: Column, dst_port: Column, t: Thresholds = Thresholds())
     open_tls = (c("tls_version_num") > 0) & (c("has_tls_sni") == 0)
     return {
         "ddos": [
-            ((c("syn_ratio") >= t.ddos_syn_ratio) & ((c("src_ip_entropy") >= t.ddos_src_entropy) | (c("dst_in_degree") >= t.ddos_in_degree)), 0.95, say("SYN flood from many sources: SYN ratio %.2f, source entropy %.2f bits", c("syn_ratio"), c("src_ip_entropy"))),
+            (
+                (c("syn_ratio") >= t.ddos_syn_ratio) & ((c("src_ip_entropy") >= t.ddos_src_entropy) | (c("dst_in_degree") >= t.ddos_in_degree)),
+                0.95,
+                say("SYN flood from many sources: SYN ratio %.2f, source entropy %.2f bits", c("syn_ratio"), c("src_ip_entropy"))
+            ),
             (c("packet_rate") >= t.ddos_packet_rate, 0.85, say("packet rate %.1f/s", c("packet_rate"))),
-            ((c("udp_rate") >= t.ddos_udp_rate) & (c("byte_amplification_ratio") > t.ddos_amplification), 0.90, say("UDP amplification %.1fx at %.1f packets/s", c("byte_amplification_ratio"), c("udp_rate"))),
+            (
+                (c("udp_rate") >= t.ddos_udp_rate) & (c("byte_amplification_ratio") > t.ddos_amplification), 0.90,
+                say("UDP amplification %.1fx at %.1f packets/s", c("byte_amplification_ratio"), c("udp_rate"))
+            ),
         ],
         "scan": [
-            ((c("unique_dst_ports") >= t.scan_ports) & (c("dst_port_fanout") >= t.scan_port_fanout), 0.92, say("%.0f ports probed, %.2f/s", c("unique_dst_ports"), c("dst_port_fanout"))),
-            ((c("unique_dst_hosts") >= t.scan_hosts) & (c("dst_host_fanout") >= t.scan_host_fanout), 0.88, say("%.0f hosts swept, %.2f/s", c("unique_dst_hosts"), c("dst_host_fanout"))),
-            ((c("conn_attempts") >= t.scan_attempts) & (c("failed_conn_ratio") >= t.scan_failed_ratio), 0.85, say("%.0f attempts, %.2f of them failed", c("conn_attempts"), c("failed_conn_ratio"))),
+            (
+                (c("unique_dst_ports") >= t.scan_ports) & (c("dst_port_fanout") >= t.scan_port_fanout), 0.92,
+                say("%.0f ports probed, %.2f/s", c("unique_dst_ports"), c("dst_port_fanout"))
+            ),
+            (
+                (c("unique_dst_hosts") >= t.scan_hosts) & (c("dst_host_fanout") >= t.scan_host_fanout), 0.88,
+                say("%.0f hosts swept, %.2f/s", c("unique_dst_hosts"), c("dst_host_fanout"))
+            ),
+            (
+                (c("conn_attempts") >= t.scan_attempts) & (c("failed_conn_ratio") >= t.scan_failed_ratio), 0.85,
+                say("%.0f attempts, %.2f of them failed", c("conn_attempts"), c("failed_conn_ratio"))
+            ),
         ],
         "dns": [
-            (((c("shannon_entropy_mean") >= t.dns_entropy) | (c("ngram_log_likelihood") <= t.dns_ngram)) & (c("query_len_mean") >= t.dns_length), 0.90, say("generated names: entropy %.2f bits, length %.1f", c("shannon_entropy_mean"), c("query_len_mean"))),
+            (
+                ((c("shannon_entropy_mean") >= t.dns_entropy) | (c("ngram_log_likelihood") <= t.dns_ngram)) & (c("query_len_mean") >= t.dns_length),
+                0.90, say("generated names: entropy %.2f bits, length %.1f", c("shannon_entropy_mean"), c("query_len_mean"))
+            ),
             (c("txt_record_ratio") >= t.dns_txt_ratio, 0.93, say("TXT share %.2f", c("txt_record_ratio"))),
-            ((c("query_frequency") >= t.dns_frequency) & (c("query_len_mean") >= t.dns_length) & (c("shannon_entropy_mean") >= t.dns_burst_entropy), 0.80, say("%.1f queries/s", c("query_frequency"))),
+            (
+                (c("query_frequency") >= t.dns_frequency) & (c("query_len_mean") >= t.dns_length) & (c("shannon_entropy_mean") >= t.dns_burst_entropy),
+                0.80, say("%.1f queries/s", c("query_frequency"))
+            ),
         ],
         "c2": [
-            ((c("repeated_conn_count") >= t.c2_min_count) & ((c("iat_cv") <= t.c2_cv) | (c("periodicity_score") >= t.c2_periodicity)) & (c("iat_mean") >= t.c2_iat_mean), 0.88, say("heartbeat: interval %.3f s, variation %.4f", c("iat_mean"), c("iat_cv"))),
-            ((c("repeated_dst_freq") >= t.c2_frequency) & (c("repeated_conn_count") >= t.c2_min_count) & (c("iat_cv") <= t.c2_cv_frequent) & (c("periodicity_score") >= t.c2_periodicity) & (c("iat_mean") >= t.c2_iat_mean), 0.75, say("%.1f check-ins/min", c("repeated_dst_freq"))),
+            (
+                (c("repeated_conn_count") >= t.c2_min_count) & ((c("iat_cv") <= t.c2_cv) | (c("periodicity_score") >= t.c2_periodicity)) & (c("iat_mean") >= t.c2_iat_mean),
+                0.88, say("heartbeat: interval %.3f s, variation %.4f", c("iat_mean"), c("iat_cv"))
+            ),
+            (
+                (c("repeated_dst_freq") >= t.c2_frequency) & (c("repeated_conn_count") >= t.c2_min_count) & (c("iat_cv") <= t.c2_cv_frequent) & (c("periodicity_score") >= t.c2_periodicity) & (c("iat_mean") >= t.c2_iat_mean),
+                0.75, say("%.1f check-ins/min", c("repeated_dst_freq"))
+            ),
         ],
         "exfil": [
-            (big & (c("out_in_byte_ratio") >= t.exfil_ratio) & (c("asymmetric_traffic_score") >= t.exfil_asymmetry), 0.90, say("%.0f bytes out, ratio %.1f", c("outbound_bytes"), c("out_in_byte_ratio"))),
+            (
+                big & (c("out_in_byte_ratio") >= t.exfil_ratio) & (c("asymmetric_traffic_score") >= t.exfil_asymmetry), 0.90,
+                say("%.0f bytes out, ratio %.1f", c("outbound_bytes"), c("out_in_byte_ratio"))
+            ),
             (big & (c("outbound_rate") >= t.exfil_rate), 0.85, say("%.0f bytes/s out", c("outbound_rate"))),
         ],
         "encrypted": [
             (dst_port.isin(*t.enc_ports) & open_tls, 0.75, F.lit("TLS without a server name")),
-            (open_tls & (c("directionality_ratio") >= t.enc_direction) & (c("pkt_size_entropy") <= t.enc_size_entropy), 0.80, say("one-sided TLS of uniform sizes (%.2f bits)", c("pkt_size_entropy"))),
+            (
+                open_tls & (c("directionality_ratio") >= t.enc_direction) & (c("pkt_size_entropy") <= t.enc_size_entropy), 0.80,
+                say("one-sided TLS of uniform sizes (%.2f bits)", c("pkt_size_entropy"))
+            ),
         ],
     }
 
@@ -98,7 +135,10 @@ def detect(src_port: Column, dst_port: Column, t: Thresholds = Thresholds()) ->
         score = F.greatest(F.lit(0.0), *[F.when(f, s).otherwise(0.0) for f, (_, s, _) in zip(flags, found)])
         reason = F.concat_ws(" | ", *[F.when(f, r) for f, (_, _, r) in zip(flags, found)])
         cls, priority = CLASSES[name]
-        results.append(F.struct(F.lit(name).alias("detector"), F.lit(cls).alias("class"), F.lit(priority).alias("priority"), (n > 0).alias("triggered"), score.alias("score"), n.alias("n_indicators"), reason.alias("reason")))
+        results.append(F.struct(
+            F.lit(name).alias("detector"), F.lit(cls).alias("class"), F.lit(priority).alias("priority"),
+            (n > 0).alias("triggered"), score.alias("score"), n.alias("n_indicators"), reason.alias("reason")
+        ))
     return F.array(*results)
 
 
@@ -118,7 +158,10 @@ class GateThresholds:
     client_port: int = 1024
     exfil_ports: tuple = (80, 443, 8080, 22)
     tls_ports: tuple = (443, 8443)
-    scores: dict = field(default_factory=lambda: {"ddos": (0.65, 0.95), "ports": (0.60, 0.92), "hosts": (0.60, 0.88), "dns": (0.70, 0.93), "exfil": (0.65, 0.90), "c2": 0.55, "tls": 0.75})
+    scores: dict = field(default_factory=lambda: {
+        "ddos": (0.65, 0.95), "ports": (0.60, 0.92), "hosts": (0.60, 0.88), "dns": (0.70, 0.93), "exfil": (0.65, 0.90),
+        "c2": 0.55, "tls": 0.75
+    })
 
 
 def gate(state: dict[str, Column], g: GateThresholds = GateThresholds()) -> dict[str, Column]:
@@ -139,11 +182,17 @@ def gate(state: dict[str, Column], g: GateThresholds = GateThresholds()) -> dict
     tls = s["tls"] & ~s["sni"] & s["dst_port"].isin(*g.tls_ports)
     no = F.lit(False)
     f = lambda x: F.coalesce(x, no)
-    critical = F.coalesce(F.when(f(exfil[1]), "DATA_EXFILTRATION"), F.when(f(dns[1]), "DGA_DNS_TUNNELLING"), F.when(f(ports) | f(hosts), "PORT_SCAN"), F.when(f(ddos[1]), "DDOS"))
+    critical = F.coalesce(
+        F.when(f(exfil[1]), "DATA_EXFILTRATION"), F.when(f(dns[1]), "DGA_DNS_TUNNELLING"),
+        F.when(f(ports) | f(hosts), "PORT_SCAN"), F.when(f(ddos[1]), "DDOS")
+    )
     w = g.scores
     level = lambda pair, hit: F.when(f(hit[1]), pair[1]).when(f(hit[0]), pair[0]).otherwise(0.0)
     recon = F.when(f(ports), w["ports"][1]).when(f(hosts), w["hosts"][1]).when(f(probe), w["ports"][0]).otherwise(0.0)
-    urgency = F.greatest(level(w["ddos"], ddos), recon, level(w["dns"], dns), level(w["exfil"], exfil), F.when(f(c2), w["c2"]).otherwise(0.0), F.when(f(tls), w["tls"]).otherwise(0.0))
+    urgency = F.greatest(
+        level(w["ddos"], ddos), recon, level(w["dns"], dns), level(w["exfil"], exfil), F.when(f(c2), w["c2"]).otherwise(0.0),
+        F.when(f(tls), w["tls"]).otherwise(0.0)
+    )
     decision = F.when(critical.isNotNull(), "CRITICAL_RULE").when(urgency > 0, "SUSPICIOUS").otherwise("PASS_NORMAL")
     return {"decision": decision, "threat_class": F.when(decision == "PASS_NORMAL", "BENIGN").otherwise(critical), "urgency": urgency}
 
@@ -151,7 +200,9 @@ def gate(state: dict[str, Column], g: GateThresholds = GateThresholds()) -> dict
 def first_fired(results: Column) -> Column:
     """The fired detector of the highest priority, null without any."""
     fired = F.filter(results, lambda r: r["triggered"])
-    ordered = F.array_sort(F.transform(fired, lambda r: F.struct(r["priority"].alias("priority"), r["class"].alias("class"), r["score"].alias("score"))))
+    ordered = F.array_sort(F.transform(
+        fired, lambda r: F.struct(r["priority"].alias("priority"), r["class"].alias("class"), r["score"].alias("score"))
+    ))
     return F.get(ordered, F.lit(0))
 
 
@@ -161,7 +212,9 @@ def anomaly_bypass(results: Column, model_class: Column, model_confidence: Colum
     return ((model_class != "BENIGN") & (model_confidence >= 0.75)) | calm
 
 
-def fuse(results: Column, model_class: Column, model_confidence: Column, anomaly: Column, anomalous: Column, threshold: float = 0.0) -> dict[str, Column]:
+def fuse(
+    results: Column, model_class: Column, model_confidence: Column, anomaly: Column, anomalous: Column, threshold: float = 0.0
+) -> dict[str, Column]:
     """label, state, confidence, method by the ordered decision table of the production engine."""
     top = first_fired(results)
     known = (model_class != "BENIGN") & (model_confidence >= 0.75)
@@ -178,11 +231,15 @@ def fuse(results: Column, model_class: Column, model_confidence: Column, anomaly
         .when(odd, F.least(F.lit(1.0), 0.60 + F.abs(anomaly - threshold) / 0.5))
         .otherwise(F.when(model_class == "BENIGN", model_confidence).otherwise(1 - model_confidence))
     )
-    method = F.when(rule, "BEHAVIORAL_RULE").when(confirmed, "HYBRID").when(known, "MODEL_SUPERVISED").when(odd, "MODEL_ANOMALY").otherwise("MODEL_SUPERVISED")
+    method = F.when(rule, "BEHAVIORAL_RULE").when(confirmed, "HYBRID").when(
+        known, "MODEL_SUPERVISED"
+    ).when(odd, "MODEL_ANOMALY").otherwise("MODEL_SUPERVISED")
     return {"label": label, "state": state, "confidence": confidence, "method": method}
 
 
-def fuse_gated(gated: dict[str, Column], results: Column, model_class: Column, model_confidence: Column, anomaly: Column, anomalous: Column) -> dict[str, Column]:
+def fuse_gated(
+    gated: dict[str, Column], results: Column, model_class: Column, model_confidence: Column, anomaly: Column, anomalous: Column
+) -> dict[str, Column]:
     """The selective variant: a critical gate decides alone; detectors count only when the gate isn't passed, in list order."""
     critical = gated["decision"] == "CRITICAL_RULE"
     fired = F.get(F.filter(results, lambda r: r["triggered"]), F.lit(0))
@@ -204,7 +261,9 @@ def fuse_gated(gated: dict[str, Column], results: Column, model_class: Column, m
     return {"label": label, "state": state, "confidence": confidence}
 
 
-def fuse_unordered(results: Column, model_class: Column, model_confidence: Column, anomaly: Column, anomalous: Column, threshold: float = 0.0) -> dict[str, Column]:
+def fuse_unordered(
+    results: Column, model_class: Column, model_confidence: Column, anomaly: Column, anomalous: Column, threshold: float = 0.0
+) -> dict[str, Column]:
     """The variant of side-by-side comparisons: fired detectors in list order, no priorities, and no bypass of the anomaly
     detector; the first of them that may override the model does."""
     fired = F.filter(results, lambda r: r["triggered"])
@@ -222,7 +281,9 @@ def fuse_unordered(results: Column, model_class: Column, model_confidence: Colum
         .when(odd, F.least(F.lit(1.0), 0.60 + F.abs(anomaly - threshold) / 0.5))
         .otherwise(F.when(model_class == "BENIGN", model_confidence).otherwise(1 - model_confidence))
     )
-    method = F.when(rule, "BEHAVIORAL_RULE").when(confirmed, "HYBRID").when(known, "MODEL_SUPERVISED").when(odd, "MODEL_ANOMALY").otherwise("MODEL_SUPERVISED")
+    method = F.when(rule, "BEHAVIORAL_RULE").when(confirmed, "HYBRID").when(
+        known, "MODEL_SUPERVISED"
+    ).when(odd, "MODEL_ANOMALY").otherwise("MODEL_SUPERVISED")
     return {"label": label, "state": state, "confidence": F.bround(confidence, 4), "method": method}
 
 
@@ -232,7 +293,10 @@ def severity(label: Column, confidence: Column) -> Column:
     return (
         F.when(label == "BENIGN", "INFO")
         .when(label == "DDOS", F.when((c("packet_rate") >= 500) | (c("dst_in_degree") >= 20) | (confidence >= 0.90), "CRITICAL").otherwise("HIGH"))
-        .when(label == "DATA_EXFILTRATION", F.when((c("outbound_bytes") >= 10_000_000) | (c("outbound_rate") >= 100_000), "CRITICAL").otherwise("HIGH"))
+        .when(
+            label == "DATA_EXFILTRATION",
+            F.when((c("outbound_bytes") >= 10_000_000) | (c("outbound_rate") >= 100_000), "CRITICAL").otherwise("HIGH")
+        )
         .when(label == "C2_BEACONING", F.when((confidence >= 0.85) | (c("periodicity_score") >= 0.20), "CRITICAL").otherwise("HIGH"))
         .when(label == "PORT_SCAN", F.when((c("unique_dst_ports") >= 25) | (c("dst_port_fanout") >= 10), "HIGH").otherwise("MEDIUM"))
         .when(label.isin("DGA_DNS_TUNNELLING", "ENCRYPTED_MALWARE"), F.when(confidence >= 0.80, "HIGH").otherwise("MEDIUM"))
@@ -307,7 +371,9 @@ def evidence(label: Column, results: Column | None = None, anomaly: Column | Non
             said.insert(0, F.format_string("anomaly score %.6f, threshold %.6f", score, F.lit(threshold)))
             kept.append(entry("anomaly_score", score))
         texts = F.when(label == name, F.array_compact(F.array(*said))).otherwise(texts)
-        values = F.when(label == name, F.array_compact(F.array(*kept)) if kept else F.array().cast("array<struct<k: string, v: double>>")).otherwise(values)
+        values = F.when(
+            label == name, F.array_compact(F.array(*kept)) if kept else F.array().cast("array<struct<k: string, v: double>>")
+        ).otherwise(values)
     if results is not None:
         fired = F.transform(F.filter(results, lambda r: r["triggered"]), lambda r: F.concat(F.lit("["), r["class"], F.lit("] "), r["reason"]))
         texts = F.array_distinct(F.concat(texts, fired))

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.sessions import first_copies
 
-COLUMNS = ["row_id", "timestamp", "event_type", "sensor_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "flow_id", "duration", "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts", "conn_state", "service", "query_name"]
+COLUMNS = [
+    "row_id", "timestamp", "event_type", "sensor_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "flow_id",
+    "duration", "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts", "conn_state", "service", "query_name"
+]
 #: columns of the protocols above, carried where the deliveries have them
 DETAILS = ["history", "query_type", "tls_version", "ja3"]
 #: connection states of attempts that failed, and those that count as SYN without answer
@@ -24,7 +27,10 @@ def deliveries_of(events: DataFrame) -> DataFrame:
     rows = events.select("*", content.alias("__content"))
     rows = rows.select("*", F.row_number().over(Window.partitionBy("__content").orderBy("__content")).alias("__copy"))
     row_id = F.when(F.col("__copy") == 1, F.col("__content")).otherwise(F.xxhash64("__content", "__copy"))
-    return rows.select(F.col("ts").alias("timestamp"), F.col("source_engine").alias("sensor_id"), F.lit(None).cast("string").alias("event_id"), row_id.alias("row_id"), *[c for c in events.columns if c != "ts"])
+    return rows.select(
+        F.col("ts").alias("timestamp"), F.col("source_engine").alias("sensor_id"), F.lit(None).cast("string").alias("event_id"),
+        row_id.alias("row_id"), *[c for c in events.columns if c != "ts"]
+    )
 
 
 def normalize(deliveries: DataFrame) -> DataFrame:

@@ -120,7 +120,10 @@ def degrees(events: DataFrame, reach_us: int = MINUTE) -> DataFrame:
     out = events.select("seq", "us", F.col("src_ip").alias("host"), F.lit("out").alias("role"), F.col("dst_ip").alias("peer"))
     into = events.select("seq", "us", F.col("dst_ip").alias("host"), F.lit("in").alias("role"), F.col("src_ip").alias("peer"))
     peers = lambda r: F.when(F.col("role") == r, F.col("peer"))
-    both = sliding(out.unionByName(into), ["host"], "us", reach_us, {"n_out": (F.col("role") == "out").cast("bigint")}, {"outs": peers("out"), "ins": peers("in")})
+    both = sliding(
+        out.unionByName(into), ["host"], "us", reach_us, {"n_out": (F.col("role") == "out").cast("bigint")},
+        {"outs": peers("out"), "ins": peers("in")}
+    )
     return both.groupBy("seq").agg(
         F.max(F.when(F.col("role") == "out", F.col("outs"))).alias("src_out_degree"),
         F.max(F.when(F.col("role") == "in", F.col("ins"))).alias("dst_in_degree"),
@@ -150,15 +153,30 @@ def pair_timing(events: DataFrame) -> DataFrame:
     n = F.size("times")
     span = F.greatest(F.lit(1.0), (F.element_at("times", -1) - F.element_at("times", 1)) / 1e6)
     stats = series.moments(F.col("gaps"))
-    return pairs.select("src_ip", "dst_ip", *[c.alias(k) for k, c in stats.items()], series.skewness(F.col("gaps")).alias("iat_skewness"), series.spectral_peak(F.col("gaps")).alias("periodicity_score"), series.autocorrelation_peak(F.col("gaps")).alias("autocorr_peak"), n.cast("bigint").alias("repeated_conn_count"), (n / (span / 60)).alias("repeated_dst_freq"))
+    return pairs.select(
+        "src_ip", "dst_ip", *[c.alias(k) for k, c in stats.items()], series.skewness(F.col("gaps")).alias("iat_skewness"),
+        series.spectral_peak(F.col("gaps")).alias("periodicity_score"),
+        series.autocorrelation_peak(F.col("gaps")).alias("autocorr_peak"), n.cast("bigint").alias("repeated_conn_count"),
+        (n / (span / 60)).alias("repeated_dst_freq")
+    )
 
 
 def name_features(events: DataFrame, keep: int = 100) -> DataFrame:
     """Of each source's last `keep` DNS queries: mean length, entropy, depth, log-likelihood; TXT share; letter ratios of all together."""
-    queries = last_rows(events.where((F.col("event_type") == "dns") & F.col("query_name").isNotNull()).select("src_ip", "us", "seq", "query_name", "service"), ["src_ip"], ["us", "seq"], keep)
+    queries = last_rows(
+        events.where((F.col("event_type") == "dns") & F.col("query_name").isNotNull()).select("src_ip", "us", "seq", "query_name", "service"),
+        ["src_ip"], ["us", "seq"], keep
+    )
     q = F.col("query_name")
-    per = queries.select("src_ip", "us", "seq", q, F.length(q).alias("len"), text.shannon_entropy(q).alias("ent"), text.subdomain_depth(q).alias("depth"), text.bigram_log_likelihood(q).alias("ll"))
-    agg = per.groupBy("src_ip").agg(F.count(F.lit(1)).alias("n_queries"), F.avg("len").alias("query_len_mean"), F.avg("ent").alias("shannon_entropy_mean"), F.avg("depth").alias("subdomain_depth_mean"), F.avg("ll").alias("ngram_log_likelihood"), F.array_join(F.array_sort(F.collect_list("query_name")), "").alias("joined"))
+    per = queries.select(
+        "src_ip", "us", "seq", q, F.length(q).alias("len"), text.shannon_entropy(q).alias("ent"),
+        text.subdomain_depth(q).alias("depth"), text.bigram_log_likelihood(q).alias("ll")
+    )
+    agg = per.groupBy("src_ip").agg(
+        F.count(F.lit(1)).alias("n_queries"), F.avg("len").alias("query_len_mean"), F.avg("ent").alias("shannon_entropy_mean"),
+        F.avg("depth").alias("subdomain_depth_mean"), F.avg("ll").alias("ngram_log_likelihood"),
+        F.array_join(F.array_sort(F.collect_list("query_name")), "").alias("joined")
+    )
     return agg.select("*", *[c.alias(k) for k, c in text.letter_ratios(F.col("joined")).items()]).drop("joined")
 
 
@@ -175,10 +193,19 @@ def flow_history(events: DataFrame) -> DataFrame:
     c = F.col
     some = lambda n: F.coalesce(c(n) != "", F.lit(False))
     txt = F.coalesce(F.upper("query_type").isin("TXT", "NULL", "ANY"), F.lit(False)) if "query_type" in events.columns else F.lit(False)
-    kinds = {"time": ~c("event_type").eqNullSafe("tls"), "size": (c("orig_bytes") > 0) | (c("resp_bytes") > 0), "state": some("conn_state"), "name": (c("event_type") == "dns") & some("query_name")}
+    kinds = {
+        "time": ~c("event_type").eqNullSafe("tls"), "size": (c("orig_bytes") > 0) | (c("resp_bytes") > 0),
+        "state": some("conn_state"), "name": (c("event_type") == "dns") & some("query_name")
+    }
     kind = F.explode(F.array_compact(F.array(*[F.when(cond, F.lit(k)) for k, cond in kinds.items()]))).alias("kind")
     rows = events.select("flow_id", "us", "seq", txt.cast("double").alias("txt"), "orig_bytes", "resp_bytes", "conn_state", "query_name", kind)
-    rows = rows.select("flow_id", "us", "seq", "kind", *[F.when(c("kind") == k, c(v)).alias(v) for k, v in (("size", "orig_bytes"), ("size", "resp_bytes"), ("state", "conn_state"), ("name", "query_name"), ("name", "txt"))])
+    rows = rows.select(
+        "flow_id", "us", "seq", "kind",
+        *[
+            F.when(c("kind") == k, c(v)).alias(v) for k,
+            v in (("size", "orig_bytes"), ("size", "resp_bytes"), ("state", "conn_state"), ("name", "query_name"), ("name", "txt"))
+        ]
+    )
     newest = Window.partitionBy("flow_id", "kind").orderBy(c("us").desc(), c("seq").desc())
     last = rows.select("*", F.row_number().over(newest).alias("nth")).where(c("nth") <= max(KEPT.values()))
     last = last.where(c("nth") <= F.when(c("kind").isin("time", "size"), KEPT["time"]).otherwise(KEPT["state"]))
@@ -197,7 +224,10 @@ def flow_history(events: DataFrame) -> DataFrame:
         "txt",
     )
     q = c("name")
-    per = rows.select("*", F.length(q).alias("len"), text.shannon_entropy(q).alias("ent"), text.subdomain_depth(q).alias("depth"), F.when(q.isNotNull(), text.bigram_log_likelihood(q)).alias("ll"))
+    per = rows.select(
+        "*", F.length(q).alias("len"), text.shannon_entropy(q).alias("ent"), text.subdomain_depth(q).alias("depth"),
+        F.when(q.isNotNull(), text.bigram_log_likelihood(q)).alias("ll")
+    )
     agg = per.groupBy("flow_id").agg(
         F.array_sort(F.collect_list("time")).alias("flow_times"),
         F.concat(F.collect_list("sent"), F.collect_list("got")).alias("sizes"),
@@ -212,7 +242,11 @@ def flow_history(events: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_list(q)), "").alias("joined"),
     )
     size = series.moments(c("sizes"), 1)
-    return agg.select("*", *[v.alias(k) for k, v in text.letter_ratios(c("joined")).items()], F.when(F.size("sizes") > 0, size["iat_mean"]).alias("size_mean"), size["iat_std"].alias("pkt_size_std"), series.value_entropy(c("sizes")).alias("pkt_size_entropy")).drop("joined", "sizes")
+    return agg.select(
+        "*", *[v.alias(k) for k, v in text.letter_ratios(c("joined")).items()],
+        F.when(F.size("sizes") > 0, size["iat_mean"]).alias("size_mean"), size["iat_std"].alias("pkt_size_std"),
+        series.value_entropy(c("sizes")).alias("pkt_size_entropy")
+    ).drop("joined", "sizes")
 
 
 def flow_snapshots(events: DataFrame) -> DataFrame:
@@ -246,7 +280,9 @@ def pair_blocks(ranked: DataFrame, keep: int = 500) -> DataFrame:
 
     ranked: pair_places(). A hot pair is many rows.
     """
-    blocks = ranked.groupBy("src_ip", "dst_ip", F.floor(F.col("pair_k") / keep).alias("pair_block")).agg(F.array_sort(F.collect_list("us")).alias("block_times"))
+    blocks = ranked.groupBy(
+        "src_ip", "dst_ip", F.floor(F.col("pair_k") / keep).alias("pair_block")
+    ).agg(F.array_sort(F.collect_list("us")).alias("block_times"))
     before = F.lag("block_times").over(Window.partitionBy("src_ip", "dst_ip").orderBy("pair_block"))
     return blocks.select("*", before.alias("times_before"))
 
@@ -260,7 +296,9 @@ def vectors(events: DataFrame, keep: int = 500) -> DataFrame:
     """
     c = F.col
     events = cut(events, "events")
-    src = source_windows(events.select("seq", "us", "src_ip", "dst_ip", "dst_port", "conn_state")).select("seq", "unique_dst_ports", "unique_dst_hosts", "conn_attempts")
+    src = source_windows(events.select("seq", "us", "src_ip", "dst_ip", "dst_port", "conn_state")).select(
+        "seq", "unique_dst_ports", "unique_dst_hosts", "conn_attempts"
+    )
     dst = destination_windows(events.select("seq", "us", "src_ip", "dst_ip")).select("seq", "unique_src_count", "src_ip_entropy")
     ranked = pair_places(events)
     v = flow_snapshots(events).join(src, "seq").join(dst, "seq").join(degrees(events), "seq").join(destination_share(events), "seq")
@@ -273,15 +311,27 @@ def vectors(events: DataFrame, keep: int = 500) -> DataFrame:
     pair_first = F.coalesce(F.get("times_before", n), F.get("block_times", F.lit(0)))
     elapsed = F.greatest(F.lit(1.0), (c("us") - F.when(own, c("c_first")).otherwise(pair_first)) / 1e6)
     count = F.least(c("pair_k") + 1, F.lit(keep))
-    v = v.withColumns({"timing": series.timing(F.when(own, c("flow_times")).otherwise(F.concat(before, inside))), "repeated_conn_count": count, "repeated_dst_freq": count / (elapsed / 60), "pkt_size_mean": F.coalesce("size_mean", "pkt_size_mean")})
+    v = v.withColumns({
+        "timing": series.timing(F.when(own, c("flow_times")).otherwise(F.concat(before, inside))), "repeated_conn_count": count,
+        "repeated_dst_freq": count / (elapsed / 60), "pkt_size_mean": F.coalesce("size_mean", "pkt_size_mean")
+    })
     v = v.select("*", "timing.*")
     # of a flow that has kept nothing of the kind
-    zeros = ["n_queries", "query_len_mean", "shannon_entropy_mean", "subdomain_depth_mean", "ngram_log_likelihood", "txt_record_ratio", "failed_conn_ratio"]
+    zeros = [
+        "n_queries", "query_len_mean", "shannon_entropy_mean", "subdomain_depth_mean", "ngram_log_likelihood", "txt_record_ratio",
+        "failed_conn_ratio"
+    ]
     zeros += ["vowel_ratio", "consonant_ratio", "digit_ratio", "unique_char_ratio", "pkt_size_std", "pkt_size_entropy"]
     per_second = lambda c: F.col(c) / F.greatest(F.lit(1.0), F.col("dur"))
     v = v.withColumns({z: F.coalesce(z, F.lit(0.0)) for z in zeros})
-    v = v.withColumns({"dst_port_fanout": per_second("unique_dst_ports"), "dst_host_fanout": per_second("unique_dst_hosts"), "conn_attempt_rate": per_second("conn_attempts"), "query_frequency": c("n_queries") / c("dur")})
-    return v.select("flow_id", *ENDS, (F.col("us") / 1e6).alias("timestamp"), F.col("dur").alias("window_duration_sec"), *[F.col(n).cast("double").alias(n) for n in ORDER])
+    v = v.withColumns({
+        "dst_port_fanout": per_second("unique_dst_ports"), "dst_host_fanout": per_second("unique_dst_hosts"),
+        "conn_attempt_rate": per_second("conn_attempts"), "query_frequency": c("n_queries") / c("dur")
+    })
+    return v.select(
+        "flow_id", *ENDS, (F.col("us") / 1e6).alias("timestamp"), F.col("dur").alias("window_duration_sec"),
+        *[F.col(n).cast("double").alias(n) for n in ORDER]
+    )
 
 
 def optimized(events: DataFrame) -> DataFrame:
@@ -302,34 +352,57 @@ def optimized(events: DataFrame) -> DataFrame:
     rows = events.select("*", F.when(kind.isin("connection", "dns") & (gap > 0), gap).alias("gap"))
     state, at = F.coalesce("conn_state", F.lit("")), F.struct("us", "seq")
     ends = F.struct("us", "seq", "src_ip", "dst_ip", "src_port", "dst_port", "protocol")
-    sizes = F.array_compact(F.array(F.when(c("orig_bytes") > 0, c("orig_bytes").cast("double")), F.when(c("resp_bytes") > 0, c("resp_bytes").cast("double"))))
-    n_sizes, sum_sizes, sum_squares = (F.sum(F.aggregate(sizes, F.lit(0.0), f)) for f in (lambda a, x: a + 1, lambda a, x: a + x, lambda a, x: a + x * x))
+    sizes = F.array_compact(F.array(
+        F.when(c("orig_bytes") > 0, c("orig_bytes").cast("double")), F.when(c("resp_bytes") > 0, c("resp_bytes").cast("double"))
+    ))
+    n_sizes, sum_sizes, sum_squares = (F.sum(F.aggregate(sizes, F.lit(0.0), f)) for f in (
+        lambda a, x: a + 1, lambda a, x: a + x, lambda a, x: a + x * x
+    ))
     flows = rows.groupBy("flow_id").agg(
         F.coalesce(F.max(F.when(known, ends)), F.min(ends)).alias("e"),
         *[F.sum(n).alias(n) for n in ("orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts")],
         F.count_if(known).alias("n"), F.max("duration").alias("d"), F.min("us").alias("first"),
-        F.count_if(state.contains("S")).alias("syn"), F.count_if(state.contains("A") | state.isin("SF", "S1", "S2")).alias("ack"), F.count_if(state.contains("R")).alias("rst"),
+        F.count_if(state.contains("S")).alias("syn"), F.count_if(state.contains("A") | state.isin(
+            "SF", "S1", "S2"
+        )).alias("ack"), F.count_if(state.contains("R")).alias("rst"),
         F.min("gap").alias("iat_min"), F.max("gap").alias("iat_max"), F.avg("gap").alias("iat_mean"), F.stddev_samp("gap").alias("iat_std"),
         n_sizes.alias("n_sizes"), sum_sizes.alias("sum_sizes"), sum_squares.alias("sum_squares"),
         F.max(F.when((kind == "tls") & some("query_name").isNotNull(), F.lit(1.0))).alias("sni"),
         F.max(F.when(some("tls_version").isNotNull(), F.struct(at, some("tls_version").alias("v"))))["v"].alias("version"),
         F.max(some("ja3").isNotNull().cast("double")).alias("ja3"),
     )
-    times = last_rows(rows.where(kind.isin("connection", "dns")).select("flow_id", "us", "seq"), ["flow_id"], ["us", "seq"], 128).groupBy("flow_id").agg(F.array_sort(F.collect_list("us")).alias("times"))
+    times = last_rows(
+        rows.where(kind.isin("connection", "dns")).select("flow_id", "us", "seq"), ["flow_id"], ["us", "seq"], 128
+    ).groupBy("flow_id").agg(F.array_sort(F.collect_list("us")).alias("times"))
     txt = F.coalesce(F.upper("query_type").isin("TXT", "NULL", "16"), F.lit(False)) if "query_type" in events.columns else F.lit(False)
-    names = last_rows(rows.where((kind == "dns") & some("query_name").isNotNull()).select("flow_id", "us", "seq", "query_name", txt.cast("double").alias("txt")), ["flow_id"], ["us", "seq"], 50)
-    names = names.groupBy("flow_id").agg(F.count(F.lit(1)).alias("nq"), F.avg(F.length("query_name")).alias("len"), F.avg(text.subdomain_depth(c("query_name"))).alias("depth"), F.avg("txt").alias("txt"), F.max_by("query_name", at).alias("q"))
+    names = last_rows(
+        rows.where((kind == "dns") & some("query_name").isNotNull()).select("flow_id", "us", "seq", "query_name", txt.cast("double").alias("txt")),
+        ["flow_id"], ["us", "seq"], 50
+    )
+    names = names.groupBy("flow_id").agg(
+        F.count(F.lit(1)).alias("nq"), F.avg(F.length("query_name")).alias("len"),
+        F.avg(text.subdomain_depth(c("query_name"))).alias("depth"), F.avg("txt").alias("txt"),
+        F.max_by("query_name", at).alias("q")
+    )
 
     def recent(host: str, peers: dict[str, str]) -> DataFrame:
-        placed = running_total(events.select("seq", "us", host, *peers.values(), known.alias("known")), "us", "seq", c("known").cast("bigint"), "place", [host])
+        placed = running_total(
+            events.select("seq", "us", host, *peers.values(), known.alias("known")), "us", "seq", c("known").cast("bigint"),
+            "place", [host]
+        )
         # an event that doesn't count stands at the place of the one before it, and sees what that saw
-        return sliding(placed, [host], "place", 1999, distinct={k: F.when(c("known"), c(p)) for k, p in peers.items()}, block_us=16_000).select("seq", *[F.greatest(F.lit(1), k).alias(k) for k in peers])
+        return sliding(
+            placed, [host], "place", 1999, distinct={k: F.when(c("known"), c(p)) for k, p in peers.items()}, block_us=16_000
+        ).select("seq", *[F.greatest(F.lit(1), k).alias(k) for k in peers])
 
     sources, targets = recent("src_ip", {"hosts": "dst_ip", "ports": "dst_port"}), recent("dst_ip", {"srcs": "src_ip"})
     v = flows.select("flow_id", "e.*", *[x for x in flows.columns if x not in ("flow_id", "e")])
     v = v.join(times, "flow_id", "left").join(names, "flow_id", "left").join(sources, "seq").join(targets, "seq")
     raw = F.when(c("d") > 0, c("d")).otherwise((c("us") - c("first")) / 1e6)
-    v = v.select("*", F.greatest(F.lit(1e-3), raw).alias("dur"), F.substring_index(F.lower("q"), ".", 1).alias("label"), series.spectral_peak(series.gaps(F.coalesce("times", F.array().cast("array<bigint>")))).alias("periodicity"))
+    v = v.select(
+        "*", F.greatest(F.lit(1e-3), raw).alias("dur"), F.substring_index(F.lower("q"), ".", 1).alias("label"),
+        series.spectral_peak(series.gaps(F.coalesce("times", F.array().cast("array<bigint>")))).alias("periodicity")
+    )
     pk, by, one = c("orig_pkts") + c("resp_pkts"), c("orig_bytes") + c("resp_bytes"), F.lit(1)
     whole = F.greatest(F.lit(1.0), c("dur"))
     nz = lambda x: F.coalesce(x, F.lit(0.0))
@@ -340,24 +413,57 @@ def optimized(events: DataFrame) -> DataFrame:
     vowels = F.regexp_count("label", F.lit("[aeiou]"))
     version = F.lower(F.coalesce("version", F.lit("")))
     values = {
-        "packet_rate": pk / c("dur"), "byte_rate": by / c("dur"), "syn_rate": c("syn") / c("dur"), "syn_ratio": c("syn") / F.greatest(one, pk), "ack_ratio": c("ack") / F.greatest(one, pk), "rst_ratio": c("rst") / F.greatest(one, pk),
-        "udp_rate": F.when(F.upper("protocol") == "UDP", pk / c("dur")).otherwise(0.0), "unique_src_count": c("srcs"), "src_ip_entropy": text.shannon_entropy(c("src_ip")), "dest_concentration": 1 / F.greatest(F.lit(1.0), c("hosts")),
-        "byte_amplification_ratio": c("resp_bytes") / F.greatest(one, c("orig_bytes")), "iat_min": nz(c("iat_min")), "iat_max": nz(c("iat_max")), "iat_mean": nz(c("iat_mean")), "iat_std": nz(c("iat_std")),
-        "iat_cv": nz(F.when(c("iat_mean") > 1e-5, nz(c("iat_std")) / c("iat_mean"))), "periodicity_score": c("periodicity"), "repeated_dst_freq": c("n") / c("dur") * 60, "flow_duration": c("dur"), "repeated_conn_count": c("n"),
-        "query_len_mean": nz(c("len")), "shannon_entropy_mean": nz(text.shannon_entropy(c("q"))), "vowel_ratio": nz(vowels / letters), "consonant_ratio": nz((F.regexp_count("label", F.lit(r"\p{L}")) - vowels) / letters),
-        "digit_ratio": nz(F.regexp_count("label", F.lit(r"\p{Nd}")) / letters), "unique_char_ratio": nz(F.when(F.length("label") > 0, F.size(F.array_distinct(F.split("label", ""))) / letters)), "subdomain_depth_mean": nz(c("depth")),
-        "query_frequency": nz(c("nq") / c("dur")), "txt_record_ratio": nz(c("txt")), "ngram_log_likelihood": nz(F.when(c("q").isNotNull(), text.bigram_log_likelihood(c("q")))),
-        "tls_version_num": F.coalesce(*[F.when(version.contains(x), float(x)) for x in ("1.3", "1.2", "1.1", "1.0")], F.lit(0.0)), "has_tls_sni": nz(c("sni")), "ja3_present": nz(c("ja3")),
-        "pkt_size_mean": F.when(c("n_sizes") > 0, mean_size).otherwise(0.0), "pkt_size_std": std_size, "pkt_size_entropy": F.log2(std_size + 1), "directionality_ratio": c("orig_pkts") / F.greatest(one, pk),
-        "unique_dst_ports": c("ports"), "unique_dst_hosts": c("hosts"), "dst_port_fanout": c("ports") / whole, "dst_host_fanout": c("hosts") / whole, "conn_attempts": c("syn"), "conn_attempt_rate": c("syn") / c("dur"), "failed_conn_ratio": c("rst") / F.greatest(one, c("syn")),
-        "inbound_bytes": c("resp_bytes"), "outbound_bytes": c("orig_bytes"), "out_in_byte_ratio": c("orig_bytes") / F.greatest(one, c("resp_bytes")), "bytes_per_flow": by, "outbound_rate": c("orig_bytes") / c("dur"),
-        "asymmetric_traffic_score": (c("orig_bytes") - c("resp_bytes")) / F.greatest(one, by), "src_out_degree": c("hosts"), "dst_in_degree": c("srcs"), "comm_partner_count": c("hosts") + c("srcs"), "graph_fanout_ratio": c("hosts") / F.greatest(F.lit(1.0), c("srcs")),
+        "packet_rate": pk / c("dur"), "byte_rate": by / c("dur"), "syn_rate": c("syn") / c("dur"), "syn_ratio": c("syn") / F.greatest(
+            one, pk
+        ), "ack_ratio": c("ack") / F.greatest(one, pk), "rst_ratio": c("rst") / F.greatest(one, pk),
+        "udp_rate": F.when(
+            F.upper("protocol") == "UDP", pk / c("dur")
+        ).otherwise(0.0), "unique_src_count": c("srcs"), "src_ip_entropy": text.shannon_entropy(c("src_ip")), "dest_concentration": 1 / F.greatest(
+            F.lit(1.0), c("hosts")
+        ),
+        "byte_amplification_ratio": c("resp_bytes") / F.greatest(
+            one, c("orig_bytes")
+        ), "iat_min": nz(c("iat_min")), "iat_max": nz(c("iat_max")), "iat_mean": nz(c("iat_mean")), "iat_std": nz(c("iat_std")),
+        "iat_cv": nz(F.when(
+            c("iat_mean") > 1e-5, nz(c("iat_std")) / c("iat_mean")
+        )), "periodicity_score": c("periodicity"), "repeated_dst_freq": c("n") / c("dur") * 60, "flow_duration": c("dur"), "repeated_conn_count": c("n"),
+        "query_len_mean": nz(c("len")), "shannon_entropy_mean": nz(text.shannon_entropy(c("q"))), "vowel_ratio": nz(vowels / letters), "consonant_ratio": nz((F.regexp_count(
+            "label", F.lit(r"\p{L}")
+        ) - vowels) / letters),
+        "digit_ratio": nz(F.regexp_count("label", F.lit(r"\p{Nd}")) / letters), "unique_char_ratio": nz(F.when(
+            F.length("label") > 0, F.size(F.array_distinct(F.split("label", ""))) / letters
+        )), "subdomain_depth_mean": nz(c("depth")),
+        "query_frequency": nz(c("nq") / c("dur")), "txt_record_ratio": nz(c("txt")), "ngram_log_likelihood": nz(F.when(
+            c("q").isNotNull(), text.bigram_log_likelihood(c("q"))
+        )),
+        "tls_version_num": F.coalesce(
+            *[F.when(version.contains(x), float(x)) for x in ("1.3", "1.2", "1.1", "1.0")], F.lit(0.0)
+        ), "has_tls_sni": nz(c("sni")), "ja3_present": nz(c("ja3")),
+        "pkt_size_mean": F.when(
+            c("n_sizes") > 0, mean_size
+        ).otherwise(0.0), "pkt_size_std": std_size, "pkt_size_entropy": F.log2(std_size + 1), "directionality_ratio": c("orig_pkts") / F.greatest(
+            one, pk
+        ),
+        "unique_dst_ports": c("ports"), "unique_dst_hosts": c("hosts"), "dst_port_fanout": c("ports") / whole, "dst_host_fanout": c("hosts") / whole, "conn_attempts": c("syn"), "conn_attempt_rate": c("syn") / c("dur"), "failed_conn_ratio": c("rst") / F.greatest(
+            one, c("syn")
+        ),
+        "inbound_bytes": c("resp_bytes"), "outbound_bytes": c("orig_bytes"), "out_in_byte_ratio": c("orig_bytes") / F.greatest(
+            one, c("resp_bytes")
+        ), "bytes_per_flow": by, "outbound_rate": c("orig_bytes") / c("dur"),
+        "asymmetric_traffic_score": (c("orig_bytes") - c("resp_bytes")) / F.greatest(
+            one, by
+        ), "src_out_degree": c("hosts"), "dst_in_degree": c("srcs"), "comm_partner_count": c("hosts") + c("srcs"), "graph_fanout_ratio": c("hosts") / F.greatest(
+            F.lit(1.0), c("srcs")
+        ),
     }
     return v.select("flow_id", *ENDS, (c("us") / 1e6).alias("timestamp"), *[values[n].cast("double").alias(n) for n in ORDER])
 
 
 #: features that only a suspicious flow is worth, in the selective generation
-COSTLY = ["src_ip_entropy", "periodicity_score", "shannon_entropy_mean", "vowel_ratio", "consonant_ratio", "digit_ratio", "unique_char_ratio", "subdomain_depth_mean", "query_frequency", "txt_record_ratio", "ngram_log_likelihood"]
+COSTLY = [
+    "src_ip_entropy", "periodicity_score", "shannon_entropy_mean", "vowel_ratio", "consonant_ratio", "digit_ratio",
+    "unique_char_ratio", "subdomain_depth_mean", "query_frequency", "txt_record_ratio", "ngram_log_likelihood"
+]
 
 
 def tiered(vectors_: DataFrame, suspicious: Column) -> DataFrame:

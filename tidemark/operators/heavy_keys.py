@@ -19,7 +19,10 @@ def value_frequencies(df: DataFrame, key: str, value: str, amount: Column | None
     amount = F.lit(0).cast("bigint") if amount is None else amount
     at = F.lit(None).cast("bigint") if at is None else at
     slim = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{value}`").alias("value"), amount.alias("amount"), at.alias("at"))
-    return slim.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("amount", F.lit(0))).alias("amount"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    return slim.groupBy("key", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("amount", F.lit(0))).alias("amount"), F.min("at").alias("first_at"),
+        F.max("at").alias("last_at")
+    )
 
 
 def profile_by_key(frequencies: DataFrame) -> DataFrame:
@@ -64,11 +67,16 @@ def percentile_by_key(frequencies: DataFrame, percentages: list[float]) -> DataF
     wanted = ranges.select("*", F.explode(F.array(*[F.lit(float(p)) for p in percentages])).alias("percentage"))
     rank = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("percentage") * F.col("total")))
     wanted = wanted.select("*", rank.alias("rank")).where((F.col("rank") > F.col("upto") - F.col("n")) & (F.col("rank") <= F.col("upto")))
-    wanted = wanted.groupBy(F.col("key").alias("k"), F.col("range").alias("g")).agg(F.collect_list(F.struct("percentage", (F.col("rank") - F.col("upto") + F.col("n")).alias("within"))).alias("asked"))
+    wanted = wanted.groupBy(F.col("key").alias("k"), F.col("range").alias("g")).agg(F.collect_list(F.struct(
+        "percentage", (F.col("rank") - F.col("upto") + F.col("n")).alias("within")
+    )).alias("asked"))
     kept = some.join(wanted, F.col("key").eqNullSafe(F.col("k")) & (F.col("range") == F.col("g")))
     run = Window.partitionBy("key", "range").orderBy("value")
     hit = kept.select("key", "value", "n", F.sum("n").over(run).alias("upto"), "asked")
-    hit = hit.select("key", "value", F.explode(F.filter("asked", lambda x: (x["within"] > F.col("upto") - F.col("n")) & (x["within"] <= F.col("upto")))).alias("x")).select("key", "value", "x.percentage")
+    hit = hit.select(
+        "key", "value",
+        F.explode(F.filter("asked", lambda x: (x["within"] > F.col("upto") - F.col("n")) & (x["within"] <= F.col("upto")))).alias("x")
+    ).select("key", "value", "x.percentage")
     return hit.groupBy("key", "percentage").agg(F.min("value").alias("value"))
 
 

@@ -9,8 +9,17 @@ from pyspark.sql import functions as F
 def class_report(df: DataFrame, truth: str, guess: str) -> DataFrame:
     """class, support, precision, recall, f1; both sides are counted in one pass and never joined."""
     pairs = df.groupBy(truth, guess).agg(F.count(F.lit(1)).alias("n"))
-    sides = pairs.select(F.explode(F.array(F.struct(F.col(truth).alias("class"), F.lit(1).alias("t")), F.struct(F.col(guess).alias("class"), F.lit(0).alias("t")))).alias("s"), "n", (F.col(truth) == F.col(guess)).alias("hit"))
-    sums = sides.groupBy("s.class").agg(F.sum(F.when(F.col("s.t") == 1, F.col("n")).otherwise(0)).alias("support"), F.sum(F.when(F.col("s.t") == 0, F.col("n")).otherwise(0)).alias("guessed"), F.sum(F.when((F.col("s.t") == 1) & F.col("hit"), F.col("n")).otherwise(0)).alias("hits"))
+    sides = pairs.select(
+        F.explode(F.array(
+            F.struct(F.col(truth).alias("class"), F.lit(1).alias("t")), F.struct(F.col(guess).alias("class"), F.lit(0).alias("t"))
+        )).alias("s"),
+        "n", (F.col(truth) == F.col(guess)).alias("hit")
+    )
+    sums = sides.groupBy("s.class").agg(
+        F.sum(F.when(F.col("s.t") == 1, F.col("n")).otherwise(0)).alias("support"),
+        F.sum(F.when(F.col("s.t") == 0, F.col("n")).otherwise(0)).alias("guessed"),
+        F.sum(F.when((F.col("s.t") == 1) & F.col("hit"), F.col("n")).otherwise(0)).alias("hits")
+    )
     p, r = F.col("hits") / F.greatest(F.lit(1), F.col("guessed")), F.col("hits") / F.greatest(F.lit(1), F.col("support"))
     return sums.select("class", "support", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
 
@@ -39,7 +48,11 @@ def rates(df: DataFrame, positive: Column, flagged: Column, score: Column) -> Da
     """One row: true and false positive rate of a flag, mean scores of both sides and how far they lie apart."""
     rate = lambda x: F.count_if(flagged & x) / F.greatest(F.lit(1), F.count_if(x))
     mean = lambda x: F.avg(F.when(x, score))
-    return df.agg(rate(positive).alias("true_positive_rate"), rate(~positive).alias("false_positive_rate"), mean(positive).alias("positive_mean"), mean(~positive).alias("negative_mean"), F.abs(mean(positive) - mean(~positive)).alias("separation"))
+    return df.agg(
+        rate(positive).alias("true_positive_rate"), rate(~positive).alias("false_positive_rate"),
+        mean(positive).alias("positive_mean"), mean(~positive).alias("negative_mean"),
+        F.abs(mean(positive) - mean(~positive)).alias("separation")
+    )
 
 
 def class_summary(df: DataFrame, group: str, label: str, score: str, probabilities: list[str]) -> DataFrame:
@@ -91,14 +104,30 @@ def percentiles(df: DataFrame, value: str, shares: list[float], by: list[str] |
     w = Window.partitionBy(*by)
     starts = sums.select(*[F.col(b).alias(f"__k_{b}") for b in by], F.col("__r").alias("__q"), F.sum("__m").over(w).alias("__all"), (F.sum("__m").over(w.orderBy("__r")) - F.col("__m")).alias("__s"), "__m")
     # of each share the two ranks between which it lies, from 0 on
-    asked = F.array(*[F.struct(F.lit(float(p)).alias("share"), F.lit(k).alias("side"), (F.floor((F.col("__all") - 1) * float(p)) + k).alias("rank")) for p in shares for k in (0, 1)])
-    starts = starts.withColumn("__asked", F.filter(asked, lambda x: (F.least(x["rank"], F.col("__all") - 1) >= F.col("__s")) & (F.least(x["rank"], F.col("__all") - 1) < F.col("__s") + F.col("__m")))).where(F.size("__asked") > 0)
+    asked = F.array(*[F.struct(
+        F.lit(float(p)).alias("share"), F.lit(k).alias("side"), (F.floor((F.col("__all") - 1) * float(p)) + k).alias("rank")
+    ) for p in shares for k in (0, 1)])
+    starts = starts.withColumn(
+        "__asked",
+        F.filter(
+            asked,
+            lambda x: (F.least(
+                x["rank"], F.col("__all") - 1
+            ) >= F.col("__s")) & (F.least(x["rank"], F.col("__all") - 1) < F.col("__s") + F.col("__m"))
+        )
+    ).where(F.size("__asked") > 0)
     same = F.col("__r") == F.col("__q")
     for b in by:
         same = same & F.col(b).eqNullSafe(F.col(f"__k_{b}"))
     upto = F.sum("n").over(Window.partitionBy(*by, "__r").orderBy(value))
     hits = rows.join(starts, same).select(*by, F.col(value).cast("double").alias("__v"), "n", (F.col("__s") + upto).alias("__u"), "__asked", "__all")
-    hits = hits.select("*", F.explode(F.filter("__asked", lambda x: (F.least(x["rank"], F.col("__all") - 1) < F.col("__u")) & (F.least(x["rank"], F.col("__all") - 1) >= F.col("__u") - F.col("n")))).alias("__x"))
+    hits = hits.select(
+        "*",
+        F.explode(F.filter(
+            "__asked",
+            lambda x: (F.least(x["rank"], F.col("__all") - 1) < F.col("__u")) & (F.least(x["rank"], F.col("__all") - 1) >= F.col("__u") - F.col("n"))
+        )).alias("__x")
+    )
     low, high = (F.max(F.when(F.col("__x.side") == k, F.col("__v"))) for k in (0, 1))
     part = F.max((F.col("__all") - 1) * F.col("__x.share") - F.floor((F.col("__all") - 1) * F.col("__x.share")))
     return hits.groupBy(*by, F.col("__x.share").alias("share")).agg((low + (high - low) * part).alias("value"))
@@ -108,11 +137,18 @@ def auc(df: DataFrame, positive: Column, score: Column) -> DataFrame:
     """One row: auc, with ties counted half, from counts per distinct score in ranges of scores; no task has all of them."""
     rows = df.select(positive.alias("__p"), score.alias("s"))
     ranges = _in_ranges(rows, "s", [])
-    by = rows.groupBy(F.col("s").alias("t")).agg(F.count_if("__p").alias("p"), F.count_if(~F.col("__p")).alias("q")).join(ranges, F.col("t") == F.col("s"))
+    by = rows.groupBy(F.col("s").alias("t")).agg(
+        F.count_if("__p").alias("p"), F.count_if(~F.col("__p")).alias("q")
+    ).join(ranges, F.col("t") == F.col("s"))
     sums = by.groupBy("__r").agg(F.sum("q").alias("__m"))
-    starts = sums.select(F.col("__r").alias("__k"), F.coalesce(F.sum("__m").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
+    starts = sums.select(
+        F.col("__r").alias("__k"),
+        F.coalesce(F.sum("__m").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s")
+    )
     inside = F.coalesce(F.sum("q").over(Window.partitionBy("__r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    below = by.select("p", "q", "__r", inside.alias("__i")).join(starts, F.col("__r") == F.col("__k")).select("p", "q", (F.col("__i") + F.col("__s")).alias("below"))
+    below = by.select("p", "q", "__r", inside.alias("__i")).join(starts, F.col("__r") == F.col("__k")).select(
+        "p", "q", (F.col("__i") + F.col("__s")).alias("below")
+    )
     return below.agg((F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / (F.sum("p") * F.sum("q"))).alias("auc"))
 
 
@@ -132,7 +168,10 @@ def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.2, se
     rows = df.select("*", h.alias("__h"), F.conv(F.substring(h, 1, 2), 16, 10).cast("int").alias("__b"))
     cells = rows.groupBy(F.col(label).alias("__l"), F.col("__b").alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy("__l")
-    cells = cells.select("__l", "__c", F.sum("__n").over(w).alias("__all"), F.coalesce(F.sum("__n").over(w.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    cells = cells.select(
+        "__l", "__c", F.sum("__n").over(w).alias("__all"),
+        F.coalesce(F.sum("__n").over(w.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before")
+    )
     place = F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h", key))
     ranked = rows.select("*", place.alias("__k")).join(cells, F.col(label).eqNullSafe(F.col("__l")) & (F.col("__b") == F.col("__c")))
     n_test = F.when(F.col("__all") >= 5, F.greatest(F.lit(1), F.bround(F.col("__all") * share))).otherwise(1)

@@ -23,7 +23,11 @@ def random_forest(train: DataFrame, features: list[str], label: str, trees: int
 
     weights = class_weights(train, label).select(F.col(label).alias("__l"), "weight")
     rows = train.join(weights, F.col(label) == F.col("__l")).drop("__l")
-    steps = [StringIndexer(inputCol=label, outputCol="__y", handleInvalid="keep"), VectorAssembler(inputCols=features, outputCol="__x"), RandomForestClassifier(featuresCol="__x", labelCol="__y", weightCol="weight", numTrees=trees, maxDepth=8, seed=seed)]
+    steps = [
+        StringIndexer(inputCol=label, outputCol="__y", handleInvalid="keep"),
+        VectorAssembler(inputCols=features, outputCol="__x"),
+        RandomForestClassifier(featuresCol="__x", labelCol="__y", weightCol="weight", numTrees=trees, maxDepth=8, seed=seed)
+    ]
     return Pipeline(stages=steps).fit(rows)
 
 
@@ -39,7 +43,11 @@ def boosted_trees(train: DataFrame, features: list[str], label: str, trees: int
     weights = class_weights(train, label).select(F.col(label).alias("__l"), "weight")
     rows = train.join(weights, F.col(label) == F.col("__l")).drop("__l")
     one = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
-    return Pipeline(stages=[StringIndexer(inputCol=label, outputCol="__y", handleInvalid="error"), VectorAssembler(inputCols=features, outputCol="__x"), OneVsRest(classifier=one, featuresCol="__x", labelCol="__y", weightCol="weight")]).fit(rows)
+    return Pipeline(stages=[
+        StringIndexer(inputCol=label, outputCol="__y", handleInvalid="error"),
+        VectorAssembler(inputCols=features, outputCol="__x"),
+        OneVsRest(classifier=one, featuresCol="__x", labelCol="__y", weightCol="weight")
+    ]).fit(rows)
 
 
 def class_of(model, df: DataFrame) -> DataFrame:
@@ -52,7 +60,10 @@ def folds(df: DataFrame, label: str, key: str, k: int = 5, seed: str = "42") ->
     """`df` with fold (0 to k - 1): each label is dealt out evenly, in the order of a hash of `key`."""
     h = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
     bucket = F.conv(F.substring(h, 1, 2), 16, 10).cast("bigint")
-    placed = running_total(df.select("*", h.alias("__h"), bucket.alias("__bucket")), "__bucket", "__h", F.lit(1).cast("bigint"), "__place", [label], block_us=8)
+    placed = running_total(
+        df.select("*", h.alias("__h"), bucket.alias("__bucket")), "__bucket", "__h", F.lit(1).cast("bigint"), "__place", [label],
+        block_us=8
+    )
     return placed.select(*df.columns, F.pmod(F.col("__place") - 1, F.lit(k)).cast("int").alias("fold"))
 
 
@@ -83,8 +94,13 @@ def size_sweep(train: DataFrame, test: DataFrame, features: list[str], label: st
     out = []
     for n, g in guesses.items():
         both = g.join(most, F.col("__id") == F.col("i"))
-        one = both.agg(F.avg((F.col(label) == F.col("model_class")).cast("int")).alias("accuracy"), F.avg((F.col("reference") == F.col("model_class")).cast("int")).alias("agreement"))
-        out.append(one.crossJoin(macro(class_report(g, label, "model_class")).select("macro_f1")).select(F.lit(n).alias("trees"), "*"))  # two single rows
+        one = both.agg(
+            F.avg((F.col(label) == F.col("model_class")).cast("int")).alias("accuracy"),
+            F.avg((F.col("reference") == F.col("model_class")).cast("int")).alias("agreement")
+        )
+        out.append(one.crossJoin(macro(class_report(g, label, "model_class")).select("macro_f1")).select(
+            F.lit(n).alias("trees"), "*"
+        ))  # two single rows
     return reduce(DataFrame.unionByName, out)
 
 
@@ -156,7 +172,9 @@ class IsolationForest:
         return 0.5 - 2.0 ** (-self.path(x) / max(float(average_path(self.rows)), 1e-9))
 
 
-def isolation_forest(train: DataFrame, features: list[str], trees: int = 100, rows: int = 256, sample_rows: int = 20_000, seed: int = 42) -> IsolationForest:
+def isolation_forest(
+    train: DataFrame, features: list[str], trees: int = 100, rows: int = 256, sample_rows: int = 20_000, seed: int = 42
+) -> IsolationForest:
     """Fitted on about `sample_rows` rows at most, drawn from all partitions alike (each tree needs only `rows` of them)."""
     n = train.count()
     share = min(1.0, sample_rows / max(1, n))

@@ -335,18 +335,30 @@ def _headers(lines: DataFrame, block: int) -> DataFrame:
     heads = heads.select("file", "at", *[F.when(F.col("line").startswith(f"#{x}"), F.col("line")).alias(x) for x in ("separator", "fields")])
     over = Window.partitionBy("file").orderBy("at")
     upto = over.rowsBetween(Window.unboundedPreceding, 0)
-    heads = heads.select("file", F.col("at").alias("low"), F.lead("at").over(over).alias("high"), *[F.last(x, ignorenulls=True).over(upto).alias(x) for x in ("separator", "fields")], F.row_number().over(over).alias("nth"), F.max(F.col("fields").isNotNull()).over(Window.partitionBy("file")).alias("tsv"))
+    heads = heads.select(
+        "file", F.col("at").alias("low"), F.lead("at").over(over).alias("high"),
+        *[F.last(x, ignorenulls=True).over(upto).alias(x) for x in ("separator", "fields")],
+        F.row_number().over(over).alias("nth"), F.max(F.col("fields").isNotNull()).over(Window.partitionBy("file")).alias("tsv")
+    )
     heads = heads.where("tsv").drop("tsv")
     ends = lines.groupBy(F.col("file").alias("f")).agg(F.max("at").alias("end"), F.min("at").alias("begin"))
-    heads = heads.join(ends, F.col("file") == F.col("f")).select("file", "low", F.coalesce("high", F.col("end") + 1).alias("high"), "separator", "fields", "nth", "begin")
-    above = heads.where("nth = 1").select("file", F.col("begin").alias("low"), F.col("low").alias("high"), F.lit(None).cast("string").alias("separator"), F.lit(None).cast("string").alias("fields"))
+    heads = heads.join(ends, F.col("file") == F.col("f")).select(
+        "file", "low", F.coalesce("high", F.col("end") + 1).alias("high"), "separator", "fields", "nth", "begin"
+    )
+    above = heads.where("nth = 1").select(
+        "file", F.col("begin").alias("low"), F.col("low").alias("high"), F.lit(None).cast("string").alias("separator"),
+        F.lit(None).cast("string").alias("fields")
+    )
     spans = heads.select("file", "low", "high", "separator", "fields").unionByName(above).where("high > low")
     first, last = (F.floor(F.col(x) / block).cast("bigint") for x in ("low", "last"))
     spans = spans.withColumn("last", F.col("high") - 1)
     return spans.select(F.col("file").alias("f"), F.explode(F.sequence(first, last)).alias("b"), "low", "high", "separator", "fields")
 
 
-def read_lines(df: DataFrame, line_id: str = "line_id", file_name: str = "file_name", line_no: str = "line_no", raw_line: str = "raw_line", block: int = 8192) -> DataFrame:
+def read_lines(
+    df: DataFrame, line_id: str = "line_id", file_name: str = "file_name", line_no: str = "line_no", raw_line: str = "raw_line",
+    block: int = 8192
+) -> DataFrame:
     """Every data line: line_id, file, at, line, tsv, separator, fields, reason (null: valid), answers.
 
     A trailing carriage return is cut; lines that are null, empty or start with `#` are no data. A
@@ -357,10 +369,17 @@ def read_lines(df: DataFrame, line_id: str = "line_id", file_name: str = "file_n
     """
     ship(df.sparkSession)
     col = lambda c: F.col(f"`{c}`")
-    lines = df.select(col(line_id).alias("line_id"), F.coalesce(col(file_name), F.lit("")).alias("file"), F.coalesce(col(line_no).cast("bigint"), F.lit(-1)).alias("at"), F.regexp_replace(col(raw_line), "\r$", "").alias("line"))
+    lines = df.select(
+        col(line_id).alias("line_id"), F.coalesce(col(file_name), F.lit("")).alias("file"),
+        F.coalesce(col(line_no).cast("bigint"), F.lit(-1)).alias("at"), F.regexp_replace(col(raw_line), "\r$", "").alias("line")
+    )
     data = lines.where((F.col("line") != "") & ~F.col("line").startswith("#")).withColumn("block", F.floor(F.col("at") / block).cast("bigint"))
     heads = _headers(lines, block)
-    joined = data.join(heads, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")) & (F.col("at") >= F.col("low")) & (F.col("at") < F.col("high")), "left")
+    joined = data.join(
+        heads,
+        (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")) & (F.col("at") >= F.col("low")) & (F.col("at") < F.col("high")),
+        "left"
+    )
     joined = joined.select("line_id", "file", "at", "line", F.col("f").isNotNull().alias("tsv"), "separator", "fields")
     out = joined.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
     return joined.mapInPandas(_read, out + ", reason string, answers array<string>")
@@ -375,11 +394,17 @@ RECORD = {
     "orig_pkts": ("orig_pkts", "bigint"), "resp_pkts": ("resp_pkts", "bigint"), "trans_id": ("trans_id", "int"), "query": ("query", "string"),
     "qtype": ("qtype", "int"), "qtype_name": ("qtype_name", "string"), "rcode": ("rcode", "int"), "rcode_name": ("rcode_name", "string"),
     "ttls": ("ttls", "string"), "rejected": ("rejected", "boolean"),
-    "version": ("version", "string"), "cipher": ("cipher", "string"), "server_name": ("server_name", "string"), "established": ("established", "boolean"),
+    "version": ("version", "string"), "cipher": ("cipher", "string"), "server_name": ("server_name", "string"), "established": (
+        "established", "boolean"
+    ),
     "resumed": ("resumed", "boolean"), "ja3": ("ja3", "string"), "ja3s": ("ja3s", "string"), "validation_status": ("validation_status", "string"),
-    "subject": ("subject", "string"), "issuer": ("issuer", "string"), "method": ("method", "string"), "host": ("host", "string"), "uri": ("uri", "string"),
+    "subject": (
+        "subject", "string"
+    ), "issuer": ("issuer", "string"), "method": ("method", "string"), "host": ("host", "string"), "uri": ("uri", "string"),
     "user_agent": ("user_agent", "string"), "status_code": ("status_code", "int"), "status_msg": ("status_msg", "string"),
-    "request_body_len": ("request_body_len", "bigint"), "response_body_len": ("response_body_len", "bigint"), "resp_mime_types": ("mime_type", "string"),
+    "request_body_len": ("request_body_len", "bigint"), "response_body_len": (
+        "response_body_len", "bigint"
+    ), "resp_mime_types": ("mime_type", "string"),
 }
 
 

@@ -41,4 +41,7 @@ def sessionize(df: DataFrame, user: str, at_us: Column, flow: str, gap_us: int =
     numbers = blocks.select(F.col("user").alias("u"), F.col("block").alias("b"), session.alias("session"))
     whole = by_flow.join(numbers, (F.col("user") == F.col("u")) & (F.col("block") == F.col("b")))
     flows = whole.groupBy("user", "session", "flow").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
-    return flows.groupBy("user", "session").agg(F.min("first").alias("start_us"), F.max("last").alias("end_us"), F.sum("n").alias("n_events"), F.count("flow").alias("n_flows")).drop("session")
+    return flows.groupBy("user", "session").agg(
+        F.min("first").alias("start_us"), F.max("last").alias("end_us"), F.sum("n").alias("n_events"),
+        F.count("flow").alias("n_flows")
+    ).drop("session")

@@ -48,8 +48,12 @@ _REST = "|$5|$6|$7|$8|$9|$10"
 
 def _canonical(text: Column, order: Column) -> Column:
     found = F.lit(None).cast("string")
-    ymd = F.when(F.length(F.regexp_extract(text, _NUMERIC, 4)) == 4, F.regexp_replace(text, _NUMERIC, "$4|$1|$3" + _REST)).otherwise(F.regexp_replace(text, _NUMERIC, "$1|$3|$4" + _REST))
-    numeric = F.when(order == "mdy", F.regexp_replace(text, _NUMERIC, "$4|$1|$3" + _REST)).when(order == "ymd", ymd).when(order == "dmy", F.regexp_replace(text, _NUMERIC, "$4|$3|$1" + _REST))
+    ymd = F.when(
+        F.length(F.regexp_extract(text, _NUMERIC, 4)) == 4, F.regexp_replace(text, _NUMERIC, "$4|$1|$3" + _REST)
+    ).otherwise(F.regexp_replace(text, _NUMERIC, "$1|$3|$4" + _REST))
+    numeric = F.when(
+        order == "mdy", F.regexp_replace(text, _NUMERIC, "$4|$1|$3" + _REST)
+    ).when(order == "ymd", ymd).when(order == "dmy", F.regexp_replace(text, _NUMERIC, "$4|$3|$1" + _REST))
     found = F.when(text.rlike(_NUMERIC), numeric)
     for pattern, replacement in reversed(_CASCADE):
         found = F.when(text.rlike(pattern), F.regexp_replace(text, pattern, replacement)).otherwise(found)
@@ -112,7 +116,9 @@ def normalize_timestamps(df: DataFrame, text: str, received: str, tz: str, order
     def instant(y: Column) -> Column:
         # a minute of 60 or a second of 60 would pass as the next one
         possible = (c["mi"] < 60) & (c["s"] < 60) & (c["h"] < 24)
-        with_offset = F.unix_micros(F.try_make_timestamp(y, c["mo"], c["d"], c["h"], c["mi"], c["s"], F.lit("UTC"))) - c["off"].cast("bigint") * 60_000_000
+        with_offset = F.unix_micros(F.try_make_timestamp(
+            y, c["mo"], c["d"], c["h"], c["mi"], c["s"], F.lit("UTC")
+        )) - c["off"].cast("bigint") * 60_000_000
         with_zone = F.unix_micros(F.try_make_timestamp(y, c["mo"], c["d"], c["h"], c["mi"], c["s"], c["zone"]))
         return F.when(possible & c["off"].isNotNull(), with_offset).when(possible & c["zone"].isNotNull(), with_zone)
 
@@ -120,11 +126,17 @@ def normalize_timestamps(df: DataFrame, text: str, received: str, tz: str, order
     # the nearest instant lies in the year before, the same or the next; a 29 February at most eight years away (around 2100)
     reach = F.when((c["mo"] == 2) & (c["d"] == 29), 8).otherwise(1)
     years = F.sequence(F.year(at) - reach, F.year(at) + reach)
-    nearest = F.array_min(F.filter(F.transform(years, lambda y: F.struct(F.abs(instant(y) - F.unix_micros(at)).alias("far"), instant(y).alias("us"))), lambda x: x["us"].isNotNull()))["us"]
+    nearest = F.array_min(F.filter(
+        F.transform(years, lambda y: F.struct(F.abs(instant(y) - F.unix_micros(at)).alias("far"), instant(y).alias("us"))),
+        lambda x: x["us"].isNotNull()
+    ))["us"]
     staged = (
         df.select(*columns, raw.alias(names["raw"]))
         .select("*", F.split(_canonical(c["raw"], F.lower(F.col(f"`{order}`"))), r"\|").alias(names["parts"]))
-        .select("*", year.alias(names["y"]), month.alias(names["mo"]), number(2).alias(names["d"]), hour.alias(names["h"]), number(4).alias(names["mi"]), second.alias(names["s"]), F.nullif(part(8), F.lit("")).alias("__ts_text_zone"))
+        .select(
+            "*", year.alias(names["y"]), month.alias(names["mo"]), number(2).alias(names["d"]), hour.alias(names["h"]),
+            number(4).alias(names["mi"]), second.alias(names["s"]), F.nullif(part(8), F.lit("")).alias("__ts_text_zone")
+        )
         .select(
             "*",
             _offset_minutes(F.col("__ts_text_zone")).alias(names["off"]),
@@ -132,6 +144,8 @@ def normalize_timestamps(df: DataFrame, text: str, received: str, tz: str, order
             F.when(F.col("__ts_text_zone").isNull(), F.col(f"`{tz}`")).when(F.col("__ts_text_zone").contains("/"), F.col("__ts_text_zone")).alias(names["zone"]),
         )
     )
-    us = F.when(c["raw"].rlike(r"^\d+(\.\d+)?$"), _bare_number(c["raw"])).when(c["parts"].isNotNull(), F.when(c["y"].isNotNull(), instant(c["y"])).when(at.isNotNull(), nearest))
+    us = F.when(c["raw"].rlike(r"^\d+(\.\d+)?$"), _bare_number(c["raw"])).when(
+        c["parts"].isNotNull(), F.when(c["y"].isNotNull(), instant(c["y"])).when(at.isNotNull(), nearest)
+    )
     # the id is never negative: as it is not deterministic, it keeps a filter on the result from being pushed below, which would repeat the whole cascade
     return staged.select(*columns, F.when(F.monotonically_increasing_id() >= 0, us).alias(out))

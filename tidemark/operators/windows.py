@@ -30,7 +30,10 @@ def _change(x: Column, up: Column) -> Column:
     return weigh(x) - F.when(up, weigh(x - 1)).otherwise(weigh(x + 1))
 
 
-def sliding(df: DataFrame, keys: list[str], us: str, reach_us: int, sums: dict[str, Column] | None = None, distinct: dict[str, Column] | None = None, entropy: dict[str, Column] | None = None, block_us: int | None = None) -> DataFrame:
+def sliding(
+    df: DataFrame, keys: list[str], us: str, reach_us: int, sums: dict[str, Column] | None = None,
+    distinct: dict[str, Column] | None = None, entropy: dict[str, Column] | None = None, block_us: int | None = None
+) -> DataFrame:
     """`df` with values over the last `reach_us` of the row's keys, itself and its ties included.
 
     sums: whole numbers to add up, null counting 0 (bigint); distinct: values whose different non-null ones are counted
@@ -81,7 +84,9 @@ def last_rows(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataF
     return df.select("*", F.row_number().over(w).alias("__nth")).where(F.col("__nth") <= n).drop("__nth")
 
 
-def running_total(df: DataFrame, us: str, seq: str, value: Column, name: str, keys: list[str] | None = None, block_us: int = 3_600_000_000) -> DataFrame:
+def running_total(
+    df: DataFrame, us: str, seq: str, value: Column, name: str, keys: list[str] | None = None, block_us: int = 3_600_000_000
+) -> DataFrame:
     """`df` with the running sum of `value` in (us, seq) order, over all rows or those of the same `keys`.
 
     Sums of time blocks give each block its start; only the block totals pass through one task, whatever the rows.

@@ -11,7 +11,11 @@ from tidemark.sources.zeek import EVENT
 
 def read(spark: SparkSession, servers: str, topic: str, per_trigger: int = 1_000_000) -> DataFrame:
     """Stream of normalized events; offsets are kept by the query's checkpoint, and nothing is dropped under pressure."""
-    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").option("maxOffsetsPerTrigger", per_trigger).load()
+    raw = spark.readStream.format("kafka").option(
+        "kafka.bootstrap.servers", servers
+    ).option("subscribe", topic).option("startingOffsets", "earliest").option(
+        "maxOffsetsPerTrigger", per_trigger
+    ).load()
     return parse(raw)
 
 
@@ -27,4 +31,6 @@ def messages(events: DataFrame) -> DataFrame:
 
 
 def write(events: DataFrame, servers: str, topic: str, checkpoint: str) -> StreamingQuery:
-    return messages(events).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).start()
+    return messages(events).writeStream.format("kafka").option(
+        "kafka.bootstrap.servers", servers
+    ).option("topic", topic).option("checkpointLocation", checkpoint).start()

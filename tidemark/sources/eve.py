@@ -41,7 +41,9 @@ def events(raw: DataFrame) -> DataFrame:
     answers = F.coalesce(F.transform("dns.answers", lambda a: a["rdata"]), F.flatten(F.map_values("dns.grouped")))
     when = lambda k, x: F.when(c("kind") == k, x)
     fingerprint = lambda n: F.when(c(n).startswith("{"), F.get_json_object(n, "$.hash")).otherwise(c(n))
-    rows = raw.where(c("_corrupt").isNull()).select("*", c("flow_id").alias("raw_flow"), epoch_seconds(c("timestamp")).alias("ts"), kind.alias("kind")).where("ts is not null and kind is not null")
+    rows = raw.where(c("_corrupt").isNull()).select(
+        "*", c("flow_id").alias("raw_flow"), epoch_seconds(c("timestamp")).alias("ts"), kind.alias("kind")
+    ).where("ts is not null and kind is not null")
     out = rows.select(
         "ts",
         c("kind").alias("event_type"),
@@ -78,14 +80,19 @@ def events(raw: DataFrame) -> DataFrame:
         when("alert", zero(c("alert.signature_id"))).alias("signature_id"),
         when("alert", F.coalesce("alert.gid", F.lit(1))).alias("gid"),
         when("alert", F.coalesce("alert.rev", F.lit(1))).alias("rev"),
-        F.concat_ws("_", "kind", F.coalesce(c("raw_flow").cast("string"), F.lit("0")), when("alert", zero(c("alert.signature_id")).cast("string"))).alias("source_id"),
+        F.concat_ws(
+            "_", "kind", F.coalesce(c("raw_flow").cast("string"), F.lit("0")),
+            when("alert", zero(c("alert.signature_id")).cast("string"))
+        ).alias("source_id"),
     )
     return as_events(out)
 
 
 def rejects(raw: DataFrame) -> DataFrame:
     """Records that events() leaves out, with the reason."""
-    reason = F.when(F.col("_corrupt").isNotNull(), "json_syntax").when(epoch_seconds(F.col("timestamp")).isNull(), "bad_ts").when(~F.coalesce(F.col("event_type").isin(*_TYPES), F.lit(False)), "unknown_type")
+    reason = F.when(F.col("_corrupt").isNotNull(), "json_syntax").when(epoch_seconds(F.col("timestamp")).isNull(), "bad_ts").when(
+        ~F.coalesce(F.col("event_type").isin(*_TYPES), F.lit(False)), "unknown_type"
+    )
     return raw.select("*", reason.alias("reason")).where("reason is not null")
 
 
@@ -94,9 +101,15 @@ def of_packets(packets: DataFrame, first: int = 50) -> DataFrame:
     c = F.col
     when = F.date_format(F.timestamp_micros(F.floor(c("ts") * 1_000_000 + 0.5)), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     app = F.when(c("dns_query").isNotNull(), "dns").when(c("sni").isNotNull(), "tls").otherwise("failed")
-    flow = F.struct(F.lit(1).alias("pkts_toserver"), F.lit(0).alias("pkts_toclient"), c("wire_len").alias("bytes_toserver"), F.lit(0).alias("bytes_toclient"), F.lit(1).alias("age"), F.lit("established").alias("state"))
+    flow = F.struct(
+        F.lit(1).alias("pkts_toserver"), F.lit(0).alias("pkts_toclient"), c("wire_len").alias("bytes_toserver"),
+        F.lit(0).alias("bytes_toclient"), F.lit(1).alias("age"), F.lit("established").alias("state")
+    )
     rows = packets.orderBy("ts", "src_ip", "src_port", "dst_ip", "dst_port").limit(first)
-    record = F.struct(when.alias("timestamp"), F.lit("flow").alias("event_type"), "src_ip", "src_port", c("dst_ip").alias("dest_ip"), c("dst_port").alias("dest_port"), c("protocol").alias("proto"), app.alias("app_proto"), flow.alias("flow"))
+    record = F.struct(
+        when.alias("timestamp"), F.lit("flow").alias("event_type"), "src_ip", "src_port", c("dst_ip").alias("dest_ip"),
+        c("dst_port").alias("dest_port"), c("protocol").alias("proto"), app.alias("app_proto"), flow.alias("flow")
+    )
     return rows.select(F.to_json(record).alias("value"))
 
 

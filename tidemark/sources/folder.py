@@ -14,7 +14,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     eve.rejects() for what can't be read.
     """
     found, _ = zeek.events(zeek.read_folder(spark, path, "*.log"))
-    raw = spark.read.schema(eve.SCHEMA).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
+    raw = spark.read.schema(eve.SCHEMA).option("mode", "PERMISSIVE").option(
+        "columnNameOfCorruptRecord", "_corrupt"
+    ).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
     return found.unionByName(eve.events(raw))
 
 

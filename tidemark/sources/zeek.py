@@ -15,7 +15,10 @@ def as_events(df: DataFrame) -> DataFrame:
     """`df` with exactly the columns of EVENT; missing ones are null, flow_id is made where it is missing."""
     known = [c.strip().rsplit(" ", 1) for c in EVENT.split(", ")]
     out = df.select(*[(F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in known])
-    made = F.concat(F.col("src_ip"), F.lit(":"), F.col("src_port"), F.lit(" -> "), F.col("dst_ip"), F.lit(":"), F.col("dst_port"), F.lit(" ["), F.col("protocol"), F.lit("]"))
+    made = F.concat(
+        F.col("src_ip"), F.lit(":"), F.col("src_port"), F.lit(" -> "), F.col("dst_ip"), F.lit(":"), F.col("dst_port"),
+        F.lit(" ["), F.col("protocol"), F.lit("]")
+    )
     return out.withColumn("flow_id", F.coalesce("flow_id", made))
 
 
@@ -31,7 +34,9 @@ def events(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     read = read_lines(lines)
     r = typed_records(read)
     some = lambda *c: F.coalesce(*c).isNotNull()
-    kind = F.when(some("query", "qtype_name"), "dns").when(some("cipher", "server_name", "version"), "tls").when(some("method", "host", "uri"), "http").otherwise("connection")
+    kind = F.when(some("query", "qtype_name"), "dns").when(
+        some("cipher", "server_name", "version"), "tls"
+    ).when(some("method", "host", "uri"), "http").otherwise("connection")
     dns, http = kind == "dns", kind == "http"
     port = F.when(dns, 53).when(kind == "tls", 443).when(http, 80).otherwise(0)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
@@ -68,7 +73,10 @@ def events(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return as_events(out), read.where(F.col("reason").isNotNull()).select("line_id", "file", "at", "line", "reason")
 
 
-CONN = ["ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "service", "duration", "orig_bytes", "resp_bytes", "conn_state", "missed_bytes", "history", "orig_pkts", "resp_pkts"]
+CONN = [
+    "ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "service", "duration", "orig_bytes", "resp_bytes",
+    "conn_state", "missed_bytes", "history", "orig_pkts", "resp_pkts"
+]
 
 
 def header(fields: list[str], path: str) -> list[str]:
@@ -100,14 +108,30 @@ def records_of(packets: DataFrame) -> dict[str, DataFrame]:
     ok = packets.where(c("status") == "ok") if "status" in packets.columns else packets
     uid = lambda *x: F.substring(F.md5(F.concat_ws("|", *x)), 1, 16).alias("uid")
     key = ["src_ip", "src_port", "dst_ip", "dst_port", "protocol"]
-    flows = ok.groupBy(*key).agg(F.min("ts").alias("ts"), F.max("ts").alias("last"), F.sum("wire_len").alias("bytes"), F.count(F.lit(1)).alias("n"), F.min_by(F.coalesce("syn", F.lit(False)), "ts").alias("syn"))
+    flows = ok.groupBy(*key).agg(
+        F.min("ts").alias("ts"), F.max("ts").alias("last"), F.sum("wire_len").alias("bytes"), F.count(F.lit(1)).alias("n"),
+        F.min_by(F.coalesce("syn", F.lit(False)), "ts").alias("syn")
+    )
     service = F.when((c("src_port") == 53) | (c("dst_port") == 53), "dns").when(c("dst_port") == 443, "ssl")
     conn = flows.select(
-        "ts", uid(*key), *ends, F.lower("protocol").alias("proto"), service.alias("service"), F.greatest(F.lit(1e-4), c("last") - c("ts")).alias("duration"), c("bytes").alias("orig_bytes"), F.lit(0).cast("bigint").alias("resp_bytes"),
-        F.when(c("syn") & (c("n") == 1), "S0").otherwise("SF").alias("conn_state"), F.lit(0).cast("bigint").alias("missed_bytes"), F.when(c("syn"), "S").otherwise("ShADdFaf").alias("history"), c("n").alias("orig_pkts"), F.lit(0).cast("bigint").alias("resp_pkts"),
+        "ts", uid(*key), *ends, F.lower("protocol").alias("proto"), service.alias("service"), F.greatest(
+            F.lit(1e-4), c("last") - c("ts")
+        ).alias("duration"), c("bytes").alias("orig_bytes"), F.lit(0).cast("bigint").alias("resp_bytes"),
+        F.when(
+            c("syn") & (c("n") == 1), "S0"
+        ).otherwise("SF").alias("conn_state"), F.lit(0).cast("bigint").alias("missed_bytes"), F.when(
+            c("syn"), "S"
+        ).otherwise("ShADdFaf").alias("history"), c("n").alias("orig_pkts"), F.lit(0).cast("bigint").alias("resp_pkts"),
     )
     both = [c(n) if n in ok.columns else F.lit(None).alias(n) for n in ("dns_rcode", "dns_answers")]
     named = ok.select("*", *[x for x, n in zip(both, ("dns_rcode", "dns_answers")) if n not in ok.columns])
-    dns = named.where(c("dns_query").isNotNull()).select("ts", uid(*key, "ts"), *ends, F.lit("udp").alias("proto"), c("dns_query").alias("query"), F.coalesce("dns_type", F.lit("A")).alias("qtype_name"), F.coalesce(c("dns_rcode").cast("int"), F.lit(0)).alias("rcode"), F.nullif(F.array_join(c("dns_answers").cast("array<string>"), ","), F.lit("")).alias("answers"))
-    ssl = ok.where(c("sni").isNotNull()).select("ts", uid(*key, "ts"), *ends, F.lit("TLSv1.3").alias("version"), c("sni").alias("server_name"), F.lit("T").alias("established"))
+    dns = named.where(c("dns_query").isNotNull()).select(
+        "ts", uid(*key, "ts"), *ends, F.lit("udp").alias("proto"), c("dns_query").alias("query"),
+        F.coalesce("dns_type", F.lit("A")).alias("qtype_name"), F.coalesce(c("dns_rcode").cast("int"), F.lit(0)).alias("rcode"),
+        F.nullif(F.array_join(c("dns_answers").cast("array<string>"), ","), F.lit("")).alias("answers")
+    )
+    ssl = ok.where(c("sni").isNotNull()).select(
+        "ts", uid(*key, "ts"), *ends, F.lit("TLSv1.3").alias("version"), c("sni").alias("server_name"),
+        F.lit("T").alias("established")
+    )
     return {"conn": conn, "dns": dns, "ssl": ssl}

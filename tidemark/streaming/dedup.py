@@ -127,12 +127,17 @@ def resolve(events: DataFrame) -> DataFrame:
     """Order numbers of surplus rows: those the state found and those the archive settles."""
     sure = events.where(F.col("kind") == SURPLUS).select("row")
     asked = events.where(F.col("kind") != SURPLUS).select("h1", "h2", "row")
-    least = asked.groupBy(F.col("h1").alias("a"), F.col("h2").alias("b")).agg(F.min("row").alias("least"), F.max("row").alias("most")).where("most > least")
+    least = asked.groupBy(F.col("h1").alias("a"), F.col("h2").alias("b")).agg(
+        F.min("row").alias("least"), F.max("row").alias("most")
+    ).where("most > least")
     settled = asked.join(least, (F.col("h1") == F.col("a")) & (F.col("h2") == F.col("b"))).where("row > least").select("row")
     return sure.unionByName(settled).distinct()
 
 
-def surplus_rows(spark: SparkSession, folder: str, table: str, identifier: str, row: str, at_us: Column, horizon_us: int = 30 * 86_400_000_000, buckets: int | None = None, files_per_trigger: int = 12) -> DataFrame:
+def surplus_rows(
+    spark: SparkSession, folder: str, table: str, identifier: str, row: str, at_us: Column, horizon_us: int = 30 * 86_400_000_000,
+    buckets: int | None = None, files_per_trigger: int = 12
+) -> DataFrame:
     """Column row: every delivery in `table` whose non-null identifier also occurs at a smaller `row`.
 
     The table's files are replayed as a stream until they end; state, offsets and output share one

@@ -16,7 +16,9 @@ from tidemark.session import shared_folder, ship
 def flow_windows(events: DataFrame, at: Column, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Tumbling totals per flow; rows later than `late` are beyond the watermark and not counted."""
     rows = events.select("flow_id", at.alias("at"), "orig_bytes", "resp_bytes").withWatermark("at", late)
-    return rows.groupBy(F.window("at", width), "flow_id").agg(F.count(F.lit(1)).alias("n"), F.sum("orig_bytes").alias("orig_bytes"), F.sum("resp_bytes").alias("resp_bytes")).select(F.col("window.start").alias("start"), "flow_id", "n", "orig_bytes", "resp_bytes")
+    return rows.groupBy(F.window("at", width), "flow_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("orig_bytes").alias("orig_bytes"), F.sum("resp_bytes").alias("resp_bytes")
+    ).select(F.col("window.start").alias("start"), "flow_id", "n", "orig_bytes", "resp_bytes")
 
 
 def alert_sessions(detections: DataFrame, at: Column, keys: list[str], gap: str = "30 seconds", late: str | None = None) -> DataFrame:
@@ -28,7 +30,10 @@ def alert_sessions(detections: DataFrame, at: Column, keys: list[str], gap: str
     """
     rows = detections.select(*keys, at.alias("at"), "confidence")
     rows = rows.withWatermark("at", late) if late else rows
-    found = rows.groupBy(F.session_window("at", gap), *keys).agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count(F.lit(1)).alias("occurrence_count"), F.max("confidence").alias("max_confidence"))
+    found = rows.groupBy(F.session_window("at", gap), *keys).agg(
+        F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count(F.lit(1)).alias("occurrence_count"),
+        F.max("confidence").alias("max_confidence")
+    )
     return found.drop("session_window")
 
 
@@ -40,7 +45,10 @@ def _track(idle_us: int):
         if state.hasTimedOut:
             first, last, n, sent, received = state.get
             state.remove()
-            yield pd.DataFrame({"flow_id": [key[0]], "event": ["expired"], "first_us": [first], "last_us": [last], "n": [n], "orig_bytes": [sent], "resp_bytes": [received]})
+            yield pd.DataFrame({
+                "flow_id": [key[0]], "event": ["expired"], "first_us": [first], "last_us": [last], "n": [n], "orig_bytes": [sent],
+                "resp_bytes": [received]
+            })
             return
         first, last, n, sent, received = state.get if state.exists else (None, None, 0, 0, 0)
         for b in batches:
@@ -49,7 +57,10 @@ def _track(idle_us: int):
             n, sent, received = n + len(b), sent + int(b.orig_bytes.sum()), received + int(b.resp_bytes.sum())
         state.update((first, last, n, sent, received))
         state.setTimeoutTimestamp(max(last + idle_us, state.getCurrentWatermarkMs() * 1000 + 1000) // 1000)
-        yield pd.DataFrame({"flow_id": [key[0]], "event": ["updated"], "first_us": [first], "last_us": [last], "n": [n], "orig_bytes": [sent], "resp_bytes": [received]})
+        yield pd.DataFrame({
+            "flow_id": [key[0]], "event": ["updated"], "first_us": [first], "last_us": [last], "n": [n], "orig_bytes": [sent],
+            "resp_bytes": [received]
+        })
 
     return step
 
@@ -57,7 +68,10 @@ def _track(idle_us: int):
 def track_flows(events: DataFrame, at: Column, idle: int = 300, late: str = "10 minutes") -> DataFrame:
     """State of each flow after each micro-batch; idle flows (seconds of event time) leave with event `expired`."""
     ship(events.sparkSession)
-    rows = events.select("flow_id", at.alias("at"), F.unix_micros(at).alias("us"), F.coalesce("orig_bytes", F.lit(0)).alias("orig_bytes"), F.coalesce("resp_bytes", F.lit(0)).alias("resp_bytes")).withWatermark("at", late)
+    rows = events.select(
+        "flow_id", at.alias("at"), F.unix_micros(at).alias("us"), F.coalesce("orig_bytes", F.lit(0)).alias("orig_bytes"),
+        F.coalesce("resp_bytes", F.lit(0)).alias("resp_bytes")
+    ).withWatermark("at", late)
     return rows.groupBy("flow_id").applyInPandasWithState(_track(idle * 1_000_000), f"flow_id string, event string, {FLOW_STATE}", FLOW_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -89,7 +103,10 @@ def model_schedule(events: DataFrame) -> DataFrame:
     """
     ship(events.sparkSession)
     rows = events.select("flow_id", "seq", "us", "packets", "urgent", "risk")
-    return rows.groupBy("flow_id").applyInPandasWithState(_due, "flow_id string, seq bigint, due boolean", "at bigint, packets bigint, last bigint", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("flow_id").applyInPandasWithState(
+        _due, "flow_id string, seq bigint, due boolean", "at bigint, packets bigint, last bigint", "append",
+        GroupStateTimeout.NoTimeout
+    )
 
 
 def paced(stream: DataFrame, path: str, checkpoint: str, seconds: float):
