@@ -56,7 +56,8 @@ _LARGE = ["l_returnflag", "l_linestatus", "l_linenumber"]
 
 def p1_large_sets(spark: SparkSession, folder: str) -> DataFrame:
     """The same operator on sets of up to all lines of lineitem, where registers are dense, against exact counts."""
-    rows = read_table(spark, folder, "lineitem").select(*_LARGE, F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"))
+    rows = read_table(spark, folder, "lineitem").select(
+        *[F.col(k).cast("string").alias(k) for k in _LARGE], F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"))
     merged = sketch.merge_cube(sketch.merge(sketch.sketches(rows, {k: F.col(k) for k in _LARGE}, F.col("line")), _LARGE), _LARGE)
     rough = sketch.estimate(merged, [*_LARGE, "level"]).withColumn("rough", F.round("estimate"))
     return _within(spark, rows, "line", rough, _LARGE)
@@ -226,9 +227,10 @@ SQL = {
       count(distinct src_ip) as exact_sources, true as within
     from rows group by cube(day, sensor_id, event_type, protocol)""",
     "p1_large_sets": """
+    with rows as (select l_returnflag, l_linestatus, cast(l_linenumber as varchar) as l_linenumber, concat(l_orderkey, '-', l_linenumber) as line from lineitem)
     select l_returnflag, l_linestatus, l_linenumber, cast(grouping_id(l_returnflag, l_linestatus, l_linenumber) as bigint) as level,
-        count(distinct concat(l_orderkey, '-', l_linenumber)) as exact_count, true as within
-    from lineitem group by cube(l_returnflag, l_linestatus, l_linenumber)""",
+        count(distinct line) as exact_count, true as within
+    from rows group by cube(l_returnflag, l_linestatus, l_linenumber)""",
     "p8_check": "select count(distinct doc_id) as n_texts, true as every_token_once, true as none_overfull, true as hardly_any_room_lost from documents",
     "p10_check": "select count(*) as n_texts, true as consistent from documents",
     "p9_found": _NGRAM,
