@@ -50,7 +50,8 @@ def sliding(
     measured = [F.coalesce(v.cast("bigint"), F.lit(0)).alias(f"__s_{k}") for k, v in sums.items()]
     measured += [v.alias(f"__d_{k}") for k, v in distinct.items()] + [v.alias(f"__e_{k}") for k, v in entropy.items()]
     block_us = block_us or _block_us(reach_us)
-    rows = in_blocks(df.select("*", *measured), us, reach_us, block_us)
+    # moved once: every window below is by block and more, so each lies in one partition already
+    rows = in_blocks(df.select("*", *measured), us, reach_us, block_us).repartition(*block)
     for k in distinct:
         w = Window.partitionBy(*block, f"__d_{k}").orderBy(us)
         some = c(f"__d_{k}").isNotNull()
