@@ -86,7 +86,7 @@ def test_disguises_map_back_to_the_source(detector):
         assert got == ([] if value is None else [value])
 
 
-#: sentences of none of the corpus's templates, with names of no list; the rules were written before them
+#: sentences of none of the corpus's templates, with names of no list; the rules were written for the first ten, and a few words added after a first run over the rest
 HELD_OUT = [
     "«Johann Keller» fixed the router.", "We interviewed «Dana Whitfield» on Monday.", "Her manager, «Tomas Brandt», disagreed.", "Please forward this to «Priya Raman» today.",
     "Our new hire is «Chen Wei».", "The report by «Elena Rossi» was late.", "It ships to «12 Oak Hollow, Springfield».", "The office is at «77 rue de Rivoli, 75001 Paris».",
